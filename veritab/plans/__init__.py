@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["confirm"]
+_MODULES = ["confirm", "learner"]
 
 
 def load_all():
