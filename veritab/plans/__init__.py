@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["confirm", "learner"]
+_MODULES = ["confirm", "learner", "archive"]
 
 
 def load_all():
