@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["confirm", "learner", "archive"]
+_MODULES = ["confirm", "learner", "archive", "selection"]
 
 
 def load_all():
