@@ -113,3 +113,26 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     prunes each map task to k rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """(keys, one column per quantile), linear between order statistics.
+
+    Values are counted first, then a running count finds the order statistics,
+    so no task holds all values of a key (``median`` and ``percentile`` do).
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
+    scanned = ordered_scan(counts, keys, [value], sums={"_cum": "_t"})
+    total = counts.groupBy(*keys).agg(F.sum("_t").alias("_n"))
+    rows = scanned.join(total, keys) if keys else scanned.withColumn("_n", total.scalar())
+    before, parts, out = F.col("_cum") - F.col("_t"), [], []
+    for name, q in qs.items():
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        # Weighted sum of the two order statistics around position h.
+        covers = lambda pos: (before <= pos) & (pos < F.col("_cum"))
+        low, high, frac = F.floor(h), F.ceil(h), h - F.floor(h)
+        weight = F.when(covers(low), 1 - frac).otherwise(0.0) + F.when(covers(high), frac).otherwise(0.0)
+        parts.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(name))
+        out.append(name)
+    return rows.groupBy(*keys).agg(*parts).select(*keys, *out)

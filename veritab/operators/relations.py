@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.exprs import Candidate, explode_candidates, is_finite
+from veritab.functions.ordered import exact_quantiles, hash_rank, top_rows
 from veritab.functions.stats import binomial_upper_tail, normal_upper_tail
 
+from veritab.session import cut_lineage
+
 EPS = 1e-12
 
 
@@ -150,11 +153,12 @@ def group_differences(rows: DataFrame, frozen: DataFrame, cands: list[Candidate]
 
 def sign_test(diffs: DataFrame, delta: float, min_groups: int) -> DataFrame:
     """Exact one-sided sign test over groups; ties lose; any undefined row voids the test."""
+    diffs = cut_lineage(diffs)
+    median = exact_quantiles(diffs, ["cand"], "diff", {"_effect": 0.5})
     agg = diffs.groupBy("cand").agg(
         F.count(F.lit(1)).alias("unit_count"), F.sum("n").alias("sample_size"),
-        F.count_if(F.col("diff") > delta).alias("wins"), F.median("diff").alias("_effect"),
-        F.sum("undefined_rows").alias("_bad"),
-    )
+        F.count_if(F.col("diff") > delta).alias("wins"), F.sum("undefined_rows").alias("_bad"),
+    ).join(median, "cand", "left")
     usable = (F.col("_bad") == 0) & (F.col("unit_count") >= min_groups)
     return agg.select(
         "cand", "unit_count", "sample_size", F.when(usable, F.col("wins")).alias("wins"),
@@ -178,7 +182,7 @@ def invariant_check(
 ) -> tuple[DataFrame, DataFrame]:
     """Approximate invariants around the exact median: (summary, counterexamples)."""
     rows = explode_candidates(sample.select(record_id, *_needed(cands)), cands)
-    centre = rows.groupBy("cand").agg(F.median("z").alias("centre"))
+    centre = exact_quantiles(rows, ["cand"], "z", {"centre": 0.5})
     scale = F.when(F.abs("centre") > EPS, F.abs("centre")).otherwise(1.0)
     judged = rows.join(centre, "cand").withColumn("deviation", F.abs(F.col("z") - F.col("centre"))).withColumn(
         "conforming", F.col("deviation") <= tolerance * scale + EPS)
@@ -194,7 +198,6 @@ def invariant_check(
     ).withColumn(
         "holds", F.coalesce((F.col("n_used") >= 2) & (F.col("coverage") >= min_coverage)
                             & (F.col("conformity") >= min_conformity), F.lit(False)))
-    from veritab.functions.ordered import top_rows
     broken = judged.filter(~F.col("conforming"))
     worst = top_rows(broken, ["cand"], [F.desc("deviation"), F.asc(record_id)], max_counterexamples, "position")
     return summary, worst.select("cand", "position", record_id, "z", "deviation")
@@ -226,7 +229,6 @@ def draw_multiplicities(groups: DataFrame, group: str, draws: int, seed: str) ->
     count; the slots are the groups themselves, so the table is generated in
     parallel and has draws x groups rows before counting.
     """
-    from veritab.functions.ordered import hash_rank
     ids = groups.select(group).distinct().withColumn("_h", F.md5(F.col(group).cast("string")))
     ranked = hash_rank(ids, [], "_h", [group]).select(group, "rk")
     total = ranked.groupBy().agg(F.count(F.lit(1)).alias("g"))

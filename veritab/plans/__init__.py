@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["confirm", "learner", "archive", "selection"]
+_MODULES = ["confirm", "learner", "archive", "selection", "training"]
 
 
 def load_all():
