@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def binomial_upper_tail(n: Column, wins: Column) -> Column:
@@ -41,7 +42,7 @@ def _tail_from(n: Column, start: Column) -> Column:
     return F.exp(log_choose - n * math.log(2.0) + F.ln(ratios))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_upper_tail(t: pd.Series) -> pd.Series:
     """P(N(0,1) >= t); used on one row per tested hypothesis."""
     return t.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritab.functions.ordered import top_rows
+from veritab.operators.documents import fold
 from veritab.session import cut_lineage
 
 # Relation kinds by priority.
@@ -206,7 +208,7 @@ def spanning_backbone(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return chosen if chosen is not None else edges.select("id").limit(0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_fold(text: pd.Series) -> pd.Series:
     """NFKC and casefold; Spark has no built-in Unicode normal form."""
     return text.str.normalize("NFKC").str.casefold().str.strip()
@@ -233,8 +235,8 @@ def merge_concepts(concepts: DataFrame, order: str) -> tuple[DataFrame, DataFram
 def validate_concepts(candidates: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected). The normalised label must occur in the normalised evidence;
     equal (label, definition) merge into the first."""
-    norm = candidates.withColumn("_label", strip_fold(F.col("label"))).withColumn("_def", strip_fold(F.col("definition")))
-    grounded = F.contains(strip_fold(F.col("quote")), F.col("_label"))
+    norm = candidates.withColumn("_label", fold(F.col("label"))).withColumn("_def", fold(F.col("definition")))
+    grounded = F.contains(fold(F.col("quote")), F.col("_label"))
     ok = norm.filter(F.coalesce(grounded, F.lit(False)))
     rejected = norm.filter(~F.coalesce(grounded, F.lit(False))).withColumn("reason", F.lit("label_not_in_evidence"))
     kept = ok.groupBy("_label", "_def").agg(
@@ -246,10 +248,10 @@ def validate_concepts(candidates: DataFrame, order: str) -> tuple[DataFrame, Dat
 def validate_relations(relations: DataFrame, concepts: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected with reason): known endpoints, no self loop, evidence names both
     labels; symmetric kinds have sorted ends; the first of equal edges is kept."""
-    names = concepts.select("id", strip_fold(F.col("label")).alias("label"))
+    names = concepts.select("id", fold(F.col("label")).alias("label"))
     j = relations.join(names.select(F.col("id").alias("source"), F.col("label").alias("_ls")), "source", "left").join(
         names.select(F.col("id").alias("target"), F.col("label").alias("_lt")), "target", "left")
-    quote = strip_fold(F.col("quote"))
+    quote = fold(F.col("quote"))
     reason = (
         F.when(F.col("_ls").isNull() | F.col("_lt").isNull(), "unknown_endpoint")
         .when(F.col("source") == F.col("target"), "self_loop")
@@ -264,17 +266,12 @@ def validate_relations(relations: DataFrame, concepts: DataFrame, order: str) ->
     return kept, tagged.filter(F.col("reason").isNotNull()).drop("_ls", "_lt")
 
 
-def strip_fold(text: Column) -> Column:
-    """All white space removed, lower case."""
-    return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
-
-
 def choose_key(candidates: DataFrame, selection: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(selected, omitted, violations) for a selection of (id, merged_into) rows.
 
     Violations: unknown id, id used twice, merge of different labels.
     """
-    names = candidates.select("id", strip_fold(F.col("label")).alias("_label"))
+    names = candidates.select("id", fold(F.col("label")).alias("_label"))
     unknown = selection.join(names, "id", "left_anti").select("id", F.lit("unknown_id").alias("violation"))
     twice = selection.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("used_twice").alias("violation"))
     labels = selection.join(names, "id").join(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["confirm", "learner", "archive", "selection", "training"]
+_MODULES = ["confirm", "learner", "archive", "selection", "training", "corpus"]
 
 
 def load_all():

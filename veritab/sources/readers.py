@@ -112,7 +112,7 @@ def ingest_texts(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[Dat
     reason = F.when(F.octet_length("content") > max_bytes, "file exceeds 256 KB").when(
         ~F.is_valid_utf8(F.col("content").cast("string")), "not readable UTF-8")
     tagged = files.withColumn("reason", reason)
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^﻿", "")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     good = tagged.filter(F.col("reason").isNull()).select("path", text.alias("content"))
     return (
         good.select("path", F.sha2(F.col("content"), 256).alias("sha256"), F.length("content").alias("n_chars"), "content"),
