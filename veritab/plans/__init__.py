@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["confirm", "learner", "archive", "selection", "training", "corpus", "decide", "concepts"]
+_MODULES = ["confirm", "learner", "archive", "selection", "training", "corpus", "decide", "concepts", "io"]
 
 
 def load_all():

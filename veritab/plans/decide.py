@@ -234,7 +234,7 @@ def _headers(t: Tables, items: DataFrame) -> DataFrame:
     o = t.orders.join(total, F.col("o_orderkey") == F.col("doc"), "left")
     return o.select(
         F.col("o_orderkey").alias("doc"), F.lit("1.50").alias("tax"), F.lit("0").alias("shipping"), F.lit("0.50").alias("discount"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.format_string("%.2f", F.col("s") + 1.0)).otherwise(F.format_string("%.2f", F.col("o_totalprice"))).alias("total"),
+        F.when((F.col("o_orderkey") % 3 == 0) & F.col("s").isNotNull(), F.format_string("%.2f", F.col("s") + 1.0)).when(F.col("o_orderkey") % 3 != 0, F.format_string("%.2f", F.col("o_totalprice"))).alias("total"),
         F.when(F.col("o_custkey") % 13 != 0, F.col("o_orderpriority")).alias("priority"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.session import cut_lineage
+from veritab.session import cut_lineage, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.directory}/{name}.parquet"
 
+    def scratch(self, name: str) -> str:
+        """A fresh path in the shared checkpoint folder, for queries that go through a file format."""
+        return f"{ensure_checkpoint_dir(self.spark)}/scratch/{name}-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -90,9 +90,9 @@ def read_json_map(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("value", pair, 1).alias("key"), F.regexp_extract("value", pair, 2).alias("value"))
 
 
-def read_json_groups(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a JSON object of string lists, one object per line or file."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+def read_json_groups(spark: SparkSession, path: str, one_object_per_file: bool = False) -> DataFrame:
+    """(key, value) of JSON objects of string lists, one per line or, if asked, one per file."""
+    parsed = spark.read.text(path, wholetext=one_object_per_file).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     return parsed.select(F.explode("m").alias("key", "values")).select("key", F.explode("values").alias("value"))
 
 
