@@ -10,41 +10,42 @@ from veritab.functions.ordered import top_rows
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def parse_events(raw: DataFrame) -> DataFrame:
+    """Adds the parsed time and attempts, so every rule reads one parsed value."""
+    tries = F.col("attempts").try_cast("int")
+    return raw.withColumn("_when", F.try_to_timestamp("submit_time", F.lit(TIME_FORMAT))).withColumn(
+        "_tries", F.when(tries.isNull() | (tries <= 0), 1).otherwise(tries))
+
+
 def drop_reason(min_year: int = 2015, max_year: int = 2030, max_attempts: int = 20) -> Column:
-    """First failing rule of a raw event, null when it passes."""
-    when = F.try_to_timestamp("submit_time", F.lit(TIME_FORMAT))
+    """First failing rule of a parsed event, null when it passes."""
     return (
         F.when(~F.coalesce(F.col("user_id").startswith("U_"), F.lit(False)), "bad_user_id")
         .when(~F.coalesce(F.col("problem_id").startswith("Pm_"), F.lit(False)), "bad_problem_id")
         .when(~F.coalesce(F.col("is_correct").isin(0, 1), F.lit(False)), "bad_is_correct")
-        .when(when.isNull(), "bad_submit_time")
-        .when(~F.year(when).between(min_year, max_year), "time_out_of_range")
-        .when(_attempts() > max_attempts, "too_many_attempts")
+        .when(F.col("_when").isNull(), "bad_submit_time")
+        .when(~F.year("_when").between(min_year, max_year), "time_out_of_range")
+        .when(F.col("_tries") > max_attempts, "too_many_attempts")
     )
 
 
-def _attempts() -> Column:
-    raw = F.col("attempts").try_cast("int")
-    return F.when(raw.isNull() | (raw <= 0), 1).otherwise(raw)
-
-
 def validate_events(raw: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """(clean, dropped): clean rows carry user_id, t (epoch seconds), pm_id, y, attempts."""
-    tagged = raw.withColumn("reason", drop_reason(**limits))
+    tagged = parse_events(raw).withColumn("reason", drop_reason(**limits))
     extra = [c for c in raw.columns if c not in ("user_id", "problem_id", "is_correct", "submit_time", "attempts")]
     clean = tagged.filter(F.col("reason").isNull()).select(
-        "user_id", F.unix_timestamp(F.try_to_timestamp("submit_time", F.lit(TIME_FORMAT))).alias("t"),
-        F.col("problem_id").alias("pm_id"), F.col("is_correct").cast("int").alias("y"),
-        _attempts().alias("attempts"), *extra)
-    return clean, tagged.filter(F.col("reason").isNotNull())
+        "user_id", F.unix_timestamp("_when").alias("t"), F.col("problem_id").alias("pm_id"),
+        F.col("is_correct").cast("int").alias("y"), F.col("_tries").alias("attempts"), *extra)
+    return clean, tagged.filter(F.col("reason").isNotNull()).drop("_when", "_tries")
 
 
 def with_gap(events: DataFrame, ties: list[str], bucket_seconds: int = 21600) -> DataFrame:
     """``gap`` to the user's previous event, dropped or not (null for the first).
 
     The window key is (user, time bucket), so a user with a third of all events
-    spreads over many tasks; the last time of the bucket before comes from a
-    table with one row per user and bucket.
+    spreads over many tasks. Only the first row of a bucket looks further back:
+    it takes the last time of the bucket before from a table with one row per
+    user and bucket, which shares the rows' partitioning.
     """
     rows = events.withColumn("_bucket", F.floor(F.col("t") / bucket_seconds))
     last = rows.groupBy("user_id", "_bucket").agg(F.max("t").alias("_last"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions.exprs import is_finite
+from veritab.session import sized_join
 
 # Severity order of the status lattice.
 SEVERITY = {"usable": 0, "flagged": 1, "excluded": 2, "quarantined": 3}
@@ -145,7 +146,7 @@ def mark_duplicates(df: DataFrame, record_id: str, fingerprint: str) -> DataFram
     ids = df.groupBy(record_id).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(record_id, F.lit(True).alias("dup_id"))
     prints = df.groupBy(fingerprint).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
         fingerprint, F.lit(True).alias("dup_content"))
-    out = df.join(ids, record_id, "left").join(prints, fingerprint, "left")
+    out = sized_join(sized_join(df, ids, record_id, "left"), prints, fingerprint, "left")
     return out.withColumn("dup_id", F.coalesce("dup_id", F.lit(False))).withColumn(
         "dup_content", F.coalesce("dup_content", F.lit(False)))
 

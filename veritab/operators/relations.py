@@ -15,7 +15,7 @@ from veritab.functions.exprs import Candidate, explode_candidates, is_finite
 from veritab.functions.ordered import exact_quantiles, hash_rank, top_rows
 from veritab.functions.stats import binomial_upper_tail, normal_upper_tail
 
-from veritab.session import cut_lineage
+from veritab.session import cut_lineage, sized_join
 
 EPS = 1e-12
 
@@ -116,10 +116,9 @@ def gains(fits: DataFrame) -> DataFrame:
 def predict(rows: DataFrame, frozen: DataFrame, cands: list[Candidate]) -> DataFrame:
     """Rows x frozen candidates with ``pred``; null where the candidate is undefined.
 
-    The frozen table has one row per candidate, so Catalyst's own size check
-    decides how it is joined.
+    The frozen table has one row per candidate.
     """
-    return explode_candidates(rows, cands).join(frozen.select("cand", "slope", "intercept"), "cand").withColumn(
+    return sized_join(explode_candidates(rows, cands), frozen.select("cand", "slope", "intercept"), "cand").withColumn(
         "pred", F.col("intercept") + F.col("slope") * F.col("z")
     )
 
@@ -184,7 +183,7 @@ def invariant_check(
     rows = explode_candidates(sample.select(record_id, *_needed(cands)), cands)
     centre = exact_quantiles(rows, ["cand"], "z", {"centre": 0.5})
     scale = F.when(F.abs("centre") > EPS, F.abs("centre")).otherwise(1.0)
-    judged = rows.join(centre, "cand").withColumn("deviation", F.abs(F.col("z") - F.col("centre"))).withColumn(
+    judged = sized_join(rows, centre, "cand").withColumn("deviation", F.abs(F.col("z") - F.col("centre"))).withColumn(
         "conforming", F.col("deviation") <= tolerance * scale + EPS)
     summary = judged.groupBy("cand").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("z").alias("n_used"), F.first("centre").alias("estimate"),
@@ -212,7 +211,7 @@ def group_sufficient_statistics(sample: DataFrame, cands: list[Candidate], featu
     means = sample.groupBy().agg(F.struct(*[F.avg(c).alias(c) for c in [*features, y]]).alias("m"))
     rows = explode_candidates(sample, cands).filter(F.col("z").isNotNull())
     centre = rows.groupBy("cand").agg(F.avg("z").alias("_cz"))
-    rows = rows.join(centre, "cand").withColumn("_m", means.scalar())
+    rows = sized_join(rows, centre, "cand").withColumn("_m", means.scalar())
     z, v = F.col("z") - F.col("_cz"), F.col(y) - F.col(f"_m.{y}")
     sums = [F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"), F.sum(v * v).alias("syy"),
             F.sum(z).alias("sz"), F.sum(z * z).alias("szz"), F.sum(z * v).alias("szy")]

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.exprs import is_finite
-from veritab.functions.ordered import hash_rank, ordered_scan, top_rows
-from veritab.session import cut_lineage
+from veritab.functions.ordered import average_rank, hash_rank, ordered_scan, top_rows
+from veritab.session import cut_lineage, sized_join
 
 TINY = 1e-12
 
@@ -40,27 +40,28 @@ def pearson_abs(df: DataFrame, features: list[str], y: str, by: list[str] | None
     return agg.select(*by, F.inline(F.array(*cells)))
 
 
-def spearman_abs(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """|rho| per feature with average ranks.
+def spearman_abs(df: DataFrame, features: list[str], y: str, by: list[str] | None = None) -> DataFrame:
+    """|rho| per feature with average ranks, optionally within the keys ``by``.
 
     Rows are grouped by feature value before anything is ordered: a value only
     needs its count and the sum of its rows' y-ranks.
     """
-    from veritab.functions.ordered import average_rank
-    ranked = df.join(average_rank(df, [], y).select(y, F.col("avg_rank").alias("_ry")), y)
-    means = df.groupBy().agg(F.struct(*[F.avg(f).alias(f) for f in features]).alias("m"))
-    filled = ranked.withColumn("_m", means.scalar()).select(
-        "_ry", *[F.coalesce(F.col(f).cast("double"), F.col(f"_m.{f}")).alias(f) for f in features])
-    values = melt(filled, features, ["_ry"]).groupBy("feature", "x").agg(
+    by = by or []
+    ranked = df.join(average_rank(df, by, y).select(*by, y, F.col("avg_rank").alias("_ry")), [*by, y])
+    means = df.groupBy(*by).agg(F.struct(*[F.avg(f).alias(f) for f in features]).alias("_m"))
+    ranked = sized_join(ranked, means, by) if by else ranked.withColumn("_m", means.scalar())
+    filled = ranked.select(*by, "_ry", *[F.coalesce(F.col(f).cast("double"), F.col(f"_m.{f}")).alias(f) for f in features])
+    key = [*by, "feature"]
+    values = melt(filled, features, [*by, "_ry"]).groupBy(*key, "x").agg(
         F.count(F.lit(1)).alias("ties"), F.sum("_ry").alias("_sry"), F.sum(F.col("_ry") * F.col("_ry")).alias("_sry2"))
-    scanned = ordered_scan(values, ["feature"], ["x"], sums={"_cum": "ties"})
+    scanned = ordered_scan(values, key, ["x"], sums={"_cum": "ties"})
     rx = F.col("_cum") - (F.col("ties") - 1) / 2.0
-    agg = scanned.groupBy("feature").agg(
+    agg = scanned.groupBy(*key).agg(
         F.sum("ties").alias("n"), F.sum(rx * F.col("_sry")).alias("xy"), F.sum(rx * rx * F.col("ties")).alias("xx"),
         F.sum("_sry2").alias("yy"))
     mean = (F.col("n") + 1) / 2.0
     var = lambda s: F.sqrt(F.greatest(F.lit(0.0), F.col(s) / F.col("n") - mean * mean)) + TINY
-    return agg.select("feature", F.abs((F.col("xy") / F.col("n") - mean * mean) / (var("xx") * var("yy"))).alias("score"))
+    return agg.select(*key, F.abs((F.col("xy") / F.col("n") - mean * mean) / (var("xx") * var("yy"))).alias("score"))
 
 
 def quantile_cuts(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
@@ -83,16 +84,17 @@ def bin_of(value: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c < value))
 
 
-def binned_mutual_information(df: DataFrame, features: list[str], y: str, bins: int = 8) -> DataFrame:
+def binned_mutual_information(df: DataFrame, features: list[str], y: str, bins: int = 8, by: list[str] | None = None) -> DataFrame:
     """MI (nats) of quantile bins; the k-NN estimator of the usual definition is replaced."""
-    long = melt(df, features, [y]).filter(F.col("x").isNotNull())
-    xcuts = quantile_cuts(long, ["feature"], "x", bins)
-    ycuts = quantile_cuts(df.select(y), [], y, bins)
-    rows = long.join(xcuts, "feature", "left").withColumn("_yc", ycuts.scalar())
-    empty = F.array().cast("array<double>")
-    cells = rows.select("feature", bin_of(F.col("x"), F.coalesce("cuts", empty)).alias("bx"),
-                        bin_of(F.col(y), F.coalesce("_yc", empty)).alias("by")).groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
-    return mutual_information(cells, ["feature"], "bx", "by")
+    by = by or []
+    key, empty = [*by, "feature"], F.array().cast("array<double>")
+    long = melt(df, features, [*by, y]).filter(F.col("x").isNotNull())
+    rows = sized_join(long, quantile_cuts(long, key, "x", bins), key, "left")
+    ycuts = quantile_cuts(df.select(*by, y), by, y, bins).withColumnRenamed("cuts", "_yc")
+    rows = sized_join(rows, ycuts, by, "left") if by else rows.withColumn("_yc", ycuts.scalar())
+    cells = rows.select(*key, bin_of(F.col("x"), F.coalesce("cuts", empty)).alias("bx"),
+                        bin_of(F.col(y), F.coalesce("_yc", empty)).alias("by")).groupBy(*key, "bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    return mutual_information(cells, key, "bx", "by")
 
 
 def mutual_information(cells: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

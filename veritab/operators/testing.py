@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.ordered import ordered_scan
+from veritab.session import cut_lineage
 
 SUPPORTED, REFUTED, INCONCLUSIVE, FAILED = "supported", "refuted", "inconclusive", "failed"
 
@@ -17,6 +18,7 @@ def alpha_for_round(alpha: float, round_index: int) -> float:
 def holm_adjust(tests: DataFrame, family: list[str], test_id: str = "test_id", p: str = "p_value") -> DataFrame:
     """Step-down adjusted p-values per family; null p-values stay null and are counted
     as missing, never imputed."""
+    tests = cut_lineage(tests)
     sizes = tests.groupBy(*family).agg(F.count(p).alias("m")) if family else None
     known = tests.filter(F.col(p).isNotNull())
     ranked = ordered_scan(known, family, [p, test_id], number="rank")

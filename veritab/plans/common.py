@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veritab.functions.exprs import Candidate
 from veritab.operators.split import assign_purposes
 from veritab.plans.registry import Tables
+from veritab.session import sized_join
 
 FEATURES = ["x1", "x2", "x3", "x4"]
 SEED = "7"
@@ -63,7 +64,7 @@ def observations(t: Tables) -> DataFrame:
 def split_observations(t: Tables) -> DataFrame:
     obs = observations(t)
     parts = t.once("parts", lambda: assign_purposes(obs, "grp", SEED, ALLOCATION))
-    return obs.join(parts, "grp")
+    return sized_join(obs, parts, "grp")
 
 
 OBS_CTE = """

@@ -94,7 +94,7 @@ def _episodes(t: Tables) -> DataFrame:
 @query("b1_event_validation", f"""
 WITH {_RAW} SELECT coalesce(reason, 'ok') AS reason, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts FROM tagged GROUP BY 1""")
 def b1(t: Tables) -> DataFrame:
-    return raw_events(t).withColumn("reason", ev.drop_reason()).groupBy(
+    return ev.parse_events(raw_events(t)).withColumn("reason", ev.drop_reason()).groupBy(
         F.coalesce("reason", F.lit("ok")).alias("reason")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("attempts") <= 0, 1).otherwise(F.col("attempts"))).alias("attempts"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritab.operators import relevance as rv
 from veritab.plans.common import FEATURES, OBS_CTE, observations, r
 from veritab.plans.registry import Tables, query
+from veritab.session import sized_join
 
 
 def table(t: Tables) -> DataFrame:
@@ -117,15 +118,14 @@ def d10(t: Tables) -> DataFrame:
     """Relevance methods compared on group folds; objective = score + 0.1 * stability."""
     rows = table(t).withColumn("x3", F.coalesce("x3", F.lit(0.0)))
     folds = t.once("gf", lambda: rv.group_folds(rows, "grp", 3))
-    data = rows.join(folds, "grp")
+    data = sized_join(rows, folds, "grp")
     moments = t.once("moments", lambda: rv.fold_moments(data, "fold", FEATURES, "y"))
     out = rv.evaluate_folds(moments, FEATURES, "y", 2, metric="neg_mse").withColumn("method", F.lit("pearson_abs"))
-    for name, fn in (("spearman_abs", rv.spearman_abs), ("mutual_info", rv.binned_mutual_information)):
-        scores = None
-        for k in range(3):
-            part = fn(data.filter(F.col("fold") != k), FEATURES, "y").withColumn("fold", F.lit(k))
-            scores = part if scores is None else scores.unionByName(part)
-        ev = rv.evaluate_folds(moments, FEATURES, "y", 2, scores, metric="neg_mse")
+    # Every row trains all folds but its own; one keyed pass scores all of them.
+    train = data.withColumn("k", F.explode(F.array_except(F.array(*[F.lit(i) for i in range(3)]), F.array("fold"))))
+    for name, scores in (("spearman_abs", rv.spearman_abs(train, FEATURES, "y", by=["k"])),
+                         ("mutual_info", rv.binned_mutual_information(train, FEATURES, "y", by=["k"]))):
+        ev = rv.evaluate_folds(moments, FEATURES, "y", 2, scores.withColumnRenamed("k", "fold"), metric="neg_mse")
         out = out.unionByName(ev.withColumn("method", F.lit(name)))
     summary = rv.fold_summary(t.once("per", lambda: out), ["method"])
     j = F.col("cv_score_mean") + 0.1 * F.col("stability_jaccard")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "*", app: str = "veritab", partitions: int = 8) -> SparkSession:
@@ -46,3 +47,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared checkpoint folder; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A table of this many rows (about a hundred bytes each) may be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a derived table whose size is measured first.
+
+    The small side is stored and counted: within ``max_rows`` it is broadcast, so
+    the big side is not shuffled; beyond that the join shuffles both sides and
+    the adaptive skew split applies.
+    """
+    stored = cut_lineage(small)
+    return big.join(F.broadcast(stored) if stored.count() <= max_rows else stored, on, how)
+
+
+def spread(df: DataFrame, min_bytes: int = 1 << 18) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores (a small single file).
+
+    Scans of real size have more splits than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < min_bytes:
+        return df
+    return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores)
