@@ -27,7 +27,8 @@ def changepoints(df: DataFrame, series: list[str], order: list[str], value: str,
     aggregation. ``position`` is the index of the first row to the right.
     """
     squared = df.withColumn("_v2", F.col(value) * F.col(value))
-    pre = cut_lineage(ordered_scan(squared, series, order, number="i", sums={"s": value, "ss": "_v2"}).select(*series, "i", "s", "ss"))
+    pre = cut_lineage(ordered_scan(squared, series, order, number="_i", sums={"_s": value, "_ss": "_v2"}).select(
+        *series, F.col("_i").alias("i"), F.col("_s").alias("s"), F.col("_ss").alias("ss")))
     ends = pre.groupBy(*series).agg(F.max("i").alias("high"), F.max_by("s", "i").alias("s_high"), F.max_by("ss", "i").alias("ss_high"))
     zero = F.lit(0.0)
     segs = cut_lineage(ends.select(*series, F.lit(0).cast("long").alias("low"), zero.alias("s_low"), zero.alias("ss_low"), "high", "s_high", "ss_high"))

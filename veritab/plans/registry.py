@@ -36,7 +36,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return spread(self.spark.read.parquet(self.path(name)))
+        key = f"table:{name}"
+        if key not in self._memo:
+            self._memo[key] = spread(self.spark.read.parquet(self.path(name)))
+        return self._memo[key]
 
 
 def query(name: str, sql: str | None = None):
