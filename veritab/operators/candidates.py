@@ -83,8 +83,8 @@ def novelty(hyps: DataFrame, entries: DataFrame) -> DataFrame:
 
     hyps: hyp, canonical, skeleton, subtrees, statement; entries: entry,
     canonical, skeleton, statement. The three structural rules are equi-joins.
-    Statements are compared as distinct token sets through their rarest tokens
-    (prefix filter for the Jaccard floor), so a frequent word seldom joins.
+    A structural match is worth more than any statement match can be, so only
+    hypotheses without one go on to compare statements.
     """
     def best_of(j: DataFrame, weight: float, name: str) -> DataFrame:
         return j.groupBy("hyp").agg(F.min("entry").alias("entry")).select(
@@ -96,37 +96,54 @@ def novelty(hyps: DataFrame, entries: DataFrame) -> DataFrame:
     skel = best_of(hyps.select("hyp", "skeleton").join(by_skel, "skeleton"), SAME_SKELETON, "equivalent_skeleton")
     parts = hyps.select("hyp", F.col("canonical").alias("_own"), F.explode("subtrees").alias("canonical")).filter("canonical <> _own")
     part = best_of(parts.join(by_expr, "canonical"), KNOWN_PART, "known_corollary")
-    words = statement_similarity(hyps, entries)
-    ranked = same.unionByName(skel).unionByName(part).unionByName(words)
+    structural = cut_lineage(same.unionByName(skel).unionByName(part))
+    words = statement_similarity(hyps.join(structural.select("hyp").distinct(), "hyp", "left_anti"), entries)
+    ranked = structural.unionByName(words)
     best = ranked.groupBy("hyp").agg(F.min_by(F.struct("similarity", "entry", "match"), F.struct((-F.col("similarity")).alias("s"), "entry")).alias("b"))
     return hyps.select("hyp").join(best, "hyp", "left").select(
         "hyp", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"), F.col("b.entry").alias("entry"),
         F.coalesce("b.match", F.lit("none")).alias("match"), (1 - F.coalesce("b.similarity", F.lit(0.0))).alias("novelty"))
 
 
-def statement_similarity(hyps: DataFrame, entries: DataFrame) -> DataFrame:
-    """Best capped Jaccard of at least the floor per hypothesis."""
-    h = hyps.select("hyp", F.array_sort(statement_tokens(F.col("statement"))).alias("tokens")).filter(F.size("tokens") > 0)
-    e = entries.select("entry", F.array_sort(statement_tokens(F.col("statement"))).alias("tokens")).filter(F.size("tokens") > 0)
-    hsets = cut_lineage(h.groupBy("tokens").agg(F.min("hyp").alias("_any")).select(F.md5(F.array_join("tokens", " ")).alias("hset"), "tokens"))
-    esets = cut_lineage(e.groupBy("tokens").agg(F.min("entry").alias("entry")).select(F.md5(F.array_join("tokens", " ")).alias("eset"), "tokens", "entry"))
+def statement_similarity(hyps: DataFrame, entries: DataFrame, steps: tuple[float, ...] = (STATEMENT_CAP, 0.3, STATEMENT_FLOOR)) -> DataFrame:
+    """Best capped Jaccard of at least the floor per hypothesis.
+
+    Equal token sets are compared once. The threshold falls step by step: sets
+    that share a prefix of their rarest tokens are compared, a hypothesis that
+    reaches the threshold is settled (its best match must be among them), and
+    only the rest meets the next, longer prefix. So frequent words join late
+    and for few sets.
+    """
+    def keyed(rows: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFrame]:
+        t = rows.select(id_col, F.array_sort(statement_tokens(F.col("statement"))).alias("tokens")).filter(F.size("tokens") > 0)
+        t = t.withColumn(name, F.md5(F.array_join("tokens", " ")))
+        return t.select(id_col, name), cut_lineage(t.groupBy(name).agg(F.first("tokens").alias("tokens"), F.min(id_col).alias(id_col)))
+
+    owner, hsets = keyed(hyps, "hyp", "hset")
+    _, esets = keyed(entries, "entry", "eset")
     freq = hsets.select(F.explode("tokens").alias("w")).union(esets.select(F.explode("tokens").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
 
-    def prefix(sets: DataFrame, name: str) -> DataFrame:
-        long = sets.select(name, F.explode("tokens").alias("w"), F.size("tokens").alias("n")).join(freq, "w")
-        ordered = long.groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("ws"))
-        keep = F.col("n") - F.ceil(F.col("n") * STATEMENT_FLOOR) + 1
-        return ordered.select(name, "n", F.explode(F.slice("ws", F.lit(1), keep.cast("int"))).alias("t")).select(name, F.col("n").alias(f"n_{name}"), "t.w")
-
-    ph, pe = prefix(hsets, "hset"), prefix(esets, "eset")
-    near = (F.col("n_eset") >= F.col("n_hset") * STATEMENT_FLOOR) & (F.col("n_hset") >= F.col("n_eset") * STATEMENT_FLOOR)
-    pairs = ph.join(pe, "w").filter(near).select("hset", "eset").distinct()
-    both = pairs.join(hsets.withColumnRenamed("tokens", "a"), "hset").join(esets.withColumnRenamed("tokens", "b"), "eset")
-    common = F.size(F.array_intersect("a", "b"))
-    jac = common / (F.size("a") + F.size("b") - common)
-    best = both.withColumn("j", jac).filter(F.col("j") >= STATEMENT_FLOOR).withColumn("similarity", F.least(F.lit(STATEMENT_CAP), "j")).groupBy("hset").agg(
-        F.min_by(F.struct("similarity", "entry"), F.struct((-F.col("similarity")).alias("s"), "entry")).alias("b"))
-    return h.select("hyp", F.md5(F.array_join("tokens", " ")).alias("hset")).join(best, "hset").select(
+    def ranked(sets: DataFrame, name: str) -> DataFrame:
+        long = sets.select(name, F.explode("tokens").alias("w")).join(freq, "w")
+        return cut_lineage(long.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("ws")))
+
+    def prefix(sets: DataFrame, name: str, floor: float) -> DataFrame:
+        n = F.size("ws")
+        return sets.select(name, n.alias(f"n_{name}"), F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * floor) + 1).cast("int"))).alias("t")).select(
+            name, f"n_{name}", "t.w")
+
+    open_h, ranked_e, found = ranked(hsets.select("hset", "tokens"), "hset"), ranked(esets.select("eset", "tokens"), "eset"), None
+    for floor in steps:
+        near = (F.col("n_eset") >= F.col("n_hset") * floor) & (F.col("n_hset") >= F.col("n_eset") * floor)
+        pairs = prefix(open_h, "hset", floor).join(prefix(ranked_e, "eset", floor), "w").filter(near).select("hset", "eset").distinct()
+        both = pairs.join(hsets.select("hset", F.col("tokens").alias("a")), "hset").join(esets.select("eset", F.col("tokens").alias("b"), "entry"), "eset")
+        common = F.size(F.array_intersect("a", "b"))
+        scored = both.withColumn("j", common / (F.size("a") + F.size("b") - common)).filter(F.col("j") >= floor)
+        best = cut_lineage(scored.withColumn("similarity", F.least(F.lit(STATEMENT_CAP), "j")).groupBy("hset").agg(
+            F.min_by(F.struct("similarity", "entry"), F.struct((-F.col("similarity")).alias("s"), "entry")).alias("b")))
+        found = best if found is None else found.unionByName(best)
+        open_h = open_h.join(best.select("hset"), "hset", "left_anti")
+    return owner.join(found, "hset").select(
         "hyp", F.col("b.entry").alias("entry"), F.col("b.similarity").alias("similarity"), F.lit("statement_similarity").alias("match"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.ordered import top_rows
+from veritab.session import sized_join
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -64,9 +65,9 @@ def gap_filter(events: DataFrame, min_gap: int, ties: list[str], bucket_seconds:
 
 
 def map_knowledge(events: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mapped, unmapped) after the pm_id -> k_id lookup; Catalyst checks the size
-    of the mapping before it broadcasts it."""
-    joined = events.join(mapping, "pm_id", "left")
+    """(mapped, unmapped) after the pm_id -> k_id lookup; the mapping is broadcast only
+    after its size is measured."""
+    joined = sized_join(events, mapping, "pm_id", "left")
     known = F.coalesce(F.col("k_id"), F.lit("")) != ""
     return joined.filter(known).withColumn("group_id", skill_group(F.col("k_id"))), joined.filter(~known)
 
@@ -89,7 +90,7 @@ def episodes(mapped: DataFrame, exam_size: int, order: list[str]) -> DataFrame:
     exam = top_rows(mapped.select(*key, *order), key, [F.desc(c) for c in order], exam_size)
     bounds = exam.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
     sizes = mapped.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= exam_size + 1)
-    joined = mapped.join(bounds.join(sizes, key), key)
+    joined = sized_join(mapped, bounds.join(sizes, key), key)
     role = F.when(F.struct(*order) < F.col("_first"), "history").otherwise("exam")
     return joined.withColumn("role", role).withColumn(
         "episode_id", F.concat(F.col("group_id"), F.lit("|"), F.col("user_id"), F.lit("#0"))).drop("_first", "_n")
@@ -103,7 +104,7 @@ def skill_model(history: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> Da
 
 def exam_readiness(exam: DataFrame, model: DataFrame, order: list[str], default: float = 0.5) -> DataFrame:
     """Mean clipped success rate over the exam and its weakest skill (first minimum)."""
-    scored = exam.join(model.select("group_id", "k_id", "p"), ["group_id", "k_id"], "left").withColumn(
+    scored = sized_join(exam, model.select("group_id", "k_id", "p"), ["group_id", "k_id"], "left").withColumn(
         "p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("p", F.lit(default)))))
     return scored.groupBy("episode_id").agg(
         F.count(F.lit(1)).alias("exam_size"), F.avg("p").alias("readiness"),

@@ -478,7 +478,7 @@ def encode_by_first_appearance(df: DataFrame, column: str, row_id: str, out: str
     """Integer codes in order of first appearance; missing is -1."""
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_id).alias("_first"))
     codes = ordered_scan(first, [], ["_first", column], number="_code").select(column, (F.col("_code") - 1).alias(out))
-    return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1).cast("long")))
+    return sized_join(df, codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1).cast("long")))
 
 
 def drop_rare_classes(df: DataFrame, label: str, min_count: int = 2) -> DataFrame:

@@ -228,24 +228,27 @@ def split_counts(df: DataFrame, node: str, features: list[str], label: str, part
     return thresholds, wide
 
 
-def _impurity(kind: str, counts: str, total: Column) -> Column:
-    p = lambda c: c / total
-    if kind == "gini":
-        return F.when(total > 0, 1 - F.aggregate(counts, F.lit(0.0), lambda a, c: a + p(c) * p(c))).otherwise(0.0)
-    return F.when(total > 0, F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, p(c) * F.log2(p(c))).otherwise(0.0))).otherwise(0.0)
+def _spread_sum(kind: str, count: str) -> Column:
+    """Aggregate that, with the total, gives the impurity of a class distribution."""
+    c = F.col(count).cast("double")
+    return F.sum(c * c) if kind == "gini" else F.sum(F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+
+
+def _impurity(kind: str, spread: Column, total: Column) -> Column:
+    value = 1 - spread / (total * total) if kind == "gini" else F.log2(total) - spread / total
+    return F.when(total > 0, value).otherwise(0.0)
 
 
 def split_gains(counts: DataFrame, node: str, part: str, criterion: str = "gini", min_samples_leaf: int = 1) -> DataFrame:
     """Gain of every (node, feature, threshold) on the train part."""
-    train = counts.filter(F.col(part) == "train").groupBy(node, "feature", "i", "threshold").agg(
-        F.sum("left").alias("n_left"), F.sum("right").alias("n_right"),
-        F.collect_list("left").alias("_l"), F.collect_list("right").alias("_r"),
-        F.collect_list(F.col("left") + F.col("right")).alias("_p"))
-    n = F.col("n_left") + F.col("n_right")
-    gain = _impurity(criterion, "_p", n) - F.col("n_left") / n * _impurity(criterion, "_l", F.col("n_left")) \
-        - F.col("n_right") / n * _impurity(criterion, "_r", F.col("n_right"))
-    return train.filter((F.col("n_left") >= min_samples_leaf) & (F.col("n_right") >= min_samples_leaf)).select(
-        node, "feature", "threshold", gain.alias("gain"), (F.col("n_left") / n).alias("left_ratio"))
+    train = counts.filter(F.col(part) == "train").withColumn("both", F.col("left") + F.col("right")).groupBy(node, "feature", "i", "threshold").agg(
+        F.sum("left").cast("double").alias("n_left"), F.sum("right").cast("double").alias("n_right"),
+        *[_spread_sum(criterion, c).alias(f"_{c}") for c in ("left", "right", "both")])
+    nl, nr = F.col("n_left"), F.col("n_right")
+    n = nl + nr
+    gain = _impurity(criterion, F.col("_both"), n) - nl / n * _impurity(criterion, F.col("_left"), nl) - nr / n * _impurity(criterion, F.col("_right"), nr)
+    return train.filter((nl >= min_samples_leaf) & (nr >= min_samples_leaf)).select(
+        node, "feature", "threshold", gain.alias("gain"), (nl / n).alias("left_ratio"))
 
 
 def validation_gains(counts: DataFrame, node: str, label: str, part: str) -> DataFrame:

@@ -223,17 +223,17 @@ def d33(t: Tables) -> DataFrame:
 
 
 def ledger(t: Tables) -> DataFrame:
-    """A hash chain per user and day; large values were altered after hashing."""
+    """Hash chains of at most 1000 events (user and id block); large values were altered after hashing."""
     ev = t.events.select(
-        F.concat_ws("|", "user_id", F.date_format("ts", "yyyyMMdd")).alias("ledger_id"), "event_id",
+        F.concat_ws("|", "user_id", F.expr("event_id div 1000")).alias("ledger_id"), "event_id",
         F.concat_ws("|", "event_type", "props").alias("body"), "value")
     seq = Window.partitionBy("ledger_id").orderBy("event_id")
     rows = ev.withColumn("seq", F.row_number().over(seq).cast("long"))
-    days = rows.groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event_id", "body", "value"))).alias("es"))
+    chains = rows.groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event_id", "body", "value"))).alias("es"))
     zero = F.lit(evd.ZERO_HASH)
     chain = F.aggregate("es", F.array(zero), lambda acc, e: F.concat(acc, F.array(F.sha2(
         F.concat_ws("|", F.element_at(acc, -1), e["seq"].cast("string"), e["body"]), 256))))
-    out = days.withColumn("hs", chain).select("ledger_id", F.posexplode("es").alias("i", "e"), "hs")
+    out = chains.withColumn("hs", chain).select("ledger_id", F.posexplode("es").alias("i", "e"), "hs")
     return out.select(
         "ledger_id", "e.seq", "e.event_id", F.col("hs")[F.col("i")].alias("prev_hash"), F.col("hs")[F.col("i") + 1].alias("event_hash"),
         F.when(F.col("e.value") > 300, F.concat("e.body", F.lit("*"))).otherwise(F.col("e.body")).alias("body"))
@@ -241,8 +241,8 @@ def ledger(t: Tables) -> DataFrame:
 
 @query("e17_hash_chain", """
 WITH RECURSIVE ev AS (
-  SELECT user_id || '|' || strftime(ts, '%Y%m%d') AS ledger_id, event_id, event_type || '|' || props AS body, value,
-         row_number() OVER (PARTITION BY user_id || '|' || strftime(ts, '%Y%m%d') ORDER BY event_id) AS seq FROM events),
+  SELECT user_id || '|' || event_id // 1000 AS ledger_id, event_id, event_type || '|' || props AS body, value,
+         row_number() OVER (PARTITION BY user_id || '|' || event_id // 1000 ORDER BY event_id) AS seq FROM events),
 ch AS (
   SELECT ledger_id, seq, event_id, body, value, repeat('0', 64) AS prev, sha256(repeat('0', 64) || '|' || seq || '|' || body) AS h FROM ev WHERE seq = 1
   UNION ALL SELECT ev.ledger_id, ev.seq, ev.event_id, ev.body, ev.value, ch.h, sha256(ch.h || '|' || ev.seq || '|' || ev.body)

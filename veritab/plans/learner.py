@@ -84,11 +84,12 @@ def knowledge_map(t: Tables) -> DataFrame:
 
 
 def _mapped(t: Tables) -> DataFrame:
-    return ev.map_knowledge(_kept(t), knowledge_map(t))[0]
+    """Cleaned, filtered and mapped events: read several times below, so stored once."""
+    return t.once("mapped", lambda: ev.map_knowledge(_kept(t), knowledge_map(t))[0])
 
 
 def _episodes(t: Tables) -> DataFrame:
-    return ev.episodes(_mapped(t), EXAM, ORDER)
+    return t.once("episodes", lambda: ev.episodes(_mapped(t), EXAM, ORDER))
 
 
 @query("b1_event_validation", f"""
