@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from veritab.functions.ordered import top_rows
 from veritab.operators.documents import fold
-from veritab.session import cut_lineage
+from veritab.session import cut_lineage, sized_join
 
 # Relation kinds by priority.
 RELATION_PRIORITY = {
@@ -52,13 +52,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 
 def shared_key_components(pairs: DataFrame, node: str, key: str) -> DataFrame:
-    """(node, component) where nodes sharing any key fall together; input is distinct pairs."""
-    edges = pairs.select(F.concat(F.lit("n:"), F.col(node).cast("string")).alias("a"),
-                         F.concat(F.lit("k:"), F.col(key).cast("string")).alias("b")).distinct()
-    labels = connected_components(edges).filter(F.col("node").startswith("n:"))
-    names = labels.groupBy("component").agg(F.min("node").alias("_name"))
-    return labels.join(names, "component").select(
-        F.substring("node", 3, 1 << 30).alias(node), F.expr("substring(_name, 3)").alias("component"))
+    """(node, component) where nodes sharing any key fall together; input is distinct pairs.
+
+    A key held by one node links nothing and is dropped. Every other key links
+    its nodes to its least node, so a hot key costs one edge per node.
+    """
+    rows = pairs.select(F.col(node).alias("a"), F.col(key).alias("_k"))
+    shared = rows.groupBy("_k").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    edges = sized_join(rows, shared, "_k").filter("a <> b").select("a", "b")
+    labels = connected_components(edges)
+    return sized_join(rows.select(F.col("a").alias("node")).distinct(), labels, "node", "left").select(
+        F.col("node").alias(node), F.coalesce("component", "node").alias("component"))
 
 
 def ancestors(parents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

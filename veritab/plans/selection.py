@@ -174,12 +174,12 @@ lab AS (SELECT dataset_id, count(*) AS n_methods, arg_min(method, (-j, method))
 
 @query("b8_feature_flattening", """
 WITH g AS (SELECT l_suppkey AS s, l_returnflag AS f, avg(l_discount) AS d, avg(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2)
-SELECT 'd' || s AS dataset_id, f AS flag, 'n' AS feature, round(CAST(n AS DOUBLE), 6) AS value FROM g
-UNION ALL SELECT 'd' || s, f, 'q', CASE WHEN s % 7 <> 0 THEN round(q, 6) END FROM g
-UNION ALL SELECT 'd' || s, f, 'traj__slope', round(d * 100, 6) FROM g WHERE f = 'A'""")
+SELECT 'd' || s AS dataset_id, f AS flag, 'n' AS feature, round(CAST(n AS DOUBLE), 9) AS value FROM g
+UNION ALL SELECT 'd' || s, f, 'q', CASE WHEN s % 7 <> 0 THEN round(q, 9) END FROM g
+UNION ALL SELECT 'd' || s, f, 'traj__slope', round(d * 100, 9) FROM g WHERE f = 'A'""")
 def b8(t: Tables) -> DataFrame:
     flat = experience(t).select("dataset_id", "flag", F.explode(rv.flatten_features(F.col("meta_features"), F.col("trajectory_features"))).alias("feature", "value"))
-    return flat.withColumn("value", F.when(~F.isnan("value"), r("value")))
+    return flat.withColumn("value", F.when(~F.isnan("value"), r("value", 9)))
 
 
 @query("b9_method_normalisation", f"""
@@ -190,19 +190,19 @@ def b9(t: Tables) -> DataFrame:
 
 
 @query("b10_objective", f"""
-WITH {_EXP} SELECT dataset_id, f AS flag, method, CASE WHEN j IS NOT NULL THEN round(j, 6) END AS j FROM evj""")
+WITH {_EXP} SELECT dataset_id, f AS flag, method, CASE WHEN j IS NOT NULL THEN round(j, 9) END AS j FROM evj""")
 def b10(t: Tables) -> DataFrame:
     ev = experience(t).select("dataset_id", "flag", F.explode("evaluations").alias("raw", "e")).withColumn("method", rv.normalize_method(F.col("raw")))
     j = rv.objective_j(F.col("e.cv_score_mean"), F.col("e.stability_jaccard"), F.col("e.runtime_sec"))
-    return ev.filter("method is not null").select("dataset_id", "flag", "method", F.when(j > float("-inf"), r(j)).alias("j"))
+    return ev.filter("method is not null").select("dataset_id", "flag", "method", F.when(j > float("-inf"), r(j, 9)).alias("j"))
 
 
 @query("d11_experience_aggregation", f"""
 WITH {_EXP}
-SELECT dataset_id, method, round(runtime_sec, 6) AS runtime_sec, round(cv, 6) AS cv, round(j, 6) AS j, label FROM per JOIN lab USING (dataset_id)""")
+SELECT dataset_id, method, round(runtime_sec, 9) AS runtime_sec, round(cv, 9) AS cv, round(j, 9) AS j, label FROM per JOIN lab USING (dataset_id)""")
 def d11(t: Tables) -> DataFrame:
     _, methods = rv.aggregate_experience(experience(t))
-    return methods.select("dataset_id", "method", r("runtime_sec").alias("runtime_sec"), r("cv").alias("cv"), r("j").alias("j"), "label")
+    return methods.select("dataset_id", "method", r("runtime_sec", 9).alias("runtime_sec"), r("cv", 9).alias("cv"), r("j", 9).alias("j"), "label")
 
 
 @query("d12_meta_selector")
@@ -241,14 +241,14 @@ def d13(t: Tables) -> DataFrame:
 
 @query("e19_best_method", f"""
 WITH {_EXP}
-SELECT dataset_id, arg_min(method, (-j, -cv, -coalesce(stability, 0), runtime_sec, method)) AS method, round(max(j), 6) AS j FROM per GROUP BY 1""")
+SELECT dataset_id, arg_min(method, (-j, -cv, -coalesce(stability, 0), runtime_sec, method)) AS method, round(max(j), 9) AS j FROM per GROUP BY 1""")
 def e19(t: Tables) -> DataFrame:
     ev = experience(t).select("dataset_id", F.explode("evaluations").alias("raw", "e")).withColumn("method", rv.normalize_method(F.col("raw")))
     ev = ev.filter("method is not null").withColumn("j", rv.objective_j(F.col("e.cv_score_mean"), F.col("e.stability_jaccard"), F.col("e.runtime_sec")))
     per = ev.filter(F.col("j") > float("-inf")).groupBy("dataset_id", "method").agg(
         F.avg(F.coalesce("e.runtime_sec", F.lit(0.0))).alias("runtime_sec"), F.avg("e.cv_score_mean").alias("cv"),
         F.avg("j").alias("j"), F.coalesce(F.avg("e.stability_jaccard"), F.lit(0.0)).alias("stability"))
-    return rv.best_method(per, "dataset_id").select("dataset_id", "method", r("j").alias("j"))
+    return rv.best_method(per, "dataset_id").select("dataset_id", "method", r("j", 9).alias("j"))
 
 
 @query("e20_feature_top_k", f"""

@@ -80,11 +80,11 @@ def _summary(t: Tables) -> DataFrame:
 
 @query("d25_summary_features", f"""
 WITH {_SERIES}, c AS (SELECT *, CAST('0x' || substr(md5(selection), 1, 6) AS BIGINT) % 1000 AS code FROM s)
-SELECT traj, count(*) AS length, {", ".join(f"round(avg({v}), 6) AS {v}_mean, round(stddev_pop({v}), 6) AS {v}_std, CAST(min({v}) AS DOUBLE) AS {v}_min, CAST(max({v}) AS DOUBLE) AS {v}_max, round(median({v}), 6) AS {v}_median" for v in ("tendency", "sequence", "code"))}
+SELECT traj, count(*) AS length, {", ".join(f"round(avg({v}), 9) AS {v}_mean, round(stddev_pop({v}), 9) AS {v}_std, CAST(min({v}) AS DOUBLE) AS {v}_min, CAST(max({v}) AS DOUBLE) AS {v}_max, round(median({v}), 9) AS {v}_median" for v in ("tendency", "sequence", "code"))}
 FROM c GROUP BY traj""")
 def d25(t: Tables) -> DataFrame:
     out = _summary(t)
-    return out.select("traj", "length", *[r(F.col(c).cast("double")).alias(c) for c in out.columns if c not in ("traj", "length")])
+    return out.select("traj", "length", *[r(F.col(c).cast("double"), 9).alias(c) for c in out.columns if c not in ("traj", "length")])
 
 
 @query("d25_quality_regressor")
