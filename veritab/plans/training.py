@@ -201,28 +201,28 @@ def _counts(t: Tables) -> DataFrame:
 
 @query("d27_split_gain", f"""
 WITH {_SPLIT}
-SELECT node, feature, round(threshold, 4) AS threshold, round((1 - p2 / (n * n)) - nl / n * (1 - l2 / (nl * nl)) - nr / n * (1 - r2 / (nr * nr)), 6) AS gain, round(nl / n, 6) AS left_ratio FROM tot WHERE nl > 0 AND nr > 0""")
+SELECT node, feature, round(threshold, 6) AS threshold, round((1 - p2 / (n * n)) - nl / n * (1 - l2 / (nl * nl)) - nr / n * (1 - r2 / (nr * nr)), 6) AS gain, round(nl / n, 6) AS left_ratio FROM tot WHERE nl > 0 AND nr > 0""")
 def d27(t: Tables) -> DataFrame:
-    return tr.split_gains(_counts(t), "node", "part").select("node", "feature", r("threshold", 4).alias("threshold"), r("gain").alias("gain"), r("left_ratio").alias("left_ratio"))
+    return tr.split_gains(_counts(t), "node", "part").select("node", "feature", r("threshold", 6).alias("threshold"), r("gain").alias("gain"), r("left_ratio").alias("left_ratio"))
 
 
 @query("d27_split_gain_entropy", f"""
 WITH {_SPLIT},
 h AS (SELECT node, feature, threshold, n, nl, nr, sum(-(l + rr) / n * log2((l + rr) / n)) AS hp, coalesce(sum(CASE WHEN l > 0 THEN -l / nl * log2(l / nl) END), 0) AS hl, coalesce(sum(CASE WHEN rr > 0 THEN -rr / nr * log2(rr / nr) END), 0) AS hr
       FROM ct JOIN tot USING (node, feature, threshold) WHERE part = 'train' AND nl > 0 AND nr > 0 GROUP BY ALL)
-SELECT node, feature, round(threshold, 4) AS threshold, round(hp - nl / n * hl - nr / n * hr, 6) AS gain FROM h""")
+SELECT node, feature, round(threshold, 6) AS threshold, round(hp - nl / n * hl - nr / n * hr, 6) AS gain FROM h""")
 def d27_entropy(t: Tables) -> DataFrame:
-    return tr.split_gains(_counts(t), "node", "part", "entropy").select("node", "feature", r("threshold", 4).alias("threshold"), r("gain").alias("gain"))
+    return tr.split_gains(_counts(t), "node", "part", "entropy").select("node", "feature", r("threshold", 6).alias("threshold"), r("gain").alias("gain"))
 
 
 @query("d28_validation_gain", f"""
 WITH {_SPLIT},
 mj AS (SELECT node, feature, threshold, arg_min(label, (-l, label)) AS ml, arg_min(label, (-rr, label)) AS mr, arg_min(label, (-(l + rr), label)) AS mp FROM ct WHERE part = 'train' GROUP BY 1, 2, 3)
-SELECT node, feature, round(threshold, 4) AS threshold, CAST(sum(l + rr) AS BIGINT) AS n_val,
+SELECT node, feature, round(threshold, 6) AS threshold, CAST(sum(l + rr) AS BIGINT) AS n_val,
        round((coalesce(sum(l) FILTER (WHERE label = ml), 0) + coalesce(sum(rr) FILTER (WHERE label = mr), 0) - coalesce(sum(l + rr) FILTER (WHERE label = mp), 0)) / sum(l + rr), 6) AS val_gain
 FROM ct JOIN mj USING (node, feature, threshold) WHERE part = 'val' GROUP BY ALL""")
 def d28(t: Tables) -> DataFrame:
-    return tr.validation_gains(_counts(t), "node", "label", "part").select("node", "feature", r("threshold", 4).alias("threshold"), "n_val", r("val_gain").alias("val_gain"))
+    return tr.validation_gains(_counts(t), "node", "label", "part").select("node", "feature", r("threshold", 6).alias("threshold"), "n_val", r("val_gain").alias("val_gain"))
 
 
 @query("d36_experiment_summary", """
