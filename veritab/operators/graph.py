@@ -27,6 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Each step is a min per node plus a join on that node, so a hub node is
     pre-aggregated and its edges are split by the skew join.
     """
+    edges = cut_lineage(edges)
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
     cur = cut_lineage(edges.filter(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -61,7 +62,7 @@ def shared_key_components(pairs: DataFrame, node: str, key: str) -> DataFrame:
     shared = rows.groupBy("_k").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     edges = sized_join(rows, shared, "_k").filter("a <> b").select("a", "b")
     labels = connected_components(edges)
-    return sized_join(rows.select(F.col("a").alias("node")).distinct(), labels, "node", "left").select(
+    return sized_join(pairs.select(F.col(node).alias("node")).distinct(), labels, "node", "left").select(
         F.col("node").alias(node), F.coalesce("component", "node").alias("component"))
 
 
