@@ -82,15 +82,17 @@ def _block_front(survivors: DataFrame, identity: str, count: int) -> DataFrame:
     b = F.pmod(F.xxhash64(identity), F.lit(blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     mine = survivors.withColumn("i", b).select("*", others.alias("j"))
-    theirs = survivors.withColumn("j", b).select("*", others.alias("i"))
+    # Fresh names: both sides come from the same rows and must not share attributes.
+    theirs = survivors.select(*[F.col(c).alias(f"r_{c}") for c in survivors.columns], b.alias("rj"), others.alias("ri"))
 
     def judge(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if a.empty or c.empty:
             return pd.DataFrame({identity: []})
-        return a.loc[_dominated(_points(a), _points(c)), [identity]]
+        other = c.rename(columns={f"r_{d}": d for d in DIRECTIONS})
+        return a.loc[_dominated(_points(a), _points(other)), [identity]]
 
     kind = dict(survivors.dtypes)[identity]
-    lost = mine.groupBy("i", "j").cogroup(theirs.groupBy("i", "j")).applyInPandas(judge, f"{identity} {kind}")
+    lost = mine.groupBy("i", "j").cogroup(theirs.groupBy("ri", "rj")).applyInPandas(judge, f"{identity} {kind}")
     return survivors.join(lost.distinct(), identity, "left_anti")
 
 

@@ -134,20 +134,21 @@ def silhouette_exact(points: DataFrame, key: str, vector: str, cluster: str, blo
     rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select("id", "c", "v", F.col("b").alias("i"), others.alias("j"))
-    right = rows.select("c", "v", others.alias("i"), F.col("b").alias("j"))
+    # Fresh names: both sides come from the same rows and must not share attributes.
+    right = rows.select(F.col("c").alias("rc"), F.col("v").alias("rv"), others.alias("ri"), F.col("b").alias("rj"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "own": [], "c": [], "s": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["rv"].to_numpy())
         out = []
-        for c in np.unique(b["c"]):
-            yc = y[(b["c"] == c).to_numpy()]
+        for c in np.unique(b["rc"]):
+            yc = y[(b["rc"] == c).to_numpy()]
             d = np.sqrt(np.maximum((x ** 2).sum(1)[:, None] + (yc ** 2).sum(1)[None, :] - 2 * x @ yc.T, 0.0))
             out.append(pd.DataFrame({"id": a["id"].to_numpy(), "own": a["c"].to_numpy(), "c": c, "s": d.sum(1)}))
         return pd.concat(out)
 
-    part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, "id string, own int, c int, s double")
+    part = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(sums, "id string, own int, c int, s double")
     per = part.groupBy("id", "own", "c").agg(F.sum("s").alias("s"))
     sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     j = per.join(sizes, "c")
