@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veritab.llm.decontaminate import decontaminate, items_digest
 from veritab.llm.minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,26 @@ FROM w LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = w.doc_id
 @_query("op7_minhash_near_dedup", NEAR_SQL.format(docs="documents", k=3, percent=85))
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+ALNUM_WORDS = rf"regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+# Windows of ten words of one list; fewer words are one window.
+TEN = "list_transform(range(1, greatest(len(ws) - 10, 0) + 2), lambda i: ws[i:i + 9])"
+
+
+@_query("op1_benchmark_decontamination", rf"""
+WITH dw AS (SELECT doc_id, {ALNUM_WORDS} AS ws FROM documents),
+iw AS (SELECT item_id, {ALNUM_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, unnest({TEN}) AS w FROM iw WHERE len(ws) > 0),
+m AS (SELECT DISTINCT len(w) AS m FROM win),
+pos AS (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM dw, m WHERE len(ws) >= m),
+hit AS (SELECT p.doc_id, p.i, p.m, win.item_id FROM (SELECT doc_id, i, m, ws[i:i + m - 1] AS w FROM pos) p JOIN win ON win.w = p.w),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
