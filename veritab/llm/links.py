@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the adaptive skew join, and the minimum per node is combined before the shuffle.
     """
     cur = cut_lineage(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
-    labels, seed = None, 0
+    steps, seed = [], 0
     while not cur.isEmpty():
         both = cur.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
                                             F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
@@ -26,16 +26,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.min(rank(F.col("v"))).alias("m")).select("u", F.least("m", rank(F.col("u")))["n"].alias("m")))
         left = step.select(F.col("u").alias("a"), F.col("m").alias("x"))
         right = step.select(F.col("u").alias("b"), F.col("m").alias("y"))
-        half = cut_lineage(cur.join(left, "a").select("x", "b"))
-        cur = cut_lineage(half.join(right, "b").filter("x <> y").select(
+        cur = cut_lineage(cur.join(left, "a").select("x", "b").join(right, "b").filter("x <> y").select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if labels is None:
-            labels = step.select(F.col("u").alias("node"), F.col("m").alias("label"))
-        else:
-            labels = cut_lineage(labels.join(step.select(F.col("u").alias("label"), "m"), "label", "left").select(
-                "node", F.coalesce("m", "label").alias("label")))
+        steps.append(step)
         seed += 1
-    if labels is None:
+    if not steps:
         return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = steps[0].select(F.col("u").alias("node"), F.col("m").alias("label"))
+    for step in steps[1:]:
+        labels = labels.join(step.select(F.col("u").alias("label"), "m"), "label", "left").select(
+            "node", F.coalesce("m", "label").alias("label"))
+    labels = cut_lineage(labels)
     least = cut_lineage(labels.groupBy("label").agg(F.min("node").alias("component")))
     return labels.join(least, "label").select("node", "component")

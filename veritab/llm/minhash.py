@@ -110,8 +110,7 @@ class _Join:
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Candidate pairs whose sizes allow the similarity and whose sketches do not speak against it."""
         side = lambda name: self.reps.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
-        first = cut_lineage(pairs).join(side("a"), "a")
-        both = cut_lineage(first).join(side("b"), "b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.filter(self._near(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b", "n_a", "n_b")
 
     def _near(self, n_a: Column, n_b: Column, s_a: Column, s_b: Column) -> Column:
@@ -121,10 +120,10 @@ class _Join:
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs of at least the asked similarity, counted on the full sets."""
         pairs = cut_lineage(pairs)
-        ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = self.docs.join(ids, "id", "left_semi").select("id", "text")
         sets = cut_lineage(texts.mapInArrow(_full_sets(self.words, self.k), "id long, items array<long>"))
-        one = cut_lineage(pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a"))
+        one = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y")).cast("long")
         return cut_lineage(both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.percent).select("a", "b"))
@@ -147,16 +146,16 @@ class _Join:
         roots = self.reps.select("id", tree)
         sizes = cut_lineage(roots.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         nodes = cut_lineage(roots.join(sizes, "path"))
-        pairs = self.plausible(_inner_pairs(nodes.filter(F.col("size") <= SMALL_NODE).withColumn("comp", F.col("id"))))
+        pairs = cut_lineage(self.plausible(_inner_pairs(nodes.filter(F.col("size") <= SMALL_NODE).withColumn("comp", F.col("id")))))
         large = nodes.filter(F.col("size") > SMALL_NODE)
         if large.isEmpty():
             return self.confirm(pairs)
-        rows = cut_lineage(cut_lineage(large.select("path", "id")).join(self.reps.select("id", "n", "sketch"), "id"))
+        rows = cut_lineage(large.select("path", "id").join(self.reps.select("id", "n", "sketch"), "id"))
         found = self.confirm(self.hub_pairs(rows.withColumn("comp", F.col("id"))))
         comps = cut_lineage(components(found))
         named = lambda df, col, out: df.join(comps.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
         rows = cut_lineage(named(rows, "id", "comp"))
-        pairs = named(named(cut_lineage(pairs), "a", "ca").transform(cut_lineage), "b", "cb").filter("ca <> cb").select("a", "b", "n_a", "n_b")
+        pairs = named(named(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b", "n_a", "n_b")
         more = []
         for level in range(MAX_LEVELS):
             pick = lambda b, j: F.element_at("sketch", (F.pmod(F.xxhash64("path", b, F.lit(j)), F.lit(SKETCH)) + 1).cast("int"))
