@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veritab.llm.decontaminate import decontaminate, items_digest
+from veritab.llm.lengths import length_histogram
 from veritab.llm.minhash import near_duplicates
+from veritab.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +74,13 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """)
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+@_query("op6_length_histogram")
+def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_sum_of_squares_packing")
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
