@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veritab.llm.decontaminate import decontaminate, items_digest
+from veritab.llm.language import identify
 from veritab.llm.lengths import length_histogram
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.packing import pack
@@ -84,3 +85,8 @@ def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_sum_of_squares_packing")
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
