@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import textkit
-from veritab.session import cut_lineage
+from veritab.llm.links import stored
 
 # Windows are sent to the executors in blocks of at most so many bytes; each block is one more pass.
 BLOCK_BYTES = 16 << 20
@@ -206,7 +206,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     repeated documents each keep their row. Other columns are ignored.
     """
     source = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    wins = cut_lineage(source.mapInArrow(_windows(window), "item long, words string").distinct())
+    wins = stored(source.mapInArrow(_windows(window), "item long, words string").distinct())
     total = wins.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         if rows:
             counted = base.select("text").mapInArrow(_rarity(index), "width long, key long, n long").groupBy("width", "key").agg(F.sum("n").alias("n"))
             index.prefixes({(r.width, r.key): r.n for r in counted.collect()})
-        state = (state if block == 0 else cut_lineage(state)).mapInArrow(_mark(index), kind)
+        state = (state if block == 0 else stored(state)).mapInArrow(_mark(index), kind)
     return state.withColumnRenamed("id", "doc_id")
 
 

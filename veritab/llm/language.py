@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import textkit
-from veritab.session import cut_lineage
+from veritab.llm.links import stored
 
 ORDER = 4
 SPACE = 32
@@ -248,7 +248,7 @@ def fit(docs: DataFrame) -> tuple[Models, dict[str, tuple[float, float, float, f
     fitted = chosen.filter(~apart).select("lang", "text")
     names = [f"c{j}" for j in range(ORDER)]
     grams = fitted.mapInArrow(_top_grams, f"lang string, {', '.join(f'{c} int' for c in names)}, n long")
-    grams = cut_lineage(grams.groupBy("lang", *names).agg(F.sum("n").alias("n")))
+    grams = stored(grams.groupBy("lang", *names).agg(F.sum("n").alias("n")))
     table = _most_frequent(grams).toPandas()
     place = {k: i for i, k in enumerate(langs)}
     models = Models(langs, table["lang"].map(place).to_numpy(dtype=int), table[names].to_numpy(np.int32), table["n"].to_numpy())

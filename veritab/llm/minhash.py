@@ -19,14 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import textkit
-from veritab.llm.links import components
-from veritab.session import cut_lineage
+from veritab.llm.links import components, stored
 
 SKETCH = 128
 TREES = 10
 SMALL_NODE = 24
 HUBS = 4
-MAX_LEVELS = 8
+MAX_LEVELS = 3
 # A pair of the threshold's similarity falls this far below it in a sketch of 128 with chance under one in 100,000.
 SKETCH_MARGIN = 0.15
 
@@ -119,19 +118,19 @@ class _Join:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs of at least the asked similarity, counted on the full sets."""
-        pairs = cut_lineage(pairs)
+        pairs = stored(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = self.docs.join(ids, "id", "left_semi").select("id", "text")
-        sets = cut_lineage(texts.mapInArrow(_full_sets(self.words, self.k), "id long, items array<long>"))
+        sets = stored(texts.mapInArrow(_full_sets(self.words, self.k), "id long, items array<long>"))
         one = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y")).cast("long")
-        return cut_lineage(both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.percent).select("a", "b"))
+        return stored(both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.percent).select("a", "b"))
 
     def hub_pairs(self, rows: DataFrame) -> DataFrame:
         """Each member of a large node with the node's hubs, where sizes and sketches allow a link of two groups."""
         hub = lambda h: F.min_by(F.struct("id", "n", "comp", "sketch"), F.xxhash64("path", "id", F.lit(h)))
-        hubs = cut_lineage(rows.groupBy("path").agg(F.array(*[hub(h) for h in range(HUBS)]).alias("hubs")))
+        hubs = stored(rows.groupBy("path").agg(F.array(*[hub(h) for h in range(HUBS)]).alias("hubs")))
         met = rows.join(hubs, "path")
         near = F.filter("hubs", lambda h: (h["comp"] != F.col("comp")) & self._near(F.col("n"), h["n"], F.col("sketch"), h["sketch"]))
         met = met.select("id", "n", F.explode(F.transform(near, lambda h: F.struct(h["id"].alias("id"), h["n"].alias("n")))).alias("h"))
@@ -144,39 +143,38 @@ class _Join:
         tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(
             t, F.element_at("sketch", t * 2 + 1), F.element_at("sketch", t * 2 + 2)))).alias("path")
         roots = self.reps.select("id", tree)
-        sizes = cut_lineage(roots.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        nodes = cut_lineage(roots.join(sizes, "path"))
-        pairs = cut_lineage(self.plausible(_inner_pairs(nodes.filter(F.col("size") <= SMALL_NODE).withColumn("comp", F.col("id")))))
+        sizes = stored(roots.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        nodes = stored(roots.join(sizes, "path"))
+        pairs = stored(self.plausible(_inner_pairs(nodes.filter(F.col("size") <= SMALL_NODE).withColumn("comp", F.col("id")))))
         large = nodes.filter(F.col("size") > SMALL_NODE)
         if large.isEmpty():
             return self.confirm(pairs)
-        rows = cut_lineage(large.select("path", "id").join(self.reps.select("id", "n", "sketch"), "id"))
+        rows = stored(large.select("path", "id").join(self.reps.select("id", "n", "sketch"), "id"))
         found = self.confirm(self.hub_pairs(rows.withColumn("comp", F.col("id"))))
-        comps = cut_lineage(components(found))
+        comps = stored(components(found))
         named = lambda df, col, out: df.join(comps.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
-        rows = cut_lineage(named(rows, "id", "comp"))
+        rows = stored(named(rows, "id", "comp"))
         pairs = named(named(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b", "n_a", "n_b")
-        more = []
+        pairs = stored(pairs)
         for level in range(MAX_LEVELS):
             pick = lambda b, j: F.element_at("sketch", (F.pmod(F.xxhash64("path", b, F.lit(j)), F.lit(SKETCH)) + 1).cast("int"))
             child = F.explode(F.array(*[F.xxhash64("path", F.lit(b), *[pick(F.lit(b), j) for j in range(3)]) for b in range(2)])).alias("next")
             kids = rows.select("id", "n", "sketch", "comp", child).withColumnRenamed("next", "path")
-            open_ = cut_lineage(kids.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            open_ = stored(kids.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                                 .filter("size > 1 and lo < hi").select("path", "size"))
-            rows = cut_lineage(kids.join(open_, "path"))
+            rows = stored(kids.join(open_, "path"))
             small = rows.filter(F.col("size") <= SMALL_NODE)
             last = level == MAX_LEVELS - 1
             if last:
                 # Whatever is still large is cut into random slices, each compared exhaustively.
                 small = rows.withColumn("path", F.xxhash64("path", F.pmod(F.xxhash64("id", "path"), F.ceil(F.col("size") * 2 / SMALL_NODE))))
-            more.append(_inner_pairs(small))
             rows = rows.filter(F.col("size") > SMALL_NODE).drop("size")
-            if rows.isEmpty():
+            met = _inner_pairs(small)
+            done = last or rows.isEmpty()
+            pairs = pairs.union(stored(self.plausible(met if done else met.union(self.hub_pairs(rows).select("a", "b")).distinct())))
+            if done:
                 break
-            more.append(self.hub_pairs(rows).select("a", "b"))
-        for extra in more[1:]:
-            more[0] = more[0].union(extra)
-        pairs = pairs.union(self.plausible(more[0].distinct())).distinct()
+        pairs = pairs.distinct()
         return found.union(self.confirm(pairs))
 
 
@@ -194,13 +192,13 @@ def near_duplicates(
     count as one document. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = cut_lineage(docs.mapInArrow(_signatures(words, shingle), "id long, n long, f1 long, f2 long, sketch array<int>"))
-    reps = cut_lineage(sig.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(
+    sig = stored(docs.mapInArrow(_signatures(words, shingle), "id long, n long, f1 long, f2 long, sketch array<int>"))
+    reps = stored(sig.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(
         F.min("id").alias("id"), F.first("sketch").alias("sketch")))
     links = _Join(docs.filter("id is not null"), reps, words, shingle, percent).links()
     # The same id under several texts is one document: its classes share their least node.
-    groups = cut_lineage(components(links))
-    named = cut_lineage(reps.select("f1", "f2", "n", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+    groups = stored(components(links))
+    named = stored(reps.select("f1", "f2", "n", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "f1", "f2", "n", F.coalesce("component", "id").alias("component")))
     out = sig.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import tokens
-from veritab.session import cut_lineage
+from veritab.llm.links import stored
 
 PIECES_PER_SHARD = 50_000
 
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     kind = f"id {dict(source.dtypes)['id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     made = source.mapInArrow(_pieces(path or tokens.default_path(), capacity, end_id, keep_ids), kind)
     # A row number spreads pieces evenly whatever their ids; it is stored, so a repeated task sees the same order.
-    pieces = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))
+    pieces = stored(made.withColumn("row", F.monotonically_increasing_id()))
     parts = pieces.filter(F.col("length") < capacity)
     shards = max(1, -(-parts.count() // PIECES_PER_SHARD))
     dealt = parts.repartition(shards, "row").sortWithinPartitions(F.desc("length"), "row")
