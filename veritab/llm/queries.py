@@ -11,6 +11,7 @@ from veritab.llm.language import identify
 from veritab.llm.lengths import length_histogram
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.packing import pack
+from veritab.llm.secrets import scan, span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,39 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, group: int = 0) -> str:
+    quoted = pattern.replace("'", "''")
+    return rf"""
+SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, ms[i] AS m, vs[i] AS value,
+  list_sum(list_transform(ps[1:i], lambda p: length(p)))::BIGINT + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0)::BIGINT AS s
+FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+  SELECT doc_id, source, regexp_split_to_array(coalesce(text, ''), '{quoted}') AS ps, regexp_extract_all(coalesce(text, ''), '{quoted}') AS ms,
+    regexp_extract_all(coalesce(text, ''), '{quoted}', {group}) AS vs FROM documents))"""
+
+
+# The patterns of the base kinds are fixed values, given here a second time on purpose.
+SECRETS_SQL = rf"""
+WITH base AS (
+  SELECT * FROM ({_spans_sql('assign', 0, r'(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'.replace("''", "'"), 1)}) WHERE length(value) >= 6
+  UNION ALL SELECT * FROM ({_spans_sql('access', 1, 'AKIA[A-Z0-9]+')}) WHERE length(value) >= 20
+  UNION ALL SELECT * FROM ({_spans_sql('hex', 2, '[0-9a-f]+')}) WHERE length(value) >= 24),
+tok AS (SELECT * FROM ({_spans_sql('owned', 3, '[A-Za-z0-9+/_-]{20,}={0,2}')}) t
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.s < t.s + length(t.m) AND t.s < b.s + length(b.m))),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM tok),
+owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM every GROUP BY value),
+kept AS (SELECT *, kind || ':' || s || ':' || (s + length(m)) AS name FROM every JOIN owners USING (value) WHERE kind <> 'owned' OR owners <= 2),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+  coalesce(string_agg(name, ',' ORDER BY s, rank) FILTER (kind <> 'owned'), '') AS base, string_agg(name, ',' ORDER BY s, rank) AS spans,
+  count(*) FILTER (kind = 'owned') AS o, count(*) FILTER (kind <> 'owned' AND owners > 2) AS e FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(o, 0)::BIGINT AS n_owned, coalesce(e, 0)::BIGINT AS n_examples
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+
+@_query("op2_secret_ownership", SECRETS_SQL)
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan(_table(spark, sf_dir, "documents")))
