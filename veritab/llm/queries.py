@@ -11,6 +11,7 @@ from veritab.llm.language import identify
 from veritab.llm.lengths import length_histogram
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.packing import pack
+from veritab.llm.quality import rank_quality
 from veritab.llm.secrets import scan, span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,8 @@ FROM documents LEFT JOIN per USING (doc_id)
 @_query("op2_secret_ownership", SECRETS_SQL)
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(scan(_table(spark, sf_dir, "documents")))
+
+
+@_query("op3_quality_ranking")
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
