@@ -13,6 +13,7 @@ from veritab.llm.minhash import near_duplicates
 from veritab.llm.packing import pack
 from veritab.llm.quality import rank_quality
 from veritab.llm.secrets import scan, span_digest
+from veritab.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +134,19 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_quality_ranking")
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op4_nn_descent", """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.seen),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN comp ON comp.node = vec_id LEFT JOIN n ON n.a = vec_id
+""")
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
