@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritab.llm.decontaminate import decontaminate, items_digest
 from veritab.llm.language import identify
 from veritab.llm.lengths import length_histogram
+from veritab.llm.lines import dedup_lines
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.packing import pack
 from veritab.llm.quality import rank_quality
@@ -150,3 +152,29 @@ FROM embeddings JOIN comp ON comp.node = vec_id LEFT JOIN n ON n.a = vec_id
 """)
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+LINES_SQL = rf"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i - 1 AS line, regexp_extract_all({LOWER.format('ls[i]')}, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+occ AS (SELECT *, doc_id * 1000000 + line AS o FROM l WHERE len(ws) >= 2),
+d AS (SELECT ws, min(o) AS o FROM occ GROUP BY ws),
+f AS (SELECT ws, o, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) >= 8),
+v AS (SELECT o, n, i, list_concat(ws[1:i - 1], ws[i + 1:]) AS rest FROM f),
+near AS (
+  SELECT x.o FROM v x JOIN v y ON x.n = y.n AND x.i = y.i AND x.rest = y.rest AND y.o < x.o
+  UNION SELECT x.o FROM v x JOIN d y ON x.rest = y.ws AND len(y.ws) >= 8 AND y.o < x.o
+  UNION SELECT y.o FROM v x JOIN d y ON x.rest = y.ws AND len(y.ws) >= 8 AND x.o < y.o),
+gone AS (SELECT doc_id, line FROM occ JOIN d USING (ws) WHERE occ.o <> d.o OR d.o IN (SELECT o FROM near)),
+kept AS (SELECT doc_id, string_agg(ls[i], chr(10) ORDER BY i) AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw) r
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = r.doc_id AND g.line = r.i - 1) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_dropped,
+  CASE WHEN t.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM documents t LEFT JOIN raw USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@_query("op8_line_dedup", LINES_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
