@@ -24,7 +24,9 @@ from veritab.llm.links import components, stored
 SKETCH = 128
 TREES = 10
 SMALL_NODE = 24
-HUBS = 4
+HUBS = 3
+# Ids up to this many (8 bytes each) go to every task of the scan that builds their sets; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 MAX_LEVELS = 3
 # A pair of the threshold's similarity falls this far below it in a sketch of 128 with chance under one in 100,000.
 SKETCH_MARGIN = 0.15
@@ -91,13 +93,25 @@ def _estimate(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v) / float(SKETCH)
 
 
-def _inner_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of different groups inside each small node; ``nodes`` holds (path, id, comp)."""
-    member = F.struct("id", "comp")
-    pair = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"), (x["comp"] != y["comp"]).alias("ok"))
-    groups = nodes.groupBy("path").agg(F.collect_list(member).alias("m"))
-    rows = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: pair(x, y))))
-    return groups.select(F.explode(F.filter(rows, lambda p: p["ok"])).alias("p")).select("p.a", "p.b").distinct()
+def _near(n_a: Column, n_b: Column, s_a: Column, s_b: Column, percent: int) -> Column:
+    """Whether sizes allow the similarity and sketches do not speak against it."""
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & (_estimate(s_a, s_b) >= percent / 100 - SKETCH_MARGIN)
+
+
+def _pair(x: Column, y: Column) -> Column:
+    first = x["id"] < y["id"]
+    pick = lambda f: [F.when(first, x[f]).otherwise(y[f]), F.when(first, y[f]).otherwise(x[f])]
+    (a, b), (n_a, n_b) = pick("id"), pick("n")
+    return F.struct(a.alias("a"), b.alias("b"), n_a.alias("n_a"), n_b.alias("n_b"))
+
+
+def _inner_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs of different groups inside each small node."""
+    ahead = lambda x, y: (y["id"] > x["id"]) & (y["comp"] != x["comp"]) & _near(x["n"], y["n"], x["sketch"], y["sketch"], percent)
+    own = F.struct("id", "n", "comp", "sketch")
+    groups = nodes.groupBy("path").agg(F.collect_list(own).alias("m")).select("m", F.explode("m").alias("x"))
+    return groups.select(F.explode(F.transform(F.filter("m", lambda y: ahead(F.col("x"), y)), lambda y: _pair(F.col("x"), y))).alias("p")).select("p.*").distinct()
 
 
 class _Join:
@@ -106,21 +120,13 @@ class _Join:
     def __init__(self, docs: DataFrame, reps: DataFrame, words: np.ndarray, k: int, percent: int):
         self.docs, self.reps, self.words, self.k, self.percent = docs, reps, words, k, percent
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Candidate pairs whose sizes allow the similarity and whose sketches do not speak against it."""
-        side = lambda name: self.reps.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.filter(self._near(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b", "n_a", "n_b")
-
-    def _near(self, n_a: Column, n_b: Column, s_a: Column, s_b: Column) -> Column:
-        sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent
-        return sizes & (_estimate(s_a, s_b) >= self.percent / 100 - SKETCH_MARGIN)
-
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs of at least the asked similarity, counted on the full sets."""
         pairs = stored(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.docs.join(ids, "id", "left_semi").select("id", "text")
+        ids = stored(ids)
+        few = ids.count() <= BROADCAST_IDS
+        texts = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
         sets = stored(texts.mapInArrow(_full_sets(self.words, self.k), "id long, items array<long>"))
         one = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
@@ -128,16 +134,22 @@ class _Join:
         return stored(both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.percent).select("a", "b"))
 
     def hub_pairs(self, rows: DataFrame) -> DataFrame:
-        """Each member of a large node with the node's hubs, where sizes and sketches allow a link of two groups."""
-        hub = lambda h: F.min_by(F.struct("id", "n", "comp", "sketch"), F.xxhash64("path", "id", F.lit(h)))
-        hubs = stored(rows.groupBy("path").agg(F.array(*[hub(h) for h in range(HUBS)]).alias("hubs")))
-        met = rows.join(hubs, "path")
-        near = F.filter("hubs", lambda h: (h["comp"] != F.col("comp")) & self._near(F.col("n"), h["n"], F.col("sketch"), h["sketch"]))
-        met = met.select("id", "n", F.explode(F.transform(near, lambda h: F.struct(h["id"].alias("id"), h["n"].alias("n")))).alias("h"))
-        swap = F.col("id") > F.col("h.id")
-        return met.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"),
-                          F.when(swap, F.col("h.n")).otherwise(F.col("n")).alias("n_a"),
-                          F.when(swap, F.col("n")).otherwise(F.col("h.n")).alias("n_b")).distinct()
+        """Each member of a large node with the node's hubs, where sizes and sketches allow a link of two groups.
+
+        Some hubs are any members; the others are the members most similar to those, which
+        finds the text in the middle from which many copies were made.
+        """
+        own = F.struct("id", "n", "comp", "sketch")
+        some = stored(rows.groupBy("path").agg(F.array(*[F.min_by(own, F.xxhash64("path", "id", F.lit(h))) for h in range(HUBS)]).alias("some")))
+        met = rows.join(some, "path")
+        central = F.aggregate("some", F.lit(0.0), lambda s, h: s + _estimate(h["sketch"], F.col("sketch")))
+        share = lambda h: F.when(F.pmod(F.xxhash64("id"), F.lit(HUBS)) == h, central)
+        hubs = stored(met.groupBy("path").agg(F.first("some").alias("some"), F.array(*[F.max_by(own, share(h)) for h in range(HUBS)]).alias("more"))
+                      .select("path", F.filter(F.concat("some", "more"), lambda h: h["id"].isNotNull()).alias("hubs")))
+        allowed = lambda h: (h["comp"] != F.col("comp")) & _near(F.col("n"), h["n"], F.col("sketch"), h["sketch"], self.percent)
+        met = rows.join(hubs, "path").select("id", "n", F.explode(F.array_distinct(F.transform(
+            F.filter("hubs", allowed), lambda h: F.struct(h["id"].alias("id"), h["n"].alias("n"))))).alias("h"))
+        return met.select(_pair(F.struct("id", "n"), F.col("h")).alias("p")).select("p.*").distinct()
 
     def links(self) -> DataFrame:
         tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(
@@ -145,23 +157,24 @@ class _Join:
         roots = self.reps.select("id", tree)
         sizes = stored(roots.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         nodes = stored(roots.join(sizes, "path"))
-        pairs = stored(self.plausible(_inner_pairs(nodes.filter(F.col("size") <= SMALL_NODE).withColumn("comp", F.col("id")))))
-        large = nodes.filter(F.col("size") > SMALL_NODE)
-        if large.isEmpty():
+        rows = stored(nodes.join(self.reps.select("id", "n", "sketch"), "id").withColumn("comp", F.col("id")))
+        pairs = stored(_inner_pairs(rows.filter(F.col("size") <= SMALL_NODE), self.percent))
+        rows = rows.filter(F.col("size") > SMALL_NODE).drop("size")
+        if rows.isEmpty():
             return self.confirm(pairs)
-        rows = stored(large.select("path", "id").join(self.reps.select("id", "n", "sketch"), "id"))
-        found = self.confirm(self.hub_pairs(rows.withColumn("comp", F.col("id"))))
+        found = self.confirm(self.hub_pairs(rows))
         comps = stored(components(found))
-        named = lambda df, col, out: df.join(comps.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
-        rows = stored(named(rows, "id", "comp"))
-        pairs = named(named(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b", "n_a", "n_b")
-        pairs = stored(pairs)
+        named = lambda df, col, out: df.join(comps.select(F.col("node").alias(col), F.col("component").alias("_c")), col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
+        rows = stored(named(rows.drop("comp"), "id", "comp"))
+        pairs = stored(named(named(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b", "n_a", "n_b"))
         for level in range(MAX_LEVELS):
+            # Two branches at first, so that a pair of the least similarity survives as often as not; then one.
+            branches = 2 if level == 0 else 1
             pick = lambda b, j: F.element_at("sketch", (F.pmod(F.xxhash64("path", b, F.lit(j)), F.lit(SKETCH)) + 1).cast("int"))
-            child = F.explode(F.array(*[F.xxhash64("path", F.lit(b), *[pick(F.lit(b), j) for j in range(3)]) for b in range(2)])).alias("next")
+            child = F.explode(F.array(*[F.xxhash64("path", F.lit(b), *[pick(F.lit(b), j) for j in range(3)]) for b in range(branches)])).alias("next")
             kids = rows.select("id", "n", "sketch", "comp", child).withColumnRenamed("next", "path")
             open_ = stored(kids.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                                .filter("size > 1 and lo < hi").select("path", "size"))
+                           .filter("size > 1 and lo < hi").select("path", "size"))
             rows = stored(kids.join(open_, "path"))
             small = rows.filter(F.col("size") <= SMALL_NODE)
             last = level == MAX_LEVELS - 1
@@ -169,13 +182,12 @@ class _Join:
                 # Whatever is still large is cut into random slices, each compared exhaustively.
                 small = rows.withColumn("path", F.xxhash64("path", F.pmod(F.xxhash64("id", "path"), F.ceil(F.col("size") * 2 / SMALL_NODE))))
             rows = rows.filter(F.col("size") > SMALL_NODE).drop("size")
-            met = _inner_pairs(small)
+            met = _inner_pairs(small, self.percent)
             done = last or rows.isEmpty()
-            pairs = pairs.union(stored(self.plausible(met if done else met.union(self.hub_pairs(rows).select("a", "b")).distinct())))
+            pairs = pairs.union(stored(met if done else met.union(self.hub_pairs(rows))))
             if done:
                 break
-        pairs = pairs.distinct()
-        return found.union(self.confirm(pairs))
+        return found.union(self.confirm(pairs.distinct()))
 
 
 def near_duplicates(
