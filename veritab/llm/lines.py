@@ -23,8 +23,8 @@ from veritab.llm.links import stored
 MIN_WORDS = 2
 # One word of eight or more may differ.
 MIN_FUZZY = 8
-# Bits of the filter of shared halves that goes to every task: 16 MB at most, whatever the corpus.
-FILTER_BITS = 27
+# Bits of each of the two filters of shared halves that go to every task: 8 MB, whatever the corpus.
+FILTER_BITS = 26
 _N, _LEFT, _RIGHT, _AT = textkit.seeds(4, 21)
 
 
@@ -69,18 +69,30 @@ class _Lines:
                 out.append(textkit.mix(self.run(e - (size - half), e) * _RIGHT + tag))
         return np.stack(out, axis=1) if len(line) else np.zeros((0, 4), np.uint64)
 
-    def variants(self, line: np.ndarray):
-        """(line, role, key): 0 one word left open at its place, 1 left out, 2 the line itself."""
+    def variants(self, line: np.ndarray, same: np.ndarray, less: np.ndarray):
+        """(line, role, key): 0 one word left open at its place, 1 left out, 2 the line itself.
+
+        ``same`` and ``less`` tell, per line and half, whether a line of the same length, or one of a word less or
+        more, may share this half; then the edit lies in the other one.
+        """
         n = self.size[line]
-        of = np.repeat(line, n)
+        row = np.repeat(np.arange(len(line)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        s, e = self.first[of], self.first[of + 1]
+        half, half_less = n // 2, (n - 1) // 2
+        change = np.where(at >= half[row], same[row, 0], same[row, 1])
+        leave = ((at >= half_less[row]) & less[row, 2]) | ((at <= half_less[row]) & less[row, 3])
+        own = line[less[:, 0] | less[:, 1]]
+        out = []
         with np.errstate(over="ignore"):
-            left, right, size = self.run(s, s + at), self.run(s + at + 1, e), self.size[of].astype(np.uint64)
-            changed = textkit.mix(left * _LEFT + right * _RIGHT + size * _N + at.astype(np.uint64) * _AT)
-            shorter = textkit.mix(left + self.power[at] * right + (size - np.uint64(1)) * _N)
-            own = textkit.mix(self.run(self.first[line], self.first[line + 1]) + n.astype(np.uint64) * _N)
-        return (np.concatenate([of, of, line]), np.repeat(np.array([0, 1, 2], np.int32), [len(of), len(of), len(line)]), np.concatenate([changed, shorter, own]))
+            for role, keep in ((0, change), (1, leave)):
+                of, i = line[row[keep]], at[keep]
+                s, e, size = self.first[of], self.first[of + 1], self.size[of].astype(np.uint64)
+                left, right = self.run(s, s + i), self.run(s + i + 1, e)
+                key = left * _LEFT + right * _RIGHT + size * _N + i.astype(np.uint64) * _AT if role == 0 else left + self.power[i] * right + (size - np.uint64(1)) * _N
+                out.append((of, np.full(len(of), role, np.int32), textkit.mix(key)))
+            key = textkit.mix(self.run(self.first[own], self.first[own + 1]) + self.size[own].astype(np.uint64) * _N)
+        out.append((own, np.full(len(own), 2, np.int32), key))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _each(batch: pa.RecordBatch):
@@ -106,27 +118,35 @@ def _line_rows(batches):
                                               pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(keys))], names=["id", "line", "h", "g", "halves"])
 
 
-def _variant_rows(bitmap: np.ndarray):
+def _variant_rows(same_bits: np.ndarray, less_bits: np.ndarray):
     def run(batches):
         for batch in batches:
             for ids, lines in _each(batch):
                 line = np.flatnonzero(lines.size >= MIN_FUZZY)
                 place = (lines.halves(line) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                shared = (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                line = line[shared.any(axis=1)]
-                h, g = lines.whole(line)
-                # The first of equal lines of this range speaks for them; ids need not be sorted, so the least is taken later.
-                of, role, key = lines.variants(line)
-                at = np.searchsorted(line, of)
+                same, less = (((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool) for bits in (same_bits, less_bits))
+                possible = np.flatnonzero(same[:, :2].any(axis=1) | less.any(axis=1))
+                # Of equal lines of this range only the first occurrence goes on: the others are repeated lines.
+                h = lines.whole(line[possible])[0]
+                doc = ids.to_numpy(zero_copy_only=False)[lines.doc[line[possible]]]
+                order = np.lexsort((lines.number[line[possible]], doc, h))
+                first = order[np.r_[True, h[order][1:] != h[order][:-1]]] if len(order) else order
+                chosen = possible[first]
+                line, same, less, h = line[chosen], same[chosen], less[chosen], h[first]
+                of, role, key = lines.variants(line, same, less)
+                place_of = np.full(len(lines.size), -1)
+                place_of[line] = np.arange(len(line))
+                at = place_of[of]
+                # A line's words go with its first row.
+                lead = np.zeros(len(of), bool)
+                lead[np.unique(at, return_index=True)[1]] = True
+                count = np.where(lead, lines.size[of], 0)
                 words = lines.value.view(np.int64)
-                carry = np.flatnonzero(role == 2)
-                count = np.zeros(len(of), np.int64)
-                count[carry] = lines.size[line]
-                flat = np.concatenate([words[lines.first[i]:lines.first[i + 1]] for i in line]) if len(line) else words[:0]
+                flat = np.concatenate([words[lines.first[i]:lines.first[i + 1]] for i in of[lead]]) if lead.any() else words[:0]
                 yield pa.RecordBatch.from_arrays([
-                    _long(key), pa.array(role), _long(h[at]), _long(g[at]), ids.take(pa.array(lines.doc[of])), _long(lines.number[of]),
+                    _long(key), pa.array(role), _long(h[at]), ids.take(pa.array(lines.doc[of])), _long(lines.number[of]),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(flat))],
-                    names=["key", "role", "h", "g", "id", "line", "words"])
+                    names=["key", "role", "h", "id", "line", "words"])
     return run
 
 
@@ -142,7 +162,7 @@ def within_one_word(a: list, b: list) -> bool:
 def _verified(batches):
     for batch in batches:
         ok = [within_one_word(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-        yield batch.select(["h", "g"]).filter(pa.array(ok, pa.bool_()))
+        yield batch.select(["id", "line"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _bits(keys: DataFrame) -> np.ndarray:
@@ -171,19 +191,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = base.filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
     lines = stored(texts.mapInArrow(_line_rows, "id long, line long, h long, g long, halves array<long>"))
     repeated = lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("first")).filter("n > 1")
-    shared = lines.select(F.explode("halves").alias("key"), "h").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi")
-    variants = texts.mapInArrow(_variant_rows(_bits(shared)), "key long, role int, h long, g long, id long, line long, words array<long>")
-    variants = stored(variants.groupBy("key", "role", "h", "g").agg(F.min(F.struct("id", "line")).alias("occ"), F.first("words").alias("words")))
-    least = lambda role: F.min(F.when(F.col("role") == role, F.struct("occ", "h", "g"))).alias(f"m{role}")
-    met = stored(variants.groupBy("key").agg(least(0), least(1), least(2), F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").drop("lo", "hi"))
+    halves = lines.select(F.posexplode("halves").alias("which", "key"), "h")
+    own = F.when(F.col("which") < 2, F.col("h"))
+    shared = halves.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("which").alias("most"))
+    shared = stored(shared.filter("lo is not null and (lo <> hi or most > 1)"))
+    longer = stored(shared.filter("most > 1").select("key"))
+    variants = stored(texts.mapInArrow(_variant_rows(_bits(shared.filter("lo <> hi").select("key")), _bits(longer)),
+                                       "key long, role int, h long, id long, line long, words array<long>"))
+    least = lambda role: F.min(F.when(F.col("role") == role, F.struct("id", "line", "h"))).alias(f"m{role}")
+    met = variants.groupBy("key").agg(least(0), least(1), least(2), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    met = stored(met.filter("lo <> hi").drop("lo", "hi"))
     other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = variants.drop("words").join(met, "key").select("h", "g", "occ", other.alias("o")).filter(F.col("o.occ") < F.col("occ"))
-    pairs = stored(pairs.select("h", "g", F.col("o.h").alias("h2"), F.col("o.g").alias("g2")).distinct())
-    words = variants.filter("role = 2").select("h", "g", "words")
-    both = pairs.join(words.withColumnRenamed("words", "x"), ["h", "g"]).join(words.toDF("h2", "g2", "y"), ["h2", "g2"])
-    near = both.select("h", "g", "x", "y").mapInArrow(_verified, "h long, g long").distinct().withColumn("near", F.lit(True))
-    marked = stored(repeated.select("h", "g", "first").join(near, ["h", "g"], "full").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = lines.select("id", "line", "h", "g").join(marked, ["h", "g"]).filter(F.col("near") | (F.struct("id", "line") != F.col("first")))
+    pairs = variants.drop("words").join(met, "key").select("id", "line", "h", other.alias("o"))
+    pairs = pairs.filter((F.struct("o.id", "o.line") < F.struct("id", "line")) & (F.col("o.h") != F.col("h")))
+    pairs = stored(pairs.select("id", "line", "h", F.col("o.h").alias("h2")).distinct())
+    words = stored(variants.filter(F.size("words") > 0).groupBy("h").agg(F.first("words").alias("x")))
+    both = pairs.join(words, "h").join(words.toDF("h2", "y"), "h2")
+    near = both.select("id", "line", "x", "y").mapInArrow(_verified, "id long, line long")
+    again = lines.select("id", "line", "h", "g").join(stored(repeated.select("h", "g", "first")), ["h", "g"]).filter(F.struct("id", "line") != F.col("first"))
+    gone = near.union(again.select("id", "line"))
     drops = stored(gone.groupBy("id").agg(F.collect_set("line").alias("drop")))
     out = base.join(drops.withColumn("id", F.col("id").cast(dict(base.dtypes)["id"])), "id", "left").select("id", "text", "drop", "rest")
     out = out.mapInArrow(_cut, f"id {dict(base.dtypes)['id']}, text string, rest {dict(base.dtypes)['rest']}, n_lines long, n_dropped long")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.llm.ctw import score_texts
 from veritab.llm.decontaminate import decontaminate, items_digest
 from veritab.llm.language import identify
 from veritab.llm.lengths import length_histogram
@@ -178,3 +179,8 @@ FROM documents t LEFT JOIN raw USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT
 @_query("op8_line_dedup", LINES_SQL)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query("op10_context_tree_scores")
+def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
