@@ -190,15 +190,16 @@ def _mark(index: _Index):
                 for d, w in set(zip(doc.tolist(), win.tolist(), strict=True)):
                     items[d].update(index.item_of[index.item_first[w]:index.item_first[w + 1]].tolist())
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"), part.column("text"), pa.array(np.diff(first), pa.int64()),
+                    part.column("id"), part.column("text"), part.column("rest"), pa.array(np.diff(first), pa.int64()),
                     pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPAN),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["id", "text", "n_words", "spans", "items"])
+                    pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["id", "text", "rest", "n_words", "spans", "items"])
     return run
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, shingle: int = 3) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, text, n_words, spans, items).
+                  item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, shingle: int = 3,
+                  carry: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, text, n_words, spans, items) and the columns to ``carry``.
 
     ``spans`` are the merged word ranges covered by occurring windows, ``items`` the sorted ids of
     the items they come from. Null and empty texts have no words and no hit; an item without
@@ -209,10 +210,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     wins = stored(source.mapInArrow(_windows(window), "item long, words string").distinct())
     total = wins.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carry = carry or []
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(1).alias("_"), *carry).alias("rest"))
     none = F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")
-    state = base.select("id", "text", F.lit(0).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<long>").alias("items"))
-    kind = f"id {dict(base.dtypes)['id']}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+    state = base.select("id", "text", "rest", F.lit(0).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<long>").alias("items"))
+    kind = f"id {dict(base.dtypes)['id']}, text string, rest {dict(base.dtypes)['rest']}, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
     for block in range(max(blocks, 1)):
         rows = wins.filter(F.pmod(F.xxhash64("words", "item"), F.lit(max(blocks, 1))) == block).collect()
         index = _Index([r.words for r in rows], [r.item for r in rows], shingle)
@@ -220,7 +222,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             counted = base.select("text").mapInArrow(_rarity(index), "width long, key long, n long").groupBy("width", "key").agg(F.sum("n").alias("n"))
             index.prefixes({(r.width, r.key): r.n for r in counted.collect()})
         state = (state if block == 0 else stored(state)).mapInArrow(_mark(index), kind)
-    return state.withColumnRenamed("id", "doc_id")
+    return state.select(F.col("id").alias("doc_id"), "text", *[F.col("rest")[c].alias(c) for c in carry], "n_words", "spans", "items")
 
 
 def items_digest(items: DataFrame) -> DataFrame:
