@@ -202,16 +202,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = variants.groupBy("key").agg(least(0), least(1), least(2), F.min("h").alias("lo"), F.max("h").alias("hi"))
     met = stored(met.filter("lo <> hi").drop("lo", "hi"))
     other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = variants.drop("words").join(met, "key").select("id", "line", "h", other.alias("o"))
+    pairs = variants.drop("words").join(met.hint("merge"), "key").select("id", "line", "h", other.alias("o"))
     pairs = pairs.filter((F.struct("o.id", "o.line") < F.struct("id", "line")) & (F.col("o.h") != F.col("h")))
     pairs = stored(pairs.select("id", "line", "h", F.col("o.h").alias("h2")).distinct())
     words = stored(variants.filter(F.size("words") > 0).groupBy("h").agg(F.first("words").alias("x")))
     both = pairs.join(words, "h").join(words.toDF("h2", "y"), "h2")
     near = both.select("id", "line", "x", "y").mapInArrow(_verified, "id long, line long")
-    again = lines.select("id", "line", "h", "g").join(stored(repeated.select("h", "g", "first")), ["h", "g"]).filter(F.struct("id", "line") != F.col("first"))
+    again = lines.select("id", "line", "h", "g").join(stored(repeated.select("h", "g", "first")).hint("merge"), ["h", "g"]).filter(F.struct("id", "line") != F.col("first"))
     gone = near.union(again.select("id", "line"))
     drops = stored(gone.groupBy("id").agg(F.collect_set("line").alias("drop")))
-    out = base.join(drops.withColumn("id", F.col("id").cast(dict(base.dtypes)["id"])), "id", "left").select("id", "text", "drop", "rest")
+    # Sort-merge joins at every size: the lists of lines to drop grow with the corpus.
+    out = base.join(drops.withColumn("id", F.col("id").cast(dict(base.dtypes)["id"])).hint("merge"), "id", "left").select("id", "text", "drop", "rest")
     out = out.mapInArrow(_cut, f"id {dict(base.dtypes)['id']}, text string, rest {dict(base.dtypes)['rest']}, n_lines long, n_dropped long")
     named = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col("rest")[c] for c in rest}
     return out.select(*[named[c].alias(c) for c in docs.columns if c in named], "n_lines", "n_dropped")
