@@ -342,9 +342,9 @@ def test_text_files_and_omissions(spark, tmp_path):
     (tmp_path / "sub" / "b.py").write_bytes(b"\xff\xfe\x00bad")
     (tmp_path / "big.py").write_text("x" * 300_000)
     (tmp_path / "c.bin").write_text("skip")
-    texts, omitted = readers.scan_text_files(spark, str(tmp_path), [".py"])
+    texts, omitted = readers.scan_text_files(spark, str(tmp_path), [".py"], max_bytes=256_000)
     assert [r["content"] for r in texts.collect()] == ["print(1)"]
-    assert sorted((r["path"].rsplit("/", 1)[1], r["reason"]) for r in omitted.collect()) == [("b.py", "not readable UTF-8"), ("big.py", "file exceeds 256 KB")]
+    assert sorted((r["path"].rsplit("/", 1)[1], r["reason"]) for r in omitted.collect()) == [("b.py", "not readable UTF-8"), ("big.py", "file exceeds the size limit")]
 
 
 def test_confirmation_append_guards(spark, tmp_path):

@@ -53,11 +53,15 @@ def ordered_scan(
     carry += [F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_c_{o}") for o in sums]
     carry += [F.max(f"_m_{o}").over(earlier).alias(f"_c_{o}") for o in maxs]
     carry += [F.lag(f"_l_{o}").over(before)["v"].alias(f"_c_{o}") for o in prevs]
-    per_slice = per_slice.select(*keys, _SLICE, *carry)
+    per_slice = per_slice.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_SLICE).alias("_k_slice"), *carry)
 
     inside = Window.partitionBy(*keys, _SLICE).orderBy(_SEQ)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(per_slice, [*keys, _SLICE])
+    # Null keys are keys like any other.
+    same = F.col(_SLICE) == F.col("_k_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = rows.join(per_slice, same)
     out = [F.col(c) for c in df.columns]
     if number:
         out.append((F.row_number().over(inside) + F.col("_c_n")).cast("long").alias(number))
@@ -87,13 +91,16 @@ def hash_rank(
     )
     counts = (
         rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     )
+    same = F.col("_b") == F.col("_k_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = Window.partitionBy(*keys, "_b").orderBy(digest, *ties)
     return (
-        rows.join(counts, [*keys, "_b"])
+        rows.join(counts, same)
         .withColumn(out, (F.row_number().over(inside) + F.col("_off")).cast("long"))
-        .drop("_b", "_off")
+        .drop("_b", "_off", "_k_b", *[f"_k_{k}" for k in keys])
     )
 
 

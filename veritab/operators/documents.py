@@ -6,7 +6,10 @@ that row as array expressions; nothing is exploded and shuffled to rebuild it.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,19 +76,22 @@ def sections(text: Column) -> Column:
         (s["start"] + s["len"]).alias("end")))
 
 
-def _window_spans(text: str, start: int, end: int, size: int, overlap: int, boundary: str, low: int) -> Iterator[tuple[int, int]]:
-    """Spans of at most ``size`` characters, cut after the last boundary past ``low``."""
-    at = start
-    while at < end:
-        stop = min(at + size, end)
-        if stop < end:
-            cut = text.rfind(boundary, at + low, stop)
-            if cut > at or (cut == at and low == 0):
-                stop = cut + len(boundary)
-        yield at, stop
-        if stop == end:
-            return
-        at = max(at + 1, stop - overlap)
+def _window_spans(text: str, start: int, end: int, size: int, overlap: int, boundary: str, low: int) -> list[tuple[int, int]]:
+    """Spans of at most ``size`` characters, cut after the last boundary past ``low``.
+
+    Boundaries are found once; each span ends at the last one that ends inside it.
+    """
+    ends = [m.start() + len(boundary) for m in re.compile(f"(?={re.escape(boundary)})").finditer(text, start, end)]
+
+    def span(at: int) -> tuple[int, int]:
+        full = at + size
+        last = ends[bisect_right(ends, full) - 1] if full < end and ends and ends[0] <= full else -1
+        return at, end if full >= end else last if last - len(boundary) >= at + low else full
+
+    spans = [span(start)] if start < end else []
+    while spans and spans[-1][1] < end:
+        spans.append(span(max(spans[-1][0] + 1, spans[-1][1] - overlap)))
+    return spans
 
 
 def overlap_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
@@ -155,19 +161,14 @@ def pack_lines(df: DataFrame, key: str, text: str, limit: int) -> tuple[DataFram
         for pdf in batches:
             rows = []
             for k, body in zip(pdf[key], pdf[text]):
-                cur, first, no = "", 1, 0
-                lines = body.split("\n")
-                if lines and lines[-1] == "":
-                    lines.pop()
-                for n, line in enumerate(lines, 1):
-                    item = f"{k}:{n}: {line}\n"
-                    if cur and len(cur) + len(item) > limit:
-                        no += 1
-                        rows.append((k, no, first, n - 1, len(cur), cur))
-                        cur, first = "", n
-                    cur += item
-                if cur:
-                    rows.append((k, no + 1, first, len(lines), len(cur), cur))
+                items = [f"{k}:{n}: {line}\n" for n, line in enumerate(body.removesuffix("\n").split("\n"), 1)] if body else []
+                ends = [0, *accumulate(map(len, items))]
+                at, no = 0, 0
+                while at < len(items):
+                    # The furthest line whose cumulative length still fits.
+                    stop, no = bisect_right(ends, ends[at] + limit) - 1, no + 1
+                    rows.append((k, no, at + 1, stop, ends[stop] - ends[at], "".join(items[at:stop])))
+                    at = stop
             yield pd.DataFrame(rows, columns=[key, "chunk_no", "first_line", "last_line", "n_chars", "text"])
 
     kind = dict(df.dtypes)[key]

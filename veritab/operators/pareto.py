@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -96,16 +97,16 @@ def _block_front(survivors: DataFrame, identity: str, count: int) -> DataFrame:
     return survivors.join(lost.distinct(), identity, "left_anti")
 
 
-def pareto_layers(rows: DataFrame, max_layers: int, identity: str = "identity") -> DataFrame:
+def pareto_layers(rows: DataFrame, max_layers: int | None = None, identity: str = "identity") -> DataFrame:
     """(identity, layer, dims): the front is layer 0; it is removed and the next follows."""
     remaining, out = cut_lineage(rows.dropna(subset=list(DIRECTIONS))), None
-    for layer in range(max_layers):
+    for layer in count() if max_layers is None else range(max_layers):
         if remaining.isEmpty():
             break
         front = cut_lineage(pareto_front(remaining, identity))
         part = front.withColumn("layer", F.lit(layer))
         out = part if out is None else out.unionByName(part)
-        if layer + 1 < max_layers:
+        if max_layers is None or layer + 1 < max_layers:
             remaining = cut_lineage(remaining.join(front.select(identity), identity, "left_anti"))
     return out if out is not None else rows.withColumn("layer", F.lit(0)).limit(0)
 
@@ -143,13 +144,13 @@ def rotate(layer: DataFrame, limit: int, rotation: list[str] | None = None, iden
 
 def freeze_selection(
     rows: DataFrame, cap: int = 5, lower_layers: bool = True, incomplete_last: bool = False,
-    max_layers: int = 10, identity: str = "identity",
+    identity: str = "identity",
 ) -> tuple[DataFrame, int]:
     """(selected rows with layer, slot and dimension, shortfall): front first, then lower layers."""
     cap = min(cap, MAX_FREEZE)
     remaining = cut_lineage(rows.dropna(subset=list(DIRECTIONS)))
     chosen: list[tuple] = []
-    for layer in range(max_layers if lower_layers else 1):
+    for layer in count() if lower_layers else range(1):
         if len(chosen) >= cap or remaining.isEmpty():
             break
         front = cut_lineage(pareto_front(remaining, identity))

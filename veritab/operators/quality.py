@@ -189,10 +189,11 @@ def prepare_sample(df: DataFrame, variables: list[str], target: str, status: str
     return df.select("*", *parsed, cause.alias("_c")).withColumn("cause", F.coalesce("_c", F.lit("kept"))).drop("_c")
 
 
-def numeric_variables(df: DataFrame, payload: str, target: str, max_leaves: int = 8) -> DataFrame:
+def numeric_variables(df: DataFrame, payload: str, target: str, max_leaves: int | None = None) -> DataFrame:
     """Names in a map column whose values are all numbers and are identifiers; at most
     ``max_leaves`` in name order (the limit is the feature, names are schema-sized)."""
     pairs = df.select(F.explode(payload).alias("name", "value"))
     agg = pairs.groupBy("name").agg(F.bool_and(F.col("value").try_cast("double").isNotNull()).alias("numeric"))
     ok = F.col("numeric") & (F.col("name") != target) & F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]*$")
-    return agg.filter(ok).select("name").orderBy("name").limit(max_leaves)
+    names = agg.filter(ok).select("name").orderBy("name")
+    return names if max_leaves is None else names.limit(max_leaves)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.exprs import Candidate, explode_candidates, is_finite
-from veritab.functions.ordered import exact_quantiles, hash_rank, top_rows
+from veritab.functions.ordered import exact_quantiles, hash_rank, ordered_scan, top_rows
 from veritab.functions.stats import binomial_upper_tail, normal_upper_tail
 
 from veritab.session import cut_lineage, sized_join
@@ -177,7 +177,7 @@ def normal_test(diffs: DataFrame) -> DataFrame:
 
 def invariant_check(
     sample: DataFrame, cands: list[Candidate], tolerance: float, min_conformity: float = 0.9,
-    min_coverage: float = 0.5, max_counterexamples: int = 10, record_id: str = "record_id",
+    min_coverage: float = 0.5, max_counterexamples: int | None = None, record_id: str = "record_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Approximate invariants around the exact median: (summary, counterexamples)."""
     rows = explode_candidates(sample.select(record_id, *_needed(cands)), cands)
@@ -198,7 +198,11 @@ def invariant_check(
         "holds", F.coalesce((F.col("n_used") >= 2) & (F.col("coverage") >= min_coverage)
                             & (F.col("conformity") >= min_conformity), F.lit(False)))
     broken = judged.filter(~F.col("conforming"))
-    worst = top_rows(broken, ["cand"], [F.desc("deviation"), F.asc(record_id)], max_counterexamples, "position")
+    order = [F.desc("deviation"), F.asc(record_id)]
+    if max_counterexamples is None:
+        worst = ordered_scan(broken, ["cand"], order, number="position")
+    else:
+        worst = top_rows(broken, ["cand"], order, max_counterexamples, "position")
     return summary, worst.select("cand", "position", record_id, "z", "deviation")
 
 

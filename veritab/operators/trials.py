@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count, takewhile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,11 +126,10 @@ def mixed_matrix(df: DataFrame, traj: list[str], order: list[str], method: str,
 
 
 def resource_levels(min_resource: int, max_resource: int, eta: int) -> list[int]:
-    levels, eta = [max(1, min_resource)], max(2, eta)
-    top = max(levels[0], max_resource)
-    while levels[-1] < top:
-        levels.append(min(top, levels[-1] * eta))
-    return levels
+    """Powers of eta times the least resource (1 at least), below the greatest one, and that one."""
+    first, step = max(1, min_resource), max(2, eta)
+    top = max(first, max_resource)
+    return [*takewhile(lambda r: r < top, (first * step**i for i in count())), top]
 
 
 def promote(trials: DataFrame, eta: int) -> DataFrame:
@@ -153,7 +154,7 @@ def halving_run(trials: DataFrame, eta: int, rungs: int) -> DataFrame:
 
 
 def guided_promotion(
-    trials: DataFrame, eta: int, mode: str = "rerank", shortlist: int = 9, alpha: float = 0.6,
+    trials: DataFrame, eta: int, mode: str = "rerank", shortlist: int | None = None, alpha: float = 0.6,
     max_swaps: int | None = None, margin: float = 0.0, min_proba: float = 0.0,
 ) -> DataFrame:
     """Baseline and guided promotion per rung (columns baseline, guided).
@@ -163,7 +164,7 @@ def guided_promotion(
     pair can be judged alone after a join on the pair number.
     """
     ranked = cut_lineage(promote(trials, eta))
-    pool = ranked.filter(F.col("position") <= shortlist) if mode == "rerank" else ranked
+    pool = ranked.filter(F.col("position") <= shortlist) if mode == "rerank" and shortlist else ranked
     span = pool.groupBy("rung").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     lo, hi = F.col("_lo"), F.col("_hi")
     close = F.abs(hi - lo) <= 1e-9 * F.greatest(F.abs(hi), F.abs(lo))
@@ -181,7 +182,7 @@ def guided_promotion(
     removed = swaps.select("rung", F.col("old").alias("config")).withColumn("_out", F.lit(True))
     added = swaps.select("rung", F.col("new").alias("config")).withColumn("_in", F.lit(True))
     j = ranked.join(removed, ["rung", "config"], "left").join(added, ["rung", "config"], "left")
-    in_pool = F.col("position") <= shortlist if mode == "rerank" else F.lit(True)
+    in_pool = F.col("position") <= shortlist if mode == "rerank" and shortlist else F.lit(True)
     guided = (F.col("promoted") & in_pool & F.col("_out").isNull()) | F.col("_in").isNotNull()
     return j.withColumn("baseline", F.col("promoted")).withColumn("guided", guided).drop("_out", "_in", "promoted")
 
@@ -198,7 +199,7 @@ def promotion_labels(trials: DataFrame, positive_frac: float = 0.35, kind: str =
     pairs = trials.join(later, ["config", "rung"]).withColumn("uplift", F.col("next_score") - F.col("score"))
     signal = "next_score" if kind == "next_score" else "uplift"
     cut = exact_quantiles(pairs, ["rung"], signal, {"_q": 1.0 - positive_frac})
-    return pairs.join(cut, "rung").withColumn("label", F.when(F.col(signal) >= F.col("_q"), 1).otherwise(0)).withColumnRenamed("_q", "cutoff")
+    return pairs.join(cut, "rung").withColumn("label", F.when(F.col(signal) >= F.col("_q") - 1e-12, 1).otherwise(0)).withColumnRenamed("_q", "cutoff")
 
 
 # --- split candidates ----------------------------------------------------------

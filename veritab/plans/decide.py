@@ -14,18 +14,25 @@ from veritab.plans.registry import Tables, query
 
 
 def evaluations(t: Tables) -> DataFrame:
-    """One evaluated hypothesis per part: gain, stability, novelty from its lines, complexity its size."""
+    """One evaluated hypothesis per part: gain, stability, novelty from its lines, complexity its size.
+
+    Means are taken in whole ten-thousandths, so that ties are the same in any engine.
+    """
+    mean = lambda total, unit: F.expr(f"({total} * {2 * unit} + count(1)) div (2 * count(1)) / 10000.0").cast("double")
     agg = t.lineitem.groupBy("l_partkey").agg(
-        F.round(F.avg("l_discount"), 4).alias("gain"), F.round(F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)), 4).alias("stability"),
-        F.round(F.avg("l_tax"), 4).alias("novelty"))
+        mean("sum(cast(round(l_discount * 100) as bigint))", 100).alias("gain"), mean("count_if(l_returnflag = 'N')", 10000).alias("stability"),
+        mean("sum(cast(round(l_tax * 100) as bigint))", 100).alias("novelty"))
     return t.part.join(agg, F.col("l_partkey") == F.col("p_partkey"), "left").select(
         F.col("p_partkey").alias("identity"), "gain", "stability",
         F.when(F.col("p_partkey") % 50 != 7, F.col("novelty")).alias("novelty"), F.col("p_size").cast("double").alias("complexity"))
 
 
 _EVAL = """
-ev AS (SELECT p_partkey AS identity, g AS gain, s AS stability, CASE WHEN p_partkey % 50 <> 7 THEN n END AS novelty, CAST(p_size AS DOUBLE) AS complexity
-       FROM part LEFT JOIN (SELECT l_partkey, round(avg(l_discount), 4) AS g, round(avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0 END), 4) AS s, round(avg(l_tax), 4) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
+lm AS (SELECT l_partkey, count(*) AS k, sum(CAST(round(l_discount * 100) AS BIGINT)) * 200 AS g, count(*) FILTER (l_returnflag = 'N') * 20000 AS s,
+       sum(CAST(round(l_tax * 100) AS BIGINT)) * 200 AS n FROM lineitem GROUP BY 1),
+ev AS (SELECT p_partkey AS identity, ((g + k) // (2 * k))::DOUBLE / 10000 AS gain, ((s + k) // (2 * k))::DOUBLE / 10000 AS stability,
+       CASE WHEN p_partkey % 50 <> 7 THEN ((n + k) // (2 * k))::DOUBLE / 10000 END AS novelty, CAST(p_size AS DOUBLE) AS complexity
+       FROM part LEFT JOIN lm ON l_partkey = p_partkey),
 c AS (SELECT * FROM ev WHERE gain IS NOT NULL AND novelty IS NOT NULL)"""
 _DOM = "b.gain >= a.gain - 1e-12 AND b.stability >= a.stability - 1e-12 AND b.novelty >= a.novelty - 1e-12 AND b.complexity <= a.complexity + 1e-12 AND (b.gain > a.gain + 1e-12 OR b.stability > a.stability + 1e-12 OR b.novelty > a.novelty + 1e-12 OR b.complexity < a.complexity - 1e-12)"
 
@@ -35,13 +42,19 @@ def e6(t: Tables) -> DataFrame:
     return po.pareto_front(evaluations(t)).select("identity", "gain", "stability", "novelty", "complexity")
 
 
-@query("e6_pareto_layers", f"""
-WITH {_EVAL}, l0 AS (SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE {_DOM})),
-c1 AS (SELECT * FROM c ANTI JOIN l0 USING (identity)), l1 AS (SELECT * FROM c1 a WHERE NOT EXISTS (SELECT 1 FROM c1 b WHERE {_DOM})),
-c2 AS (SELECT * FROM c1 ANTI JOIN l1 USING (identity)), l2 AS (SELECT * FROM c2 a WHERE NOT EXISTS (SELECT 1 FROM c2 b WHERE {_DOM}))
-SELECT identity, 0 AS layer FROM l0 UNION ALL SELECT identity, 1 FROM l1 UNION ALL SELECT identity, 2 FROM l2""")
+def _peel_sql(rounds: int) -> str:
+    """Peeling written out; the SQL check's tables are through after far fewer rounds, and the last one checks it."""
+    ctes = ["c0 AS MATERIALIZED (SELECT * FROM c)"]
+    for i in range(rounds):
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT * FROM c{i} a WHERE NOT EXISTS (SELECT 1 FROM c{i} b WHERE {_DOM}))")
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} ANTI JOIN l{i} USING (identity))")
+    body = " UNION ALL ".join(f"SELECT identity, {i} AS layer FROM l{i}" for i in range(rounds))
+    return f"WITH {_EVAL}, {', '.join(ctes)} {body} UNION ALL SELECT identity, -1 FROM c{rounds}"
+
+
+@query("e6_pareto_layers", _peel_sql(40))
 def e6_layers(t: Tables) -> DataFrame:
-    return po.pareto_layers(evaluations(t), 3).select("identity", "layer")
+    return po.pareto_layers(evaluations(t)).select("identity", "layer")
 
 
 def _rotate_sql(slots: int) -> str:
@@ -88,10 +101,9 @@ def f9_prune(t: Tables) -> DataFrame:
 
 
 @query("f9_candidate_dedup", f"""
-WITH {_CAND} SELECT skeleton, arg_min(expression, (nodes, depth, expression)) AS expression, min(nodes) AS nodes FROM pr GROUP BY skeleton ORDER BY min(nodes), arg_min(depth, (nodes, depth, expression)), expression LIMIT 200""")
+WITH {_CAND} SELECT skeleton, arg_min(expression, (nodes, depth, expression)) AS expression, min(nodes) AS nodes FROM pr GROUP BY skeleton""")
 def f9(t: Tables) -> DataFrame:
-    pool = cd.dedup_candidates(cd.prune_dominated(candidate_rows(t)))
-    return cd.cut_pool(pool, 200).select("skeleton", "expression", "nodes")
+    return cd.dedup_candidates(cd.prune_dominated(candidate_rows(t))).select("skeleton", "expression", "nodes")
 
 
 @query("f12_complexity", f"WITH {_CAND} SELECT cand_id, nodes + depth + 2 AS complexity FROM cn")

@@ -144,13 +144,13 @@ def e10(t: Tables) -> DataFrame:
 
 _GUIDED = """
 rk AS (SELECT *, row_number() OVER (PARTITION BY rung ORDER BY score DESC, config) AS position, ceil(count(*) OVER (PARTITION BY rung) / 3) AS k FROM tr),
-pool AS (SELECT * FROM rk WHERE position <= 900),
+pool AS (SELECT * FROM rk),
 mx AS (SELECT *, 0.6 * proba + 0.4 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-12) AS mix FROM pool WINDOW w AS (PARTITION BY rung)),
 i AS (SELECT *, row_number() OVER (PARTITION BY rung ORDER BY mix, position) AS pair FROM mx WHERE position <= k),
 o AS (SELECT *, row_number() OVER (PARTITION BY rung ORDER BY mix DESC, position) AS pair FROM mx WHERE position > k AND proba >= 0.3),
-sw AS (SELECT i.rung, i.config AS old, o.config AS new FROM i JOIN o USING (rung, pair) WHERE o.mix > i.mix + 0.02 AND pair <= 200),
+sw AS (SELECT i.rung, i.config AS old, o.config AS new FROM i JOIN o USING (rung, pair) WHERE o.mix > i.mix + 0.02 AND pair <= i.k),
 g AS (SELECT rk.rung, rk.config, position <= k AS baseline,
-             (position <= k AND position <= 900 AND NOT EXISTS (SELECT 1 FROM sw WHERE sw.rung = rk.rung AND sw.old = rk.config)) OR EXISTS (SELECT 1 FROM sw WHERE sw.rung = rk.rung AND sw.new = rk.config) AS guided FROM rk)"""
+             (position <= k AND NOT EXISTS (SELECT 1 FROM sw WHERE sw.rung = rk.rung AND sw.old = rk.config)) OR EXISTS (SELECT 1 FROM sw WHERE sw.rung = rk.rung AND sw.new = rk.config) AS guided FROM rk)"""
 
 
 @query("e11_guided_promotion", f"WITH {_TRIALS}, {_GUIDED} SELECT rung, config, baseline, guided FROM g WHERE baseline OR guided")
@@ -164,7 +164,7 @@ def e11_rate(t: Tables) -> DataFrame:
 
 
 def _guided(t: Tables) -> DataFrame:
-    return tr.guided_promotion(trial_table(t), 3, shortlist=900, max_swaps=200, margin=0.02, min_proba=0.3)
+    return tr.guided_promotion(trial_table(t), 3, margin=0.02, min_proba=0.3)
 
 
 @query("e12_promotion_labels", f"""
@@ -174,8 +174,7 @@ c AS (SELECT rung, quantile_cont(uplift, 0.65) AS cutoff FROM p GROUP BY rung)
 SELECT config, rung, round(uplift, 6) AS uplift, CASE WHEN uplift >= cutoff - 1e-12 THEN 1 ELSE 0 END AS label FROM p JOIN c USING (rung)""")
 def e12(t: Tables) -> DataFrame:
     rows = tr.promotion_labels(trial_table(t))
-    label = F.when(F.col("uplift") >= F.col("cutoff") - 1e-12, 1).otherwise(0)
-    return rows.select("config", "rung", r("uplift").alias("uplift"), label.alias("label"))
+    return rows.select("config", "rung", r("uplift").alias("uplift"), "label")
 
 
 def split_rows(t: Tables) -> DataFrame:

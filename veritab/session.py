@@ -50,26 +50,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# A table of this many rows (about a hundred bytes each) may be sent to every executor.
-BROADCAST_ROWS = 1_000_000
+# A table of this many bytes, measured as text, may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join with a derived table whose size is measured first.
 
-    The small side is stored and counted: within ``max_rows`` it is broadcast, so
-    the big side is not shuffled; beyond that the join shuffles both sides and
-    the adaptive skew split applies.
+    The small side is stored and its bytes are summed, however wide its rows are: within
+    ``max_bytes`` it is broadcast, so the big side is not shuffled; beyond that the join
+    shuffles both sides and the adaptive skew split applies.
     """
     stored = cut_lineage(small)
-    return big.join(F.broadcast(stored) if stored.count() <= max_rows else stored, on, how)
+    size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return big.join(F.broadcast(stored) if size <= max_bytes else stored, on, how)
 
 
 def spread(df: DataFrame, min_bytes: int = 1 << 18) -> DataFrame:
-    """Use all cores for a scan with fewer splits than cores (a small single file).
+    """Local runs only: use all cores for a small single file, which is one split.
 
-    Scans of real size have more splits than cores and are left alone.
+    On a cluster tables are read as they are split.
     """
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
     if int(str(plan.optimizedPlan().stats().sizeInBytes())) < min_bytes:

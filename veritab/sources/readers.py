@@ -13,7 +13,7 @@ from veritab.functions.exprs import is_finite
 # Fixed values of the observation format.
 DEFAULT_EVENT_TIME = "2026-01-01T00:00:00+00:00"
 FIRST_DATA_ROW = 2
-MAX_FILE_BYTES = 256_000
+TOO_LONG = "file exceeds the size limit"
 
 
 def _blank(col: Column) -> Column:
@@ -96,20 +96,22 @@ def read_json_groups(spark: SparkSession, path: str, one_object_per_file: bool =
     return parsed.select(F.explode("m").alias("key", "values")).select("key", F.explode("values").alias("value"))
 
 
-def scan_text_files(spark: SparkSession, path: str, suffixes: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(texts, omissions) of a folder tree. Over-long files are dropped by the length
-    filter that the file source evaluates before it reads any content."""
+def scan_text_files(spark: SparkSession, path: str, suffixes: Sequence[str] | None = None, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(texts, omissions) of a folder tree. With ``max_bytes`` longer files are dropped by the length
+    filter that the file source evaluates before it reads any content; by default every file is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     if suffixes:
         files = files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
-    long = files.filter(F.col("length") > MAX_FILE_BYTES).select("path", F.lit("file exceeds 256 KB").alias("reason"))
-    texts, bad = ingest_texts(files.filter(F.col("length") <= MAX_FILE_BYTES).select("path", "content"))
-    return texts, long.unionByName(bad)
+    texts, bad = ingest_texts((files if max_bytes is None else files.filter(F.col("length") <= max_bytes)).select("path", "content"))
+    if max_bytes is None:
+        return texts, bad
+    return texts, files.filter(F.col("length") > max_bytes).select("path", F.lit(TOO_LONG).alias("reason")).unionByName(bad)
 
 
-def ingest_texts(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+def ingest_texts(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, sha256, n_chars, content) and (path, reason) from (path, content binary)."""
-    reason = F.when(F.octet_length("content") > max_bytes, "file exceeds 256 KB").when(
+    too_long = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
+    reason = F.when(too_long, TOO_LONG).when(
         ~F.is_valid_utf8(F.col("content").cast("string")), "not readable UTF-8")
     tagged = files.withColumn("reason", reason)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
