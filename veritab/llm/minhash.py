@@ -171,8 +171,10 @@ class _Join:
             # Two branches at first, so that a pair of the least similarity survives as often as not; then one.
             branches = 2 if level == 0 else 1
             pick = lambda b, j: F.element_at("sketch", (F.pmod(F.xxhash64("path", b, F.lit(j)), F.lit(SKETCH)) + 1).cast("int"))
-            child = F.explode(F.array(*[F.xxhash64("path", F.lit(b), *[pick(F.lit(b), j) for j in range(3)]) for b in range(branches)])).alias("next")
-            kids = rows.select("id", "n", "sketch", "comp", child).withColumnRenamed("next", "path")
+            child = lambda b: F.xxhash64("path", F.lit(b), *[pick(F.lit(b), j) for j in range(3)])
+            nexts = [child(b) for b in range(branches)]
+            kids = rows.withColumn("next", F.explode(F.array(*nexts)) if branches > 1 else nexts[0])
+            kids = kids.select("id", "n", "sketch", "comp", F.col("next").alias("path"))
             open_ = stored(kids.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                            .filter("size > 1 and lo < hi").select("path", "size"))
             rows = stored(kids.join(open_, "path"))
