@@ -374,3 +374,18 @@ def test_stream_equals_batch(spark, tmp_path):
     kept, _ = ev.gap_filter(df, 20, ["event_id"])
     assert {r["event_id"] for r in out.filter("outcome = 'kept'").collect()} == {r["event_id"] for r in kept.collect()}
     assert out.count() == 200
+
+
+def test_pages_of_many_headings_and_labels_are_one_fold(spark):
+    import time
+    n = 2400
+    heads = "".join(f"# Head {i}\ntext {i}\n" for i in range(n))
+    labels = "".join(f":label:`fig_{i}`\n:eqlabel:`eq_{i}`\n" for i in range(n // 2))
+    df = spark.createDataFrame([("p", heads, labels)], "page string, heads string, labels string")
+    start = time.time()
+    found = df.select(F.inline(dc.sections(F.col("heads")))).collect()
+    assert len(found) == n and found[-1]["id"] == f"s{n}" and found[-1]["title"] == f"Head {n - 1}"
+    assert all(a["end"] == b["start"] for a, b in zip(found, found[1:])) and found[-1]["end"] == len(heads)
+    table = {r["label"]: (r["type"], r["num"]) for r in dc.label_table(df, "page", "labels").collect()}
+    assert table[f"fig_{n // 2 - 1}"] == ("fig", n // 2) and table["eq_0"] == ("eq", 1) and len(table) == n
+    assert time.time() - start < 20

@@ -62,18 +62,23 @@ def rule_key(text: pd.Series) -> pd.Series:
 
 
 def sections(text: Column) -> Column:
-    """array<struct<id, title, start, end>> cut at markdown headings; blank ones skipped."""
+    """array<struct<id, title, start, end>> cut at markdown headings; blank ones skipped.
+
+    One fold over the pieces, which carries the place and the number reached.
+    """
     pieces = F.split(text, r"(?mdU)(?=^#{1,6}\s+.+?\s*$)")
-    lens = F.transform(pieces, lambda p: F.length(p))
-    spans = F.transform(pieces, lambda p, i: F.struct(
-        F.when(p.rlike(r"\A" + _HEADING.replace("(?mdU)^", "(?mdU)")),
-               F.regexp_extract(p, r"(?mdU)\A#{1,6}\s+(.+?)\s*$", 1)).otherwise(F.lit(DOCUMENT_START)).alias("title"),
-        F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("start"),
-        F.length(p).alias("len"), (F.trim(compact(p)) != "").alias("keep")))
-    kept = F.filter(spans, lambda s: s["keep"])
-    return F.transform(kept, lambda s, i: F.struct(
-        F.concat(F.lit("s"), (i + 1).cast("string")).alias("id"), s["title"].alias("title"), s["start"].alias("start"),
-        (s["start"] + s["len"]).alias("end")))
+    headed = r"\A" + _HEADING.replace("(?mdU)^", "(?mdU)")
+    none = F.array().cast("array<struct<id:string,title:string,start:int,end:int>>")
+
+    def step(s: Column, p: Column) -> Column:
+        keep = F.trim(compact(p)) != ""
+        number = s["n"] + F.when(keep, 1).otherwise(0)
+        end = s["at"] + F.length(p)
+        title = F.when(p.rlike(headed), F.regexp_extract(p, r"(?mdU)\A#{1,6}\s+(.+?)\s*$", 1)).otherwise(F.lit(DOCUMENT_START))
+        row = F.struct(F.concat(F.lit("s"), number.cast("string")).alias("id"), title.alias("title"), s["at"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), number.alias("n"), F.when(keep, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), none.alias("out")), step, lambda s: s["out"])
 
 
 def _window_spans(text: str, start: int, end: int, size: int, overlap: int, boundary: str, low: int) -> list[tuple[int, int]]:
@@ -189,7 +194,8 @@ def restore_spans(masked: Column, kept: Column) -> Column:
     """Inverse of :func:`mask_spans`; null when a token is unknown."""
     pieces = F.split(masked, KEEP_PATTERN, -1)
     numbers = F.transform(F.regexp_extract_all(masked, F.lit(r"⟦BT_KEEP_(\d+)⟧"), 1), lambda n: n.cast("int"))
-    back = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(kept, F.get(numbers, i - 1)), p)))
+    ahead = F.concat(F.array(F.lit(None).cast("int")), numbers)
+    back = F.zip_with(pieces, ahead, lambda p, n: F.when(n.isNull(), p).otherwise(F.concat(F.get(kept, n), p)))
     return F.when(F.exists(back, lambda b: b.isNull()), None).otherwise(F.array_join(back, ""))
 
 
@@ -208,7 +214,7 @@ def clean_chapter(text: Column) -> Column:
     outside, fenced = F.split(text, _FENCED, -1), F.regexp_extract_all(text, F.lit(_FENCED), 0)
     drop = lambda ln: ln.rlike(NUMBER_HEADING) | F.trim(ln).rlike(FILLER_LINE)
     cleaned = F.transform(outside, lambda seg: F.array_join(F.filter(F.split(seg, "\n", -1), lambda ln: ~drop(ln)), "\n"))
-    joined = F.array_join(F.transform(cleaned, lambda seg, i: F.concat(seg, F.coalesce(F.get(fenced, i), F.lit("")))), "")
+    joined = F.array_join(F.zip_with(cleaned, fenced, lambda seg, f: F.concat(seg, F.coalesce(f, F.lit("")))), "")
     return F.regexp_replace(joined, r"(?U)\A\s+|\s+\z", "")
 
 
@@ -257,7 +263,9 @@ def label_table(pages: DataFrame, page: str, text: str) -> DataFrame:
 
     A label defined more than once belongs to its last definition.
     """
-    state = F.struct(F.lit(False).alias("code"), F.lit(False).alias("img"), F.array().cast("array<struct<label:string,type:string>>").alias("out"))
+    kinds = ("fig", "eq", "tbl", "sec")
+    state = F.struct(F.lit(False).alias("code"), F.lit(False).alias("img"), *[F.lit(0).alias(k) for k in kinds],
+                     F.array().cast("array<struct<label:string,type:string,num:int>>").alias("out"))
     rule = r"^:(label|eqlabel):`([^`]+)`"
 
     def step(s: Column, raw: Column) -> Column:
@@ -269,13 +277,15 @@ def label_table(pages: DataFrame, page: str, text: str) -> DataFrame:
         typ = (F.when(label.startswith("fig") | ((kind == "label") & s["img"]), "fig").when((kind == "eqlabel") | label.startswith("eq"), "eq")
                .when(label.startswith("tbl") | label.startswith("tab"), "tbl").otherwise("sec"))
         img = F.when(fence, F.lit(False)).when(s["code"], s["img"]).when(image, F.lit(True)).when(hit | (line != ""), F.lit(False)).otherwise(s["img"])
-        return F.struct(F.when(fence, ~s["code"]).otherwise(s["code"]).alias("code"), img.alias("img"),
-                        F.when(hit, F.concat(s["out"], F.array(F.struct(label.alias("label"), typ.alias("type"))))).otherwise(s["out"]).alias("out"))
+        # Numbers run per page and type, inside the fold.
+        counts = {k: s[k] + F.when(hit & (typ == k), 1).otherwise(0) for k in kinds}
+        num = F.coalesce(*[F.when(typ == k, c) for k, c in counts.items()])
+        row = F.struct(label.alias("label"), typ.alias("type"), num.alias("num"))
+        return F.struct(F.when(fence, ~s["code"]).otherwise(s["code"]).alias("code"), img.alias("img"), *[c.alias(k) for k, c in counts.items()],
+                        F.when(hit, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
 
     found = F.aggregate(F.split(text, "\n"), state, step, lambda s: s["out"])
-    numbered = F.transform(found, lambda e, i: F.struct(e["label"].alias("label"), e["type"].alias("type"), i.alias("i"), F.size(
-        F.filter(F.slice(found, F.lit(1), i + 1), lambda o: o["type"] == e["type"])).alias("num")))
-    rows = pages.select(F.col(page).alias("page"), F.inline(numbered))
+    rows = pages.select(F.col(page).alias("page"), F.posexplode(found).alias("i", "e")).select("page", "i", "e.*")
     return rows.groupBy("label").agg(F.max_by(F.struct("page", "type", "num"), F.struct("page", "i")).alias("d")).select("label", "d.*")
 
 
