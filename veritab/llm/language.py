@@ -165,7 +165,7 @@ class Scorer:
     The table of met n-grams only saves work: it starts anew when it is full.
     """
 
-    BITS, KEPT = 21, 1_000_000
+    BITS, KEPT = 20, 300_000
 
     def __init__(self, models: Models):
         self.models = models

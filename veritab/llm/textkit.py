@@ -54,7 +54,11 @@ def seeds(count: int, salt: int = 0) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; a null is an empty text."""
+    """(bytes, offsets) of a string column; a null is an empty text.
+
+    Workers live on between batches and stages, so what earlier batches left in Arrow's pool is given back first.
+    """
+    pa.default_memory_pool().release_unused()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -66,7 +70,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
-def chunks(offsets: np.ndarray, limit: int = 2 * PIECE_BYTES) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = PIECE_BYTES // 2) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``limit`` bytes; a longer document is a range of its own."""
     start, n = 0, len(offsets) - 1
     while start < n:

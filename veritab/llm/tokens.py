@@ -16,8 +16,8 @@ import pyarrow as pa
 from veritab.llm import textkit
 
 # Segments kept per Python worker; past this the table starts anew. It bounds memory, results do not depend on it.
-KEPT_SEGMENTS = 1_000_000
-SLOT_BITS = 21
+KEPT_SEGMENTS = 400_000
+SLOT_BITS = 20
 
 _LETTER, _MARK, _BLANK, _BREAK, _OTHER = 1, 2, 3, 4, 0
 _CLASS = np.zeros(256, np.uint8)
