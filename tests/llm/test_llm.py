@@ -232,6 +232,30 @@ def test_vectors_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def hot_pairs():
+    """One label of pairs beside many labels of one row."""
+    rng = np.random.default_rng(8)
+    one = rng.standard_normal((3000, 48))
+    two = one + 0.16 * rng.standard_normal(one.shape)
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(np.concatenate([one, two]))]
+    rows += [(len(rows) + j, one[0].tolist(), j + 1) for j in range(2000)]
+    unit = np.concatenate([one, two]) / np.linalg.norm(np.concatenate([one, two]), axis=1, keepdims=True)
+    return rows, {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.98, 1)), strict=True)}
+
+
+@pytest.mark.parametrize("orders", [None, 1])
+def test_pairs_of_a_hot_label_are_found(spark, monkeypatch, orders):
+    """With one order only the audit has to notice and the label is compared whole."""
+    if orders:
+        monkeypatch.setattr(vectors, "_order_counts", lambda size, threshold: np.full(len(size), orders))
+        monkeypatch.setattr(vectors, "AUDIT_TRIES", 1)
+    rows, links = hot_pairs()
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(links) > 2000 and len({x for p in links for x in p}) == 2 * len(links)
+    assert {(r.component_id, r.vec_id) for r in got if not r.kept} == links
+    assert sum(r.n_links for r in got) == 2 * len(links)
+
+
 # -- 6 lengths, 9 packing: exact round trip --------------------------------------------------------------------------
 
 @settings(max_examples=80, deadline=None)

@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by NN-descent.
 
 Equal vectors of a label are one node. A neighbour graph starts from random projections: in each of several
-orders (label, hyperplane signs, projection) every node meets the few before it. It is then refined by
-joining neighbours of neighbours; lists that hold nothing but links are saturated and get
-longer. An audit compares a few nodes with all others and asks for more orders while links are
-missing. Edges of at least the threshold give the components; a count in blocks inside each
+orders (label, hyperplane signs, projection) every node meets the few before it. Signs are sorted like the
+paths of a tree, so that rows side by side share as many as their label's size asks for; larger labels get
+more orders. The graph is then refined by joining neighbours of neighbours; lists that hold nothing but
+links are saturated and get longer. An audit compares some nodes of each large label, and some of all, with
+the whole label and asks for more orders while links are missing; a label that still misses some is at last
+compared in blocks. Edges of at least the threshold give the components; a count in blocks inside each
 component then finds every link of it, so that no list length bounds the answer.
 """
 
@@ -23,9 +25,11 @@ LIST, LONGEST_LIST = 6, 24
 ROUNDS = 4
 # Neighbours below this lead to no link: two of them are more than twice a link's angle apart.
 FLOOR = 0.92
-LEAF = 16
+# Signs sorted by, and the rows of one path that surely meet; orders are repeated until a pair of the threshold's cosine is missed with chance MISS.
+SIGNS, LEAF, MISS = 62, 8, 0.001
 BLOCK = 512
-AUDIT_ROWS, AUDIT_RECALL, AUDIT_TRIES = 64, 0.995, 3
+# Probes of all rows, and again of each label of more than one row in LARGE. Tries with more orders before a label is compared whole.
+AUDIT_ROWS, AUDIT_RECALL, AUDIT_TRIES, LARGE = 64, 0.995, 3, 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -46,17 +50,27 @@ def _by_size(column: pa.Array):
         yield at, _matrix(column.take(pa.array(at)))
 
 
-def _orders(bits: int, salt: int):
-    """Each node once per order: (order, signs, projection) of its vector."""
+def _order_counts(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Orders that a label of so many rows needs."""
+    signs = np.ceil(np.log2(np.maximum(size / LEAF, 1)))
+    stay = np.clip((1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** signs, 1e-6, 1 - 1e-6)
+    return np.maximum(ORDERS, np.ceil(np.log(MISS) / np.log1p(-stay))).astype(int)
+
+
+def _orders(salt: int, threshold: float):
+    """Each node once per order of its label: (order, signs, projection) of its vector."""
     def run(batches):
         for batch in batches:
             for at, unit in _by_size(batch.column("vec")):
                 rows = batch.take(pa.array(at))
-                for order in range(ORDERS):
-                    planes = np.random.default_rng([salt, order, unit.shape[1]]).standard_normal((unit.shape[1], bits + 1))
-                    side = unit @ planes
-                    signs = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), order), pa.int32()), pa.array(signs), pa.array(side[:, bits]), *rows.columns],
+                wanted = _order_counts(rows.column("size").to_numpy(), threshold)
+                rows = rows.select(["grp", "vec", "id"])
+                for order in range(wanted.max()):
+                    go = np.flatnonzero(wanted > order)
+                    planes = np.random.default_rng([salt, order, unit.shape[1]]).standard_normal((unit.shape[1], SIGNS + 1))
+                    side = unit[go] @ planes
+                    signs = (side[:, :SIGNS] > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(go), order), pa.int32()), pa.array(signs), pa.array(side[:, SIGNS]), *rows.take(pa.array(go)).columns],
                                                      names=["order", "signs", "side", *rows.schema.names])
     return run
 
@@ -98,27 +112,23 @@ def _cosines(batches):
             yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(c)], names=["a", "b", "cosine"])
 
 
-def _audit(ids: np.ndarray, groups: list[str], vectors: list[list[float]], threshold: float):
-    """Links of the audited nodes with all nodes."""
+def _audit(probes: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float):
+    """Links of the probes (ids, components, unit vectors of each label) with all nodes: those inside one component, and all."""
     def run(batches):
         for batch in batches:
-            group, own = batch.column("grp").to_pylist(), batch.column("id").to_numpy()
-            for at, unit in _by_size(batch.column("vec")):
-                here = np.array([group[i] for i in at], object)
-                for i, (g, v) in enumerate(zip(groups, vectors, strict=True)):
-                    same = np.flatnonzero(here == g)
-                    if not len(same):
-                        continue
-                    one = _matrix(pa.array([v]))
-                    hit = same[(unit[same] @ one[0] >= threshold)]
-                    hit = own[at[hit]]
-                    hit = hit[hit != ids[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[i])), pa.array(hit)], names=["a", "b"])
+            group, own, comp = np.array(batch.column("grp").to_pylist(), object), batch.column("id").to_numpy(), batch.column("comp").to_numpy()
+            for g, (ids, comps, units) in probes.items():
+                at = np.flatnonzero(group == g)
+                if not len(at):
+                    continue
+                near = (_matrix(batch.column("vec").take(pa.array(at))) @ units.T >= threshold) & (own[at][:, None] != ids)
+                hit = near & (comp[at][:, None] == comps)
+                yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([int(hit.sum())]), pa.array([int(near.sum())])], names=["grp", "hit", "total"])
     return run
 
 
 def _count_links(threshold: float):
-    """Links per node inside runs of equal (comp, p, q), which sorted rows bring together; each run is bounded."""
+    """Links per node inside a block pair."""
     def count(rows: pa.Table):
         unit = _matrix(rows.column("vec"))
         ids, weight, mine = rows.column("id").to_numpy(), rows.column("copies").to_numpy(), rows.column("mine").to_numpy()
@@ -129,7 +139,30 @@ def _count_links(threshold: float):
         else:
             near &= mine[:, None] != mine[None, :]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ weight)], names=["id", "links"])
+    return count
+
+
+def _link_forest(threshold: float):
+    """Links that connect whatever links connect inside a block pair, fewer than it has rows."""
+    def forest(rows: pa.Table):
+        unit, ids = _matrix(rows.column("vec")), rows.column("id").to_numpy()
+        near, free, pairs = unit @ unit.T >= threshold, np.ones(len(ids), bool), []
+        for i in range(len(ids)):
+            todo = [i] if free[i] else []
+            free[i] = False
+            while todo:
+                x = todo.pop()
+                hit = np.flatnonzero(near[x] & free)
+                free[hit] = False
+                pairs += [(ids[x], ids[y]) for y in hit]
+                todo += hit.tolist()
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return forest
 
+
+def _each_block(work):
+    """``work`` on runs of equal (comp, p, q), which sorted rows bring together; each run is bounded."""
     def run(batches):
         tail = None
         for batch in batches:
@@ -137,13 +170,37 @@ def _count_links(threshold: float):
             keys = np.stack([table.column(c).to_numpy() for c in ("comp", "p", "q")], axis=1)
             start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, int)
             for lo, hi in zip(start[:-1], start[1:], strict=True):
-                yield count(table.slice(lo, hi - lo))
+                yield work(table.slice(lo, hi - lo))
             tail = table.slice(start[-1]) if len(start) else None
         if tail is not None and len(tail):
-            yield count(tail)
+            yield work(tail)
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of (comp, size, id, copies, vec) once per pair of blocks of their comp, sorted by (comp, p, q)."""
+    held = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    held = held.withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = held.select("comp", "id", "copies", "vec", "mine", other.alias("o")).select(
+        "comp", "id", "copies", "vec", "mine", F.least("mine", "o").alias("p"), F.greatest("mine", "o").alias("q"))
+    return dealt.repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q")
+
+
+def _missed(nodes: DataFrame, comps: DataFrame, probe: list, threshold: float) -> list[str]:
+    """Labels of which the audit finds links between components."""
+    if not probe:
+        return []
+    comp = {r.node: r.component for r in comps.filter(F.col("node").isin(sorted({r.id for r in probe}))).collect()}
+    by: dict[str, list] = {}
+    for r in probe:
+        by.setdefault(r.grp, []).append(r)
+    probes = {g: (np.array([r.id for r in some]), np.array([comp.get(r.id, r.id) for r in some]), _matrix(pa.array([list(r.vec) for r in some], pa.list_(pa.float64())))) for g, some in by.items()}
+    named = nodes.join(comps.withColumnRenamed("node", "id"), "id", "left").select("grp", "vec", "id", F.coalesce("component", "id").alias("comp"))
+    met = named.mapInArrow(_audit(probes, threshold), "grp string, hit long, total long").groupBy("grp").agg(F.sum("hit").alias("hit"), F.sum("total").alias("total"))
+    return [r.grp for r in met.collect() if r.hit < AUDIT_RECALL * r.total]
+
+
 def _top_lists(edges: DataFrame, threshold: float, size: int) -> DataFrame:
     """Best neighbours per node: LIST of them, up to ``size`` where the list is saturated with links."""
     both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"), "cosine")
@@ -184,36 +241,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = rows.select("id", F.when(sound, F.col("vec")).alias("vec"), F.when(sound, F.concat_ws(":", F.size("vec").cast("string"), "label")).alias("grp"))
     nodes = stored(rows.filter("grp is not null").groupBy("grp", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     # One id under several vectors stays one node of the graph; its vectors are compared one by one.
-    n, groups = nodes.agg(F.count(F.lit(1)), F.approx_count_distinct("grp")).first()
-    bits = int(np.clip(np.ceil(np.log2(max(n / max(groups, 1) / LEAF, 2))), 1, 40))
-    probe = nodes.filter(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(n, 1))) < AUDIT_ROWS).limit(4 * AUDIT_ROWS).collect()
+    sizes = stored(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("size")))
+    sized = nodes.join(sizes, "grp")
+    n = max(nodes.count(), 1)
+    share = F.when(F.col("size") * LARGE > n, AUDIT_ROWS * (1 + n / F.col("size"))).otherwise(AUDIT_ROWS)
+    probe = sized.filter(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(n)) < share).select("grp", "vec", "id").limit(2 * LARGE * AUDIT_ROWS).collect()
     found = None
     for attempt in range(AUDIT_TRIES):
-        kind = f"order int, signs long, side double, grp string, vec {dict(nodes.dtypes)['vec']}, id long, copies long"
-        dealt = nodes.mapInArrow(_orders(bits, attempt), kind)
+        kind = f"order int, signs long, side double, grp string, vec {dict(nodes.dtypes)['vec']}, id long"
+        dealt = sized.mapInArrow(_orders(attempt, threshold), kind)
         key = ["order", "grp", "signs", "side", "id"]
         met = dealt.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_meet, "a long, b long, cosine double")
         edges = met if found is None else met.unionByName(found)
         found = _refine(nodes, stored(edges.filter("a <> b").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))), threshold)
-        comps = stored(components(found.filter(F.col("cosine") >= threshold)))
-        if not probe:
-            break
-        ids = np.array([r.id for r in probe])
-        truth = nodes.mapInArrow(_audit(ids, [r.grp for r in probe], [list(r.vec) for r in probe], threshold), "a long, b long")
-        named = lambda c, out: comps.select(F.col("node").alias(c), F.col("component").alias(out))
-        hit, total = truth.join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left").agg(
-            F.sum((F.col("ca") == F.col("cb")).cast("long")), F.count(F.lit(1))).first()
-        if total == 0 or (hit or 0) >= AUDIT_RECALL * total:
+        links = found.filter(F.col("cosine") >= threshold).select("a", "b")
+        comps = stored(components(links))
+        missed = _missed(nodes, comps, probe, threshold)
+        if not missed:
             break
+    if missed:
+        whole = sized.filter(F.col("grp").isin(missed)).withColumn("comp", F.array_position(F.array(*map(F.lit, missed)), F.col("grp")))
+        pairs = _dealt(whole).mapInArrow(_each_block(_link_forest(threshold)), "a long, b long").filter("a <> b")
+        comps = stored(components(stored(links.union(pairs))))
     held = nodes.join(comps.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id")
     sizes = stored(held.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
-    held = held.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    held = held.withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = held.select("comp", "id", "copies", "vec", "mine", other.alias("o")).select(
-        "comp", "id", "copies", "vec", "mine", F.least("mine", "o").alias("p"), F.greatest("mine", "o").alias("q"))
-    dealt = dealt.repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q")
-    counted = dealt.mapInArrow(_count_links(threshold), "id long, links long").groupBy("id").agg(F.sum("links").cast("long").alias("links"))
+    counted = _dealt(held.join(sizes, "comp")).mapInArrow(_each_block(_count_links(threshold)), "id long, links long").groupBy("id").agg(F.sum("links").cast("long").alias("links"))
     named = stored(nodes.select("grp", "vec", "id", "copies").join(counted, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
                    .select("grp", "vec", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = rows.join(named, ["grp", "vec"], "left")
