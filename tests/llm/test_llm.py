@@ -348,6 +348,21 @@ def test_near_duplicates_brute_force(spark, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("whole", [None, 200])
+def test_pairs_inside_a_family_under_the_threshold(spark, monkeypatch, whole):
+    """Different texts around one long passage, less similar than the threshold, and true pairs among them."""
+    monkeypatch.setattr(minhash, "BLOCK", 64, raising=False)
+    if whole:
+        monkeypatch.setattr(minhash, "WHOLE_NODE", whole, raising=False)
+    shared = [f"s{i}" for i in range(203)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i}x{j}" for j in range(24)]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + own[:-16] + [f"p{i}x{j}" for j in range(16)]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table(spark, rows), shingle=3, percent=85).collect()}
+    assert got == brute_near(rows, 3, 85) and len({c for _, c in got.values()}) == 300
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     out = near_duplicates(odd, shingle=3, percent=85).collect()
     assert len(out) == odd.count()

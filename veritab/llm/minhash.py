@@ -4,9 +4,10 @@ Each document is the set of its distinct word shingles. Equal sets are one node
 doc_id). A tree sends a node down a path of chosen minwise tokens: the root takes two
 coordinates of the sketch, every further branch three more, picked by the hash of the path.
 Nodes of a tree with few members are compared exhaustively; larger ones first compare all
-members with a few hubs and then branch again, twice per level so that a similar pair keeps
-meeting. Independent trees repeat this until the target recall is met. Sketches only sort
-out candidates; a link is confirmed on the full sets.
+members with a few hubs. Where these leave several components, members are compared with members
+in blocks, on the full sets; nodes too large for that first branch again, several times per level
+so that a similar pair keeps meeting. Independent trees repeat this until the target recall is
+met. Sketches only sort out candidates; a link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ SMALL_NODE = 24
 HUBS = 3
 # Ids up to this many (8 bytes each) go to every task of the scan that builds their sets; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-MAX_LEVELS = 3
+# Nodes up to this many members are compared in blocks; larger ones branch first, for at most so many levels. Then they are compared in blocks at any size.
+WHOLE_NODE = 4096
+MAX_LEVELS, BRANCHES = 3, 3
+BLOCK = 256
+# Shingles counted at a time inside a pair of blocks.
+COLUMNS = 8192
 # A pair of the threshold's similarity falls this far below it in a sketch of 128 with chance under one in 100,000.
 SKETCH_MARGIN = 0.15
 
@@ -114,6 +120,64 @@ def _inner_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     return groups.select(F.explode(F.transform(F.filter("m", lambda y: ahead(F.col("x"), y)), lambda y: _pair(F.col("x"), y))).alias("p")).select("p.*").distinct()
 
 
+def _shared(items: pa.Array) -> np.ndarray:
+    """Numbers of shared elements between all pairs of sets."""
+    n, size = len(items), items.value_lengths().to_numpy(zero_copy_only=False)
+    _, column, often = np.unique(items.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    row, held = np.repeat(np.arange(n), size), often[column] > 1
+    row, column = row[held], column[held]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], (np.cumsum(often > 1) - 1)[column[order]]
+    out = np.zeros((n, n), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((n, int(column[b - 1]) + 1 - lo), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += np.rint(part @ part.T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):
+    """Links that join the components inside each run of equal (path, p, q), counted on the full sets; fewer than the run has rows."""
+    def links(rows: pa.Table):
+        rows = rows.combine_chunks()
+        ids, n, comp = (rows.column(c).to_numpy() for c in ("id", "n", "comp"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+        like = np.zeros((len(ids), len(ids)), np.int16)
+        for j in range(SKETCH):
+            like += sketch[:, j][:, None] == sketch[:, j]
+        near = (like >= SKETCH * (percent / 100 - SKETCH_MARGIN)) & (comp[:, None] != comp)
+        near &= np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent
+        some = np.flatnonzero(near.any(axis=1))
+        shared = _shared(rows.column("items").combine_chunks().take(pa.array(some)))
+        near = near[np.ix_(some, some)] & (shared * 100 >= (n[some][:, None] + n[some] - shared) * percent)
+        ids, free, pairs = ids[some], np.ones(len(some), bool), []
+        for i in range(len(ids)):
+            todo = [i] if free[i] else []
+            free[i] = False
+            while todo:
+                x = todo.pop()
+                hit = np.flatnonzero(near[x] & free)
+                free[hit] = False
+                pairs += [(ids[x], ids[y]) for y in hit]
+                todo += hit.tolist()
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        tail = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
+            keys = np.stack([table.column(c).to_numpy() for c in ("path", "p", "q")], axis=1)
+            start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, int)
+            for lo, hi in zip(start[:-1], start[1:], strict=True):
+                yield links(table.slice(lo, hi - lo))
+            tail = table.slice(start[-1]) if len(start) else None
+        if tail is not None and len(tail):
+            yield links(tail)
+    return run
+
+
 class _Join:
     """One run: the nodes, and confirmation of candidate pairs on full sets."""
 
@@ -123,16 +187,33 @@ class _Join:
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs of at least the asked similarity, counted on the full sets."""
         pairs = stored(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = stored(ids)
-        few = ids.count() <= BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
-        sets = stored(texts.mapInArrow(_full_sets(self.words, self.k), "id long, items array<long>"))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         one = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y")).cast("long")
         return stored(both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.percent).select("a", "b"))
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """Full sets of these ids."""
+        ids = stored(ids.distinct())
+        few = ids.count() <= BROADCAST_IDS
+        texts = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
+        return stored(texts.mapInArrow(_full_sets(self.words, self.k), "id long, items array<long>"))
+
+    def block_links(self, rows: DataFrame) -> DataFrame:
+        """Links between components inside nodes of (path, top, own, rest) rows, members against members.
+
+        The ``own`` members of a node's largest component ``top`` have the first blocks, which are not compared with each other.
+        """
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        mine = lambda c: F.pmod(F.xxhash64("id", "path"), blocks(c)).cast("int")
+        in_top, last = F.col("comp") == F.col("top"), blocks("own") + blocks("rest") - 1
+        held = rows.withColumn("mine", F.when(in_top, mine("own")).otherwise(blocks("own") + mine("rest")))
+        dealt = held.withColumn("o", F.explode(F.sequence(F.when(in_top, blocks("own")).otherwise(F.lit(0)), last))).select(
+            "path", "id", "n", "comp", "sketch", F.least("mine", "o").alias("p"), F.greatest("mine", "o").alias("q"))
+        met = dealt.join(self.sets(rows.select("id")), "id").repartition("path", "p", "q").sortWithinPartitions("path", "p", "q")
+        return stored(met.mapInArrow(_block_links(self.percent), "a long, b long").distinct())
+
     def hub_pairs(self, rows: DataFrame) -> DataFrame:
         """Each member of a large node with the node's hubs, where sizes and sketches allow a link of two groups.
 
@@ -167,29 +248,33 @@ class _Join:
         named = lambda df, col, out: df.join(comps.select(F.col("node").alias(col), F.col("component").alias("_c")), col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
         rows = stored(named(rows.drop("comp"), "id", "comp"))
         pairs = stored(named(named(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b", "n_a", "n_b"))
-        for level in range(MAX_LEVELS):
-            # Two branches at first, so that a pair of the least similarity survives as often as not; then one.
-            branches = 2 if level == 0 else 1
-            pick = lambda b, j: F.element_at("sketch", (F.pmod(F.xxhash64("path", b, F.lit(j)), F.lit(SKETCH)) + 1).cast("int"))
-            child = lambda b: F.xxhash64("path", F.lit(b), *[pick(F.lit(b), j) for j in range(3)])
-            nexts = [child(b) for b in range(branches)]
-            kids = rows.withColumn("next", F.explode(F.array(*nexts)) if branches > 1 else nexts[0])
-            kids = kids.select("id", "n", "sketch", "comp", F.col("next").alias("path"))
-            open_ = stored(kids.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        whole = None
+        for level in range(MAX_LEVELS + 1):
+            open_ = stored(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                            .filter("size > 1 and lo < hi").select("path", "size"))
-            rows = stored(kids.join(open_, "path"))
+            rows = stored(rows.join(open_, "path"))
             small = rows.filter(F.col("size") <= SMALL_NODE)
-            last = level == MAX_LEVELS - 1
-            if last:
-                # Whatever is still large is cut into random slices, each compared exhaustively.
-                small = rows.withColumn("path", F.xxhash64("path", F.pmod(F.xxhash64("id", "path"), F.ceil(F.col("size") * 2 / SMALL_NODE))))
-            rows = rows.filter(F.col("size") > SMALL_NODE).drop("size")
-            met = _inner_pairs(small, self.percent)
-            done = last or rows.isEmpty()
-            pairs = pairs.union(stored(met if done else met.union(self.hub_pairs(rows))))
-            if done:
+            if level:
+                pairs = pairs.union(stored(_inner_pairs(small, self.percent)))
+                rows = rows.filter(F.col("size") > SMALL_NODE)
+            held = rows.filter(F.col("size") <= WHOLE_NODE) if level < MAX_LEVELS else rows
+            whole = held if whole is None else whole.union(held)
+            rows = rows.filter(F.col("size") > WHOLE_NODE).drop("size")
+            if level == MAX_LEVELS or rows.isEmpty():
                 break
-        return found.union(self.confirm(pairs.distinct()))
+            # Several branches, so that a pair of the least similarity keeps meeting.
+            pick = lambda b, j: F.element_at("sketch", (F.pmod(F.xxhash64("path", b, F.lit(j)), F.lit(SKETCH)) + 1).cast("int"))
+            child = lambda b: F.xxhash64("path", F.lit(b), *[pick(F.lit(b), j) for j in range(3)])
+            kids = rows.withColumn("next", F.explode(F.array(*[child(b) for b in range(BRANCHES)])))
+            rows = stored(kids.select("id", "n", "sketch", "comp", F.col("next").alias("path")))
+        found = found.union(self.confirm(pairs.distinct()))
+        # What the small nodes have linked need not be compared again.
+        comps = stored(components(found))
+        whole = named(whole.drop("comp"), "id", "comp").select("path", "id", "n", "comp", "sketch")
+        several = whole.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c"))
+        several = stored(several.select("path", F.col("m.comp").alias("top"), F.col("m.c").alias("own"), (F.col("c") - F.col("m.c")).alias("rest")).filter("rest > 0"))
+        whole = stored(whole.join(several, "path"))
+        return found if whole.isEmpty() else found.union(self.block_links(whole))
 
 
 def near_duplicates(
