@@ -17,6 +17,7 @@ from veritab.llm.packing import pack
 from veritab.llm.quality import rank_quality
 from veritab.llm.secrets import scan, span_digest
 from veritab.llm.vectors import near_vectors
+from veritab.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +185,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_context_tree_scores")
 def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
