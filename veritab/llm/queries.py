@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritab.llm.ctw import score_texts
 from veritab.llm.decontaminate import decontaminate, items_digest
+from veritab.llm.exact import exact_duplicates
 from veritab.llm.language import identify
 from veritab.llm.lengths import length_histogram
 from veritab.llm.lines import dedup_lines
@@ -190,3 +191,11 @@ def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_whitening")
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_exact_dedup", f"""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {LOWER.format("text")} AS t FROM documents) WINDOW w AS (PARTITION BY t)
+""")
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
