@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.llm.alignment import alignments
 from veritab.llm.ctw import score_texts
 from veritab.llm.decontaminate import decontaminate, items_digest
 from veritab.llm.exact import exact_duplicates
@@ -199,3 +200,8 @@ FROM (SELECT doc_id, {LOWER.format("text")} AS t FROM documents) WINDOW w AS (PA
 """)
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(_table(spark, sf_dir, "documents"))
