@@ -143,14 +143,6 @@ def test_group_folds_are_the_greedy_ones(spark):
     assert sorted(r["count"] for r in folds) == sorted(load)
 
 
-def test_permutation_importance_finds_the_signal(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, float(a), float(b), float(3 * a)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
-    df = spark.createDataFrame(rows, "id long, a double, b double, y double").withColumn("fold", (F.col("id") % 2).cast("int"))
-    got = {r["feature"]: r["importance_mean"] for r in rv.permutation_importance(df, ["a", "b"], "y", "id", "fold", 2, 2, "1").collect()}
-    assert got["a"] > 1.0 and abs(got["b"]) < 0.05
-
-
 def test_experience_ties_and_low_runtime(spark):
     pred = spark.createDataFrame([("d", 1, "m1", 0.5), ("d", 2, "m2", 0.4), ("e", 1, "m1", 0.7), ("e", 2, "m2", 0.2)], "dataset_id string, position long, method string, probability double")
     got = {r["dataset_id"]: r["methods"] for r in rv.low_runtime_choice(pred).collect()}

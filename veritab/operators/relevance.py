@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.exprs import is_finite
-from veritab.functions.ordered import average_rank, hash_rank, ordered_scan, top_rows
+from veritab.functions.ordered import average_rank, ordered_scan, top_rows
 from veritab.session import cut_lineage, sized_join
 
 TINY = 1e-12
@@ -325,40 +325,6 @@ def fold_summary(per_fold: DataFrame, keys: list[str] | None = None) -> DataFram
     return base.withColumn("stability_jaccard", F.coalesce(stab.scalar(), F.lit(1.0)))
 
 
-def permutation_importance(df: DataFrame, features: list[str], y: str, key: str, fold: str, folds: int, repeats: int, seed: str) -> DataFrame:
-    """Mean and std of the R2 drop when a feature is permuted on the test fold.
-
-    The model is a linear regression per fold. A permutation joins each test row
-    to the row holding its rank in a second hash order; all features of a repeat
-    are read off the same joined row, so a repeat costs one join.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    out = None
-    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
-    rows = df.select(F.col(key).cast("string").alias("_key"), fold, y, *features)
-    for f in range(folds):
-        train, test = rows.filter(F.col(fold) != f), rows.filter(F.col(fold) == f)
-        model = LinearRegression(featuresCol="_x", labelCol=y, regParam=1e-6).fit(assembler.transform(train))
-        coef = dict(zip(features, [float(v) for v in model.coefficients]))
-        pred = sum((F.col(v) * c for v, c in coef.items()), F.lit(float(model.intercept)))
-        base = hash_rank(test.withColumn("_h", F.md5("_key")).withColumn("_pred", pred), [], "_h", ["_key"], "rk")
-        drawn = test.select("_key", *[F.col(v).alias(f"q_{v}") for v in features],
-                            F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-        drawn = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("_key"))))
-        shuffled = hash_rank(drawn, ["rep"], "_h", ["_key"], "rk").drop("_key", "_h")
-        both = base.join(shuffled, "rk")
-        res = F.col(y) - F.col("_pred")
-        agg = both.groupBy("rep").agg(
-            F.sum(res * res).alias("_sse"), (F.var_pop(y) * F.count(F.lit(1))).alias("_sst"),
-            *[F.sum((res - coef[v] * (F.col(f"q_{v}") - F.col(v))) ** 2).alias(f"_e_{v}") for v in features])
-        long = agg.select(F.lit(f).alias("fold"), "rep", F.inline(F.array(*[
-            F.struct(F.lit(v).alias("feature"), ((F.col(f"_e_{v}") - F.col("_sse")) / F.col("_sst")).alias("drop")) for v in features])))
-        out = long if out is None else out.unionByName(long)
-    per_fold = out.groupBy("fold", "feature").agg(F.avg("drop").alias("m"), F.stddev_pop("drop").alias("s"))
-    return per_fold.groupBy("feature").agg(F.avg("m").alias("importance_mean"), F.avg("s").alias("importance_std"))
-
-
 # --- experience tables -------------------------------------------------------
 
 

@@ -51,13 +51,6 @@ def d5(t: Tables) -> DataFrame:
     return rv.binned_mutual_information(table(t), FEATURES, "y").withColumn("score", r("score"))
 
 
-@query("d6_permutation_importance")
-def d6(t: Tables) -> DataFrame:
-    rows = table(t).withColumn("x3", F.coalesce("x3", F.lit(0.0))).withColumn("fold", rv.hash_fold("9", F.col("key"), 3))
-    return rv.permutation_importance(rows, FEATURES, "y", "key", "fold", 3, 2, "6").select(
-        "feature", r("importance_mean").alias("importance_mean"), r("importance_std").alias("importance_std"))
-
-
 @query("d7_task_inference", """
 SELECT 'l_linenumber' AS target, CASE WHEN bool_and(abs(l_linenumber - round_even(l_linenumber, 0)) <= 1e-8) AND count(DISTINCT l_linenumber) <= greatest(20, count(*) // 10) THEN 'classification' ELSE 'regression' END AS task, count(DISTINCT l_linenumber) AS y_unique, true AS y_is_integer FROM lineitem
 UNION ALL SELECT 'l_discount', CASE WHEN bool_and(l_discount = round_even(l_discount, 0)) THEN 'classification' ELSE 'regression' END, count(DISTINCT l_discount), bool_and(l_discount = round_even(l_discount, 0)) FROM lineitem
