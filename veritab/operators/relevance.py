@@ -365,37 +365,6 @@ def aggregate_experience(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return features, per.join(label.filter("n_methods >= 2"), "dataset_id")
 
 
-def train_selector(features: DataFrame, labels: DataFrame, trees: int = 64, seed: int = 0):
-    """Balanced random forest on the pivoted dataset features; columns are the sorted union."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-    names = sorted(r[0] for r in features.select("feature").distinct().collect())
-    wide = features.groupBy("dataset_id").pivot("feature", names).agg(F.first("value")).join(labels, "dataset_id")
-    classes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_k"))
-    shape = classes.agg(F.struct(F.sum("_k").alias("n"), F.count(F.lit(1)).alias("c")).alias("s"))
-    train = wide.join(classes, "label").withColumn("_s", shape.scalar()).withColumn(
-        "weight", F.col("_s.n") / (F.col("_s.c") * F.col("_k"))).drop("_s", "_k")
-    filled = [f"i_{i}" for i in range(len(names))]
-    stages = [
-        Imputer(strategy="median", inputCols=names, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_x"),
-        StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc"),
-        RandomForestClassifier(featuresCol="_x", labelCol="_label", weightCol="weight", numTrees=trees, seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(train), wide
-
-
-def predict_methods(model, wide: DataFrame, top_n: int = 3) -> DataFrame:
-    """(dataset_id, position, method, probability), the best ``top_n`` per dataset."""
-    from pyspark.ml.functions import vector_to_array
-    names = F.array(*[F.lit(x) for x in model.stages[2].labels])
-    p = model.transform(wide).select("dataset_id", F.arrays_zip(names.alias("m"), vector_to_array("probability").alias("p")).alias("z"))
-    ranked = F.slice(F.array_sort(F.transform("z", lambda s: F.struct((-s["p"]).alias("np"), s["m"].alias("method")))), 1, top_n)
-    return p.select("dataset_id", F.posexplode(ranked).alias("i", "s")).select(
-        "dataset_id", (F.col("i") + 1).cast("long").alias("position"), F.col("s.method").alias("method"), (-F.col("s.np")).alias("probability"))
-
-
 def low_runtime_choice(predictions: DataFrame, p_sure: float = 0.60, margin: float = 0.15) -> DataFrame:
     """Run one method when the first is sure enough, else two."""
     agg = predictions.groupBy("dataset_id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.operators import relevance as rv
+from veritab.operators import selector as sel
 from veritab.plans.common import FEATURES, OBS_CTE, observations, r
 from veritab.plans.registry import Tables, query
 from veritab.session import sized_join
@@ -146,6 +147,8 @@ def experience(t: Tables) -> DataFrame:
         F.concat(F.lit("d"), F.col("s")).alias("dataset_id"),
         F.create_map(F.lit("n"), F.col("n").cast("double"), F.lit("q"), F.when(F.col("s") % 7 == 0, float("nan")).otherwise(F.col("q"))).alias("meta_features"),
         F.when(F.col("f") == "A", F.create_map(F.lit("slope"), F.col("d") * 100)).alias("trajectory_features"),
+        F.create_map(F.lit("flag"), F.when(F.col("s") % 6 != 0, F.col("f")), F.lit("n"), F.lit("many"), F.lit("size"), F.when(F.col("n") > 12, "large").otherwise("small")).alias("text_features"),
+        F.ascii("f").alias("record_no"),
         F.when(dropped, F.create_map(F.lit("perm"), ev(F.col("d"), F.lit(0.5), F.lit(1.0)))).otherwise(F.create_map(
             F.lit("Mutual_Info_binned"), ev(F.col("d") * 10, F.col("x") * 10, F.lit(0.5)),
             F.lit("dcor"), ev(F.col("x") * 12, F.lit(None).cast("double"), F.col("q") / 25),
@@ -198,38 +201,90 @@ def d11(t: Tables) -> DataFrame:
     return methods.select("dataset_id", "method", r("runtime_sec", 9).alias("runtime_sec"), r("cv", 9).alias("cv"), r("j", 9).alias("j"), "label")
 
 
+@query("d11_feature_aggregation", """
+WITH g AS (SELECT l_suppkey AS s, l_returnflag AS f, avg(l_discount) AS d, avg(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
+num AS (SELECT s, 'n' AS feature, CAST(n AS DOUBLE) AS x FROM g UNION ALL SELECT s, 'q', q FROM g WHERE s % 7 <> 0 UNION ALL SELECT s, 'traj__slope', d * 100 FROM g WHERE f = 'A'),
+txt AS (SELECT s, f, 'flag' AS feature, f AS t FROM g WHERE s % 6 <> 0 UNION ALL SELECT s, f, 'n', 'many' FROM g UNION ALL SELECT s, f, 'size', CASE WHEN n > 12 THEN 'large' ELSE 'small' END FROM g),
+a AS (SELECT s, feature, avg(x) AS value FROM num GROUP BY 1, 2),
+b AS (SELECT s, feature, arg_min(t, f) AS text FROM txt GROUP BY 1, 2)
+SELECT 'd' || coalesce(a.s, b.s) AS dataset_id, coalesce(a.feature, b.feature) AS feature, round(value, 9) AS value, CASE WHEN value IS NULL THEN text END AS text
+FROM a FULL JOIN b ON a.s = b.s AND a.feature = b.feature""")
+def d11_features(t: Tables) -> DataFrame:
+    """Numbers are averaged over a dataset's records; where there are none, the first text stands."""
+    return sel.aggregate_features(experience(t)).select("dataset_id", "feature", r("value", 9).alias("value"), "text")
+
+
+FOLDS = 3
+_FOLDS_SQL = f"""
+folds AS (SELECT dataset_id, CAST((row_number() OVER (ORDER BY dataset_id) - 1) % {FOLDS} AS INTEGER) AS fold FROM lab)"""
+
+
+def selector_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(methods per dataset, best method per dataset, dataset folds)."""
+    methods = t.once("methods", lambda: rv.aggregate_experience(experience(t))[1])
+    labels = methods.select("dataset_id", "label").distinct()
+    return methods, labels, t.once("folds", lambda: sel.dataset_folds(labels, FOLDS))
+
+
+@query("d13_dataset_folds", f"""
+WITH {_EXP}, {_FOLDS_SQL} SELECT dataset_id, fold, label FROM folds JOIN lab USING (dataset_id)""")
+def d13_folds(t: Tables) -> DataFrame:
+    """All records of a dataset share a fold."""
+    _, labels, folds = selector_parts(t)
+    return labels.join(folds, "dataset_id").select("dataset_id", "fold", "label")
+
+
+def _ranks(t: Tables) -> DataFrame:
+    _, labels, folds = selector_parts(t)
+    return t.once("ranks", lambda: sel.held_out_ranks(sel.aggregate_features(experience(t)), labels, folds, 3, trees=16))
+
+
 @query("d12_meta_selector")
 def d12(t: Tables) -> DataFrame:
-    features, methods = rv.aggregate_experience(experience(t))
-    model, wide = rv.train_selector(features, methods.select("dataset_id", "label").distinct(), trees=16)
-    pred = rv.predict_methods(model, wide, 3)
+    """Each dataset ranked by a forest that learnt from the other folds, and how many methods are worth running."""
+    pred = _ranks(t)
     return pred.join(rv.low_runtime_choice(pred), "dataset_id").select(
-        "dataset_id", "position", "method", r("probability").alias("probability"), F.size("methods").alias("methods_to_run"))
+        "dataset_id", "fold", "position", "method", r("probability").alias("probability"), F.size("methods").alias("methods_to_run"))
 
 
-@query("d13_selector_report", f"""
-WITH {_EXP},
-ds AS (SELECT DISTINCT dataset_id FROM lab),
-pred AS (SELECT dataset_id, CAST(substr(dataset_id, 2) AS BIGINT) % 3 AS fold, row_number() OVER (PARTITION BY dataset_id ORDER BY md5(dataset_id || method)) AS position, method
-         FROM ds, (VALUES ('pearson_abs'), ('distance_correlation'), ('mutual_info')) v(method)),
+def _report_columns(rep: DataFrame) -> DataFrame:
+    return rep.select("fold", "datasets", *[r(c).alias(c) for c in rep.columns if c not in ("fold", "datasets")])
+
+
+@query("d13_forest_report")
+def d13_forest(t: Tables) -> DataFrame:
+    """The report of the forests' held-out ranks."""
+    return _report_columns(rv.selector_report(_ranks(t), selector_parts(t)[0], 2))
+
+
+_PRIOR_SQL = f"""
+WITH {_EXP}, {_FOLDS_SQL},
+known AS (SELECT dataset_id, fold, label FROM folds JOIN lab USING (dataset_id)),
+freq AS (SELECT k.fold, o.label AS method, count(*) AS n FROM (SELECT DISTINCT fold FROM known) k JOIN known o ON o.fold <> k.fold GROUP BY ALL),
+pred AS (SELECT dataset_id, fold, method, row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC, method) AS position FROM known JOIN freq USING (fold)),
 m AS (SELECT * FROM per JOIN lab USING (dataset_id)),
 truth AS (SELECT dataset_id, any_value(label) AS label, max(cv) AS bcv, max(j) AS bj, sum(runtime_sec) AS tf FROM m GROUP BY 1),
 pp AS (SELECT fold, p.dataset_id, max(p.method) FILTER (WHERE position = 1) AS f1, list(p.method) AS offered, max(cv) FILTER (WHERE position = 1) AS cv1,
-              max(j) FILTER (WHERE position = 1) AS j1, max(j) AS jn, sum(runtime_sec) FILTER (WHERE position = 1) AS t1, sum(runtime_sec) AS tn
-       FROM pred p LEFT JOIN m ON m.dataset_id = p.dataset_id AND m.method = p.method WHERE position <= 2 GROUP BY 1, 2)
-SELECT fold, count(*) AS datasets, round(avg(CASE WHEN f1 = label THEN 1.0 ELSE 0 END), 6) AS top1_accuracy, round(avg(CASE WHEN list_contains(offered, label) THEN 1.0 ELSE 0 END), 6) AS topn_hit,
-       round(avg(bcv - cv1), 6) AS regret_cv, round(avg(bj - j1), 6) AS regret_j, round(avg(bj - jn), 6) AS regret_j_topn,
-       round(sum(t1) / sum(tf), 6) AS time_ratio_top1, round(sum(tn) / sum(tf), 6) AS time_ratio_topn
-FROM pp JOIN truth USING (dataset_id) GROUP BY fold""")
+              max(j) FILTER (WHERE position = 1) AS j1, max(j) AS jn, coalesce(sum(runtime_sec) FILTER (WHERE position = 1), 0) AS t1, coalesce(sum(runtime_sec), 0) AS tn
+       FROM pred p LEFT JOIN m ON m.dataset_id = p.dataset_id AND m.method = p.method WHERE position <= 2 GROUP BY 1, 2),
+rep AS (SELECT fold, count(*) AS datasets, avg(CASE WHEN f1 = label THEN 1.0 ELSE 0 END) AS top1_accuracy, avg(CASE WHEN list_contains(offered, label) THEN 1.0 ELSE 0 END) AS topn_hit,
+       avg(bcv - cv1) AS regret_cv, avg(bj - j1) AS regret_j, avg(bj - jn) AS regret_j_topn, sum(t1) / sum(tf) AS time_ratio_top1, sum(tn) / sum(tf) AS time_ratio_topn
+FROM pp JOIN truth USING (dataset_id) GROUP BY fold)"""
+_MEASURES = ["top1_accuracy", "topn_hit", "regret_cv", "regret_j", "regret_j_topn", "time_ratio_top1", "time_ratio_topn"]
+
+
+@query("d13_selector_report", f"{_PRIOR_SQL} SELECT fold, datasets, {', '.join(f'round({c}, 6) AS {c}' for c in _MEASURES)} FROM rep")
 def d13(t: Tables) -> DataFrame:
-    _, methods = rv.aggregate_experience(experience(t))
-    names = F.array(*[F.lit(m) for m in ("pearson_abs", "distance_correlation", "mutual_info")])
-    ds = methods.select("dataset_id").distinct()
-    order = F.array_sort(F.transform(names, lambda m: F.struct(F.md5(F.concat("dataset_id", m)).alias("h"), m.alias("m"))))
-    pred = ds.select("dataset_id", (F.expr("substring(dataset_id, 2)").cast("long") % 3).alias("fold"), F.posexplode(order).alias("i", "s")).select(
-        "dataset_id", "fold", (F.col("i") + 1).alias("position"), F.col("s.m").alias("method"))
-    rep = rv.selector_report(pred, methods, 2)
-    return rep.select("fold", "datasets", *[r(c).alias(c) for c in rep.columns if c not in ("fold", "datasets")])
+    """The report of a selector that knows how often each method was best in the other folds: what a forest has to beat."""
+    methods, labels, folds = selector_parts(t)
+    return _report_columns(rv.selector_report(sel.prior_ranks(labels, folds, 2), methods, 2))
+
+
+@query("d13_selector_summary", f"{_PRIOR_SQL} SELECT count(*) AS folds, CAST(sum(datasets) AS BIGINT) AS datasets, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _MEASURES)} FROM rep")
+def d13_summary(t: Tables) -> DataFrame:
+    methods, labels, folds = selector_parts(t)
+    got = sel.selector_summary(rv.selector_report(sel.prior_ranks(labels, folds, 2), methods, 2))
+    return got.select("folds", "datasets", *[r(c).alias(c) for c in _MEASURES])
 
 
 @query("e19_best_method", f"""
