@@ -21,7 +21,9 @@ from veritab.llm.links import stored
 
 # Id pairs sent to the tasks: the most frequent ones, 17 bytes each. Links of the others are joined by a shuffle.
 SENT_PAIRS = 2_000_000
-COMPACT = 1_000_000
+COMPACT = 500_000
+# Links that a task looks up at a time.
+LINKS_AT_ONCE = 250_000
 BLANK = "▁"
 
 
@@ -222,18 +224,35 @@ def _documents(path_a: str, path_b: str, wide: bool):
     return run
 
 
+def _link_ranges(batch: pa.RecordBatch):
+    """(first row, last row + 1, links, links before each row) by ranges of bounded size."""
+    column = batch.column("links")
+    links, bounds = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    for lo, hi in textkit.chunks(bounds, LINKS_AT_ONCE):
+        yield lo, hi, links[bounds[lo]:bounds[hi]].astype(np.int64), bounds[lo:hi + 1] - bounds[lo]
+
+
+def _forget() -> None:
+    """Workers live on from stage to stage: give back what encoding held."""
+    _ENCODERS.clear()
+    tokens._ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _count_pairs(batches):
     """(pair, n) per task, counted as often as memory asks for."""
+    _forget()
     parts, held = [], 0
     for batch in batches:
-        parts.append(np.unique(batch.column("links").flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True))
-        held += len(parts[-1][0])
-        if held > COMPACT:
-            parts = [_added(parts)]
-            held = len(parts[0][0])
-            if held > COMPACT // 2:
-                yield _pair_batch(*parts.pop())
-                held = 0
+        for *_, links, _ in _link_ranges(batch):
+            parts.append(np.unique(links, return_counts=True))
+            held += len(parts[-1][0])
+            if held > COMPACT:
+                parts = [_added(parts)]
+                held = len(parts[0][0])
+                if held > COMPACT // 2:
+                    yield _pair_batch(*parts.pop())
+                    held = 0
     if parts:
         yield _pair_batch(*_added(parts))
 
@@ -251,20 +270,18 @@ def _pair_batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 def _sum_links(table):
     """Sums of each document over its links to pairs of the table, and its links to others."""
     def run(batches):
+        _forget()
         keys, n, best = table.value
         for batch in batches:
-            column = batch.column("links")
-            links, size = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(size)), size)
-            at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
-            met = keys[at] == links if len(keys) else np.zeros(len(links), bool)
-            count, top = np.zeros(len(size), np.int64), np.bincount(doc[met], best[at[met]], len(size)).astype(np.int64)
-            # Whole numbers all the way: sums of counts outgrow a double's 53 bits.
-            np.add.at(count, doc[met], n[at[met]])
-            rest, bounds = links[~met], np.concatenate([[0], np.cumsum(np.bincount(doc[~met], minlength=len(size)))])
             keep = [c for c in batch.schema.names if c != "links"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(top), pa.array(count), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rest))],
-                                             names=[*keep, "n_best", "count_sum", "rest"])
+            for lo, hi, links, bounds in _link_ranges(batch):
+                at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
+                met = keys[at] == links if len(keys) else np.zeros(len(links), bool)
+                each = lambda v: np.concatenate([[0], np.cumsum(v)])[bounds]
+                # Whole numbers all the way: sums of counts outgrow a double's 53 bits.
+                count, top = (np.diff(each(np.where(met, v[at], 0) if len(keys) else np.zeros(len(links), np.int64))) for v in (n, best))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), pa.array(top), pa.array(count), pa.ListArray.from_arrays(pa.array(each(~met), pa.int32()), pa.array(links[~met]))],
+                                                 names=[*keep, "n_best", "count_sum", "rest"])
     return run
 
 
