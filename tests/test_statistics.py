@@ -180,13 +180,6 @@ def test_silhouettes_and_rand(spark):
     assert st.rand_index(a, b, "id", "a", "b").first()["rand"] == pytest.approx(agree / 28)
 
 
-def test_kmeans_separates_blobs(spark):
-    pts = [(i, [float(i % 2) * 10 + (i % 5) * 0.1, float(i % 3) * 0.01 + (i % 2)]) for i in range(40)]
-    labels, k, score = st.find_clusters(spark.createDataFrame(pts, "id int, v array<double>"), "id", "v")
-    assert k == 2 and score > 0.5
-    assert {(r["id"] % 2, r["cluster"]) for r in labels.collect()} == {(0, 0), (1, 1)}
-
-
 @pytest.mark.parametrize("values", [(5, 3), (5, 3, 4, 8, 1, 0.5, 7, 2, 9, 4, 1), (4.0,)])
 def test_trajectory_features(spark, values):
     df = spark.createDataFrame([("t", i, float(v)) for i, v in enumerate(values)], "k string, i int, v double")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.ordered import exact_quantiles, hash_rank, ordered_scan
+from veritab.operators.clusters import ClusterSearch
 from veritab.session import cut_lineage
 
 EPS = 1e-12
@@ -60,39 +61,6 @@ def changepoints(df: DataFrame, series: list[str], order: list[str], value: str,
     return found
 
 
-def standardise(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
-    """z-scores with constant columns dropped."""
-    stats = df.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
-    kept = [f for f in features if stats[f]["s"] and stats[f]["s"] > EPS]
-    return df.select("*", *[((F.col(f) - stats[f]["m"]) / stats[f]["s"]).alias(f"z_{f}") for f in kept]), kept
-
-
-def find_clusters(points: DataFrame, key: str, vector: str, ks: tuple[int, ...] = (2, 3, 4), min_size: int = 2, accept: float = 0.1, seed: int = 0) -> tuple[DataFrame, int | None, float]:
-    """(key, cluster), chosen k and its silhouette. k with the best silhouette wins
-    (smaller k on ties); clusters are renumbered by centre."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-    rows = points.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_raw"))
-    scaled = cut_lineage(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(rows).transform(rows).select(key, "_x"))
-    best = None
-    for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=100, featuresCol="_x", predictionCol="_c").fit(scaled)
-        if model.summary.k != k or min(model.summary.clusterSizes) < min_size:
-            continue
-        score = ClusteringEvaluator(featuresCol="_x", predictionCol="_c").evaluate(model.transform(scaled))
-        if best is None or score > best[0] + EPS:
-            best = (score, k, model)
-    if best is None or best[0] < accept:
-        return scaled.select(key, F.lit(0).alias("cluster")), None, best[0] if best else 0.0
-    score, k, model = best
-    order = np.argsort([tuple(c) for c in model.clusterCenters()], axis=0)[:, 0]
-    rank = {int(old): new for new, old in enumerate(order)}
-    names = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    return model.transform(scaled).select(key, names[F.col("_c")].alias("cluster")), k, float(score)
-
-
 def silhouette_squared(points: DataFrame, vector: str, cluster: str) -> DataFrame:
     """Mean silhouette with squared distances, linear in the rows.
 
@@ -162,7 +130,12 @@ def silhouette_exact(points: DataFrame, key: str, vector: str, cluster: str, blo
 def rand_index(a: DataFrame, b: DataFrame, key: str, la: str, lb: str, keys: list[str] | None = None) -> DataFrame:
     """Rand index of two labelings from the contingency table, never from pairs."""
     keys = keys or []
-    cells = cut_lineage(a.join(b, [*keys, key]).groupBy(*keys, la, lb).agg(F.count(F.lit(1)).alias("n")))
+    return rand_of_cells(a.join(b, [*keys, key]).groupBy(*keys, la, lb).agg(F.count(F.lit(1)).alias("n")), la, lb, keys)
+
+
+def rand_of_cells(cells: DataFrame, la: str, lb: str, keys: list[str]) -> DataFrame:
+    """(keys, n, rand) of a contingency table (keys, la, lb, n)."""
+    cells = cut_lineage(cells)
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     both = cells.groupBy(*keys).agg(pairs("n").alias("_both"), F.sum("n").alias("_n"))
     left = cells.groupBy(*keys, la).agg(F.sum("n").alias("m")).groupBy(*keys).agg(pairs("m").alias("_left"))
@@ -216,15 +189,17 @@ def changepoint_stability(rows: DataFrame, draws: DataFrame, group: str, series:
     return j.select(*keys, F.size("_p").alias("points"), ((F.size("_p") == F.size("_full")) & near).alias("reproduced"))
 
 
-def cluster_stability(points: DataFrame, key: str, vector: str, group: str, draws: DataFrame, agreement: float = 0.8, seed: int = 0) -> DataFrame:
-    """Per draw: same number of clusters and a Rand index of at least ``agreement`` with the full labels."""
-    full, k, _ = find_clusters(points, key, vector, seed=seed)
-    full = cut_lineage(full.withColumnRenamed("cluster", "full"))
-    out = None
-    for d in [r[0] for r in draws.select("draw").distinct().orderBy("draw").collect()]:
-        part = points.join(draws.filter(F.col("draw") == d), group, "left_semi")
-        labels, kd, _ = find_clusters(part, key, vector, seed=seed)
-        row = rand_index(labels, full, key, "cluster", "full").select(
-            F.lit(d).alias("draw"), F.lit(kd).cast("int").alias("k"), "rand", ((F.lit(kd).eqNullSafe(F.lit(k))) & (F.col("rand") >= agreement)).alias("reproduced"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def cluster_stability(points: DataFrame, key: str, vector: str, group: str, draws: DataFrame, agreement: float = 0.8, **search) -> DataFrame:
+    """(draw, k, rand, reproduced) per draw: same number of clusters and a Rand index of at least ``agreement`` with the full labels.
+
+    The full sample is one more draw, so one search serves all; nothing is reproduced where the full sample shows no clusters.
+    """
+    every = draws.select("draw", group).unionByName(points.select(group).distinct().select(F.lit(-1).alias("draw"), group))
+    found = ClusterSearch(points, key, vector, draws=every, group=group, **search)
+    labels = cut_lineage(found.labels())
+    full = labels.filter("draw = -1").select("id", F.col("cluster").alias("full"))
+    cells = labels.filter("draw >= 0").join(full, "id").groupBy("draw", "cluster", "full").agg(F.count(F.lit(1)).alias("n"))
+    k_full = found.draws[-1].k if -1 in found.draws else None
+    same = (F.col("k") == F.lit(k_full)) & (F.col("rand") >= agreement)
+    return rand_of_cells(cells, "cluster", "full", ["draw"]).join(found.chosen().select("draw", "k"), "draw").select(
+        "draw", "k", "rand", F.coalesce(same, F.lit(False)).alias("reproduced"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["confirm", "learner", "archive", "selection", "classification", "training", "corpus", "decide", "concepts", "io"]
+_MODULES = ["confirm", "learner", "archive", "selection", "classification", "training", "clustering", "corpus", "decide", "concepts", "io"]
 
 
 def load_all():

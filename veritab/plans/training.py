@@ -327,12 +327,6 @@ def f4(t: Tables) -> DataFrame:
     return st.changepoints(series(t), ["traj"], ["ts", "event_id"], "tendency", penalty=1.5).withColumn("gain", r("gain", 2))
 
 
-@query("f5_kmeans_selection")
-def f5(t: Tables) -> DataFrame:
-    labels, k, score = st.find_clusters(t.embeddings, "vec_id", "embedding", accept=0.0)
-    return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.lit(k).cast("int").alias("k"), F.lit(round(score, 6)).alias("silhouette"))
-
-
 @query("f6_silhouette", """
 WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s, count(*) AS n FROM embeddings a, embeddings b GROUP BY 1, 2, 3),
 m AS (SELECT vec_id, max(CASE WHEN own = c THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN own <> c THEN s / n END) AS b FROM p GROUP BY 1)
@@ -374,5 +368,5 @@ def f8(t: Tables) -> DataFrame:
         F.lit("changepoint").alias("kind"), F.col("traj").cast("string").alias("item"), "draw", "reproduced")
     pts = t.embeddings.withColumn("grp", (F.col("vec_id") % 20).cast("string"))
     pdraws = t.once("pdraws", lambda: st.group_draws(pts, "grp", 2, "2"))
-    cl = st.cluster_stability(pts, "vec_id", "embedding", "grp", pdraws).select(F.lit("cluster").alias("kind"), F.lit("all").alias("item"), "draw", "reproduced")
+    cl = st.cluster_stability(pts, "vec_id", "embedding", "grp", pdraws, accept=0.0).select(F.lit("cluster").alias("kind"), F.lit("all").alias("item"), "draw", "reproduced")
     return inv.unionByName(cps).unionByName(cl)
