@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.exprs import Candidate, explode_candidates
 from veritab.functions.ordered import average_rank, exact_quantiles, hash_rank, ordered_scan
-from veritab.functions.stats import binomial_upper_tail
+from veritab.functions.stats import binomial_upper_tail, normal_upper_tail
 from veritab.operators import relations as rel
 from veritab.operators import relevance as rv
 from veritab.operators import structure as st
@@ -42,6 +42,29 @@ def test_binomial_tail_against_sums(spark):
         assert r["p"] == pytest.approx(want, rel=1e-9, abs=1e-15)
 
 
+def test_tails_of_any_size_and_depth(spark):
+    """Long sums of exact ratios from the middle, whose probability Stirling's series gives; far tails keep their digits."""
+    def long_sum(n, w):
+        h = n // 2
+        rest = lambda x: 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5)
+        k = np.arange(h, w + int(12 * math.sqrt(n)), dtype=np.longdouble)
+        logs = np.concatenate([[0], np.cumsum(np.log1p((n - 2 * k - 1) / (k + 1)))])
+        return float(np.exp(-0.5 * math.log(math.pi * h) + rest(n) - 2 * rest(h) + logs[w - h:]).sum())
+
+    rows = [(n, n // 2 + int(z * math.sqrt(n) / 2)) for n in (10**4, 10**6, 10**8) for z in (0, 1, 6, 12)]
+    df = spark.createDataFrame(rows, "n long, w long").select("n", "w", binomial_upper_tail(F.col("n"), F.col("w")).alias("p"), binomial_upper_tail(F.col("n"), F.col("n") - F.col("w") + 1).alias("q"))
+    for r in df.collect():
+        assert r.p == pytest.approx(long_sum(r.n, r.w), rel=2e-11) and r.q == pytest.approx(1 - r.p, abs=1e-12)
+    far = spark.createDataFrame([(1000, 999), (1000, 1000), (333, 330)], "n long, w long").select("n", "w", binomial_upper_tail(F.col("n"), F.col("w")).alias("p"))
+    assert all(r.p == pytest.approx(sum(math.comb(r.n, k) for k in range(r.w, r.n + 1)) / 2 ** r.n, rel=1e-11) for r in far.collect())
+    odd = spark.createDataFrame([(None, 1), (3, None), (-1, 0)], "n long, w long").select(binomial_upper_tail(F.col("n"), F.col("w")).alias("p"))
+    assert {r.p for r in odd.collect()} == {None}
+    ts = [0.0, 0.3, -0.3, 1.0, 2.5, -5.0, 10.0, 37.0, -40.0, float("inf"), float("-inf")]
+    for r in spark.createDataFrame([(t,) for t in ts], "t double").select("t", normal_upper_tail(F.col("t")).alias("p")).collect():
+        assert r.p == pytest.approx(0.5 * math.erfc(r.t / math.sqrt(2)), rel=1e-12, abs=1e-300)
+    assert {r[0] for r in spark.createDataFrame([(None,), (float("nan"),)], "t double").select(normal_upper_tail(F.col("t"))).collect()} == {None}
+
+
 def test_holm_flags_differ_from_step_down(spark):
     tests = spark.createDataFrame([("a", 0.03), ("b", 0.04), ("c", None)], "test_id string, p_value double")
     out = {r["test_id"]: r for r in tst.holm_thresholds(tst.holm_adjust(tests, []), 0.05).collect()}
@@ -102,6 +125,28 @@ def test_hash_rank_is_a_permutation(spark):
     assert got == list(range(1, 5001))
 
 
+def test_bracketed_quantiles_are_exact(spark, monkeypatch):
+    """Groups beyond the size that is ranked whole: hot values, ties at the brackets, null keys, infinite values."""
+    from veritab.functions import ordered
+    monkeypatch.setattr(ordered, "ALL", 40)
+    monkeypatch.setattr(ordered, "MARGIN", 0.03)
+    rng = np.random.default_rng(1)
+    groups = {"normal": rng.normal(size=3000), "hot": np.r_[np.zeros(2000), rng.normal(size=500)], "small": rng.normal(size=30), "steps": np.repeat(np.arange(25.0), 40),
+              None: rng.exponential(size=777), "one": np.array([4.0] * 100), "wide": np.r_[rng.normal(size=200) * 1e300, 1e308, -1e308]}
+    rows = [(k, i % 2, float(v)) for k, vs in groups.items() for i, v in enumerate(vs)] + [("normal", 0, None), ("void", 0, None)]
+    df = spark.createDataFrame(rows, "k string, part int, v double")
+    qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.51, "e": 0.975, "f": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", qs).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert [got[k][q] for q in qs] == pytest.approx(list(np.quantile(vs, list(qs.values()))), rel=1e-12)
+    two = {(r.k, r.part): r.m for r in exact_quantiles(df, ["k", "part"], "v", {"m": 0.5}).collect()}
+    assert two[None, 1] == pytest.approx(np.median(groups[None][1::2])) and len(two) == 14
+    every = np.concatenate(list(groups.values()))
+    assert exact_quantiles(df, [], "v", {"m": 0.25}).first().m == pytest.approx(np.quantile(every, 0.25))
+    assert not exact_quantiles(df.filter("v is null"), ["k"], "v", {"m": 0.5}).collect()
+
+
 def test_quantiles_and_ranks_match_numpy(spark):
     random.seed(1)
     data = [("a", float(random.choice([0, 0, 0, 1, 2, 5.5, 7]))) for _ in range(501)] + [("b", float(i)) for i in range(10)]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.session import cut_lineage
+from veritab.session import cut_lineage, sized_join
 
 _SLICE, _SEQ = "_slice", "_seq"
 
@@ -122,24 +122,44 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
+# Groups of at most ALL values are ranked whole. In larger ones a sketch of relative rank error 1/ACCURACY brackets each
+# quantile, and only values in the brackets are ranked: MARGIN exceeds the error and one rank of a group that large.
+ALL, ACCURACY, MARGIN = 10_000, 20_000, 2e-4
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """(keys, one column per quantile), linear between order statistics.
+    """(keys, one column per quantile), linear between order statistics; nulls take no part.
 
-    Values are counted first, then a running count finds the order statistics,
-    so no task holds all values of a key (``median`` and ``percentile`` do).
+    One pass brackets each quantile by a sketch, a second one counts: values in a bracket one by one, all others by the
+    gap between brackets they fall into. Per key at most ALL values, or some ten-thousandths of them for each quantile, are ranked, and no value is stored.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
-    scanned = ordered_scan(counts, keys, [value], sums={"_cum": "_t"})
-    total = counts.groupBy(*keys).agg(F.sum("_t").alias("_n"))
-    rows = scanned.join(total, keys) if keys else scanned.withColumn("_n", total.scalar())
-    before, parts, out = F.col("_cum") - F.col("_t"), [], []
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    order = sorted(qs.values())
+    ends = [p for q in order for p in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
+    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_b"))
+    if keys:
+        # Structs are equal where their nulls are: null keys are keys like any other.
+        named = bounds.select(F.struct(*keys).alias("_key"), "_n", "_b")
+        joined = sized_join(rows.withColumn("_key", F.struct(*keys)), named, "_key")
+    else:
+        joined = rows.withColumn("_s", bounds.agg(F.first(F.struct("_n", "_b")).alias("s")).scalar()).select("_v", "_s._n", "_s._b")
+    low, high = [F.col("_b")[2 * i] for i in range(len(order))], [F.col("_b")[2 * i + 1] for i in range(len(order))]
+    inside = F.col("_n") <= ALL
+    for a, b in zip(low, high, strict=True):
+        inside = inside | F.col("_v").between(a, b)
+    gap = F.when(F.col("_n") <= ALL, 0).otherwise(sum((F.when(F.col("_v") >= a, 1).otherwise(0) for a in low), F.lit(0)))
+    cells = joined.groupBy(*keys, gap.alias("_g"), F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_t"), F.first("_n").alias("_n"))
+    # Of one gap, values in brackets come before the others.
+    upto = F.sum("_t").over(Window.partitionBy(*keys).orderBy("_g", F.asc_nulls_last("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = cells.withColumn("_cum", upto)
+    before, parts = F.col("_cum") - F.col("_t"), []
     for name, q in qs.items():
         h = (F.col("_n") - 1) * F.lit(float(q))
         # Weighted sum of the two order statistics around position h.
         covers = lambda pos: (before <= pos) & (pos < F.col("_cum"))
-        low, high, frac = F.floor(h), F.ceil(h), h - F.floor(h)
-        weight = F.when(covers(low), 1 - frac).otherwise(0.0) + F.when(covers(high), frac).otherwise(0.0)
-        parts.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(name))
-        out.append(name)
-    return rows.groupBy(*keys).agg(*parts).select(*keys, *out)
+        first, last, share = F.floor(h), F.ceil(h), h - F.floor(h)
+        weight = F.when(covers(first), 1 - share).otherwise(0.0) + F.when(covers(last), share).otherwise(0.0)
+        missed = F.when((weight > 0) & F.col("_v").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+        parts.append(F.sum(F.when(weight > 0, F.coalesce(missed, weight * F.col("_v")))).alias(name))
+    return ranked.groupBy(*keys).agg(*parts).select(*keys, *qs)

@@ -172,7 +172,7 @@ def normal_test(diffs: DataFrame) -> DataFrame:
         F.count("diff").alias("n"), F.avg("diff").alias("effect"), F.var_samp("diff").alias("_v"))
     stat = F.when((F.col("n") >= 2) & (F.col("_v") > 0), F.col("effect") / F.sqrt(F.col("_v") / F.col("n")))
     return agg.select("cand", "n", "effect", stat.alias("statistic")).withColumn(
-        "p_value", normal_upper_tail("statistic"))
+        "p_value", normal_upper_tail(F.col("statistic")))
 
 
 def invariant_check(
