@@ -16,7 +16,7 @@ from veritab.operators import relevance as rv
 from veritab.operators import structure as st
 from veritab.operators import testing as tst
 from veritab.operators import trials as tr
-from veritab.operators.split import largest_remainder
+from veritab.operators.split import seats
 
 X1 = Candidate("x1", ("var", "X1"))
 
@@ -99,12 +99,16 @@ def test_invariant_with_one_outlier(spark):
     assert [w["record_id"] for w in worst.collect()] == ["r99"]
 
 
-def test_largest_remainder_gives_every_part_one():
-    assert largest_remainder(3, {"E": 0.9, "V": 0.05, "C1": 0.05}) == {"E": 1, "V": 1, "C1": 1}
-    assert largest_remainder(10, {"E": 0.5, "V": 0.25, "C1": 0.25}) == {"E": 5, "V": 3, "C1": 2}
-    assert largest_remainder(7, {"E": 1.0, "V": 0.0}) == {"E": 7, "V": 0}
+def test_seats_give_every_part_one():
+    assert seats(3, {"E": 0.9, "V": 0.05, "C1": 0.05}) == {"E": 1, "V": 1, "C1": 1}
+    assert seats(10, {"E": 0.5, "V": 0.25, "C1": 0.25}) == {"E": 5, "V": 3, "C1": 2}
+    assert seats(7, {"E": 1.0, "V": 0.0}) == {"E": 7, "V": 0}
+    assert seats(4, {"E": 0.94, "V": 0.02, "C1": 0.02, "C2": 0.02}) == {"E": 1, "V": 1, "C1": 1, "C2": 1}
+    for total in (5, 6, 37, 1000, 10**12 + 7):
+        got = seats(total, {"E": 0.61, "V": 0.28, "C1": 0.1, "C2": 0.01})
+        assert sum(got.values()) == total and min(got.values()) >= 1 and (total < 100 or abs(got["E"] - 0.61 * total) < 1)
     with pytest.raises(ValueError):
-        largest_remainder(1, {"E": 0.5, "V": 0.5})
+        seats(1, {"E": 0.5, "V": 0.5})
 
 
 def test_ordered_scan_with_one_hot_key(spark):
