@@ -244,7 +244,7 @@ def _euclidean_scores(points: DataFrame, draws: dict[int, Draw], block: int) ->
                     for k in s.centres:
                         mark = np.eye(k)[s.nearest(w, k)]
                         out.append(pd.DataFrame({"row": a["row"].to_numpy()[at][lo:lo + 512], "d": d, "k": k, "c": list(s.nearest(some, k)), "v": list(far @ mark)}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "d": [], "k": [], "c": [], "v": []})
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "d": [], "k": [], "c": [], "v": []}, dtype=object)
 
     part = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(meet, "row long, d int, k int, c int, v array<double>")
     most = max(k for s in draws.values() for k in s.centres)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.operators import relevance as rv
 from veritab.operators import selector as sel
+from veritab.operators.neighbours import knn_mutual_information
 from veritab.plans.common import FEATURES, OBS_CTE, observations, r
 from veritab.plans.registry import Tables, query
 from veritab.session import sized_join
@@ -52,6 +53,38 @@ def d5(t: Tables) -> DataFrame:
     return rv.binned_mutual_information(table(t), FEATURES, "y").withColumn("score", r("score"))
 
 
+_KNN_JITTER = "1e-10 * greatest(1.0, avg(abs({0})) OVER () / stddev_pop({0}) OVER ()) * (CAST('0x' || substr(md5('{1}|' || id), 1, 8) AS BIGINT) / 2147483648.0 - 1)"
+_KNN_FEATURES = ["quantity", "discount", "size"]
+
+
+def parts(t: Tables) -> DataFrame:
+    """Per part: average quantity and discount of its lines, its size, and its mean price."""
+    sold = t.lineitem.groupBy("l_partkey").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_extendedprice").alias("price"))
+    return sold.join(t.part.select("p_partkey", F.col("p_size").cast("double").alias("size")), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_partkey").alias("id"), "quantity", "discount", "size", "price")
+
+
+@query("d5_neighbour_information", f"""
+WITH p AS (SELECT p_partkey AS id, avg(l_quantity) AS quantity, avg(l_discount) AS discount, any_value(p_size)::DOUBLE AS size, avg(l_extendedprice) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+h AS (SELECT i AS n, -0.57721566490153286 + coalesce(sum(1.0 / (i - 1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi FROM (SELECT unnest(range(2, 20001)) AS i)),
+ps AS (SELECT 1 AS n, -0.57721566490153286 AS psi UNION ALL SELECT * FROM h),
+s AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, id, {f} / stddev_pop({f}) OVER () + {_KNN_JITTER.format(f, f)} AS x, price / stddev_pop(price) OVER () + {_KNN_JITTER.format('price', 'y')} AS y FROM p" for f in _KNN_FEATURES)}),
+d AS (SELECT a.feature, a.id, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d FROM s a JOIN s b ON a.feature = b.feature AND a.id <> b.id),
+k AS (SELECT feature, id, min(d, 3)[3] AS r FROM d GROUP BY feature, id),
+c AS (SELECT a.feature, a.id, count(*) FILTER (abs(a.x - b.x) < k.r) AS nx, count(*) FILTER (abs(a.y - b.y) < k.r) AS ny FROM s a JOIN k USING (feature, id) JOIN s b ON a.feature = b.feature GROUP BY ALL),
+m AS (SELECT feature, count(*) AS n, avg(px.psi) + avg(py.psi) AS both_ FROM c JOIN ps px ON px.n = nx JOIN ps py ON py.n = ny GROUP BY feature)
+SELECT feature, m.n, round(greatest(0, pn.psi + pk.psi - both_), 6) AS score FROM m JOIN ps pn ON pn.n = m.n JOIN ps pk ON pk.n = 3""")
+def d5_knn(t: Tables) -> DataFrame:
+    """The estimator by three nearest neighbours; the binned one above stays for tables where bins do."""
+    return knn_mutual_information(parts(t), _KNN_FEATURES, "price", "id", discrete=False).select("feature", "n", r("score").alias("score"))
+
+
+@query("d5_class_information")
+def d5_classes(t: Tables) -> DataFrame:
+    """Numbers against a class, over all lines; checked against all pairs on a fixture."""
+    rows = table(t)
+    return knn_mutual_information(rows.withColumn("flag", F.ascii("env").cast("double")), FEATURES, "flag", "key", discrete=True).select("feature", "n", r("score").alias("score"))
+
+
 @query("d7_task_inference", """
 SELECT 'l_linenumber' AS target, CASE WHEN bool_and(abs(l_linenumber - round_even(l_linenumber, 0)) <= 1e-8) AND count(DISTINCT l_linenumber) <= greatest(20, count(*) // 10) THEN 'classification' ELSE 'regression' END AS task, count(DISTINCT l_linenumber) AS y_unique, true AS y_is_integer FROM lineitem
 UNION ALL SELECT 'l_discount', CASE WHEN bool_and(l_discount = round_even(l_discount, 0)) THEN 'classification' ELSE 'regression' END, count(DISTINCT l_discount), bool_and(l_discount = round_even(l_discount, 0)) FROM lineitem
