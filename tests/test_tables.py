@@ -164,7 +164,7 @@ def test_front_in_one_task_and_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "identity string, gain double, stability double, novelty double, complexity double").repartition(4)
     want = _brute_front(rows)
     assert {r["identity"] for r in po.pareto_front(df).collect()} == want
-    monkeypatch.setattr(po, "ONE_TASK_ROWS", 10)
+    monkeypatch.setattr(po, "BLOCK_ROWS", 10)
     assert {r["identity"] for r in po.pareto_front(df).collect()} == want
 
 

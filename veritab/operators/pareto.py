@@ -16,7 +16,8 @@ from veritab.session import cut_lineage
 DIRECTIONS = {"gain": 1, "stability": 1, "novelty": 1, "complexity": -1}
 TOLERANCE = 1e-12
 MAX_FREEZE = 50
-ONE_TASK_ROWS = 50_000
+# Rows of a block that meets another in a task, and cells per axis.
+BLOCK_ROWS, MAX_PARTS = 20_000, 8
 
 
 def _points(pdf: pd.DataFrame) -> np.ndarray:
@@ -52,49 +53,92 @@ def _skyline(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[np.sort(keep_arr)]
 
 
-def pareto_front(rows: DataFrame, identity: str = "identity") -> DataFrame:
-    """Non-dominated complete rows.
+def pareto_front(rows: DataFrame, identity: str = "identity", version: str | None = None) -> DataFrame:
+    """Non-dominated complete rows; with ``version``, rows of more than one version are refused.
 
-    Each partition first drops what its own rows dominate. If the survivors fit
-    one task (their number is checked) they are compared there; otherwise blocks
-    of survivors are compared pairwise, each task holding two blocks.
+    Each partition first drops what its own rows dominate. Survivors are placed in a grid of quantile cells; a cell's rows
+    are compared with those of cells that lie no lower on any axis, in blocks of bounded size, and cells below another one on all
+    axes are gone at once. Rows of equal values are one point. The same steps serve any number of survivors.
     """
+    if version is not None and one_version(rows, version).limit(2).count() > 1:
+        raise ValueError(f"rows of several {version} cannot be compared")
     dims = list(DIRECTIONS)
-    complete = rows.dropna(subset=dims).select(identity, *[F.col(d).cast("double").alias(d) for d in dims])
+    values = [(F.col(d).cast("double") + 0.0).alias(d) for d in dims]
+    complete = rows.dropna(subset=dims).select(*values)
 
     def local(batches):
         kept = None
         for pdf in batches:
-            kept = _skyline(pdf if kept is None else pd.concat([kept, pdf]))
+            kept = _skyline(pdf if kept is None else pd.concat([kept, pdf]).drop_duplicates())
         if kept is not None:
             yield kept
 
-    survivors = cut_lineage(complete.mapInPandas(local, complete.schema))
-    count = survivors.count()
-    if count <= ONE_TASK_ROWS:
-        front = survivors.coalesce(1).mapInPandas(local, complete.schema)
-    else:
-        front = _block_front(survivors, identity, count)
-    return rows.join(front.select(identity), identity, "left_semi")
-
-
-def _block_front(survivors: DataFrame, identity: str, count: int) -> DataFrame:
-    blocks = math.ceil(count / (ONE_TASK_ROWS // 2))
-    b = F.pmod(F.xxhash64(identity), F.lit(blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    mine = survivors.withColumn("i", b).select("*", others.alias("j"))
-    # Fresh names: both sides come from the same rows and must not share attributes.
-    theirs = survivors.select(*[F.col(c).alias(f"r_{c}") for c in survivors.columns], b.alias("rj"), others.alias("ri"))
+    survivors = cut_lineage(complete.mapInPandas(local, complete.schema).distinct())
+    front = _grid_front(survivors)
+    same = [F.col(d).cast("double") + 0.0 == F.col(f"_f_{d}") for d in dims]
+    # Points of the front are few next to the rows; equal rows are all kept.
+    return rows.join(front.select(*[F.col(d).alias(f"_f_{d}") for d in dims]), same, "left_semi")
+
+
+def _grid_front(points: DataFrame) -> DataFrame:
+    """Non-dominated ones of distinct points."""
+    dims, spark = list(DIRECTIONS), points.sparkSession
+    better = [F.col(d) * sign for d, sign in DIRECTIONS.items()]
+    total = points.count()
+    parts = min(MAX_PARTS, math.ceil(max(total / BLOCK_ROWS, 1) ** (1 / len(dims))))
+    cuts: list[list[float]] = [[] for _ in dims]
+    if parts > 1:
+        row = points.agg(*[F.percentile_approx(v, [i / parts for i in range(1, parts)], 1000).alias(f"q{i}") for i, v in enumerate(better)]).first()
+        cuts = [sorted(set(q)) for q in row]
+
+    def cell(shift: float):
+        """Number of the cell of a row, each value moved up by ``shift``; a bound belongs to the cell above it."""
+        number = F.lit(0)
+        for v, cut in zip(better, cuts, strict=True):
+            number = number * (MAX_PARTS + 1) + sum((F.when(v + shift >= F.lit(float(c)), 1).otherwise(0) for c in cut), F.lit(0))
+        return number.cast("long")
+
+    # What is no worse up to the tolerance never lies lower once it is moved up by it.
+    placed = points.withColumns({"cell": cell(0.0), "up": cell(TOLERANCE), "b": F.pmod(F.xxhash64(*dims), F.lit(1 << 20)).cast("int")})
+    if not total:
+        return points
+    # At most MAX_PARTS ** 4 cells, whatever the number of points; without bounds there is one.
+    count = lambda c: {r[0]: r[1] for r in placed.groupBy(c).count().collect()} if any(cuts) else {0: total}
+    own, high = count("cell"), count("up")
+    place = lambda ids: np.array(ids)[:, None] // (MAX_PARTS + 1) ** np.arange(len(dims) - 1, -1, -1) % (MAX_PARTS + 1)
+    cells, ups = sorted(own), sorted(high)
+    at, above = place(cells), place(ups)
+    edge = [np.append(c, np.inf) for c in cuts]
+    meets, kept = [], []
+    for i, d in enumerate(cells):
+        apart = any(at[i, x] + 1 < len(edge[x]) and edge[x][at[i, x] + 1] - edge[x][at[i, x]] > TOLERANCE for x in range(len(dims)))
+        if apart and (at >= at[i] + 2).all(axis=1).any():
+            continue
+        kept.append(d)
+        # Cells that may hold better rows, several small ones to a chunk.
+        chunk, held = 0, 0
+        for c in np.array(ups)[(above >= at[i]).all(axis=1)].tolist():
+            for j in range(math.ceil(high[c] / BLOCK_ROWS)):
+                size = min(BLOCK_ROWS, high[c])
+                if held and held + size > BLOCK_ROWS:
+                    chunk, held = chunk + 1, 0
+                held += size
+                meets.append((d, math.ceil(own[d] / BLOCK_ROWS), c, math.ceil(high[c] / BLOCK_ROWS), j, chunk))
+    pairs = spark.createDataFrame(meets, "cell long, blocks int, up long, others int, j int, chunk int")
+    mine = pairs.select("cell", "blocks", "chunk").distinct()
+    # Bounded by the number of cells and blocks, not by their rows.
+    left = placed.join(F.broadcast(mine), "cell").select(*dims, F.col("cell").alias("d"), (F.col("b") % F.col("blocks")).alias("i"), "chunk")
+    theirs = pairs.select(F.col("cell").alias("rd"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ri"), "up", "others", "j", F.col("chunk").alias("rc"))
+    right = placed.withColumn("ub", F.col("b")).join(F.broadcast(theirs), "up").filter(F.col("ub") % F.col("others") == F.col("j")).select(
+        *[F.col(x).alias(f"r_{x}") for x in dims], "rd", "ri", "rc")
 
     def judge(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if a.empty or c.empty:
-            return pd.DataFrame({identity: []})
-        other = c.rename(columns={f"r_{d}": d for d in DIRECTIONS})
-        return a.loc[_dominated(_points(a), _points(other)), [identity]]
+            return a.reindex(columns=dims).iloc[:0].astype(float)
+        return a.loc[_dominated(_points(a), _points(c.rename(columns={f"r_{x}": x for x in dims}))), dims]
 
-    kind = dict(survivors.dtypes)[identity]
-    lost = mine.groupBy("i", "j").cogroup(theirs.groupBy("ri", "rj")).applyInPandas(judge, f"{identity} {kind}")
-    return survivors.join(lost.distinct(), identity, "left_anti")
+    lost = left.groupBy("d", "i", "chunk").cogroup(right.groupBy("rd", "ri", "rc")).applyInPandas(judge, ", ".join(f"{x} double" for x in dims)).distinct()
+    return placed.filter(F.col("cell").isin(kept)).select(*dims).join(lost, dims, "left_anti")
 
 
 def pareto_layers(rows: DataFrame, max_layers: int | None = None, identity: str = "identity") -> DataFrame:
