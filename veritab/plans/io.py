@@ -14,6 +14,7 @@ from veritab.plans.registry import Tables, query
 from veritab.plans.selection import experience
 from veritab.session import cut_lineage
 from veritab.sources import readers, sinks
+from veritab.sources.sealed import Rejected, SealedStore
 from veritab.streaming import gap
 
 
@@ -126,6 +127,29 @@ def a8(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("purpose", "env").agg(F.count(F.lit(1)).alias("n"), r(F.sum("l_extendedprice"), 2).alias("total"))
 
 
+@query("a8_sealed_append", """
+WITH l AS (SELECT sha256(l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || CAST(round(l_extendedprice * 100) AS BIGINT)) AS f, l_orderkey AS o, l_linenumber AS ln, l_returnflag AS env FROM lineitem),
+old AS (SELECT * FROM l WHERE o % 3 <> 2), new AS (SELECT * FROM l WHERE o % 3 = 2 OR ln = 1)
+SELECT CASE WHEN o % 3 = 0 THEN 'C1' ELSE 'C2' END AS purpose, 'sealed ' || env AS item, count(*) AS n FROM old GROUP BY 1, 2
+UNION ALL SELECT 'C3', 'met content', count(DISTINCT f) FROM new WHERE f IN (SELECT f FROM old)
+UNION ALL SELECT 'C3', 'met unit', count(DISTINCT o) FROM new WHERE o IN (SELECT o FROM old)""")
+def a8_sealed(t: Tables) -> DataFrame:
+    """Two batches of whole orders are sealed; a third one that holds first lines of their orders is refused."""
+    canon = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    rows = t.lineitem.select(F.sha2(canon, 256).alias("fingerprint"), F.array(F.concat(F.lit("order|"), F.col("l_orderkey"))).alias("unit_keys"),
+                             F.col("l_shipdate").cast("timestamp").alias("event_time"), F.col("l_returnflag").alias("env"), "l_orderkey", "l_linenumber")
+    store = SealedStore(t.spark, t.scratch("sealed"))
+    store.append(rows.filter("l_orderkey % 3 = 0"), "C1", "p1")
+    store.append(rows.filter("l_orderkey % 3 = 1"), "C2", "p1")
+    met: list[tuple[str, str, int]] = []
+    try:
+        store.append(rows.filter("l_orderkey % 3 = 2 or l_linenumber = 1"), "C3", "p1")
+    except Rejected as e:
+        met = [("C3", f"met {kind}", n) for kind, n in e.conflicts.items()]
+    sealed = store.rows().groupBy("purpose", F.concat(F.lit("sealed "), "env").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    return sealed.unionByName(t.spark.createDataFrame(met, "purpose string, item string, n long"))
+
+
 @query("a8_confirmation_gate", """
 WITH lines AS (SELECT sha256(l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || CAST(round(l_extendedprice * 100) AS BIGINT)) AS f, 'order|' || l_orderkey AS u, l_linenumber AS ln FROM lineitem),
 reg AS (SELECT * FROM lines WHERE ln <= 3), b AS (SELECT * FROM lines WHERE ln > 3)
