@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritab.functions.ordered import top_rows
+from veritab.functions.ordered import ordered_scan, top_rows
 from veritab.operators.documents import fold
 from veritab.session import cut_lineage, sized_join
 
@@ -18,6 +18,8 @@ RELATION_PRIORITY = {
 }
 SYMMETRIC = ("related", "contrasts")
 MAX_DEPTH = 12
+# Characters of a run by which texts that may contain another are found.
+GRAM = 8
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -226,15 +228,49 @@ def concept_key(title: Column, kind: Column, scope: Column) -> Column:
 
 
 def merge_concepts(concepts: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, explanations). The first row of a key names the node; explanations are
-    kept as rows (key, position, text) with repeats removed, so a concept with very many
-    mentions never becomes one long value in one task."""
+    """(nodes, explanations). The first row of a key names the node; explanations are kept as rows (key, explanation, first_seen) without
+    those that an earlier one of the key contains, so a concept with very many mentions never becomes one long value in one task."""
     keyed = concepts.withColumn("key", concept_key(F.col("title"), F.col("kind"), F.col("scope")))
     nodes = keyed.groupBy("key").agg(
         F.min_by(F.struct("title", "kind", "scope", "summary"), order).alias("_first"),
         F.count(F.lit(1)).alias("mentions"))
     texts = keyed.groupBy("key", "explanation").agg(F.min(order).alias("first_seen"))
-    return nodes.select("key", "_first.*", "mentions"), texts
+    return nodes.select("key", "_first.*", "mentions"), drop_contained(texts)
+
+
+def drop_contained(texts: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Rows (key, explanation, first_seen), distinct per key, that no earlier row of their key contains as a substring.
+
+    An earlier text that is dropped itself lies in a still earlier one, so each row is judged alone. A text's rarest run
+    of ``gram`` characters (of all its characters, if it is shorter) in the key finds the texts that may hold it; those are compared. Null
+    texts stay; an empty text stays only as the first of its key. Texts seen first at one place are in the order of their length, longest first.
+    """
+    rows = cut_lineage(texts.withColumn("_id", F.monotonically_increasing_id()))
+    whole = rows.filter(F.col("explanation").isNotNull()).withColumn("_n", F.char_length("explanation"))
+    runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_n") - n + 1), lambda i: F.substring(F.col("explanation"), i, n)))
+    # Lengths of runs that texts of a key are found by: few, since all long texts share one.
+    sizes = whole.select("key", F.least("_n", F.lit(gram)).alias("_l")).distinct()
+    held = whole.join(sizes, "key").filter((F.col("_l") > 0) & (F.col("_n") >= F.col("_l")))
+    grams = cut_lineage(held.select("key", "_id", "_l", (F.col("_l") == F.least("_n", F.lit(gram))).alias("_own"), F.explode(runs(F.col("_l"))).alias("_g")))
+    often = grams.groupBy("key", "_l", "_g").agg(F.count(F.lit(1)).alias("_k"))
+    pick = grams.filter("_own").join(often, ["key", "_l", "_g"]).groupBy("key", "_id", "_l").agg(F.min_by("_g", F.struct("_k", "_g")).alias("_g"))
+    pairs = pick.join(grams.select("key", "_l", "_g", F.col("_id").alias("_in")), ["key", "_l", "_g"]).filter("_id <> _in").select("_id", "_in")
+    of = lambda p, i: whole.select(F.col("_id").alias(i), F.col("explanation").alias(f"{p}t"), F.struct("first_seen", (-F.col("_n")).alias("n"), "_id").alias(f"{p}o"))
+    met = pairs.join(of("a", "_id"), "_id").join(of("b", "_in"), "_in").filter((F.col("bo") < F.col("ao")) & F.contains("bt", "at"))
+    first = rows.groupBy("key").agg(F.min(F.struct("first_seen", (-F.char_length("explanation")).alias("n"), "_id"))["_id"].alias("_id"))
+    empty = rows.filter("explanation = ''").join(first, ["key", "_id"], "left_anti").select("_id")
+    return rows.join(met.select("_id").union(empty).distinct(), "_id", "left_anti").drop("_id")
+
+
+def merge_lists(concepts: DataFrame, fields: list[str], order: str) -> DataFrame:
+    """(key, field, value, position): values of list columns of all rows of a concept, each once, where it was first met."""
+    keyed = concepts.withColumn("key", concept_key(F.col("title"), F.col("kind"), F.col("scope")))
+    long = None
+    for f in fields:
+        part = keyed.select("key", F.lit(f).alias("field"), F.col(order).alias("_o"), F.posexplode(f).alias("_i", "value"))
+        long = part if long is None else long.unionByName(part)
+    met = long.groupBy("key", "field", "value").agg(F.min(F.struct("_o", "_i")).alias("_first"))
+    return ordered_scan(met, ["key", "field"], ["_first", "value"], number="position").select("key", "field", "value", "position")
 
 
 def validate_concepts(candidates: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:

@@ -51,7 +51,14 @@ def c14(t: Tables) -> DataFrame:
 def concepts(t: Tables) -> DataFrame:
     return t.part.select(
         F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.col("p_name"), F.lit(" "))).alias("title"), F.col("p_type").alias("kind"),
-        F.col("p_brand").alias("scope"), F.concat(F.lit("summary "), F.col("p_partkey")).alias("summary"), F.concat(F.lit("size "), F.col("p_size") % 5).alias("explanation"), "p_partkey")
+        F.col("p_brand").alias("scope"), F.concat(F.lit("summary "), F.col("p_partkey")).alias("summary"), _explanation().alias("explanation"), F.array(F.concat(F.lit("size "), F.col("p_size") % 3), F.split("p_type", " ")[0], F.concat(F.lit("size "), F.col("p_size") % 2)).alias("pitfalls"), "p_partkey")
+
+
+def _explanation():
+    """Some mentions say more than others, and some of them what another one holds."""
+    size = F.concat(F.lit("size "), F.col("p_size") % 5)
+    return F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("comes in "), size, F.lit(" or more"))).when(F.col("p_partkey") % 7 == 0, F.lit("")).when(
+        F.col("p_partkey") % 11 == 0, F.lit("or more")).otherwise(size)
 
 
 _KEY = "'k-' || substr(sha256(trim(lower(p_name)) || '|' || lower(p_type) || '|' || lower(p_brand)), 1, 16)"
@@ -63,11 +70,22 @@ def f17(t: Tables) -> DataFrame:
     return nodes.select("key", "kind", "summary", "mentions")
 
 
-@query("f17_explanations", f"SELECT {_KEY} AS key, 'size ' || p_size % 5 AS explanation, min(p_partkey) AS first_seen FROM part GROUP BY 1, 2")
+@query("f17_explanations", f"""
+WITH e AS (SELECT {_KEY} AS key, CASE WHEN p_partkey % 3 = 0 THEN 'comes in size ' || p_size % 5 || ' or more' WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 11 = 0 THEN 'or more' ELSE 'size ' || p_size % 5 END AS explanation, p_partkey FROM part),
+d AS (SELECT key, explanation, min(p_partkey) AS first_seen FROM e GROUP BY 1, 2)
+SELECT * FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.key = a.key AND b.first_seen < a.first_seen AND contains(b.explanation, a.explanation))""")
 def f17_texts(t: Tables) -> DataFrame:
     return gr.merge_concepts(concepts(t), "p_partkey")[1]
 
 
+@query("f17_list_union", f"""
+WITH v AS (SELECT {_KEY} AS key, p_partkey, unnest(range(1, 4)) AS i, unnest(['size ' || p_size % 3, split_part(p_type, ' ', 1), 'size ' || p_size % 2]) AS value FROM part),
+f AS (SELECT key, value, min((p_partkey, i)) AS first_ FROM v GROUP BY 1, 2)
+SELECT key, 'pitfalls' AS field, value, row_number() OVER (PARTITION BY key ORDER BY first_) AS position FROM f""")
+def f17_lists(t: Tables) -> DataFrame:
+    return gr.merge_lists(concepts(t), ["pitfalls"], "p_partkey")
+
+
 def hierarchy(t: Tables) -> DataFrame:
     """region > nation > customer; a few customers name an unknown parent or each other."""
     k = F.col("c_custkey")
