@@ -35,7 +35,7 @@ d1 AS (SELECT doc_id, ln(1.0 + n) AS f1, length(regexp_replace(t, '[^0-9]', '',
   ln(1.0 + n - length(replace(t, chr(10), ''))) AS f4, n FROM d0),
 doc AS (SELECT l.doc_id, quality AS y, toxic, f1, CASE WHEN g > 0 THEN ln(g / (1.0 + n)) END AS f2, f3, f4 FROM labels l JOIN d1 USING (doc_id)),
 """
-_MEANS = ", ".join(f"(sum(sum(f{i})) OVER () - sum(f{i})) / (sum(count(f{i})) OVER () - count(f{i})) AS m{i}" for i in range(1, 5))
+_MEANS = ", ".join(f"coalesce((sum(sum(f{i})) OVER () - coalesce(sum(f{i}), 0)) / nullif(sum(count(f{i})) OVER () - count(f{i}), 0), 0) AS m{i}" for i in range(1, 5))
 
 
 def _folded_sql(folds: int, seed: str) -> str:
@@ -56,7 +56,7 @@ tr AS (SELECT ks.k, f.*, g.* FROM f JOIN ks ON f.fold <> ks.k, g),
 top AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY s DESC, i) AS rn FROM ({score})),
 two AS (SELECT a.k, a.i AS ia, b.i AS ib FROM top a JOIN top b USING (k) WHERE a.rn = 1 AND b.rn = 2),
 rows_ AS MATERIALIZED (SELECT k, y, {pick("ia", "tr.", "mean.")} AS z_0, {pick("ib", "tr.", "mean.")} AS z_1 FROM tr JOIN two USING (k) JOIN mean USING (k)),
-{logistic_cte("fit", "rows_", 2, 12)},
+{logistic_cte("fit", "rows_", 2, 24)},
 te AS (SELECT k, y, w_2 + w_0 * {pick("ia", "f.", "mean.")} + w_1 * {pick("ib", "f.", "mean.")} AS s FROM f JOIN two ON two.k = f.fold JOIN mean USING (k) JOIN fit USING (k)),
 rk AS (SELECT k, y, s, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS r FROM te),
 auc AS (SELECT k, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS roc_auc,
@@ -118,7 +118,7 @@ def d6(t: Tables) -> DataFrame:
 @query("d6_class_importance", f"""
 WITH {_folded_sql(3, "6")},
 rows_ AS MATERIALIZED (SELECT ks.k, y, {", ".join(f"coalesce(f{i}, m{i}) AS z_{i - 1}" for i in range(1, 5))} FROM f JOIN ks ON f.fold <> ks.k JOIN mean USING (k)),
-{logistic_cte("fit", "rows_", 4, 14)},
+{logistic_cte("fit", "rows_", 4, 24)},
 te AS (SELECT fold, doc_id::VARCHAR AS key, y, {", ".join(f"coalesce(f{i}, m{i}) AS v{i}" for i in range(1, 5))} FROM f JOIN mean m ON f.fold = m.k),
 {_drops_sql("w_4 + w_0 * z_0 + w_1 * z_1 + w_2 * z_2 + w_3 * z_3", "avg(CASE WHEN (pred > 0) = (y = 1) THEN 1.0 ELSE 0 END)")}
 SELECT {NAMES_SQL}[place] AS feature, round(avg(m), 6) AS importance_mean, round(avg(s), 6) AS importance_std FROM each_ GROUP BY place""")

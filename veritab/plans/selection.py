@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab.operators import recommend as rec
 from veritab.operators import relevance as rv
 from veritab.operators import selector as sel
 from veritab.operators.neighbours import knn_mutual_information
@@ -320,6 +321,28 @@ def d13_summary(t: Tables) -> DataFrame:
     return got.select("folds", "datasets", *[r(c).alias(c) for c in _MEASURES])
 
 
+@query("d10_recommendation", f"""
+WITH {_EXP},
+ds AS (SELECT dataset_id, label, 's' || (CAST(substr(dataset_id, 2) AS BIGINT) % 4) AS source_hash FROM lab),
+hist AS (SELECT DISTINCT ds.dataset_id, source_hash FROM g JOIN ds ON ds.dataset_id = 'd' || s WHERE f <> 'R' AND label IN ('pearson_abs', 'spearman_abs', 'mutual_info')),
+c AS (SELECT t.dataset_id, count(h.dataset_id) AS n FROM ds t LEFT JOIN hist h ON h.dataset_id <> t.dataset_id AND h.source_hash <> t.source_hash GROUP BY 1),
+o AS (SELECT dataset_id, method, avg(cv + 0.1 * coalesce(st, 0)) AS objective FROM evj WHERE j IS NOT NULL AND method IN ('pearson_abs', 'spearman_abs', 'mutual_info') GROUP BY 1, 2),
+b AS (SELECT dataset_id, arg_min(method, (-objective, list_position(['pearson_abs', 'spearman_abs', 'mutual_info'], method))) AS best, max(objective) AS objective FROM o GROUP BY 1)
+SELECT dataset_id, best AS measured_best_method, round(objective, 9) AS objective, n AS historical_datasets,
+  CASE WHEN n >= 3 THEN 'historical_meta_selector' ELSE 'cold_start_grouped_cv' END AS mode FROM b JOIN c USING (dataset_id)""")
+def d10_recommendation(t: Tables) -> DataFrame:
+    """For every dataset: the best method measured on it, and whether the others' history suffices to learn from."""
+    records, (_, labels, _) = experience(t), selector_parts(t)
+    source = F.concat(F.lit("s"), F.expr("cast(substring(dataset_id, 2) as bigint) % 4"))
+    history = records.join(labels, "dataset_id").select("dataset_id", source.alias("source_hash"), F.when(F.col("flag") == "R", "V").otherwise("E").alias("evidence_purpose"), F.col("label").alias("selected_method"))
+    counts = rec.history_counts(history, labels.select("dataset_id", source.alias("source_hash")))
+    ev = records.select("dataset_id", F.explode("evaluations").alias("raw", "e")).withColumn("method", rv.normalize_method(F.col("raw"))).filter("method is not null and not isnan(e.cv_score_mean)")
+    objective = F.avg(F.col("e.cv_score_mean") + 0.1 * F.coalesce("e.stability_jaccard", F.lit(0.0)))
+    best = rec.measured_best(ev.groupBy("dataset_id", "method").agg(objective.alias("objective")), ["dataset_id"])
+    mode = F.when(F.col("historical_datasets") >= rec.LEAST_DATASETS, "historical_meta_selector").otherwise("cold_start_grouped_cv")
+    return best.join(counts, "dataset_id").select("dataset_id", "measured_best_method", r("objective", 9).alias("objective"), "historical_datasets", mode.alias("mode"))
+
+
 @query("e19_best_method", f"""
 WITH {_EXP}
 SELECT dataset_id, arg_min(method, (-j, -cv, -coalesce(stability, 0), runtime_sec, method)) AS method, round(max(j), 9) AS j FROM per GROUP BY 1""")

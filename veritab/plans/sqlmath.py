@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+LONGEST_STEP = 2.0
+
+
 def solve_cte(name: str, source: str, n: int) -> str:
     """CTEs ending in ``name``: the rows of ``source`` (a_i_j, b_i, other columns) with x_i of the n equations a x = b."""
     parts, last = [], source
@@ -32,6 +35,8 @@ def logistic_cte(name: str, rows: str, n: int, steps: int, c: float = 1.0) -> st
         sums += [f"any_value(w_{i}) AS w_{i}" for i in range(n + 1)]
         parts.append(f"{name}_g{t} AS MATERIALIZED (SELECT k, {', '.join(sums)} FROM (SELECT r.*, w.* EXCLUDE (k), 1 / (1 + exp(-({line}))) AS p FROM {rows} r JOIN {name}_w{t} w USING (k)) GROUP BY k)")
         parts.append(solve_cte(f"{name}_s{t}", f"{name}_g{t}", n + 1))
-        parts.append(f"{name}_w{t + 1} AS MATERIALIZED (SELECT k, {', '.join(f'w_{i} - x_{i} AS w_{i}' for i in range(n + 1))} FROM {name}_s{t})")
+        # Long steps are shortened: far from the optimum a full one may overshoot.
+        share = f"least(1, {LONGEST_STEP} / greatest(1e-300, {', '.join(f'abs(x_{i})' for i in range(n + 1))}))"
+        parts.append(f"{name}_w{t + 1} AS MATERIALIZED (SELECT k, {', '.join(f'w_{i} - x_{i} * {share} AS w_{i}' for i in range(n + 1))} FROM {name}_s{t})")
     parts.append(f"{name} AS (SELECT * FROM {name}_w{steps})")
     return ",\n".join(parts)
