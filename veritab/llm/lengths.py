@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.llm import tokens
+from veritab.llm.links import stored
 
 # Lengths per slice of the order; running sums go over slices first, then inside each.
 SLICE = 1024
@@ -34,7 +35,8 @@ def length_histogram(docs: DataFrame, text_col: str = "text", *, path: str | Non
     rows count as often as they occur; an empty table gives no row. Other columns are ignored.
     """
     made = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts(path or tokens.default_path()), "n_tokens long, n_docs long")
-    hist = made.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("slice", F.floor(F.col("n_tokens") / SLICE))
+    # Stored, since sums per slice and rows both read it: the corpus is encoded once.
+    hist = stored(made.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("slice", F.floor(F.col("n_tokens") / SLICE)))
     size = F.col("n_tokens") * F.col("n_docs")
     later = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
