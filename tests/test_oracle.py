@@ -21,7 +21,7 @@ def con():
 WITHOUT_SQL = {
     "a4_experience_store", "a5_artifact_manifest", "c11_distance_correlation_continuous", "d10_group_folds",
     "d10_grouped_recommendation", "d12_meta_selector", "d13_forest_report", "d25_quality_regressor", "d5_class_information", "d9_language_accuracy",
-    "e14_acquisition_plan", "e8_freeze_selection", "f20_backbone", "f8_structure_stability",
+    "e8_freeze_selection", "f20_backbone", "f8_structure_stability",
     "g1_overlap_chunks", "g2_section_chunks", "g4_line_packing",
 }
 

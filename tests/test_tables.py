@@ -191,36 +191,52 @@ def test_rotation_and_freeze_brute_force(spark):
     assert got == want and short == 50 - len(want)
 
 
-@pytest.mark.parametrize("fetch", [1, 3, 1000])
-def test_acquisition_skips_and_continues(spark, fetch):
+def test_acquisition_skips_and_continues(spark):
     rows = [(f"o{i}", c, False, 10.0 - i, 10.0 - i) for i, c in enumerate([5.0, 4.0, 1.0])]
     df = spark.createDataFrame(rows, "obs string, cost double, near_boundary boolean, divergence double, heuristic double")
-    got = {r["obs"]: r["state"] for r in aq.acquisition_plan(df, 5, 6.0, fetch).collect()}
+    got = {r["obs"]: r["state"] for r in aq.acquisition_plan(df, 5, 6.0).collect()}
     assert got == {"o0": "selected", "o1": "over_budget", "o2": "selected"}
 
 
-def test_acquisition_brute_force(spark):
+@pytest.mark.parametrize(("limit", "budget", "bits"), [(12, 30.0, 16), (1000, 30.0, 3), (1000, 75.5, 4), (5, None, 3), (0, 9.0, 3), (1000, 0.0, 3)])
+def test_acquisition_brute_force(spark, monkeypatch, limit, budget, bits):
+    monkeypatch.setattr(aq, "_BLOCK_BITS", bits)
     random.seed(5)
-    rows = [(f"o{i:03d}", random.choice([None, 1.0, 2.5, 4.0, 9.0]), random.random() < 0.5, random.choice([None, 0.0, 1.0, 2.0, 3.0])) for i in range(120)]
-    full = [(o, c, n, d, None if d is None or c is None else d / c) for o, c, n, d in rows]
+    rows = [(f"o{i:03d}", random.choice([None, 0.0, 0.25, 1.0, 2.5, 4.0, 9.0, 29.5]), random.random() < 0.5, random.choice([None, 0.0, 1.0, 2.0, 3.0])) for i in range(120)]
+    full = [(o, c, n, d, None if d is None or not c else d / c) for o, c, n, d in rows]
     df = spark.createDataFrame(full, "obs string, cost double, near_boundary boolean, divergence double, heuristic double")
     order = sorted(full, key=lambda e: (e[4] is None, -(e[4] or 0.0), e[1] is None, not e[2], e[0]))
     want, spent, taken = {}, 0.0, 0
     for o, c, _, d, _h in order:
         if d is None:
-            want[o] = "undetermined"
+            want[o] = ("undetermined", None)
         elif c is None:
-            want[o] = "unknown_cost"
-        elif taken >= 12:
-            want[o] = "over_limit"
-        elif spent + c > 30 + 1e-12:
-            want[o] = "over_budget"
+            want[o] = ("unknown_cost", None)
+        elif taken >= limit:
+            want[o] = ("over_limit", None)
+        elif budget is not None and spent + c > budget + 1e-12:
+            want[o] = ("over_budget", None)
         else:
-            want[o], spent, taken = "selected", spent + c, taken + 1
-    got = {r["obs"]: r["state"] for r in aq.acquisition_plan(df, 12, 30.0, fetch=4).collect()}
+            want[o], spent, taken = ("selected", taken), spent + c, taken + 1
+    got = {r["obs"]: (r["state"], r["position"]) for r in aq.acquisition_plan(df, limit, budget).collect()}
     assert got == want
 
 
+def test_acquisition_rounds_follow_the_budget(spark, monkeypatch):
+    """Tiny entries between ones that just do not fit any more: an entry a round would take hundreds of rounds."""
+    rounds, plain = [], aq._running
+    monkeypatch.setattr(aq, "_running", lambda *a: rounds.append(1) or plain(*a))
+    costs = [c for i in range(200) for c in (0.001, 10.0 - 0.001 * i - 0.0005)]
+    df = spark.createDataFrame([(i, c, False, 1.0, 1000.0 - i) for i, c in enumerate(costs)], "obs int, cost double, near_boundary boolean, divergence double, heuristic double")
+    got = aq.acquisition_plan(df, 10_000, 10.0).filter("state = 'selected'")
+    spent, want = 0.0, []
+    for i, c in enumerate(costs):
+        if spent + c <= 10.0 + 1e-12:
+            spent, want = spent + c, [*want, i]
+    assert [r["obs"] for r in got.orderBy("position").collect()] == want
+    assert len(rounds) <= 16
+
+
 def test_divergence_needs_two_values(spark):
     pred = spark.createDataFrame([("a", "h1", 1.0), ("a", "h2", 1.0), ("b", "h1", 2.0), ("b", "h2", None)], "obs string, hyp string, value double")
     obs = spark.createDataFrame([("a", 2.0, True), ("b", 1.0, False), ("c", None, False)], "obs string, cost double, near_boundary boolean")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.ordered import ordered_scan
@@ -35,45 +37,62 @@ def divergence_report(entries: DataFrame) -> DataFrame:
     return entries.select("obs", kind.alias("kind"), F.col("cost").isNull().alias("unknown_cost"))
 
 
-def acquisition_plan(entries: DataFrame, max_items: int, budget: float | None = None, fetch: int = 1000) -> DataFrame:
-    """(obs, position, rank, state): the greedy plan that skips what no longer fits and goes on.
+# Ranks per block of the running sums below.
+_BLOCK_BITS = 16
+
+
+def _running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Running sums by ``rank``: inside blocks of consecutive ranks, with the sums of the blocks before."""
+    placed = rows.withColumn("_b", F.shiftright("rank", _BLOCK_BITS))
+    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(F.col("_b").alias("_k")).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    totals = totals.select("_k", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_c_{o}") for o in sums])
+    inside = Window.partitionBy("_b").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(totals, F.col("_b") == F.col("_k")).select(
+        *rows.columns, *[(F.sum(c).over(inside) + F.col(f"_c_{o}")).alias(o) for o, c in sums.items()])
+
+
+def acquisition_plan(entries: DataFrame, max_items: int, budget: float | None = None) -> DataFrame:
+    """Entries with (rank, position, state): the greedy plan that skips what no longer fits and goes on.
 
-    Entries are ranked in parallel. The money left only falls, so an entry too
-    dear now is out for good: the next fetch asks for the best ranked entries
-    that still fit, and a fetch of bounded size is walked on the driver. Each
-    fetch takes at least one item, so there are at most ``max_items`` of them.
+    Each round settles all ranks up to a halt. Entries dearer than half of the money left are large: until one of them
+    fits, only small ones are taken, and these fit for as long as they cost no more than that half together. The halt is
+    the first large entry that fits, the small one that passes the half, or the last one the limit allows; whichever it
+    is, at most half of the money stays. So the rounds are as many as the budget can be halved before
+    it falls below the least positive cost, and one row a round reaches the driver. Costs are not negative.
     """
     determined = F.col("heuristic").isNotNull()
     order = [F.when(determined, 0).otherwise(1).alias("_o1"), F.coalesce(-F.col("heuristic"), F.lit(0.0)).alias("_o2"),
              F.when(F.col("cost").isNotNull(), 0).otherwise(1).alias("_o3"), F.when(F.col("near_boundary"), 0).otherwise(1).alias("_o4")]
     keyed = entries.select("*", *order)
     ranked = cut_lineage(ordered_scan(keyed, [], ["_o1", "_o2", "_o3", "_o4", "obs"], number="rank").drop("_o1", "_o2", "_o3", "_o4"))
-    usable = ranked.filter(F.col("divergence").isNotNull() & F.col("cost").isNotNull())
-    picked: list[tuple] = []
-    spent, at, last = 0.0, 0, None
-    while len(picked) < max_items:
-        fits = usable.filter(F.col("rank") > at)
-        if budget is not None:
-            fits = fits.filter(F.lit(spent) + F.col("cost") <= budget + TOLERANCE)
-        rows = fits.orderBy("rank").limit(fetch).select("obs", "rank", "cost").collect()
-        for row in rows:
-            at = row["rank"]
-            if budget is not None and spent + row["cost"] > budget + TOLERANCE:
-                continue
-            picked.append((row["obs"], len(picked)))
-            spent += row["cost"]
-            if len(picked) >= max_items:
-                last = row["rank"]
-                break
-        if len(rows) < fetch:
+    usable = F.col("divergence").isNotNull() & F.col("cost").isNotNull()
+    most = math.inf if budget is None else budget + TOLERANCE
+    spent, room, at, last, taken = 0.0, max_items, 0, 0, F.lit(False)
+    while room > 0:
+        half = F.lit((most - spent) / 2)
+        small = F.col("cost") <= half
+        live = ranked.filter(usable & (F.col("rank") > at) & (F.lit(spent) + F.col("cost") <= most)).select(
+            "rank", "cost", small.alias("small"), F.when(small, F.col("cost")).otherwise(0.0).alias("_paid"), small.cast("long").alias("_one"))
+        halts = _running(live, {"paid": "_paid", "count": "_one"}).filter(F.when(
+            F.col("small"), (F.col("paid") > half) | (F.col("count") >= room)).otherwise(F.lit(spent) + F.col("paid") + F.col("cost") <= most))
+        halt = halts.agg(F.min(F.struct("rank", "paid", "count", "cost", "small")).alias("halt")).first()["halt"]
+        settled = F.col("rank") > at
+        if halt is None:
+            taken = taken | (settled & small)
+            last = None
             break
-    chosen = entries.sparkSession.createDataFrame(picked, f"obs {dict(entries.dtypes)['obs']}, position int")
-    j = ranked.join(chosen, "obs", "left")
+        taken = taken | (settled & (F.col("rank") <= halt["rank"]) & (small | (F.col("rank") == halt["rank"])))
+        at = last = halt["rank"]
+        spent += halt["paid"] + (0.0 if halt["small"] else halt["cost"])
+        room -= halt["count"] + (0 if halt["small"] else 1)
+    marked = ranked.withColumn("_taken", F.coalesce(usable & taken, F.lit(False))).withColumn("_one", F.col("_taken").cast("long"))
     over_limit = F.lit(False) if last is None else F.col("rank") > last
     state = (
-        F.when(F.col("position").isNotNull(), "selected").when(F.col("divergence").isNull(), "undetermined")
+        F.when(F.col("_taken"), "selected").when(F.col("divergence").isNull(), "undetermined")
         .when(F.col("cost").isNull(), "unknown_cost").when(over_limit, "over_limit").otherwise("over_budget"))
-    return j.withColumn("state", state)
+    return _running(marked, {"_nth": "_one"}).withColumn("state", state).withColumn(
+        "position", F.when(F.col("_taken"), F.col("_nth") - 1).cast("int")).drop("_taken", "_one", "_nth")
 
 
 def plan_requests(plan: DataFrame, by_observation: DataFrame, by_purpose: DataFrame, default: str | None, max_requests: int | None = None) -> DataFrame:

@@ -205,7 +205,13 @@ def e13_report(t: Tables) -> DataFrame:
     return aq.divergence_report(_divergence(t)).groupBy("kind", "unknown_cost").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e14_acquisition_plan")
+@query("e14_acquisition_plan", f"""
+WITH RECURSIVE {_DIV}, k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY heuristic IS NULL, heuristic DESC, cost IS NULL, NOT near_boundary, obs) AS rank FROM dv),
+u AS MATERIALIZED (SELECT rank, cost FROM k WHERE divergence IS NOT NULL AND cost IS NOT NULL),
+p AS (SELECT -1 AS position, 0::BIGINT AS rank, 0.0::DOUBLE AS spent UNION ALL
+  SELECT position + 1, min(u.rank), spent + arg_min(cost, u.rank) FROM p JOIN u ON u.rank > p.rank AND spent + cost <= 3000 + 1e-12 WHERE position < 39 GROUP BY position, spent)
+SELECT obs, p.position, k.rank, CASE WHEN p.position IS NOT NULL THEN 'selected' WHEN divergence IS NULL THEN 'undetermined' WHEN cost IS NULL THEN 'unknown_cost'
+  WHEN k.rank > (SELECT max(rank) FROM p WHERE position = 39) THEN 'over_limit' ELSE 'over_budget' END AS state FROM k LEFT JOIN p ON p.rank = k.rank""")
 def e14(t: Tables) -> DataFrame:
     return aq.acquisition_plan(_divergence(t), 40, 3000.0).select("obs", "position", "rank", "state")
 
