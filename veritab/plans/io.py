@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from veritab.plans.selection import experience
 from veritab.session import cut_lineage
 from veritab.sources import readers, sinks
 from veritab.sources.sealed import Rejected, SealedStore
+from veritab.sources.tree import local_path, scan_tree
 from veritab.streaming import gap
 
 
@@ -161,6 +165,41 @@ def a8_gate(t: Tables) -> DataFrame:
     return conflicts.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _write_files(root: str):
+    """Tasks write each row's bytes under its path; a repeated task writes the same files again."""
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                part = f"{full}.{uuid.uuid4().hex}"
+                with open(part, "wb") as file:
+                    file.write(content)
+                os.replace(part, full)
+            yield batch[["path"]]
+    return run
+
+
+@query("a7_tree_walk", """
+WITH f AS (SELECT source || '/' || CASE doc_id % 11 WHEN 0 THEN 'node_modules/m' WHEN 1 THEN '.hidden' WHEN 2 THEN 'src/deep/er' WHEN 3 THEN 'src' ELSE 'pkg' || doc_id % 40 END || '/' || doc_id
+    || CASE WHEN doc_id % 5 = 0 THEN '.bin' WHEN doc_id % 3 = 0 THEN '.PY' ELSE '.md' END AS path, doc_id, text AS t, doc_id % 11 > 1 AND doc_id % 5 > 0 AS seen FROM documents),
+j AS (SELECT path, t, CASE WHEN octet_length(encode(t)) + (CASE WHEN doc_id % 13 = 0 THEN 1 WHEN doc_id % 17 = 0 THEN 3 ELSE 0 END) > 4000 THEN 'file exceeds the size limit'
+    WHEN doc_id % 13 = 0 THEN 'not readable UTF-8' END AS reason FROM f WHERE seen)
+SELECT path, CASE WHEN reason IS NULL THEN sha256(t) END AS sha256, CASE WHEN reason IS NULL THEN length(t) END AS n_chars, reason FROM j""")
+def a7_tree(t: Tables) -> DataFrame:
+    """Documents as files of real folders (some skipped, some not text, some too long), walked again."""
+    root = local_path(t.scratch("tree"))
+    rest = F.col("doc_id") % 11
+    folder = F.when(rest == 0, "node_modules/m").when(rest == 1, ".hidden").when(rest == 2, "src/deep/er").when(rest == 3, "src").otherwise(
+        F.concat(F.lit("pkg"), F.col("doc_id") % 40))
+    suffix = F.when(F.col("doc_id") % 5 == 0, ".bin").when(F.col("doc_id") % 3 == 0, ".PY").otherwise(".md")
+    text = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % 13 == 0, F.concat(text, F.lit(b"\xff"))).when(F.col("doc_id") % 17 == 0, F.concat(F.lit(b"\xef\xbb\xbf"), text)).otherwise(text)
+    files = t.documents.select(F.concat(F.concat_ws("/", "source", folder, "doc_id"), suffix).alias("path"), content.alias("content"))
+    files.mapInPandas(_write_files(root), "path string").write.format("noop").mode("overwrite").save()
+    return scan_tree(t.spark, root, [".py", ".md"], max_bytes=4000).select("path", "sha256", F.col("n_chars").cast("long").alias("n_chars"), "reason")
+
+
 @query("e1_gap_filter_stream", f"WITH {learner._GAP} SELECT event_id, user_id, t, CAST(gap AS BIGINT) AS gap, 'kept' AS outcome FROM kept UNION ALL SELECT event_id, user_id, t, CAST(gap AS BIGINT), 'too_fast' FROM gapped WHERE gap < {learner.MIN_GAP}")
 def e1_stream(t: Tables) -> DataFrame:
     """The same filter as a stateful stream over clean events in time order."""

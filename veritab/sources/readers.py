@@ -14,6 +14,7 @@ from veritab.functions.exprs import is_finite
 DEFAULT_EVENT_TIME = "2026-01-01T00:00:00+00:00"
 FIRST_DATA_ROW = 2
 TOO_LONG = "file exceeds the size limit"
+NOT_UTF8 = "not readable UTF-8"
 
 
 def _blank(col: Column) -> Column:
@@ -108,14 +109,18 @@ def scan_text_files(spark: SparkSession, path: str, suffixes: Sequence[str] | No
     return texts, files.filter(F.col("length") > max_bytes).select("path", F.lit(TOO_LONG).alias("reason")).unionByName(bad)
 
 
+def decoded(content: Column) -> Column:
+    """Text of UTF-8 bytes without a leading byte order mark."""
+    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+
+
 def ingest_texts(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, sha256, n_chars, content) and (path, reason) from (path, content binary)."""
     too_long = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
     reason = F.when(too_long, TOO_LONG).when(
-        ~F.is_valid_utf8(F.col("content").cast("string")), "not readable UTF-8")
+        ~F.is_valid_utf8(F.col("content").cast("string")), NOT_UTF8)
     tagged = files.withColumn("reason", reason)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    good = tagged.filter(F.col("reason").isNull()).select("path", text.alias("content"))
+    good = tagged.filter(F.col("reason").isNull()).select("path", decoded(F.col("content")).alias("content"))
     return (
         good.select("path", F.sha2(F.col("content"), 256).alias("sha256"), F.length("content").alias("n_chars"), "content"),
         tagged.filter(F.col("reason").isNotNull()).select("path", "reason"),
