@@ -379,17 +379,40 @@ def test_table_digest_ignores_order_and_partitions(spark):
     assert one["digest"] != sinks.table_digest(df.filter("id > 0"), "d").first()["digest"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch_out_of_order(spark, tmp_path):
     random.seed(6)
-    rows = sorted((f"u{random.randrange(4)}", random.randrange(2000), i) for i in range(200))
-    schema = "user_id string, t long, event_id long"
-    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t"))
-    for lo, hi in ((0, 700), (700, 1400), (1400, 2000)):
+    rows = [(random.choice(["hot", "hot", "u1", "u2", "u3"]), random.randrange(1, 2000), i, None if i % 7 == 0 else "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "user_id string, t long, event_id long, note string").withColumn("ts", F.timestamp_seconds("t"))
+    arrival = sorted(rows, key=lambda row: row[1] + (row[2] * 37) % 300)
+    for i in range(0, 300, 60):
+        part = spark.createDataFrame(arrival[i:i + 60], "user_id string, t long, event_id long, note string")
+        part.withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: gap.run_gap_stream(
+        spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"), 20, ["event_id"], 1, delay="300 seconds")
+    part = run().count()
+    # What the watermark has not passed waits in the state, in order and whole, for the next run.
+    assert 0 < part < 300
+    gap.closing_row(df, 400).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in run().select("event_id", "t", "gap", "outcome", F.coalesce("note", F.lit("-"))).collect())
+    kept, fast = ev.gap_filter(df, 20, ["event_id"])
+    columns = ["event_id", "t", "gap", F.coalesce("note", F.lit("-"))]
+    want = [(*r[:3], "kept", r[3]) for r in kept.select(*columns).collect()] + [(*r[:3], "too_fast", r[3]) for r in fast.select(*columns).collect()]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("forget", [None, 100])
+def test_stream_state_shrinks(spark, tmp_path, forget):
+    rows = [(f"u{i}", 100 + t, i * 10 + t) for i in range(5) for t in (0, 5, 50)] + [("u0", 5000, 900), ("u9", 9000, 901)]
+    df = spark.createDataFrame(rows, "user_id string, t long, event_id long").withColumn("ts", F.timestamp_seconds("t"))
+    for lo, hi in ((0, 1000), (1000, 6000), (6000, 10_000)):
         df.filter(f"t >= {lo} and t < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = gap.run_gap_stream(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"), 20, ["event_id"], 1)
-    kept, _ = ev.gap_filter(df, 20, ["event_id"])
-    assert {r["event_id"] for r in out.filter("outcome = 'kept'").collect()} == {r["event_id"] for r in kept.collect()}
-    assert out.count() == 200
+    out = gap.run_gap_stream(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"), 20, ["event_id"], 1, "10 seconds", forget)
+    got = {r["event_id"]: (r["gap"], r["outcome"]) for r in out.collect()}
+    assert got[5] == (5, "too_fast") and got[50] == (45, "kept") and 901 not in got
+    assert got[900] == ((4850, "kept") if forget is None else (None, "kept"))
+    state = lambda name: spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", name).load().count()
+    assert state("open") == 1 and state("last") == (5 if forget is None else 0)
+
 
 
 def test_pages_of_many_headings_and_labels_are_one_fold(spark):

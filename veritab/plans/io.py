@@ -202,16 +202,15 @@ def a7_tree(t: Tables) -> DataFrame:
 
 @query("e1_gap_filter_stream", f"WITH {learner._GAP} SELECT event_id, user_id, t, CAST(gap AS BIGINT) AS gap, 'kept' AS outcome FROM kept UNION ALL SELECT event_id, user_id, t, CAST(gap AS BIGINT), 'too_fast' FROM gapped WHERE gap < {learner.MIN_GAP}")
 def e1_stream(t: Tables) -> DataFrame:
-    """The same filter as a stateful stream over clean events in time order."""
+    """The same filter as a stateful stream over clean events that come out of order by up to an hour."""
     source = t.scratch("clean")
     clean = learner._clean(t).withColumn("ts", F.timestamp_seconds("t"))
-    # Four batches in time order; the file source reads the oldest file first.
-    span = clean.agg(F.struct(F.min("t").alias("lo"), ((F.max("t") - F.min("t") + 1) / 4).alias("w")).alias("s"))
-    batch = F.floor((F.col("t") - F.col("_s.lo")) / F.col("_s.w"))
-    tagged = cut_lineage(clean.withColumn("_s", span.scalar()).withColumn("_b", batch).drop("_s"))
+    # Four batches by arrival, each event up to an hour late; the file source reads the oldest file first.
+    arrival = F.col("t") + F.pmod(F.xxhash64("event_id"), F.lit(3600))
+    span = clean.agg(F.struct(F.min("t").alias("lo"), ((F.max("t") - F.min("t") + 3600) / 4).alias("w")).alias("s"))
+    tagged = cut_lineage(clean.withColumn("_s", span.scalar()).withColumn("_b", F.floor((arrival - F.col("_s.lo")) / F.col("_s.w"))).drop("_s"))
     for i in range(4):
         tagged.filter(F.col("_b") == i).drop("_b").write.mode("append").parquet(source)
-    return gap.run_gap_stream(t.spark, source, clean.schema, t.scratch("out"), t.scratch("state"), learner.MIN_GAP, learner.TIES).select(
+    gap.closing_row(clean, 7200).write.mode("append").parquet(source)
+    return gap.run_gap_stream(t.spark, source, clean.schema, t.scratch("out"), t.scratch("state"), learner.MIN_GAP, learner.TIES, delay="1 hour").select(
         "event_id", "user_id", "t", "gap", "outcome")
-
-

@@ -1,4 +1,4 @@
-"""Gap filter as a stateful stream: one stored number per user, the last event time."""
+"""Gap filter as a stateful stream: open rows wait for the watermark, then one time per user is kept."""
 
 from __future__ import annotations
 
@@ -6,51 +6,107 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# Stores lists and timers beside values.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CLASS = "spark.sql.streaming.stateStore.providerClass"
 
-def gap_stream(events: DataFrame, min_gap: int, ties: list[str], delay: str = "30 minutes") -> DataFrame:
-    """Events with ``gap`` and ``outcome`` (kept, too_fast or late) per user.
 
-    ``events`` is a streaming frame with user_id, t and an event-time column ts.
-    Rows behind the watermark never reach the state; a row older than the user's
-    stored time inside the watermark is marked late and changes nothing.
-    """
-    columns = [f.name for f in events.schema.fields if f.name != "ts"]
-    out = T.StructType([f for f in events.schema.fields if f.name != "ts"] + [
-        T.StructField("gap", T.LongType()), T.StructField("outcome", T.StringType())])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", *ties], kind="stable")
-        last = state.get[0] if state.exists else None
-        late = (rows["t"] < last) if last is not None else pd.Series(False, index=rows.index)
-        live = rows[~late]
-        previous = live["t"].shift(1)
-        if last is not None and len(live):
+class _Gaps(StatefulProcessor):
+    """Per user: rows the watermark has not passed, and the time of the last row that it has."""
+
+    def __init__(self, row: T.StructType, min_gap: int, ties: list[str], forget: int | None):
+        self.row, self.min_gap, self.ties, self.forget = row, min_gap, ties, forget
+        self.columns = [f.name for f in row.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", self.row)
+        self.last = handle.getValueState("last", T.StructType([T.StructField("t", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            part = part[self.columns].astype(object)
+            self.open.appendList([tuple(r) for r in part.where(part.notna(), None).itertuples(index=False, name=None)])
+            # One timer per user and second at which a row gets settled; a timer set twice is one timer.
+            for t in part["t"].unique():
+                self.handle.registerTimer(int(t) * 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.open.get()) if self.open.exists() else [], columns=self.columns)
+        settled = rows["t"].astype("int64") * 1000 <= passed
+        done = rows[settled].sort_values(["t", *self.ties], kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
+        if len(done):
+            # All rows the watermark has passed go at once; the timers of later seconds find nothing left to do.
+            rest = rows[~settled]
+            self.open.clear()
+            if len(rest):
+                self.open.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
+            previous = done["t"].shift(1)
             previous.iloc[0] = last
-        if len(live):
-            state.update((int(live["t"].max()),))
-        gap = (live["t"] - previous).astype("Int64")
-        outcome = gap.lt(min_gap).fillna(False).map({True: "too_fast", False: "kept"})
-        done = live[columns].assign(gap=gap, outcome=outcome)
-        yield pd.concat([done, rows.loc[late, columns].assign(gap=pd.NA, outcome="late")]) if late.any() else done
+            gap = done["t"] - previous
+            outcome = gap.lt(self.min_gap).map({True: "too_fast", False: "kept"})
+            gap = pd.Series([None if pd.isna(g) else int(g) for g in gap], index=done.index, dtype=object)
+            last = int(done["t"].iloc[-1])
+            self.last.update((last,))
+            if self.forget is not None:
+                self.handle.registerTimer((last + self.forget) * 1000)
+            yield done.assign(gap=gap, outcome=outcome)
+        elif self.forget is not None and last is not None and (last + self.forget) * 1000 <= passed:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
 
-    return events.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(
-        step, out, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.NoTimeout)
+
+def gap_stream(events: DataFrame, min_gap: int, ties: list[str], delay: str = "30 minutes", forget: int | None = None) -> DataFrame:
+    """Events with ``gap`` and ``outcome`` (kept or too_fast) per user, each once the watermark has passed it.
+
+    ``events`` is a streaming frame with user_id, t (epoch seconds) and ts, the same as an event-time column. Rows may come in any
+    order within ``delay`` and the result is the batch filter's; rows behind the watermark are dropped by Spark.
+    The state holds rows of the last ``delay`` and one time per user. With ``forget`` (seconds, at least ``min_gap``) that time goes
+    too when a user stays away so long; the next event then counts as the user's first (kept, as before, but without a gap).
+    Needs the state store of ``PROVIDER``.
+    """
+    if forget is not None and forget < min_gap:
+        raise ValueError("forget must be at least min_gap")
+    row = T.StructType([f for f in events.schema.fields if f.name != "ts"])
+    out = T.StructType([*row.fields, T.StructField("gap", T.LongType()), T.StructField("outcome", T.StringType())])
+    return events.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(
+        _Gaps(row, min_gap, ties, forget), out, "append", "eventTime")
 
 
 def run_gap_stream(
     spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, min_gap: int, ties: list[str],
-    files_per_batch: int = 8,
+    files_per_batch: int = 8, delay: str = "30 minutes", forget: int | None = None,
 ) -> DataFrame:
-    """Run the stream over the files of a folder, oldest first, and read the result."""
+    """Run the stream over the files of a folder, oldest first, and read the result.
+
+    Rows that the watermark has not passed stay in the state for the next run; ``closing_row`` ends a finite input.
+    """
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    flow = gap_stream(events, min_gap, ties).writeStream.format("parquet").option("path", target).option(
-        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    before = spark.conf.get(_CLASS)
+    spark.conf.set(_CLASS, PROVIDER)
+    try:
+        flow = gap_stream(events, min_gap, ties, delay, forget).filter(F.col("user_id").isNotNull()).writeStream.format("parquet").option(
+            "path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_CLASS, before)
     flow.awaitTermination()
     return spark.read.parquet(target)
 
 
-__all__ = ["gap_stream", "run_gap_stream"]
+def closing_row(events: DataFrame, seconds: int) -> DataFrame:
+    """One row of no user that lies ``seconds`` (more than the stream's delay) after all others and moves the watermark past them."""
+    end = events.agg((F.max("t") + seconds).alias("t")).select("t", F.timestamp_seconds("t").alias("ts"))
+    kinds = dict(events.dtypes)
+    return end.select(*[F.col(c) if c in ("t", "ts") else F.lit(None).cast(kinds[c]).alias(c) for c in events.columns])
+
 
+__all__ = ["closing_row", "gap_stream", "run_gap_stream"]
