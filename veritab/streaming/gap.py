@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +14,35 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 # Stores lists and timers beside values.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# User id of the row that ends a finite input.
+CLOSING = ""
 _CLASS = "spark.sql.streaming.stateStore.providerClass"
 
 
+# A stored row is one value that is never null, whatever its columns hold.
+_ROW = T.StructType([T.StructField("row", T.BinaryType())])
+
+
+def _stored(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    return [(pickle.dumps(r),) for r in rows.itertuples(index=False, name=None)]
+
+
 class _Gaps(StatefulProcessor):
     """Per user: rows the watermark has not passed, and the time of the last row that it has."""
 
     def __init__(self, row: T.StructType, min_gap: int, ties: list[str], forget: int | None):
-        self.row, self.min_gap, self.ties, self.forget = row, min_gap, ties, forget
+        self.min_gap, self.ties, self.forget = min_gap, ties, forget
         self.columns = [f.name for f in row.fields]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", self.row)
+        self.open = handle.getListState("open", _ROW)
         self.last = handle.getValueState("last", T.StructType([T.StructField("t", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            part = part[self.columns].astype(object)
-            self.open.appendList([tuple(r) for r in part.where(part.notna(), None).itertuples(index=False, name=None)])
+            whole = part[self.columns].astype(object)
+            self.open.appendList(_stored(whole.where(whole.notna(), None)))
             # One timer per user and second at which a row gets settled; a timer set twice is one timer.
             for t in part["t"].unique():
                 self.handle.registerTimer(int(t) * 1000)
@@ -38,26 +50,26 @@ class _Gaps(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.open.get()) if self.open.exists() else [], columns=self.columns)
+        rows = pd.DataFrame([pickle.loads(r[0]) for r in self.open.get()] if self.open.exists() else [], columns=self.columns, dtype=object)
         settled = rows["t"].astype("int64") * 1000 <= passed
-        done = rows[settled].sort_values(["t", *self.ties], kind="stable")
+        done = rows[settled]
+        order = ["t", *self.ties]
+        done = done.loc[done[order].convert_dtypes().sort_values(order, kind="stable", na_position="first").index]
         last = self.last.get()[0] if self.last.exists() else None
         if len(done):
             # All rows the watermark has passed go at once; the timers of later seconds find nothing left to do.
             rest = rows[~settled]
             self.open.clear()
             if len(rest):
-                self.open.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
-            previous = done["t"].shift(1)
-            previous.iloc[0] = last
-            gap = done["t"] - previous
-            outcome = gap.lt(self.min_gap).map({True: "too_fast", False: "kept"})
-            gap = pd.Series([None if pd.isna(g) else int(g) for g in gap], index=done.index, dtype=object)
-            last = int(done["t"].iloc[-1])
+                self.open.put(_stored(rest))
+            times = [last, *done["t"].tolist()]
+            gap = [None if a is None else b - a for a, b in pairwise(times)]
+            outcome = ["too_fast" if g is not None and g < self.min_gap else "kept" for g in gap]
+            last = times[-1]
             self.last.update((last,))
             if self.forget is not None:
                 self.handle.registerTimer((last + self.forget) * 1000)
-            yield done.assign(gap=gap, outcome=outcome)
+            yield done.assign(gap=pd.Series(gap, index=done.index, dtype=object), outcome=outcome)
         elif self.forget is not None and last is not None and (last + self.forget) * 1000 <= passed:
             self.last.clear()
 
@@ -94,7 +106,7 @@ def run_gap_stream(
     before = spark.conf.get(_CLASS)
     spark.conf.set(_CLASS, PROVIDER)
     try:
-        flow = gap_stream(events, min_gap, ties, delay, forget).filter(F.col("user_id").isNotNull()).writeStream.format("parquet").option(
+        flow = gap_stream(events, min_gap, ties, delay, forget).filter(~F.col("user_id").eqNullSafe(CLOSING)).writeStream.format("parquet").option(
             "path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     finally:
         spark.conf.set(_CLASS, before)
@@ -103,10 +115,9 @@ def run_gap_stream(
 
 
 def closing_row(events: DataFrame, seconds: int) -> DataFrame:
-    """One row of no user that lies ``seconds`` (more than the stream's delay) after all others and moves the watermark past them."""
-    end = events.agg((F.max("t") + seconds).alias("t")).select("t", F.timestamp_seconds("t").alias("ts"))
-    kinds = dict(events.dtypes)
-    return end.select(*[F.col(c) if c in ("t", "ts") else F.lit(None).cast(kinds[c]).alias(c) for c in events.columns])
+    """The latest row as one of the user ``CLOSING``, ``seconds`` (more than the stream's delay) later: it moves the watermark past all others."""
+    end = events.agg(F.max_by(F.struct(*events.columns), "t").alias("row")).select("row.*").withColumn("t", F.col("t") + seconds)
+    return end.withColumn("user_id", F.lit(CLOSING)).withColumn("ts", F.timestamp_seconds("t")).select(*events.columns)
 
 
 __all__ = ["closing_row", "gap_stream", "run_gap_stream"]
