@@ -166,6 +166,27 @@ def test_quality_held_out_and_odd_rows(spark, odd, empty):
     assert quality.rank_quality(empty, marks).count() == 0
 
 
+def test_small_language_beside_two_million_grams():
+    """Each language's probabilities are those of its own model, whatever others hold."""
+    rng = np.random.default_rng(3)
+    many = rng.integers(0x4E00, 0x9000, (2_000_000, language.ORDER)).astype(np.int32)
+    few = np.array([[32, 32, 97 + i, 97 + j] for i in range(20) for j in range(20)], np.int32)
+    lang = np.repeat([0, 1], [len(many), len(few)])
+    both = language.Models(["a", "b"], lang, np.concatenate([many, few]), np.ones(len(lang)))
+    assert len(both.orders[-1][0][0]) > 2_000_000
+    alone = language.Models(["b"], np.zeros(len(few), int), few, np.ones(len(few)))
+    # Only the uniform part knows the other language's symbols.
+    alone.uniform = both.uniform
+    columns = list(few.T.astype(np.uint32))
+    assert np.allclose(both.log2(columns)[:, 1], alone.log2(columns)[:, 0], rtol=1e-12, atol=0)
+
+
+def test_letters_of_all_planes():
+    text = "\U00030001\U000313AF a".encode()
+    *_, count = language.letters(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert count.tolist() == [3]
+
+
 def test_language_held_out_and_odd_rows(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

@@ -22,8 +22,6 @@ SPACE = 32
 UNKNOWN = "und"
 # Bound of the fit: expected labelled documents per language, whole texts, chosen by a hash of their id.
 TRAIN_ROWS = 3_000
-# Bound of the model: the rarest n-grams of the highest order go first where there are more.
-MAX_GRAMS = 1_000_000
 # Share of fitting documents kept for calibration, and the calibrated share of documents of the learned languages below the limit.
 CALIBRATION_SHARE, ACCEPTED_SHARE, SLACK = 0.2, 0.999, 2.0
 
@@ -33,10 +31,9 @@ _TABLES: list[np.ndarray] = []
 def _unicode_tables() -> tuple[np.ndarray, np.ndarray]:
     """(is a letter, lower case as one code point) for all code points."""
     if not _TABLES:
-        chars = [chr(i) for i in range(0x30000)]
-        letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
-        letter[:0x30000] = [c.isalpha() for c in chars]
-        lower[:0x30000] = [ord(low) if len(low := c.lower()) == 1 else ord(c) for c in chars]
+        chars = [chr(i) for i in range(0x110000)]
+        letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
+        lower = np.fromiter((ord(low) if len(low := c.lower()) == 1 else ord(c) for c in chars), np.uint32, len(chars))
         _TABLES.extend([letter, lower])
     return _TABLES[0], _TABLES[1]
 
@@ -126,14 +123,14 @@ class Models:
                 total, kinds = np.bincount(at, c, len(held)), np.bincount(at, minlength=len(held))
                 gram_parts.append((key, (c - discount) / total[at], i))
                 context_parts.append((held, discount * kinds / total, i))
-            self.orders.append((*_table(gram_parts, size, 0.0), *_table(context_parts, size, 1.0)))
+            self.orders.append((_table(gram_parts), _table(context_parts)))
 
     def log2(self, columns: list[np.ndarray]) -> np.ndarray:
         """(n-grams, languages) log2 probability of the last symbol given the others."""
         p = np.full((len(columns[0]), len(self.langs)), self.uniform)
-        for n, (keys, mass, contexts, weight) in enumerate(self.orders, 1):
+        for n, (mass, weight) in enumerate(self.orders, 1):
             own = columns[ORDER - n:]
-            p = _lookup(keys, mass, gram_hash(own), 0.0) + _lookup(contexts, weight, np.resize(gram_hash(own[:-1]), len(p)), 1.0) * p
+            p = _lookup(mass, gram_hash(own), np.zeros_like(p)) + _lookup(weight, np.resize(gram_hash(own[:-1]), len(p)), np.ones_like(p)) * p
         return np.log2(p)
 
 
@@ -142,20 +139,27 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[at], count.astype(np.float64)
 
 
-def _table(parts: list, size: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.unique(np.concatenate([k for k, _, _ in parts])) if parts else np.zeros(0, np.uint64)
-    values = np.full((len(keys), size), missing)
-    for key, value, i in parts:
-        values[np.searchsorted(keys, key), i] = value
-    return keys, values
+def _table(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, first entry of each key, language and value of each entry): only what a language holds takes room."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0)
+    key = np.concatenate([k for k, _, _ in parts])
+    lang = np.repeat(np.array([i for _, _, i in parts], np.int32), [len(k) for k, _, _ in parts])
+    order = np.argsort(key, kind="stable")
+    keys, first = np.unique(key[order], return_index=True)
+    return keys, np.append(first, len(key)), lang[order], np.concatenate([v for _, v, _ in parts])[order]
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    out = np.full((len(wanted), values.shape[1]), missing)
+def _lookup(table: tuple, wanted: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``out`` (rows, languages) with the values of the keys that each language holds."""
+    keys, first, lang, value = table
     if len(keys):
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        found = keys[at] == wanted
-        out[found] = values[at[found]]
+        row = np.flatnonzero(keys[at] == wanted)
+        at = at[row]
+        count = first[at + 1] - first[at]
+        entry = np.arange(count.sum()) + np.repeat(first[at] - (np.cumsum(count) - count), count)
+        out[np.repeat(row, count), lang[entry]] = value[entry]
     return out
 
 
@@ -249,23 +253,15 @@ def fit(docs: DataFrame) -> tuple[Models, dict[str, tuple[float, float, float, f
     names = [f"c{j}" for j in range(ORDER)]
     grams = fitted.mapInArrow(_top_grams, f"lang string, {', '.join(f'{c} int' for c in names)}, n long")
     grams = stored(grams.groupBy("lang", *names).agg(F.sum("n").alias("n")))
-    table = _most_frequent(grams).toPandas()
-    place = {k: i for i, k in enumerate(langs)}
-    models = Models(langs, table["lang"].map(place).to_numpy(dtype=int), table[names].to_numpy(np.int32), table["n"].to_numpy())
+    # All n-grams of the bounded fit, with languages as numbers.
+    place = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
+    table = grams.select(place.alias("lang"), *names, "n").toArrow()
+    column = lambda c: table.column(c).to_numpy()
+    models = Models(langs, column("lang"), np.stack([column(c) for c in names], axis=1), column("n"))
     seen = chosen.filter(apart).select("lang", "text").mapInArrow(_entropies(models), f"lang string, {_FOUND}")
     return models, _calibrate(seen.filter("n_letters > 0 and best = lang").select("lang", "n_symbols", "entropy").toPandas())
 
 
-def _most_frequent(grams: DataFrame) -> DataFrame:
-    """All n-grams, or the MAX_GRAMS most frequent ones by a count threshold."""
-    counts = {r.n: r.k for r in grams.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    least, total = 1, sum(counts.values())
-    while total > MAX_GRAMS and least < 1000:
-        total -= counts.get(least, 0)
-        least += 1
-    return grams.filter(F.col("n") >= least) if least > 1 else grams
-
-
 def _calibrate(seen) -> dict[str, tuple[float, float, float, float]]:
     """Per language: mean cross-entropy, variance per symbol and between documents, limit in deviations."""
     out = {}
