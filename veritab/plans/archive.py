@@ -10,6 +10,7 @@ from veritab.operators import graph as gr
 from veritab.operators import quality as q
 from veritab.plans.common import r
 from veritab.plans.registry import Tables, query
+from veritab.session import sized_join, spread
 from veritab.sources import sinks
 
 SPEC = q.ObservationSpec(
@@ -254,12 +255,21 @@ def e17(t: Tables) -> DataFrame:
 
 
 def entries(t: Tables) -> DataFrame:
-    """Archive entries: hypothesis = supplier, round = year, status by mean discount."""
-    d = F.col("m")
-    agg = t.lineitem.groupBy(F.col("l_suppkey").alias("hyp"), F.year("l_shipdate").alias("round")).agg(
+    """Archive entries: hypothesis = supplier, round = year, status by mean discount.
+
+    A mean that lies on a bound is moved off it by the rounding of its sum; such sums are taken in the order the lines are stored in.
+    """
+    stored = t.spark.read.parquet(t.path("lineitem")).select("*", "_metadata.file_name", "_metadata.row_index")
+    lines = spread(stored.withColumn("hyp", F.col("l_suppkey")).withColumn("round", F.year("l_shipdate")))
+    agg = lines.groupBy("hyp", "round").agg(
         F.avg("l_discount").alias("m"), F.count(F.lit(1)).alias("record_count"),
         F.array_sort(F.collect_set(F.when(F.col("l_quantity") == 50, F.concat(F.lit("env"), F.col("l_partkey") % 5)))).alias("environments"))
-    return agg.select(
+    on_bound = agg.filter((F.abs(F.col("m") - 0.051) < 1e-9) | (F.abs(F.col("m") - 0.046) < 1e-9)).select("hyp", "round")
+    values = F.array_sort(F.collect_list(F.struct("file_name", "row_index", "l_discount")))
+    in_order = sized_join(lines, on_bound, ["hyp", "round"]).groupBy("hyp", "round").agg(
+        (F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x["l_discount"], F.lit(0.0))) / F.count("l_discount")).alias("ordered"))
+    d = F.coalesce("ordered", "m")
+    return agg.join(in_order, ["hyp", "round"], "left").select(
         "hyp", "round", F.when(d > 0.051, "supported").when(d < 0.046, "refuted").when(F.col("hyp") % 13 == 0, "failed")
         .otherwise("inconclusive").alias("status"),
         F.when(d > 0.051, F.when(F.col("round") % 2 == 0, "E1").otherwise("E2")).otherwise("E0").alias("grade"),
