@@ -141,7 +141,8 @@ SELECT doc_id, CAST(instr(text, needle) - 1 AS BIGINT) AS start, CAST(instr(text
        CASE WHEN needle IS NOT NULL THEN 's1' END AS section_id FROM s""")
 def c6(t: Tables) -> DataFrame:
     q = F.regexp_replace(F.substring("text", 6, 40), " ", "\n ")
-    fake = F.concat(F.lit("zq "), F.substring("text", 6, 20))
+    # A noncharacter, since repeated words may hold "zq " and the words after it: these quotes occur nowhere.
+    fake = F.concat(F.lit("zq\uffff "), F.substring("text", 6, 20))
     quotes = t.documents.select("doc_id", F.when(F.col("doc_id") % 5 != 0, q).otherwise(fake).alias("quote"))
     out = dc.locate_quotes(quotes, t.documents, "doc_id", "quote", "text")
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "line_start", "line_end")], "section_id")
