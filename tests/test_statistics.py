@@ -181,6 +181,27 @@ def test_distance_correlation_brute_force(spark, kind):
     assert got == pytest.approx(cov(a, b) / math.sqrt((cov(a, a) + 1e-12) * (cov(b, b) + 1e-12)), rel=1e-6)
 
 
+@pytest.mark.parametrize("kind", ["ties", "free"])
+def test_distance_correlation_over_many_blocks(spark, monkeypatch, kind):
+    """Blocks of few rows, two features at once, and no row repeated once per binary level."""
+    monkeypatch.setattr(rv, "PAIR_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, 400).astype(float) if kind == "ties" else rng.normal(size=400) + 1e4
+    y, z = np.round(np.abs(x - x.mean()) + rng.normal(size=400), 1), np.round(rng.normal(size=400), 1)
+    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(x, y, z)], "x double, y double, z double").repartition(5)
+    got = {r["feature"]: r["score"] for r in rv.distance_correlation(df, ["x", "z"], "y").collect()}
+
+    def centred(v):
+        d = np.abs(v[:, None] - v[None, :])
+        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+
+    cov = lambda p, q: math.sqrt(max((p * q).mean(), 0))
+    b = centred(y)
+    for name, v in (("x", x), ("z", z)):
+        a = centred(v)
+        assert got[name] == pytest.approx(cov(a, b) / math.sqrt((cov(a, a) + 1e-12) * (cov(b, b) + 1e-12)), rel=1e-6)
+
+
 def test_group_folds_are_the_greedy_ones(spark):
     sizes = [9, 7, 7, 5, 3, 3, 3, 2, 2, 1, 1, 1, 1]
     rows = [(f"g{i:02d}",) for i, s in enumerate(sizes) for _ in range(s)]

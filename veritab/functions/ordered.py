@@ -8,8 +8,10 @@ row per key and slice) carry the running values across slices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,27 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
+def sorted_runs(batches: Iterable[pa.RecordBatch], key: str, size: int) -> Iterator[pa.Table]:
+    """Runs of at most ``size`` rows with one value of ``key``, inside a task that reads rows sorted by it first."""
+    held: list[pa.RecordBatch] = []
+    count, name = 0, None
+    for batch in batches:
+        while batch.num_rows:
+            values = batch.column(key)
+            first = values[0].as_py()
+            if held and (first != name or count == size):
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+            name = first
+            same = batch.num_rows if values[-1].as_py() == first else pc.sum(pc.equal(values, values[0])).as_py()
+            take = min(same, size - count)
+            held.append(batch.slice(0, take))
+            count += take
+            batch = batch.slice(take)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # Groups of at most ALL values are ranked whole. In larger ones a sketch of relative rank error 1/ACCURACY brackets each
 # quantile, and only values in the brackets are ranked: MARGIN exceeds the error and one rank of a group that large.
 ALL, ACCURACY, MARGIN = 10_000, 20_000, 2e-4

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.exprs import is_finite
-from veritab.functions.ordered import average_rank, ordered_scan, top_rows
+from veritab.functions.ordered import average_rank, ordered_scan, sorted_runs, top_rows
 from veritab.session import cut_lineage, sized_join
 
 TINY = 1e-12
@@ -148,53 +147,120 @@ def meta_features(df: DataFrame, features: list[str], y: str) -> DataFrame:
         (sum(corr, F.lit(0.0)) * 2 / max(p * p - p, 1)).alias("mean_abs_corr"))
 
 
+# Rows of a block whose pairs are summed in one task, and the number of blocks above which blocks grow instead.
+PAIR_BLOCK, PAIR_BLOCKS = 1 << 17, 2048
+
+
+def _sum_below(rank: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w * w' * (x - x') * (y - y') over pairs of rows with the row ' first in order and in ``rank`` (0, 1, ..).
+
+    Every pair of ranks parts at one binary digit; rows are dealt to the halves digit by digit and keep their order.
+    """
+    size = 1 << max(1, (len(x) - 1).bit_length())
+    pad = lambda v: np.concatenate([v, np.zeros(size - len(v))])
+    rank = np.concatenate([rank, np.arange(len(rank), size)])
+    x, y, w = pad(x - x.mean()), pad(y - y.mean()), pad(w)
+    total, length = 0.0, size
+    while length > 1:
+        left = (rank // (length // 2) % 2 == 0).reshape(-1, length)
+        running = lambda v: np.where(left, v.reshape(-1, length), 0.0).cumsum(axis=1).ravel()  # noqa: B023, E731
+        wx = w * x
+        below = x * y * running(w) - y * running(wx) - x * running(w * y) + running(wx * y)
+        total += float((w * below)[~left.ravel()].sum())
+        halves = [np.flatnonzero(side).reshape(-1, length // 2) for side in (left, ~left)]
+        order = np.concatenate(halves, axis=1).ravel()
+        rank, x, y, w, length = rank[order], x[order], y[order], w[order], length // 2
+    return total
+
+
+def _by_x(size: int):
+    """Tasks over rows in x order: the block of each row, its x-distances to the block's rows before it as they enter a
+    row sum, and, on the first row of each block, the block's own part of the cross term."""
+    def run(batches):
+        for block in sorted_runs(batches, "feature", size):
+            x, y, w = (block.column(c).to_numpy() for c in ("x", "y", "w"))
+            inner, rank = np.zeros(len(x)), np.empty(len(x), np.int64)
+            rank[np.argsort(y, kind="stable")] = np.arange(len(x))
+            inner[0] = _sum_below(rank, x, y, w)
+            part = 2 * (x * np.cumsum(w) - np.cumsum(w * x))
+            columns = [block.column("feature"), pa.array(np.full(len(x), block.column("seq")[0].as_py())), *(pa.array(v) for v in (x, y, w, part, inner))]
+            yield from pa.table(columns, names=["feature", "bx", "x", "y", "w", "part", "inner"]).to_batches(max_chunksize=10_000)
+    return run
+
+
+_CELL = ["w", "wx", "wy", "wxy", "wxx", "wyy", "wa", "way", "wav", "waa", "wvv", "wvy", "wv", "inner"]
+
+
+def _by_y(size: int):
+    """Tasks over rows in y order: sums per block of this order and block of the x order."""
+    def run(batches):
+        for block in sorted_runs(batches, "feature", size):
+            x, y, w, a, inner, bx = (block.column(c).to_numpy() for c in ("x", "y", "w", "ax", "inner", "bx"))
+            v = 2 * (y * np.cumsum(w) - np.cumsum(w * y))
+            ids, at = np.unique(bx, return_inverse=True)
+            # Pairs of one x block are summed there: of these the later row comes first here.
+            rank = np.empty(len(x), np.int64)
+            rank[np.lexsort((-np.arange(len(x)), at))] = np.arange(len(x))
+            sums = [np.bincount(at, weights=c, minlength=len(ids)) for c in (
+                w, w * x, w * y, w * x * y, w * x * x, w * y * y, w * a, w * a * y, w * a * v, w * a * a, w * v * v, w * v * y, w * v, inner)]
+            sums[-1][0] += _sum_below(rank, x, y, w)
+            names = pa.array([block.column("feature")[0].as_py()] * len(ids), pa.string())
+            columns = [names, pa.array(np.full(len(ids), block.column("seq")[0].as_py())), pa.array(ids), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "by", "bx", *_CELL])
+    return run
+
+
 def distance_correlation(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """Exact distance correlation of each feature with y in O(m log m) rows.
+    """Exact distance correlation of each feature with y; two range sorts of the m distinct (x, y) pairs, which carry weights.
 
-    m counts distinct (x, y) pairs, which carry weights. Row sums of distances
-    come from prefix sums over distinct values. The cross term needs pairs below
-    in both orders: every pair of x-ranks parts at exactly one binary level, so
-    each row is repeated once per level and a running sum over y inside a
-    (level, node) block collects the left half for the right half.
+    Both orders are cut into blocks. Row sums of distances come from running sums inside a block and totals of the
+    blocks before. The cross term needs pairs that lie below in both orders: those of one x block are summed in its
+    task, those of one y block and different x blocks in that one's, and all others by sums of the cells (x block, y block).
     """
     pairs = cut_lineage(melt(df, features, [F.col(y).cast("double").alias("y")]).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
     tot = cut_lineage(pairs.groupBy("feature").agg(
-        F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), *[F.sum(F.col("w") * e).alias(a) for a, e in
-          (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") ** 2), ("syy", F.col("y") ** 2))]))
-    levels = max(1, math.ceil(math.log2(max(2, tot.agg(F.max("m")).first()[0] or 2))))
-
-    def row_sums(value: str, total: str, out: str) -> DataFrame:
-        v = pairs.groupBy("feature", value).agg(F.sum("w").alias("w")).withColumn("wv", F.col("w") * F.col(value))
-        s = ordered_scan(v, ["feature"], [value], sums={"cw": "w", "cv": "wv"}).join(tot, "feature")
-        dist = F.col(value) * (2 * F.col("cw") - F.col("n")) + F.col(total) - 2 * F.col("cv")
-        return s.select("feature", value, dist.alias(out))
-
-    rows = pairs.join(row_sums("x", "sx", "ax"), ["feature", "x"]).join(row_sums("y", "sy", "by"), ["feature", "y"])
-    w, x, yv = F.col("w"), F.col("x"), F.col("y")
-    third = rows.groupBy("feature").agg(
-        F.sum(w * F.col("ax") * F.col("by")).alias("ab"), F.sum(w * F.col("ax") ** 2).alias("aa"),
-        F.sum(w * F.col("by") ** 2).alias("bb"), F.sum(w * F.col("ax")).alias("a"), F.sum(w * F.col("by")).alias("b"))
-
-    def weighted(d: DataFrame) -> DataFrame:
-        return d.select("*", (w * x).alias("wx"), (w * yv).alias("wy"), (w * x * yv).alias("wxy"))
-
-    run = {"cw": "w", "cx": "wx", "cy": "wy", "cxy": "wxy"}
-    below = x * yv * F.col("cw") - yv * F.col("cx") - x * F.col("cy") + F.col("cxy")
-    ranked = cut_lineage(ordered_scan(weighted(pairs), ["feature"], ["x", "y"], number="rk", sums=run))
-    signed = ranked.groupBy("feature").agg(F.sum(w * below).alias("signed"))
-    spread = ranked.select("feature", "x", "y", "w", (F.col("rk") - 1).alias("rk"),
-                           F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    spread = spread.withColumn("node", F.expr("shiftright(rk, level + 1)")).withColumn(
-        "left", F.expr("shiftright(rk, level) % 2 = 0"))
-    gated = spread.select("feature", "level", "node", "x", "y", "w", "left", *[
-        F.when(F.col("left"), e).otherwise(0.0).alias(a) for a, e in
-        (("lw", w), ("lx", w * x), ("ly", w * yv), ("lxy", w * x * yv))])
-    inner = ordered_scan(gated, ["feature", "level", "node"], ["y"], sums={"cw": "lw", "cx": "lx", "cy": "ly", "cxy": "lxy"})
-    dominated = inner.filter(~F.col("left")).groupBy("feature").agg(F.sum(w * below).alias("dom"))
-    j = tot.join(third, "feature").join(signed, "feature").join(dominated, "feature", "left")
+        F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"),
+        (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my")))
+    size = max(PAIR_BLOCK, (tot.agg(F.max("m")).first()[0] or 0) // PAIR_BLOCKS)
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, *keys: F.coalesce(F.sum(c).over(before(*keys)), F.lit(0.0))
+
+    # Distances do not change when means are taken off.
+    centred = pairs.join(F.broadcast(tot), "feature").select("feature", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), "w")
+    rows = cut_lineage(centred.orderBy("feature", "x", "y").withColumn("seq", F.monotonically_increasing_id()).mapInArrow(
+        _by_x(size), "feature string, bx long, x double, y double, w double, part double, inner double"))
+    # One row per block.
+    xs = rows.groupBy("feature", "bx").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"))
+    xs = xs.select("feature", "bx", earlier("w", "feature", "bx").alias("cw"), earlier("wx", "feature", "bx").alias("cx"), F.sum("w").over(Window.partitionBy("feature")).alias("n"),
+                   F.sum("wx").over(Window.partitionBy("feature")).alias("sx"))
+    ax = F.col("part") + F.col("x") * (2 * F.col("cw") - F.col("n")) + F.col("sx") - 2 * F.col("cx")
+    placed = rows.join(F.broadcast(xs), ["feature", "bx"]).select("feature", "bx", "x", "y", "w", ax.alias("ax"), "inner")
+    cells = cut_lineage(placed.orderBy("feature", "y", "x").withColumn("seq", F.monotonically_increasing_id()).mapInArrow(
+        _by_y(size), "feature string, by long, bx long, " + ", ".join(f"{c} double" for c in _CELL)))
+
+    ys = cells.groupBy("feature", "by").agg(*[F.sum(c).alias(c) for c in _CELL])
+    ys = ys.select("*", earlier("w", "feature", "by").alias("cw"), earlier("wy", "feature", "by").alias("cy"),
+                   F.sum("w").over(Window.partitionBy("feature")).alias("n"), F.sum("wy").over(Window.partitionBy("feature")).alias("sy"))
+    # The row sum of y is wv's v + p * y + q.
+    p, q, c = 2 * F.col("cw") - F.col("n"), F.col("sy") - 2 * F.col("cy"), F.col
+    third = ys.groupBy("feature").agg(
+        F.sum(c("wav") + p * c("way") + q * c("wa")).alias("ab"), F.sum("waa").alias("aa"), F.sum("wa").alias("a"),
+        F.sum(c("wvv") + p * p * c("wyy") + q * q * c("w") + 2 * (p * c("wvy") + q * c("wv") + p * q * c("wy"))).alias("bb"),
+        F.sum(c("wv") + p * c("wy") + q * c("w")).alias("b"), F.sum("wx").alias("sx"), F.sum("wxx").alias("sxx"), F.sum("wy").alias("sy"),
+        F.sum("wyy").alias("syy"), F.sum("wxy").alias("sxy"), F.sum("inner").alias("inner"))
+    four = ["w", "wx", "wy", "wxy"]
+    grid = cells.select("feature", "bx").distinct().join(cells.select("feature", "by").distinct(), "feature").join(
+        cells.select("feature", "bx", "by", *four), ["feature", "bx", "by"], "left").fillna(0.0, four)
+    for keys in (("feature", "bx", "by"), ("feature", "by", "bx")):
+        source = four if keys[2] == "by" else [f"_{c}" for c in four]
+        grid = grid.withColumns({f"_{c}": earlier(s, *keys) for c, s in zip(four, source, strict=True)})
+    apart = grid.groupBy("feature").agg(F.sum(c("wxy") * c("_w") - c("wy") * c("_wx") - c("wx") * c("_wy") + c("w") * c("_wxy")).alias("apart"))
+    j = tot.select("feature", "n").join(third, "feature").join(apart, "feature")
     n = F.col("n")
-    s1 = 2 * (2 * F.coalesce("dom", F.lit(0.0)) - F.col("signed")) / n ** 2
+    # Products over all pairs, and twice those of pairs that lie below in both orders.
+    signed = n * c("sxy") - c("sx") * c("sy")
+    s1 = 2 * (2 * (c("inner") + c("apart")) - signed) / n ** 2
     dcov = lambda s1_, ab, a, b: F.sqrt(F.greatest(F.lit(0.0), s1_ + a * b / n ** 4 - 2 * ab / n ** 3))
     sq = lambda s, ss: 2 * (n * F.col(ss) - F.col(s) ** 2) / n ** 2
     xy = dcov(s1, F.col("ab"), F.col("a"), F.col("b"))
