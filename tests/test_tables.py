@@ -400,6 +400,27 @@ def test_stream_equals_batch_out_of_order(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
+def test_stream_sets_one_timer_per_user_and_batch():
+    """Not one per second with a row: 1,000 rows of a user waiting are one stored part and one timer."""
+    import pandas as pd
+    from types import SimpleNamespace as Space
+    held, timers, last = [], [], []
+    row = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("t", T.LongType()), T.StructField("event_id", T.LongType())])
+    work = gap._Gaps(row, 20, ["event_id"], None)
+    lists = Space(appendList=held.extend, get=lambda: iter(list(held)), exists=lambda: bool(held), clear=held.clear,
+                  put=lambda v: (held.clear(), held.extend(v)))
+    value = Space(get=lambda: last[0], exists=lambda: bool(last), update=lambda v: (last.clear(), last.append(v)), clear=last.clear)
+    work.init(Space(getListState=lambda *_: lists, getValueState=lambda *_: value, registerTimer=timers.append))
+    rows = pd.DataFrame({"user_id": "u", "t": range(1000), "event_id": range(1000)})
+    assert not list(work.handleInputRows(("u",), iter([rows[500:], rows[:500]]), None))
+    assert timers == [0] and len(held) == 2
+    at = Space(getCurrentWatermarkInMs=lambda: 600_000)
+    out = list(work.handleExpiredTimer(("u",), at, Space(getExpiryTimeInMs=lambda: 0)))
+    assert [len(o) for o in out] == [601] and out[0]["t"].tolist() == list(range(601))
+    assert timers == [0, 601_000] and len(held) == 1 and last == [(600,)]
+    assert not list(work.handleExpiredTimer(("u",), at, Space(getExpiryTimeInMs=lambda: 500_000)))
+
+
 @pytest.mark.parametrize("forget", [None, 100])
 def test_stream_state_shrinks(spark, tmp_path, forget):
     rows = [(f"u{i}", 100 + t, i * 10 + t) for i in range(5) for t in (0, 5, 50)] + [("u0", 5000, 900), ("u9", 9000, 901)]
