@@ -436,6 +436,25 @@ def test_stream_state_shrinks(spark, tmp_path, forget):
 
 
 
+def test_text_tasks_hold_one_piece_of_a_batch_as_strings(spark, monkeypatch):
+    """A batch of any size is handled piece by piece, with the rows of the whole batch; nulls and empty texts too."""
+    import pyarrow as pa
+    texts = [None, "", "# A\n" + "wort \n" * 90, "ﬁ ẞ\n\n" * 40, "x" * 500] * 6
+    monkeypatch.setattr(dc, "PIECE_BYTES", 700)
+    batch = pa.RecordBatch.from_pydict({"k": list(range(30)), "t": texts})
+    parts = list(dc._by_piece(iter([batch]), "t"))
+    assert len(parts) > 10 and pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert max(p.column("t").nbytes for p in parts) < 2000
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    jobs = lambda: [sorted(map(tuple, d.collect()), key=str) for d in (
+        dc.overlap_chunks(df, "k", "t", 100, 10), dc.section_chunks(df.filter("t is not null"), "k", "t", 100), dc.pack_lines(df, "k", "t", 600)[0],
+        df.select("k", dc.rule_key(F.col("t"))))]
+    small = jobs()
+    monkeypatch.setattr(dc, "PIECE_BYTES", 4 << 20)
+    assert small == jobs() and [len(j) > 12 for j in small] == [True] * 4
+    assert small[3][0] == (0, None) and {r[1] for r in small[3] if r[0] % 5 == 3} == {"fiss" * 40}
+
+
 def test_pages_of_many_headings_and_labels_are_one_fold(spark):
     import time
     n = 2400

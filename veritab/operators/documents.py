@@ -7,11 +7,14 @@ that row as array expressions; nothing is exploded and shuffled to rebuild it.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,10 +58,34 @@ def fold(text: Column) -> Column:
     return F.replace(F.replace(F.lower(compact(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
-@F.pandas_udf(T.StringType())
-def rule_key(text: pd.Series) -> pd.Series:
+# Bytes of text that a Python task turns into strings at once; the Arrow batch it reads is bounded by Spark.
+PIECE_BYTES = 4 << 20
+
+
+def _pieces(text: pa.Array) -> list[tuple[int, int]]:
+    """Bounds of runs of rows of PIECE_BYTES of text each, up to one text more."""
+    number = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(text)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in _pieces(batch.column(text)):
+            yield batch.slice(a, b - a)
+
+
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+@F.arrow_udf(T.StringType())
+def rule_key(text: pa.Array) -> pa.Array:
     """Rule key: NFKC, white space removed, case folded; there is no built-in NFKC."""
-    return text.str.normalize("NFKC").str.replace(r"\s+", "", regex=True).str.casefold()
+    key = lambda s: None if s is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", s)).casefold()
+    parts = [pa.array(list(map(key, text[a:b].to_pylist())), pa.string()) for a, b in _pieces(text)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def sections(text: Column) -> Column:
@@ -101,33 +128,35 @@ def _window_spans(text: str, start: int, end: int, size: int, overlap: int, boun
 
 def overlap_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
     """(key, chunk_id, chunk_no, start, end, text): windows broken at blank lines."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_piece(batches, text):
             rows = [
                 (k, f"{k}-c{i + 1:04d}", i + 1, a, b, body[a:b])
-                for k, body in zip(pdf[key], pdf[text]) if body
+                for k, body in zip(part.column(key).to_pylist(), part.column(text).to_pylist()) if body
                 for i, (a, b) in enumerate(_window_spans(body, 0, len(body), size, overlap, "\n\n", max(size // 2, overlap)))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_id", "chunk_no", "start", "end", "text"])
+            yield _rows(rows, [key, "chunk_id", "chunk_no", "start", "end", "text"],
+                        [part.column(key).type, pa.string(), *[pa.int32()] * 3, pa.string()])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_id string, chunk_no int, start int, end int, text string")
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_id string, chunk_no int, start int, end int, text string")
 
 
 def section_chunks(df: DataFrame, key: str, text: str, size: int = 5000) -> DataFrame:
     """(key, chunk_id, section_id, title, start, end, text): sections cut at line ends past half."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_piece(batches, text):
             rows = []
-            for k, body, secs in zip(pdf[key], pdf[text], pdf["_sections"]):
+            for k, body, secs in zip(*(part.column(c).to_pylist() for c in (key, text, "_sections")), strict=True):
                 number = 0
-                for s in secs:
+                for s in secs or []:
                     for a, b in _window_spans(body, s["start"], s["end"], size, min(SECTION_OVERLAP, size // 10), "\n", size // 2):
                         number += 1
                         rows.append((k, f"b{number}", s["id"], s["title"], a, b, body[a:b]))
-            yield pd.DataFrame(rows, columns=[key, "chunk_id", "section_id", "title", "start", "end", "text"])
+            yield _rows(rows, [key, "chunk_id", "section_id", "title", "start", "end", "text"],
+                        [part.column(key).type, *[pa.string()] * 3, *[pa.int32()] * 2, pa.string()])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text, sections(F.col(text)).alias("_sections")).mapInPandas(
+    return df.select(key, text, sections(F.col(text)).alias("_sections")).mapInArrow(
         run, f"{key} {kind}, chunk_id string, section_id string, title string, start int, end int, text string")
 
 
@@ -162,10 +191,10 @@ def pack_lines(df: DataFrame, key: str, text: str, limit: int) -> tuple[DataFram
         F.concat(F.col(key).cast("string"), F.lit(":"), (i + 1).cast("string"), F.lit(": "), ln, F.lit("\n")))))
     tagged = df.select(key, text, longest.alias("_max"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_piece(batches, text):
             rows = []
-            for k, body in zip(pdf[key], pdf[text]):
+            for k, body in zip(part.column(key).to_pylist(), part.column(text).to_pylist()):
                 items = [f"{k}:{n}: {line}\n" for n, line in enumerate(body.removesuffix("\n").split("\n"), 1)] if body else []
                 ends = [0, *accumulate(map(len, items))]
                 at, no = 0, 0
@@ -174,10 +203,11 @@ def pack_lines(df: DataFrame, key: str, text: str, limit: int) -> tuple[DataFram
                     stop, no = bisect_right(ends, ends[at] + limit) - 1, no + 1
                     rows.append((k, no, at + 1, stop, ends[stop] - ends[at], "".join(items[at:stop])))
                     at = stop
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "first_line", "last_line", "n_chars", "text"])
+            yield _rows(rows, [key, "chunk_no", "first_line", "last_line", "n_chars", "text"],
+                        [part.column(key).type, *[pa.int32()] * 4, pa.string()])
 
     kind = dict(df.dtypes)[key]
-    chunks = tagged.filter(F.col("_max") <= limit).select(key, text).mapInPandas(
+    chunks = tagged.filter(F.col("_max") <= limit).select(key, text).mapInArrow(
         run, f"{key} {kind}, chunk_no int, first_line int, last_line int, n_chars int, text string")
     return chunks, tagged.filter(F.col("_max") > limit).select(key, F.col("_max").alias("line_chars"))
 
