@@ -202,6 +202,15 @@ def test_distance_correlation_over_many_blocks(spark, monkeypatch, kind):
         assert got[name] == pytest.approx(cov(a, b) / math.sqrt((cov(a, a) + 1e-12) * (cov(b, b) + 1e-12)), rel=1e-6)
 
 
+def test_meta_features_moments_are_not_kept_per_target_value(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), float(i)) for i in range(60)], "a double, b double, y double")
+    out = rv.meta_features(df, ["a", "b"], "y")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "keys=[y#" in line and ("var_pop" in line or "avg(" in line)]
+    row = out.first()
+    assert row["y_unique"] == row["n_samples"] == 60
+
+
 def test_group_folds_are_the_greedy_ones(spark):
     sizes = [9, 7, 7, 5, 3, 3, 3, 2, 2, 1, 1, 1, 1]
     rows = [(f"g{i:02d}",) for i, s in enumerate(sizes) for _ in range(s)]

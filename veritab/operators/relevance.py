@@ -117,13 +117,13 @@ def infer_task(df: DataFrame, y: str, numeric: bool = True) -> DataFrame:
 
 
 def meta_features(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """Shape, missing and zero rates, task and mean |corr| between features in one pass
+    """Shape, missing and zero rates, task and mean |corr| between features; one pass and one for the distinct count
     (the mean keeps the n/(n-1) factor of its definition)."""
     p = len(features)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     near = F.abs(F.col(y) - F.rint(y)) <= 1e-8 + 1e-5 * F.abs(F.rint(y))
     agg = df.agg(
-        F.count(F.lit(1)).alias("n_samples"), F.count_distinct(y).alias("y_unique"), F.bool_and(near).alias("y_is_integer"),
+        F.count(F.lit(1)).alias("n_samples"), F.bool_and(near).alias("y_is_integer"),
         sum((F.count_if(F.col(f).isNull()) for f in features), F.lit(0)).alias("_miss"),
         sum((F.count_if(F.abs(F.coalesce(F.col(f), F.lit(0.0))) <= TINY) for f in features), F.lit(0)).alias("_zero"),
         *[F.struct(F.count(f).alias("n"), F.var_pop(f).alias("v")).alias(f"_v_{f}") for f in features],
@@ -131,6 +131,8 @@ def meta_features(df: DataFrame, features: list[str], y: str) -> DataFrame:
                    F.regr_avgy(F.col(a), F.col(b)).alias("ma"), F.regr_avgx(F.col(a), F.col(b)).alias("mb")).alias(f"_c_{a}_{b}")
           for a, b in pairs],
         *[F.avg(f).alias(f"_m_{f}") for f in features])
+    # Beside the moments a distinct count would shuffle all their buffers once per value of y.
+    agg = agg.crossJoin(df.agg(F.count_distinct(y).alias("y_unique")))
     n = F.col("n_samples")
     std = {f: F.sqrt(F.col(f"_v_{f}.n") / n * F.col(f"_v_{f}.v")) + TINY for f in features}
     corr = []
