@@ -436,6 +436,17 @@ def test_stream_state_shrinks(spark, tmp_path, forget):
 
 
 
+def test_quality_joins_carry_rule_numbers_and_are_made_once(spark):
+    from veritab.plans import archive
+    from veritab.plans.registry import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = archive.assessed(t)
+    whole, apart = q.quality_report(rows, archive.SPEC), q.quality_report(rows, archive.SPEC, q.identify(archive.records(t), archive.SPEC))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, apart.collect()))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+    assert joins(whole) == 6 and joins(apart) == 2
+
+
 def test_text_tasks_hold_one_piece_of_a_batch_as_strings(spark, monkeypatch):
     """A batch of any size is handled piece by piece, with the rows of the whole batch; nulls and empty texts too."""
     import pyarrow as pa

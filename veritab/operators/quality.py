@@ -109,6 +109,16 @@ def _rules(df: DataFrame, spec: ObservationSpec) -> list[tuple[Column, str, str]
     return rules
 
 
+def identify(df: DataFrame, spec: ObservationSpec) -> DataFrame:
+    """Adds unit_keys, the sampling units of a record; none where a group field is not resolved."""
+    keys = F.array_sort(F.array(*[
+        F.concat_ws("|", F.lit(spec.namespace), F.lit(g), F.col("group_ids")[g]) for g in spec.group_fields]))
+    resolved = F.lit(True)
+    for g in spec.group_fields:
+        resolved = resolved & F.coalesce(F.trim(F.col("group_ids")[g]) != "", F.lit(False))
+    return df.withColumn("unit_keys", F.when(resolved, keys).otherwise(F.array().cast("array<string>")))
+
+
 def assess_records(df: DataFrame, spec: ObservationSpec, content: Column) -> DataFrame:
     """Adds fingerprint, unit_keys, reasons (sorted) and status; rows are never changed.
 
@@ -116,21 +126,15 @@ def assess_records(df: DataFrame, spec: ObservationSpec, content: Column) -> Dat
     of a repeated id or repeated content are quarantined.
     """
     rules = _rules(df, spec)
-    hits = F.array_compact(F.array(*[
-        F.when(cond, F.struct(F.lit(SEVERITY[status]).alias("sev"), F.lit(reason).alias("reason")))
-        for cond, status, reason in rules]))
-    keys = F.array_sort(F.array(*[
-        F.concat_ws("|", F.lit(spec.namespace), F.lit(g), F.col("group_ids")[g]) for g in spec.group_fields]))
-    resolved = F.lit(True)
-    for g in spec.group_fields:
-        resolved = resolved & F.coalesce(F.trim(F.col("group_ids")[g]) != "", F.lit(False))
-    base = df.withColumn("fingerprint", F.sha2(content, 256)).withColumn("_hits", hits).withColumn(
-        "unit_keys", F.when(resolved, keys).otherwise(F.array().cast("array<string>")))
+    # Joins carry the numbers of the rules a record breaks; their names are put in behind them.
+    hits = F.array_compact(F.array(*[F.when(cond, F.lit(i)) for i, (cond, _, _) in enumerate(rules)]))
+    named = F.array(*[F.struct(F.lit(SEVERITY[status]).alias("sev"), F.lit(reason).alias("reason")) for _, status, reason in rules])
+    base = identify(df, spec).withColumn("fingerprint", F.sha2(content, 256)).withColumn("_hits", hits)
     marked = mark_duplicates(base, "record_id", "fingerprint")
     dup = F.array_compact(F.array(
         F.when(F.col("dup_id"), F.struct(F.lit(3).alias("sev"), F.lit("duplicate_record_id").alias("reason"))),
         F.when(F.col("dup_content"), F.struct(F.lit(3).alias("sev"), F.lit("duplicate_content").alias("reason")))))
-    all_hits = F.concat("_hits", dup)
+    all_hits = F.concat(F.transform("_hits", lambda i: F.get(named, i)), dup)
     worst = F.coalesce(F.array_max(F.transform("_all", lambda h: h["sev"])), F.lit(0))
     return (
         marked.withColumn("_all", all_hits)
@@ -151,9 +155,13 @@ def mark_duplicates(df: DataFrame, record_id: str, fingerprint: str) -> DataFram
         "dup_content", F.coalesce("dup_content", F.lit(False)))
 
 
-def quality_report(assessed: DataFrame, spec: ObservationSpec) -> DataFrame:
+def quality_report(assessed: DataFrame, spec: ObservationSpec, identified: DataFrame | None = None) -> DataFrame:
     """Long report (section, item, n): statuses, missing, unit conflicts, duplicates,
-    identities and environments from one pass each."""
+    identities and environments from one pass each.
+
+    ``identified`` is ``identify`` of the same records: identities and environments then need no duplicates marked.
+    """
+    identified = assessed if identified is None else identified
     total = assessed.groupBy().agg(
         F.count(F.lit(1)).alias("records"),
         *[F.count_if(F.col("status") == s).alias(f"status:{s}") for s in SEVERITY],
@@ -165,9 +173,9 @@ def quality_report(assessed: DataFrame, spec: ObservationSpec) -> DataFrame:
     )
     names = total.columns
     wide = total.select(F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(f"`{c}`").alias("n")) for c in names])))
-    identities = assessed.select(F.explode("unit_keys").alias("k")).agg(
+    identities = identified.select(F.explode("unit_keys").alias("k")).agg(
         F.lit("unique_identities").alias("item"), F.count_distinct("k").alias("n"))
-    envs = assessed.filter(F.col("environment").isNotNull()).groupBy(
+    envs = identified.filter(F.col("environment").isNotNull()).groupBy(
         F.concat(F.lit("environment:"), F.col("environment")).alias("item")).agg(F.count(F.lit(1)).alias("n"))
     return wide.unionByName(identities).unionByName(envs)
 

@@ -128,7 +128,7 @@ UNION ALL SELECT 'unresolved_rows', count(*) FILTER (WHERE l_suppkey % 17 = 0) F
 UNION ALL SELECT 'unique_identities', count(DISTINCT l_suppkey) FILTER (WHERE l_suppkey % 17 <> 0) FROM assessed
 UNION ALL SELECT 'environment:' || l_returnflag, count(*) FROM assessed GROUP BY l_returnflag""")
 def d22(t: Tables) -> DataFrame:
-    return q.quality_report(assessed(t), SPEC)
+    return q.quality_report(assessed(t), SPEC, q.identify(records(t), SPEC))
 
 
 @query("b17_numeric_variables", """
