@@ -79,3 +79,26 @@ def test_small_and_empty_tables(spark):
     rows = [(1, 0.5, 1.0, None), (2, 1.25, 1.0, None), (3, 7.0, 2.0, None), (4, None, 9.0, 9.0)]
     got = {r.feature: (r.n, r.score) for r in nb.knn_mutual_information(spark.createDataFrame(rows, kind), ["a", "b"], "y", "id", discrete=False).collect()}
     assert got["b"] == (0, 0.0) and got["a"][0] == 3 and got["a"][1] == pytest.approx(plain([1.0, 1.0, 2.0], [0.5, 1.25, 7.0], [1, 2, 3], "a"), abs=1e-9)
+
+
+def test_classes_are_sorted_not_compared(spark, monkeypatch):
+    """Blocks of a few values over many tasks: small and lone classes, equal values, neighbours and bounds in other tasks. No two rows meet in a cell."""
+    monkeypatch.setattr(nb, "BLOCK", 3)
+    monkeypatch.setattr(nb, "_radii", None)
+    rng = np.random.default_rng(3)
+    n = 600
+    kind = np.where(np.arange(n) == 7, 9, np.where(np.arange(n) % 100 == 3, 8, rng.integers(0, 3, n)))
+    free, skewed = rng.normal(size=n), np.exp(6 * rng.normal(size=n))
+    free[::50] = np.nan
+    df = spark.createDataFrame([(i, int(kind[i]), float(free[i]), float(skewed[i])) for i in range(n)], "id long, kind int, free double, skewed double").repartition(7)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = {r.feature: r.score for r in nb.knn_mutual_information(df, ["free", "skewed"], "kind", "id", k=3, discrete=True).collect()}
+            for name, v in (("free", free), ("skewed", skewed)):
+                assert got[name] == pytest.approx(plain(v.tolist(), kind.tolist(), range(n), name, 3, True), abs=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
