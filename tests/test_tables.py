@@ -479,3 +479,29 @@ def test_pages_of_many_headings_and_labels_are_one_fold(spark):
     table = {r["label"]: (r["type"], r["num"]) for r in dc.label_table(df, "page", "labels").collect()}
     assert table[f"fig_{n // 2 - 1}"] == ("fig", n // 2) and table["eq_0"] == ("eq", 1) and len(table) == n
     assert time.time() - start < 20
+
+
+def test_split_counts_leaves_rows_where_they_are(spark):
+    """Few (node, feature) keys hold all rows, so the join with their thresholds must not shuffle by them."""
+    from veritab.operators import trials as tr
+    rows = spark.range(400).selectExpr("id % 2 as node", "cast(id % 37 as double) as x", "id % 3 as label", "if(id % 4 = 0, 'val', 'train') as part")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, wide = tr.split_counts(rows, "node", ["x"], "label", "part")
+        assert "BroadcastHashJoin" in wide._jdf.queryExecution().executedPlan().toString()
+        total = wide.groupBy("node", "i").agg({"left": "sum", "right": "sum"}).collect()
+        assert all(r["sum(left)"] + r["sum(right)"] == 200 for r in total)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_counterexamples_sort_only_what_they_return(spark, monkeypatch):
+    from veritab.functions.exprs import Candidate
+    from veritab.operators import relations as rel
+    seen = []
+    scan = rel.ordered_scan
+    monkeypatch.setattr(rel, "ordered_scan", lambda df, *a, **k: seen.append(df.columns) or scan(df, *a, **k))
+    rows = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 9.0), ("d", 5.0)], "record_id string, x1 double")
+    _, worst = rel.invariant_check(rows, [Candidate("x", ("var", "x1"))], 0.1)
+    assert [(r.record_id, r.position) for r in worst.orderBy("position").collect()] == [("c", 1), ("a", 2), ("b", 3), ("d", 4)]
+    assert seen == [["cand", "record_id", "z", "deviation"]]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.ordered import exact_quantiles, ordered_scan
-from veritab.session import cut_lineage
+from veritab.session import cut_lineage, sized_join
 
 TINY = 1e-12
 
@@ -219,7 +219,8 @@ def split_counts(df: DataFrame, node: str, features: list[str], label: str, part
     mids = F.when(F.size(uniq) == 1, uniq).otherwise(F.array_distinct(F.zip_with(
         F.slice(uniq, 1, F.size(uniq) - 1), F.slice(uniq, 2, F.size(uniq) - 1), lambda a, b: (a + b) / 2)))
     thresholds = cut_lineage(cuts.select(node, "feature", mids.alias("thr")))
-    bins = long.filter(F.col("x").isNotNull()).join(thresholds, [node, "feature"]).groupBy(
+    # Few keys hold all rows: where the thresholds can be sent, the rows stay where they are.
+    bins = sized_join(long.filter(F.col("x").isNotNull()), thresholds, [node, "feature"]).groupBy(
         node, "feature", part, label, F.size(F.filter("thr", lambda c: c < F.col("x"))).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     # The bin table has at most (max_thresholds + 1) rows per node, feature, class and part.
     grid = thresholds.select(node, "feature", F.posexplode("thr").alias("i", "threshold"))
