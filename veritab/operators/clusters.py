@@ -10,7 +10,6 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,54 +214,102 @@ def _silhouettes(total: np.ndarray, size: np.ndarray, label: np.ndarray) -> np.n
         return np.where(~np.isfinite(b) | (top <= EPS), 0.0, (b - a) / top)
 
 
-def _euclidean_scores(points: DataFrame, draws: dict[int, Draw], block: int) -> None:
-    """Silhouettes as defined, quadratic in a draw's rows: blocks of rows meet in tasks, which return sums per row and cluster."""
-    blocks = max(1, math.ceil(max(s.n for s in draws.values()) / block))
-    rows = points.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("row", F.monotonically_increasing_id())
-    rows = cut_lineage(rows.select("row", "x", "draws", "b"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("row", "x", "draws", F.col("b").alias("i"), others.alias("j"))
-    right = rows.select(F.col("x").alias("rx"), F.col("draws").alias("rdraws"), others.alias("ri"), F.col("b").alias("rj"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            x, y = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["rx"].to_numpy()).astype(float)
-            for d, s in draws.items():
-                at, of = (np.array([d in v for v in side]) for side in (a["draws"], b["rdraws"]))
-                if not (at.any() and of.any() and s.centres):
-                    continue
-                z, w = s.scale(x[at]), s.scale(y[of])
-                for lo in range(0, len(z), 512):
-                    some = z[lo:lo + 512]
-                    size = (some ** 2).sum(1)[:, None] + (w ** 2).sum(1)[None, :]
-                    far = size - 2 * some @ w.T
-                    # Rows close together, and a row with itself, lose all digits there.
-                    close = np.nonzero(far <= 1e-6 * size)
-                    far[close] = ((some[close[0]] - w[close[1]]) ** 2).sum(axis=1)
-                    far = np.sqrt(far)
-                    for k in s.centres:
-                        mark = np.eye(k)[s.nearest(w, k)]
-                        out.append(pd.DataFrame({"row": a["row"].to_numpy()[at][lo:lo + 512], "d": d, "k": k, "c": list(s.nearest(some, k)), "v": list(far @ mark)}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "d": [], "k": [], "c": [], "v": []}, dtype=object)
-
-    part = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(meet, "row long, d int, k int, c int, v array<double>")
-    most = max(k for s in draws.values() for k in s.centres)
-    # One row per (row, draw, k): its sums to each of the few clusters as columns.
-    sums = [F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(most)]
-    per = part.groupBy("row", "d", "k", "c").agg(*sums)
-
-    def score(batches):
-        held: dict[tuple[int, int], float] = {}
+# Rows of a packed chunk; the rows one task may hold against all others, and the number of tasks up to which it holds fewer.
+CHUNK, HELD, TASKS = 500, 1 << 15, 48
+
+
+def distances(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    size = (z ** 2).sum(1)[:, None] + (w ** 2).sum(1)[None, :]
+    far = np.maximum(size - 2 * z @ w.T, 0.0)
+    # Rows close together, and a row with itself, lose all digits there.
+    close = np.nonzero(far <= 1e-6 * size)
+    far[close] = ((z[close[0]] - w[close[1]]) ** 2).sum(axis=1)
+    return np.sqrt(far)
+
+
+def against_all(rows: DataFrame, total: int, block: int, start, step, end, schema: str) -> DataFrame:
+    """Rows (x, tag: equally long lists) in blocks, each block in one task that reads all rows by chunks, in the order of ``rows``.
+
+    ``start(x, tag)`` makes a block's state, ``step(state, x, tag)`` takes one chunk, ``end(state)`` gives the rows of ``schema``. Every row is sent once
+    to each block: up to TASKS of them at any number of rows, then one for every HELD rows. No pair of rows and no sum per pair of blocks is sent.
+    """
+    blocks = max(1, min(math.ceil(total / block), max(TASKS, math.ceil(total / HELD))))
+
+    def pack(batches):
+        seq = 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(i, CHUNK)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)
+                small = x.astype(np.float32)
+                # Single precision where it says the same.
+                x = small if (small == x).all() else x
+                tag = part.column("tag").flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int32()), pa.array([part.num_rows], pa.int32()), pa.array([x.dtype.itemsize], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([tag.tobytes()], pa.binary())],
+                                                 names=["seq", "n", "width", "x", "tag"])
+                seq += 1
+
+    chunks = rows.select("x", "tag").mapInArrow(pack, "seq int, n int, width int, x binary, tag binary")
+    chunks = cut_lineage(chunks.withColumn("part", F.spark_partition_id()))
+    columns = ["part", "seq", "n", "width", "x", "tag"]
+    own = chunks.select(F.pmod(F.xxhash64("part") + F.col("seq"), F.lit(blocks)).cast("int").alias("i"), F.lit(0).alias("side"), *columns)
+    other = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.lit(1).alias("side"), *columns)
+    met = own.unionByName(other).repartitionByRange(blocks, "i").sortWithinPartitions("i", "side", "part", "seq")
+
+    def run(batches):
+        number, mine, state = None, [], None
         for batch in batches:
-            ds, ks, label = (batch.column(c).to_numpy() for c in ("d", "k", "c"))
-            total = np.stack([batch.column(f"v{i}").to_numpy(zero_copy_only=False) for i in range(most)], axis=1)
-            for d, k in {*zip(ds.tolist(), ks.tolist(), strict=True)}:
-                at = (ds == d) & (ks == k)
-                held[d, k] = held.get((d, k), 0.0) + _silhouettes(total[at][:, :k], draws[d].sizes[k].astype(float), label[at]).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.int32()), pa.array(list(held.values()), pa.float64())], names=["d", "k", "s"])
-
-    for r in per.mapInArrow(score, "d int, k int, s double").groupBy("d", "k").agg(F.sum("s").alias("s")).collect():
+            for r in range(batch.num_rows):
+                i, side, n, width = (batch.column(c)[r].as_py() for c in ("i", "side", "n", "width"))
+                x = np.frombuffer(batch.column("x")[r].as_py(), np.float32 if width == 4 else np.float64).astype(float).reshape(n, -1)
+                tag = np.frombuffer(batch.column("tag")[r].as_py(), np.int32).reshape(n, -1)
+                if i != number:
+                    if state is not None:
+                        yield end(state)
+                    number, mine, state = i, [], None
+                if side == 0:
+                    mine.append((x, tag))
+                elif mine:
+                    if state is None:
+                        state = start(np.concatenate([m[0] for m in mine]), np.concatenate([m[1] for m in mine]))
+                    step(state, x, tag)
+        if state is not None:
+            yield end(state)
+
+    return met.select("i", "side", "n", "width", "x", "tag").mapInArrow(run, schema)
+
+
+def _euclidean_scores(points: DataFrame, draws: dict[int, Draw], block: int) -> None:
+    """Silhouettes as defined, quadratic in a draw's rows: a task holds a block of rows against all, and returns one sum per draw and k."""
+    names = sorted(d for d in draws if draws[d].centres)
+    member = F.transform(F.array(*[F.lit(d) for d in names]), lambda d: F.array_contains("draws", d).cast("int"))
+    total = points.count()
+
+    def start(x: np.ndarray, tag: np.ndarray) -> dict:
+        held = {}
+        for j, d in enumerate(names):
+            z = draws[d].scale(x[tag[:, j] > 0])
+            held[d] = z, {k: (draws[d].nearest(z, k), np.zeros((len(z), k))) for k in draws[d].centres}
+        return held
+
+    def step(held: dict, x: np.ndarray, tag: np.ndarray) -> None:
+        for j, d in enumerate(names):
+            z, sums = held[d]
+            w = draws[d].scale(x[tag[:, j] > 0])
+            if not (len(z) and len(w)):
+                continue
+            marks = {k: np.eye(k)[draws[d].nearest(w, k)] for k in sums}
+            for lo in range(0, len(z), 2048):
+                far = distances(z[lo:lo + 2048], w)
+                for k, (_, total_) in sums.items():
+                    total_[lo:lo + 2048] += far @ marks[k]
+
+    def end(held: dict) -> pa.RecordBatch:
+        out = [(d, k, float(_silhouettes(v, draws[d].sizes[k].astype(float), label).sum())) for d, (z, sums) in held.items() if len(z) for k, (label, v) in sums.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["d", "k", "s"])
+
+    per = against_all(points.select("x", member.alias("tag")), total, block, start, step, end, "d int, k int, s double")
+    for r in per.groupBy("d", "k").agg(F.sum("s").alias("s")).collect():
         draws[r.d].scores[r.k] = r.s / draws[r.d].n
 
 
