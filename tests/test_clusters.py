@@ -120,3 +120,27 @@ def test_stability_counts_what_the_full_sample_shows(spark):
         assert r.k == k and abs(r.rand - np.mean(agree)) < 1e-12 and r.reproduced == (k == full[0] and np.mean(agree) >= 0.8)
     flat = spark.createDataFrame([(i, [1.0], f"g{i % 10}") for i in range(30)], KIND)
     assert not any(r.reproduced for r in cluster_stability(flat, "id", "v", "g", draws).collect())
+
+
+def test_silhouettes_of_blocks_held_against_all(spark, monkeypatch):
+    """The number of blocks, and so how often a row is sent, stays at TASKS while a task may hold more rows; lone clusters and equal rows as defined."""
+    from veritab.operators import clusters, structure
+    monkeypatch.setattr(clusters, "TASKS", 3)
+    monkeypatch.setattr(clusters, "CHUNK", 7)
+    sent = []
+    spread = clusters.F.sequence
+    monkeypatch.setattr(clusters.F, "sequence", lambda a, b: sent.append(b) or spread(a, b))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(250, 3)) + 4 * (np.arange(250) % 3 == 0)[:, None]
+    x[10] = x[20]
+    label = np.where(np.arange(250) == 249, 99, rng.integers(0, 4, 250))
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, v array<double>, c int").repartition(5)
+    got = structure.silhouette_exact(df, "id", "v", "c", block=10).first()
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(250):
+        mean = {c: far[i, label == c].sum() / max((label == c).sum() - (c == label[i]), 1) for c in np.unique(label)}
+        a, b = mean.pop(label[i]), min(mean.values())
+        want.append((b - a) / max(a, b))
+    assert got.n == 250 and abs(got.silhouette - np.mean(want)) < 1e-12
+    assert len(sent) == 1 and "2" in str(sent[0])

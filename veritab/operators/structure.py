@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.ordered import exact_quantiles, hash_rank, ordered_scan
-from veritab.operators.clusters import ClusterSearch
+from veritab.operators.clusters import ClusterSearch, against_all, distances
 from veritab.session import cut_lineage
 
 EPS = 1e-12
@@ -93,38 +93,47 @@ def silhouette_squared(points: DataFrame, vector: str, cluster: str) -> DataFram
 def silhouette_exact(points: DataFrame, key: str, vector: str, cluster: str, block: int = 4000) -> DataFrame:
     """Mean silhouette with Euclidean distances, as defined (quadratic in the rows).
 
-    Rows are cut into blocks; a task holds two blocks and returns one partial sum
-    per (row, cluster), never a pair. Use the squared form for large tables.
+    Rows are read in the order of their clusters, so a task that holds a block of rows keeps one sum a row for the cluster at hand, the mean
+    to its own cluster and the least mean to another. Use the squared form for large tables.
     """
     total = points.count()
-    blocks = max(1, math.ceil(total / block))
-    rows = points.select(F.col(key).cast("string").alias("id"), F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "c", "v", F.col("b").alias("i"), others.alias("j"))
-    # Fresh names: both sides come from the same rows and must not share attributes.
-    right = rows.select(F.col("c").alias("rc"), F.col("v").alias("rv"), others.alias("ri"), F.col("b").alias("rj"))
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "own": [], "c": [], "s": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["rv"].to_numpy())
-        out = []
-        for c in np.unique(b["rc"]):
-            yc = y[(b["rc"] == c).to_numpy()]
-            d = np.sqrt(np.maximum((x ** 2).sum(1)[:, None] + (yc ** 2).sum(1)[None, :] - 2 * x @ yc.T, 0.0))
-            out.append(pd.DataFrame({"id": a["id"].to_numpy(), "own": a["c"].to_numpy(), "c": c, "s": d.sum(1)}))
-        return pd.concat(out)
-
-    part = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(sums, "id string, own int, c int, s double")
-    per = part.groupBy("id", "own", "c").agg(F.sum("s").alias("s"))
-    sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    j = per.join(sizes, "c")
-    same = F.col("own") == F.col("c")
-    d = j.withColumn("m", F.when(same & (F.col("n") <= 1), 0.0).when(same, F.col("s") / (F.col("n") - 1)).otherwise(F.col("s") / F.col("n")))
-    s = d.groupBy("id").agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
-    top = F.greatest("a", "b")
-    return s.agg(F.avg(F.when(F.col("b").isNull() | (top <= EPS), 0.0).otherwise((F.col("b") - F.col("a")) / top)).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    c = F.col(cluster).cast("int")
+    rows = points.select(F.col(vector).cast("array<double>").alias("x"), F.array(c.isNotNull().cast("int"), F.coalesce(c, F.lit(0))).alias("tag"))
+    rows = rows.orderBy("tag")
+
+    def start(x: np.ndarray, tag: np.ndarray) -> dict:
+        return {"x": x, "own": tag, "a": np.full(len(x), np.nan), "b": np.full(len(x), np.inf), "sum": np.zeros(len(x)), "n": 0, "c": None}
+
+    def close(s: dict) -> None:
+        if s["n"]:
+            same = (s["own"][:, 0] > 0) & (s["own"][:, 1] == s["c"])
+            s["a"][same] = s["sum"][same] / max(s["n"] - 1, 1) if s["n"] > 1 else 0.0
+            rest = (s["own"][:, 0] > 0) & ~same
+            s["b"][rest] = np.minimum(s["b"][rest], s["sum"][rest] / s["n"])
+        s["sum"], s["n"] = np.zeros(len(s["x"])), 0
+
+    def step(s: dict, x: np.ndarray, tag: np.ndarray) -> None:
+        known = tag[:, 0] > 0
+        x, tag = x[known], tag[known, 1]
+        for c in np.unique(tag).tolist():
+            if c != s["c"]:
+                close(s)
+                s["c"] = c
+            of = x[tag == c]
+            for lo in range(0, len(s["x"]), 2048):
+                s["sum"][lo:lo + 2048] += distances(s["x"][lo:lo + 2048], of).sum(axis=1)
+            s["n"] += len(of)
+
+    def end(s: dict) -> pa.RecordBatch:
+        close(s)
+        top = np.fmax(s["a"], s["b"])
+        alone = ~np.isfinite(s["b"]) | (top <= EPS)
+        score = np.zeros(len(top))
+        score[~alone] = (s["b"][~alone] - s["a"][~alone]) / top[~alone]
+        return pa.RecordBatch.from_arrays([pa.array([float(score.sum())]), pa.array([len(score)], pa.int64())], names=["s", "n"])
+
+    per = against_all(rows, total, block, start, step, end, "s double, n long")
+    return per.agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def rand_index(a: DataFrame, b: DataFrame, key: str, la: str, lb: str, keys: list[str] | None = None) -> DataFrame:
