@@ -36,6 +36,40 @@ def test_grid_front_against_all_pairs(spark, monkeypatch, shape):
     assert {r.identity for r in po.pareto_front(df, version="knowledge_version").collect()} == plain(rows)
 
 
+def plain_layers(rows):
+    left, out, layer = list(rows), {}, 0
+    while left:
+        front = plain(left)
+        out |= {i: layer for i in front}
+        left, layer = [r for r in left if r[0] not in front], layer + 1
+    return out
+
+
+@pytest.mark.parametrize("shape", ["free", "coarse", "near"])
+def test_layers_against_peeling(spark, monkeypatch, shape):
+    monkeypatch.setattr(po, "BLOCK_ROWS", 90)
+    rng = np.random.default_rng(len(shape))
+    v = rng.normal(size=(120 if shape == "near" else 400, 4))
+    if shape == "coarse":
+        v = np.round(v * 2) / 2 + 0.1
+    elif shape == "near":  # below the tolerance: points are no order
+        v = np.round(v) + rng.integers(0, 2, v.shape) * 4e-13
+    rows = [(i, *map(float, r), "v1") for i, r in enumerate(v)]
+    df = spark.createDataFrame([*rows, (1000, None, 1.0, 1.0, 1.0, "v1")], KIND).repartition(5)
+    want = plain_layers(rows)
+    assert {r.identity: r.layer for r in po.pareto_layers(df).collect()} == want
+    assert {r.identity: r.layer for r in po.pareto_layers(df, max_layers=2).collect()} == {i: n for i, n in want.items() if n < 2}
+
+
+def test_many_layers_take_few_jobs(spark, monkeypatch):
+    def refuse(_):
+        raise AssertionError("fronts are not peeled one by one")
+    monkeypatch.setattr(po, "_grid_front", refuse)
+    rows = [(i, i % 300 * 0.5, 1.0, 1.0, 1.0, "v1") for i in range(900)]
+    got = {r.identity: r.layer for r in po.pareto_layers(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {i: 299 - i % 300 for i in range(900)}
+
+
 def test_incomplete_rows_and_mixed_versions(spark):
     rows = [(1, 1.0, 1.0, 1.0, 1.0, "a"), (2, None, 9.0, 9.0, 0.0, "a"), (3, 0.5, 1.0, 1.0, 1.0, "b")]
     df = spark.createDataFrame(rows, KIND)

@@ -7,10 +7,12 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.session import cut_lineage
+from veritab.functions.ordered import ordered_scan
+from veritab.session import cut_lineage, sized_join
 
 # Dimensions in rotation order and their direction.
 DIRECTIONS = {"gain": 1, "stability": 1, "novelty": 1, "complexity": -1}
@@ -142,17 +144,134 @@ def _grid_front(points: DataFrame) -> DataFrame:
 
 
 def pareto_layers(rows: DataFrame, max_layers: int | None = None, identity: str = "identity") -> DataFrame:
-    """(identity, layer, dims): the front is layer 0; it is removed and the next follows."""
-    remaining, out = cut_lineage(rows.dropna(subset=list(DIRECTIONS))), None
+    """(identity, layer, dims): the front is layer 0; it is removed and the next follows.
+
+    Rows of equal values are one point, and its layer is one more than the greatest of the points that dominate it. Points are taken
+    by falling sum, in blocks: a block is compared with all earlier points in parallel, then with itself in one task.
+    """
+    dims = list(DIRECTIONS)
+    complete = rows.dropna(subset=dims)
+    named = [(F.col(d).cast("double") + 0.0).alias(f"_f_{d}") for d in dims]
+    points = cut_lineage(complete.select(*named).distinct().toDF(*dims))
+    layers = _peeled(points, max_layers) if _near_values(points) else _block_layers(points)
+    if max_layers is not None:
+        layers = layers.filter(F.col("layer") < max_layers)
+    keyed = complete.select(*rows.columns, *named)
+    return sized_join(keyed, layers.toDF(*[f"_f_{d}" for d in dims], "layer"), [f"_f_{d}" for d in dims]).select(*rows.columns, "layer")
+
+
+def _near_values(points: DataFrame) -> bool:
+    """Whether different values of some axis are equal up to the tolerance, or infinite: dominance is no order then."""
+    dims = list(DIRECTIONS)
+    values = points.select(F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(d).alias("v")) for i, d in enumerate(dims)])).alias("s")).select("s.*").distinct()
+    # Twice the tolerance, as differences are rounded.
+    close = F.col("v") - F.col("before") <= 2 * TOLERANCE
+    return not ordered_scan(values, ["axis"], ["v"], prevs={"before": "v"}).filter(close | (F.abs("v") == float("inf"))).isEmpty()
+
+
+def _peeled(points: DataFrame, max_layers: int | None) -> DataFrame:
+    """(dims, layer) of distinct points, front by front."""
+    dims = list(DIRECTIONS)
+    remaining, out = points, points.withColumn("layer", F.lit(0)).limit(0)
     for layer in count() if max_layers is None else range(max_layers):
         if remaining.isEmpty():
             break
-        front = cut_lineage(pareto_front(remaining, identity))
-        part = front.withColumn("layer", F.lit(layer))
-        out = part if out is None else out.unionByName(part)
+        front = cut_lineage(_grid_front(remaining))
+        out = out.unionByName(front.withColumn("layer", F.lit(layer)))
         if max_layers is None or layer + 1 < max_layers:
-            remaining = cut_lineage(remaining.join(front.select(identity), identity, "left_anti"))
-    return out if out is not None else rows.withColumn("layer", F.lit(0)).limit(0)
+            remaining = cut_lineage(remaining.join(front, dims, "left_anti"))
+    return out
+
+
+def _highest(points: np.ndarray, against: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """Greatest layer of a row of ``against`` that is no worse than the point anywhere, -1 without one; highest layers are met first."""
+    out = np.full(len(points), -1)
+    open_ = np.arange(len(points))
+    order = np.argsort(-layer, kind="stable")
+    for start in range(0, len(order), 512):
+        if not len(open_):
+            break
+        some = order[start:start + 512]
+        for i in range(0, len(open_), 2048):
+            at = open_[i:i + 2048]
+            no_worse = np.logical_and.reduce([against[some, x][None, :] >= points[at, x][:, None] for x in range(points.shape[1])])
+            # The first hit has the greatest layer of the slab.
+            hit = no_worse.any(axis=1)
+            out[at[hit]] = layer[some[no_worse[hit].argmax(axis=1)]]
+        open_ = open_[out[open_] < 0]
+    return out
+
+
+def _layers_inside(points: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Layers of distinct points in falling order, not below ``least``; no point is dominated by a later one."""
+    layer = least.copy()
+    for start in range(0, len(points), 256):
+        own = points[start:start + 256]
+        found = layer[start:start + 256]
+        np.maximum(found, _highest(own, points[:start], layer[:start]) + 1, out=found)
+        no_worse = np.logical_and.reduce([own[None, :, x] >= own[:, None, x] for x in range(own.shape[1])])
+        for i in range(1, len(own)):
+            found[i] = max(found[i], (found[:i][no_worse[i, :i]] + 1).max(initial=0))
+    return layer
+
+
+def _block_layers(points: DataFrame) -> DataFrame:
+    """(dims, layer) of distinct points whose values are equal or apart. A block and its layers are one packed row of bounded size."""
+    dims = list(DIRECTIONS)
+    width = len(dims)
+    better = [F.col(d) * sign for d, sign in DIRECTIONS.items()]
+    # Rounded sums of no smaller values are no smaller; among equal ones the greater values come first.
+    falling = [(better[0] + better[1] + better[2] + better[3]).desc(), *[v.desc() for v in better]]
+    ranked = ordered_scan(points, [], falling, number="n").withColumn("b", F.floor((F.col("n") - 1) / BLOCK_ROWS).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"b": pdf["b"].iloc[:1], "x": [_points(pdf.sort_values("n")).tobytes()]})
+
+    packed = cut_lineage(ranked.groupBy("b").applyInPandas(pack, "b int, x binary"))
+    read = lambda batch, c, r: np.frombuffer(batch.column(c)[r].as_py(), float).reshape(-1, width)
+    layers_of = lambda batch, c, r: np.frombuffer(batch.column(c)[r].as_py(), np.int32)
+
+    def compare(batches):
+        most = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                found = _highest(read(batch, "x", r), read(batch, "rx", r), layers_of(batch, "rl", r)) + 1
+                most = found if most is None else np.maximum(most, found)
+        if most is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([most.astype(np.int32).tobytes()], pa.binary())], names=["least"])
+
+    def merge(batches):
+        most = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                most = layers_of(batch, "least", r) if most is None else np.maximum(most, layers_of(batch, "least", r))
+        if most is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([most.tobytes()], pa.binary())], names=["least"])
+
+    def inside(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, least = read(batch, "x", r), batch.column("least")[r].as_py()
+                least = np.zeros(len(x), np.int32) if least is None else np.frombuffer(least, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([_layers_inside(x, least).tobytes()], pa.binary())], names=["x", "layer"])
+
+    def unpack(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = read(batch, "x", r)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[:, i] * sign + 0.0) for i, sign in enumerate(DIRECTIONS.values())], pa.array(layers_of(batch, "layer", r))], names=[*dims, "layer"])
+
+    done = points.sparkSession.createDataFrame([], "x binary, layer binary")
+    for b in range(packed.count()):
+        block = packed.filter(F.col("b") == b).select("x")
+        least = block.withColumn("least", F.lit(None).cast("binary"))
+        if b:
+            # One block meets each finished one where that lies; layers come back as one number a point.
+            met = done.select(F.col("x").alias("rx"), F.col("layer").alias("rl")).crossJoin(F.broadcast(block)).mapInArrow(compare, "least binary")
+            least = block.crossJoin(F.broadcast(met.repartition(1).mapInArrow(merge, "least binary")))
+        part = cut_lineage(least.mapInArrow(inside, "x binary, layer binary").coalesce(1))
+        done = part if not b else done.union(part)
+    return done.mapInArrow(unpack, ", ".join(f"{d} double" for d in dims) + ", layer int")
 
 
 def one_version(rows: DataFrame, version: str = "knowledge_version") -> DataFrame:
