@@ -9,7 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from veritab.functions.ordered import hash_rank
 from veritab.operators import classify as cl
+from veritab.session import cut_lineage
 
 
 def plain_auc(scores, y):
@@ -130,3 +132,15 @@ def test_permutation_importance_by_hand(spark):
     for j, name in enumerate(["a", "b"]):
         assert np.allclose(got[name], (np.mean(means, axis=0)[j], np.mean(stds, axis=0)[j]), atol=1e-9)
     assert got["a"][0] > 1 > got["b"][0]
+
+
+def test_ranks_by_digest_shuffle_rows_once(spark):
+    rows = cut_lineage(spark.range(3000).select((F.col("id") % 3).alias("g"), "id", F.md5(F.col("id").cast("string")).alias("d"), F.unhex(F.md5(F.col("id").cast("string"))).alias("b")))
+    by_text, by_bytes = hash_rank(rows, ["g"], "d", out="rk"), hash_rank(rows, ["g"], "b", out="rk")
+    plan = by_text._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    want = {}
+    for g in range(3):
+        want |= {r.id: i + 1 for i, r in enumerate(sorted((r for r in rows.collect() if r.g == g), key=lambda r: r.d))}
+    for ranked in (by_text, by_bytes):
+        assert {r.id: r.rk for r in ranked.collect()} == want

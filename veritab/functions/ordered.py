@@ -81,13 +81,14 @@ def ordered_scan(
 def hash_rank(
     df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str] = (), out: str = "rk", prefix: int = 3
 ) -> DataFrame:
-    """Rank by a hex digest (uniform, so its prefix is an even bucket key).
+    """Rank by a digest, in hex or binary (uniform, so its prefix is an even bucket key).
 
     ``prefix`` hex digits give 16**prefix buckets per key; only the bucket
-    counts are ranked across buckets.
+    counts are ranked across buckets. Rows are shuffled once, for the window, unless the counts are too many to broadcast.
     """
     keys = list(keys)
-    rows = df.withColumn("_b", F.substring(digest, 1, prefix))
+    text = F.hex(F.substring(digest, 1, prefix)) if dict(df.dtypes)[digest] == "binary" else F.col(digest)
+    rows = df.withColumn("_b", F.substring(text, 1, prefix))
     earlier = (
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -100,7 +101,7 @@ def hash_rank(
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = Window.partitionBy(*keys, "_b").orderBy(digest, *ties)
     return (
-        rows.join(counts, same)
+        sized_join(rows, counts, same)
         .withColumn(out, (F.row_number().over(inside) + F.col("_off")).cast("long"))
         .drop("_b", "_off", "_k_b", *[f"_k_{k}" for k in keys])
     )

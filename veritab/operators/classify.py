@@ -287,20 +287,24 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, key:
     rows = rows.select("fold", "_key", "code", *[F.col(f).cast("double").alias(f) for f in features])
     means = training_means(rows, features)
     table = df.sparkSession.createDataFrame([(f, [float(v) for v in m]) for f, m in means.items()], "fold int, _m array<double>")
-    filled = F.array(*[F.coalesce(F.col(f), F.get("_m", F.lit(i))) for i, f in enumerate(features)])
-    # One row of means per fold.
-    rows = cut_lineage(rows.join(F.broadcast(table), "fold").select("fold", "_key", "code", filled.alias("x"), *features))
+    filled = lambda named: F.array(*[F.coalesce(F.col(c), F.get("_m", F.lit(i))) for i, c in enumerate(named)])
+    rows = cut_lineage(rows.filter(F.col("fold").isin(list(means))))
     train = rows.select("fold", "code", F.array(*features).alias("x"))
     models = least_squares_folds(train, means) if metric == "r2" else logistic_folds(train, {k: list(range(len(features))) for k in means}, means, len(classes), c)
-    order = ["_key", *features, "code"]
-    base = hash_rank(rows.withColumn("_h", F.md5("_key")), ["fold"], "_h", order, "rk").select("fold", "rk", "code", "x")
-    drawn = rows.select("fold", *order, "x", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    drawn = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("_key"))))
-    other = hash_rank(drawn, ["fold", "rep"], "_h", order, "rk").select("fold", "rk", "rep", F.col("x").alias("q"))
+    # Rows of one digest have one key, so their features tell them apart: neither the key nor a digest in hex is sent.
+    flat, order = [F.col(f).alias(f"f{i}") for i, f in enumerate(features)], [*[f"f{i}" for i in range(len(features))], "code"]
+    digest = lambda text: F.unhex(F.md5(text)).alias("_h")
+    base = hash_rank(rows.select("fold", "code", *flat, digest(F.col("_key"))), ["fold"], "_h", order, "rk").select("fold", "rk", *order)
+    drawn = rows.select("fold", "code", "_key", *flat, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    drawn = drawn.select("fold", "rep", *order, digest(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), "_key")))
+    other = hash_rank(drawn, ["fold", "rep"], "_h", order, "rk").select("fold", "rk", "rep", *[F.col(f"f{i}").alias(f"q{i}") for i in range(len(features))])
     swap = lambda i: F.transform("x", lambda v, at: F.when(at == i, F.get("q", F.lit(i))).otherwise(v))
     # Position -1 stands for the row as it is.
     variants = F.array(F.struct(F.lit(-1).alias("at"), F.col("x").alias("z")), *[F.struct(F.lit(i).alias("at"), swap(i).alias("z")) for i in range(len(features))])
-    both = base.join(other, ["fold", "rk"]).select("fold", "rep", "code", F.inline(variants))
+    # One row of means per fold.
+    met = base.join(other, ["fold", "rk"]).join(F.broadcast(table), "fold").select(
+        "fold", "rep", "code", filled([f"f{i}" for i in range(len(features))]).alias("x"), filled([f"q{i}" for i in range(len(features))]).alias("q"))
+    both = met.select("fold", "rep", "code", F.inline(variants))
     scored = _scores(both, models, "z", "fold", "scores")
     keys = ["fold", "rep", "at"]
     if metric == "r2":
