@@ -106,6 +106,17 @@ def test_components_brute_force(spark, shape):
     assert got == {v: find(v) for v in parent}
 
 
+def test_backbone_moves_narrow_edges(spark, monkeypatch):
+    """Names are as long as they like: rounds checkpoint components and places, never an edge's id or rank."""
+    kept = []
+    monkeypatch.setattr(gr, "cut_lineage", lambda df, plain=gr.cut_lineage: kept.append(df.columns) or plain(df))
+    edges = [(f"e{i}", i % 7, i * 3 % 11, i * 0.5) for i in range(60)]
+    got = {r["id"] for r in gr.spanning_backbone(spark.createDataFrame(edges, "id string, source int, target int, rank double")).collect()}
+    assert len(got) == 10 and "e1" in got
+    assert kept and not any({"id", "rank"} & set(columns) for columns in kept)
+    assert not gr.spanning_backbone(spark.createDataFrame(edges, "id string, source int, target int, rank double").limit(0)).collect()
+
+
 def test_backbone_equals_greedy_forest(spark):
     random.seed(9)
     edges = [(f"e{i}", f"n{random.randrange(25)}", f"n{random.randrange(25)}", random.random()) for i in range(80)]

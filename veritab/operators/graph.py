@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from veritab.functions.ordered import ordered_scan, top_rows
 from veritab.operators.documents import fold
-from veritab.session import cut_lineage, sized_join
+from veritab.session import cut_lineage, sized_join, stored
 
 # Relation kinds by priority.
 RELATION_PRIORITY = {
@@ -194,25 +194,28 @@ def _fill_related(free: DataFrame, used: DataFrame, order: list[Column], limit:
 
 def spanning_backbone(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Maximum spanning forest of (id, source, target, rank); a smaller rank is better and
-    ranks are unique, so Boruvka rounds give the same forest as the greedy order."""
-    live = cut_lineage(edges.select("id", "rank", "source", "target").filter(F.col("source") != F.col("target")))
-    names = live.select(F.col("source").alias("node")).union(live.select(F.col("target").alias("node"))).distinct()
-    label = cut_lineage(names.select("node", F.col("node").alias("comp")))
+    ranks are unique, so Boruvka rounds give the same forest as the greedy order.
+
+    Edges are sorted by rank once and carry their place from then on: rounds move (place, component, component), of which
+    the best is kept for each two components. Ids join again at the end.
+    """
+    proper = edges.filter(F.col("source") != F.col("target")).select("id", "rank", "source", "target")
+    # Places follow the physical order, so they are stored before use.
+    placed = stored(proper.orderBy("rank").select(F.monotonically_increasing_id().alias("n"), "id", "source", "target"))
+    live = placed.select("n", F.col("source").alias("cs"), F.col("target").alias("cd"))
     chosen = None
     for _ in range(max_rounds):
-        s = label.select(F.col("node").alias("source"), F.col("comp").alias("cs"))
-        d = label.select(F.col("node").alias("target"), F.col("comp").alias("cd"))
-        live = cut_lineage(live.select("id", "rank", "source", "target").join(s, "source").join(d, "target").filter("cs <> cd"))
         if live.isEmpty():
             break
-        ends = live.select(F.explode(F.array("cs", "cd")).alias("comp"), F.struct("rank", "id", "cs", "cd").alias("e"))
-        best = ends.groupBy("comp").agg(F.min("e").alias("e")).select("e.id", "e.cs", "e.cd").distinct()
-        best = cut_lineage(best)
-        chosen = best.select("id") if chosen is None else chosen.union(best.select("id"))
+        ends = live.select(F.explode(F.array("cs", "cd")).alias("comp"), F.struct("n", "cs", "cd").alias("e"))
+        best = cut_lineage(ends.groupBy("comp").agg(F.min("e").alias("e")).select("e.*").distinct())
+        chosen = best.select("n") if chosen is None else chosen.union(best.select("n"))
+        # Every component with an edge is in it: each has a best one.
         merged = connected_components(best.select(F.col("cs").alias("a"), F.col("cd").alias("b")))
-        label = cut_lineage(label.join(merged.withColumnRenamed("node", "comp").withColumnRenamed("component", "_new"), "comp", "left")
-                            .select("node", F.coalesce("_new", "comp").alias("comp")))
-    return chosen if chosen is not None else edges.select("id").limit(0)
+        moved = sized_join(live, merged.select(F.col("node").alias("cs"), F.col("component").alias("ns")), "cs")
+        moved = sized_join(moved, merged.select(F.col("node").alias("cd"), F.col("component").alias("nd")), "cd").filter("ns <> nd")
+        live = stored(moved.groupBy(F.least("ns", "nd").alias("cs"), F.greatest("ns", "nd").alias("cd")).agg(F.min("n").alias("n")))
+    return sized_join(placed, chosen, "n").select("id") if chosen is not None else edges.select("id").limit(0)
 
 
 @F.pandas_udf(T.StringType())

@@ -128,7 +128,7 @@ def f19(t: Tables) -> DataFrame:
 def f20(t: Tables) -> DataFrame:
     rel = relations(t)
     rank = F.struct((-gr.priority(F.col("kind"))).alias("p"), (-F.col("confidence")).alias("c"), F.col("id"))
-    edges = rel.select("id", F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), rank.alias("rank"))
+    edges = rel.select("id", "source", "target", rank.alias("rank"))
     return gr.spanning_backbone(edges)
 
 
