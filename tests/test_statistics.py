@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from veritab.operators import structure as st
 from veritab.operators import testing as tst
 from veritab.operators import trials as tr
 from veritab.operators.split import seats
+from veritab.session import cut_lineage
 
 X1 = Candidate("x1", ("var", "X1"))
 
@@ -299,3 +301,15 @@ def test_guided_promotion_brute_force(spark):
 
 def test_resource_levels():
     assert tr.resource_levels(1, 27, 3) == [1, 3, 9, 27] and tr.resource_levels(2, 9, 3) == [2, 6, 9]
+
+
+def test_quantile_bins_count_values_once(spark):
+    rows = [(i % 3, float(i * 7 % 20) if i % 11 else None) for i in range(300)]
+    df = cut_lineage(spark.createDataFrame(rows, "g int, v double"))
+    cuts = rv.quantile_cuts(df, ["g"], "v", 4)
+    # Values are counted in the sorted scan, which is stored; what is left counts rows by key.
+    assert not re.search(r"Aggregate \[g#\d+, v#\d+", cuts._jdf.queryExecution().optimizedPlan().toString())
+    found = {r.g: r.cuts for r in cuts.collect()}
+    placed = df.join(cuts, "g").select("g", "v", rv.bin_of(F.col("v"), F.col("cuts"), 4).alias("b"))
+    for r in placed.collect():
+        assert r.b == sum(c < r.v for c in found[r.g] if r.v is not None)

@@ -67,7 +67,8 @@ def quantile_cuts(df: DataFrame, keys: list[str], value: str, bins: int) -> Data
     """(keys, cuts): exact upper bounds of equal-count bins, at most ``bins - 1`` per key."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
     scanned = ordered_scan(counts, keys, [value], sums={"_cum": "_t"})
-    total = counts.groupBy(*keys).agg(F.sum("_t").alias("_n"))
+    # Counted apart from the values: one row per key and task is shuffled.
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if keys:
         marked = scanned.join(total, keys)
     else:
@@ -78,21 +79,23 @@ def quantile_cuts(df: DataFrame, keys: list[str], value: str, bins: int) -> Data
     return marked.filter(closes).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("cuts"))
 
 
-def bin_of(value: Column, cuts: Column) -> Column:
-    """Number of cuts below the value."""
-    return F.size(F.filter(cuts, lambda c: c < value))
+def bin_of(value: Column, cuts: Column, bins: int) -> Column:
+    """Number of cuts below the value, of at most ``bins - 1``; comparisons one by one are compiled, a filter of the array is not."""
+    return sum((F.when(F.get(cuts, F.lit(i)) < value, 1).otherwise(0) for i in range(bins - 1)), F.lit(0))
 
 
 def binned_mutual_information(df: DataFrame, features: list[str], y: str, bins: int = 8, by: list[str] | None = None) -> DataFrame:
     """MI (nats) of quantile bins; the k-NN estimator of the usual definition is replaced."""
     by = by or []
     key, empty = [*by, "feature"], F.array().cast("array<double>")
-    long = melt(df, features, [*by, y]).filter(F.col("x").isNotNull())
-    rows = sized_join(long, quantile_cuts(long, key, "x", bins), key, "left")
     ycuts = quantile_cuts(df.select(*by, y), by, y, bins).withColumnRenamed("cuts", "_yc")
-    rows = sized_join(rows, ycuts, by, "left") if by else rows.withColumn("_yc", ycuts.scalar())
-    cells = rows.select(*key, bin_of(F.col("x"), F.coalesce("cuts", empty)).alias("bx"),
-                        bin_of(F.col(y), F.coalesce("_yc", empty)).alias("by")).groupBy(*key, "bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    placed = sized_join(df, ycuts, by, "left") if by else df.withColumn("_yc", ycuts.scalar())
+    # The target is placed once a row, not once a feature.
+    placed = placed.withColumn("_yb", bin_of(F.col(y), F.coalesce("_yc", empty), bins))
+    cuts = quantile_cuts(melt(df, features, by).filter(F.col("x").isNotNull()), key, "x", bins)
+    rows = sized_join(melt(placed, features, [*by, "_yb"]).filter(F.col("x").isNotNull()), cuts, key, "left")
+    cells = rows.select(*key, bin_of(F.col("x"), F.coalesce("cuts", empty), bins).alias("bx"), F.col("_yb").alias("by")).groupBy(
+        *key, "bx", "by").agg(F.count(F.lit(1)).alias("n"))
     return mutual_information(cells, key, "bx", "by")
 
 

@@ -11,7 +11,7 @@ from veritab.operators import selector as sel
 from veritab.operators.neighbours import knn_mutual_information
 from veritab.plans.common import FEATURES, OBS_CTE, observations, r
 from veritab.plans.registry import Tables, query
-from veritab.session import sized_join
+from veritab.session import sized_join, stored
 
 
 def table(t: Tables) -> DataFrame:
@@ -146,7 +146,8 @@ def d10(t: Tables) -> DataFrame:
     """Relevance methods compared on group folds; objective = score + 0.1 * stability."""
     rows = table(t).withColumn("x3", F.coalesce("x3", F.lit(0.0)))
     folds = t.once("gf", lambda: rv.group_folds(rows, "grp", 3))
-    data = sized_join(rows, folds, "grp")
+    # Read seven times: stored with the columns that count.
+    data = stored(sized_join(rows, folds, "grp").select("fold", *FEATURES, "y"))
     moments = t.once("moments", lambda: rv.fold_moments(data, "fold", FEATURES, "y"))
     out = rv.evaluate_folds(moments, FEATURES, "y", 2, metric="neg_mse").withColumn("method", F.lit("pearson_abs"))
     # Every row trains all folds but its own; one keyed pass scores all of them.
