@@ -144,3 +144,23 @@ def test_silhouettes_of_blocks_held_against_all(spark, monkeypatch):
         want.append((b - a) / max(a, b))
     assert got.n == 250 and abs(got.silhouette - np.mean(want)) < 1e-12
     assert len(sent) == 1 and "2" in str(sent[0])
+
+
+def test_choice_takes_exact_silhouettes_only_where_k_is_open(spark):
+    """Distances in single precision settle k for blobs; a bound of acceptance beside the score leaves it open, and silhouettes are then taken as defined."""
+    from veritab.operators import clusters
+    rows = blobs(1)
+    found = ClusterSearch(spark.createDataFrame(rows, KIND), "id", "v", choice=True, block=17)
+    assert found.draws[0].k == 3 and not found.draws[0].scores and found.chosen().first().silhouette is None
+    rng = np.random.default_rng(3)
+    noise = [(i, rng.normal(size=8).tolist(), "g") for i in range(90)]
+    whole = ClusterSearch(spark.createDataFrame(noise, KIND), "id", "v", accept=-1.0).draws[0]
+    edge = whole.scores[whole.k]
+    for accept, k in ((edge - 1e-9, whole.k), (edge + 1e-9, None)):
+        near = ClusterSearch(spark.createDataFrame(noise, KIND), "id", "v", accept=accept, choice=True).draws[0]
+        assert near.k == k and near.scores[whole.k] == pytest.approx(edge, abs=1e-12)
+    z, w = rng.normal(size=(300, 64)), rng.normal(size=(400, 64))
+    w[:3] = z[:3] + [[0.0], [1e-9], [1e-3]]
+    got = clusters._near_distances(z, w, z.astype(np.float32), (z ** 2).sum(1).astype(np.float32), (-2 * w).astype(np.float32), (w ** 2).sum(1).astype(np.float32))
+    want = np.sqrt(((z[:, None] - w[None]) ** 2).sum(2))
+    assert (np.abs(got - want) <= 4 * 68 * clusters.UNIT * want).all() and got[0, 0] == 0

@@ -279,38 +279,78 @@ def against_all(rows: DataFrame, total: int, block: int, start, step, end, schem
     return met.select("i", "side", "n", "width", "x", "tag").mapInArrow(run, schema)
 
 
-def _euclidean_scores(points: DataFrame, draws: dict[int, Draw], block: int) -> None:
-    """Silhouettes as defined, quadratic in a draw's rows: a task holds a block of rows against all, and returns one sum per draw and k."""
-    names = sorted(d for d in draws if draws[d].centres)
+# Rows of a slab whose distances to a chunk stay in a core's cache; unit of rounding of single precision.
+SLAB, UNIT = 256, 2.0 ** -24
+
+
+def _near_distances(z: np.ndarray, w: np.ndarray, z4: np.ndarray, z2: np.ndarray, w4: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    """``distances`` in single precision, each of them to 4 (columns + 4) units. Rows close together are taken in double precision.
+
+    ``z4`` and ``w4`` are the rows in single precision, those of w times -2, ``z2`` and ``w2`` their squared lengths.
+    """
+    far = z4 @ w4.T
+    far += z2[:, None]
+    far += w2
+    # One bound for all pairs first, which finds too many rather than too few.
+    flat = far.reshape(-1)
+    close = np.flatnonzero(flat < (z2.max(initial=0) + w2.max(initial=0)) / 8)
+    if len(close):
+        i, j = np.divmod(close, len(w))
+        if len(close) > far.size // 50:
+            at = flat[close] < (z2[i] + w2[j]) / 8
+            close, i, j = close[at], i[at], j[at]
+            if len(close) > far.size // 50:
+                return distances(z, w).astype(np.float32)
+        flat[close] = ((z[i] - w[j]) ** 2).sum(axis=1)
+    return np.sqrt(far, out=far)
+
+
+def _euclidean_scores(points: DataFrame, draws: dict[int, Draw], block: int, wanted: dict[int, list[int]], near: bool = False) -> dict[tuple[int, int], float]:
+    """Silhouettes as defined of the ``wanted`` k of each draw, quadratic in its rows: a task holds a block of rows against all, and returns one sum per draw and k.
+
+    ``near`` takes distances in single precision, several times as fast.
+    """
+    names = sorted(d for d in wanted if wanted[d])
     member = F.transform(F.array(*[F.lit(d) for d in names]), lambda d: F.array_contains("draws", d).cast("int"))
     total = points.count()
 
+    def narrow(z: np.ndarray, by: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        return ((z * by).astype(np.float32), (z ** 2).sum(axis=1).astype(np.float32)) if near else (z, z)
+
     def start(x: np.ndarray, tag: np.ndarray) -> dict:
         held = {}
         for j, d in enumerate(names):
             z = draws[d].scale(x[tag[:, j] > 0])
-            held[d] = z, {k: (draws[d].nearest(z, k), np.zeros((len(z), k))) for k in draws[d].centres}
+            held[d] = z, narrow(z), {k: draws[d].nearest(z, k) for k in wanted[d]}, np.zeros((len(z), sum(wanted[d])))
         return held
 
     def step(held: dict, x: np.ndarray, tag: np.ndarray) -> None:
         for j, d in enumerate(names):
-            z, sums = held[d]
+            z, (z4, z2), _, sums = held[d]
             w = draws[d].scale(x[tag[:, j] > 0])
             if not (len(z) and len(w)):
                 continue
-            marks = {k: np.eye(k)[draws[d].nearest(w, k)] for k in sums}
-            for lo in range(0, len(z), 2048):
-                far = distances(z[lo:lo + 2048], w)
-                for k, (_, total_) in sums.items():
-                    total_[lo:lo + 2048] += far @ marks[k]
+            w4, w2 = narrow(w, -2.0)
+            marks = np.concatenate([np.eye(k, dtype=w4.dtype)[draws[d].nearest(w, k)] for k in wanted[d]], axis=1)
+            for lo in range(0, len(z), SLAB):
+                at = slice(lo, lo + SLAB)
+                sums[at] += (_near_distances(z[at], w, z4[at], z2[at], w4, w2) if near else distances(z[at], w)) @ marks
 
     def end(held: dict) -> pa.RecordBatch:
-        out = [(d, k, float(_silhouettes(v, draws[d].sizes[k].astype(float), label).sum())) for d, (z, sums) in held.items() if len(z) for k, (label, v) in sums.items()]
+        out = []
+        for d, (z, _, label, sums) in held.items():
+            parts = np.split(sums, np.cumsum(wanted[d])[:-1], axis=1)
+            out += [(d, k, float(_silhouettes(v, draws[d].sizes[k].astype(float), label[k]).sum())) for k, v in zip(wanted[d], parts, strict=True) if len(z)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["d", "k", "s"])
 
     per = against_all(points.select("x", member.alias("tag")), total, block, start, step, end, "d int, k int, s double")
-    for r in per.groupBy("d", "k").agg(F.sum("s").alias("s")).collect():
-        draws[r.d].scores[r.k] = r.s / draws[r.d].n
+    return {(r.d, r.k): r.s / draws[r.d].n for r in per.groupBy("d", "k").agg(F.sum("s").alias("s")).collect()}
+
+
+def _contenders(s: Draw, scores: dict[int, float], slack: float, min_size: int, accept: float) -> list[int]:
+    """The k that may be chosen, given that no score is off by more than ``slack``; empty if none can be accepted."""
+    able = {k: v for k, v in scores.items() if s.sizes[k].min() >= min_size and v + slack >= accept}
+    return sorted(k for k, v in able.items() if v + slack >= max(able.values()) - slack)
 
 
 class ClusterSearch:
@@ -320,11 +360,12 @@ class ClusterSearch:
     value, take no part. ``draws`` (draw, group) with ``group`` a column of ``points`` names the samples; without it, all rows are draw 0.
     Columns are scaled by their mean and population deviation in the draw, constant ones are left out. k is feasible if the draw
     has rows for it and all clusters hold ``min_size``; the best silhouette wins if it reaches ``accept`` (ties: the smaller k).
-    ``distance`` is ``euclidean`` (as defined, quadratic in the rows) or ``squared`` (linear).
+    ``distance`` is ``euclidean`` (as defined, quadratic in the rows) or ``squared`` (linear). With ``choice`` only k is asked for: Euclidean silhouettes
+    are taken in single precision first, with a bound on their error, and as defined only for those k that this bound leaves open.
     """
 
     def __init__(self, points: DataFrame, key: str, vector: str, ks: tuple[int, ...] = (2, 3, 4), *, draws: DataFrame | None = None, group: str | None = None,
-                 min_size: int = 2, accept: float = 0.1, rounds: int = 100, distance: str = "euclidean", block: int = 2000):
+                 min_size: int = 2, accept: float = 0.1, rounds: int = 100, distance: str = "euclidean", choice: bool = False, block: int = 2000):
         x = F.transform(F.col(vector), lambda v: v.cast("double"))
         sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
         rows = points.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), x.alias("x"), *([F.col(group).alias("_g")] if draws is not None else [])).filter(sound)
@@ -338,7 +379,7 @@ class ClusterSearch:
         ks = tuple(sorted(ks))
         if self.draws:
             _seed(self.points, self.draws, max(ks))
-            self._search(ks, min_size, accept, rounds, distance, block)
+            self._search(ks, min_size, accept, rounds, distance, choice, block)
 
     def _scaled(self) -> dict[int, Draw]:
         first = _summed(self.points, lambda d, x: [((0, 0), np.append(x.sum(axis=0), len(x)))])
@@ -347,7 +388,7 @@ class ClusterSearch:
             found[d].std = np.sqrt(v / found[d].n)
         return found
 
-    def _search(self, ks, min_size, accept, rounds, distance, block) -> None:
+    def _search(self, ks, min_size, accept, rounds, distance, choice, block) -> None:
         _lloyd(self.points, self.draws, [k for k in ks], rounds)
         for s in self.draws.values():
             s.centres = {k: c for k, c in s.centres.items() if k <= s.n // max(min_size, 1)}
@@ -357,15 +398,40 @@ class ClusterSearch:
         if distance == "squared":
             _squared_scores(self.points, self.draws)
         else:
-            _euclidean_scores(self.points, self.draws, block)
+            wanted = {d: sorted(s.centres) for d, s in self.draws.items()}
+            if choice:
+                wanted = self._open(wanted, min_size, accept, block)
+            if any(wanted.values()):
+                for (d, k), v in _euclidean_scores(self.points, self.draws, block, wanted).items():
+                    self.draws[d].scores[k] = v
         for s in self.draws.values():
+            if s.k:
+                continue
             good = [(round(s.scores[k], DIGITS), -k) for k in s.scores if s.sizes[k].min() >= min_size]
             if good and max(good)[0] >= accept:
                 s.k = -max(good)[1]
 
+    def _open(self, wanted: dict[int, list[int]], min_size: int, accept: float, block: int) -> dict[int, list[int]]:
+        """Sets k where it is certain from distances in single precision; the k of other draws that may still be chosen."""
+        near: dict[int, dict[int, float]] = {}
+        for (d, k), v in _euclidean_scores(self.points, self.draws, block, wanted, near=True).items():
+            near.setdefault(d, {})[k] = v
+        left = {}
+        for d, scores in near.items():
+            s = self.draws[d]
+            # Distances and their sums over a chunk are off by so much of themselves; (b - a) / max(a, b) by twice that.
+            off = (4 * (int(s.kept.sum()) + 4) + CHUNK + 16) * UNIT
+            slack = 2 * off / (1 - off) + 10.0 ** -DIGITS if off < 1 else np.inf
+            able = _contenders(s, scores, slack, min_size, accept)
+            if len(able) == 1 and scores[able[0]] - slack >= accept:
+                s.k = able[0]
+            else:
+                left[d] = able
+        return left
+
     def chosen(self) -> DataFrame:
-        """(draw, k, silhouette): k is null where no structure is accepted; silhouette is that of k."""
-        rows = [(d, s.k, float(s.scores[s.k]) if s.k else None) for d, s in sorted(self.draws.items())]
+        """(draw, k, silhouette): k is null where no structure is accepted; silhouette is that of k, null where it was not needed as defined."""
+        rows = [(d, s.k, float(s.scores[s.k]) if s.k in s.scores else None) for d, s in sorted(self.draws.items())]
         return self.points.sparkSession.createDataFrame(rows, "draw int, k int, silhouette double")
 
     def candidates(self) -> DataFrame:

@@ -204,7 +204,7 @@ def cluster_stability(points: DataFrame, key: str, vector: str, group: str, draw
     The full sample is one more draw, so one search serves all; nothing is reproduced where the full sample shows no clusters.
     """
     every = draws.select("draw", group).unionByName(points.select(group).distinct().select(F.lit(-1).alias("draw"), group))
-    found = ClusterSearch(points, key, vector, draws=every, group=group, **search)
+    found = ClusterSearch(points, key, vector, draws=every, group=group, choice=True, **search)
     labels = cut_lineage(found.labels())
     full = labels.filter("draw = -1").select("id", F.col("cluster").alias("full"))
     cells = labels.filter("draw >= 0").join(full, "id").groupBy("draw", "cluster", "full").agg(F.count(F.lit(1)).alias("n"))
