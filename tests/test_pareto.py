@@ -61,6 +61,29 @@ def test_layers_against_peeling(spark, monkeypatch, shape):
     assert {r.identity: r.layer for r in po.pareto_layers(df, max_layers=2).collect()} == {i: n for i, n in want.items() if n < 2}
 
 
+@pytest.mark.parametrize("shape", ["free", "coarse", "equal", "chain"])
+def test_layers_by_waves_of_cells(spark, monkeypatch, shape):
+    """Cells of a grid, points on its bounds and shared axes; a grid that leaves a cell too full falls back to blocks."""
+    monkeypatch.setattr(po, "CELL_ROWS", 8)
+    monkeypatch.setattr(po, "BLOCK_ROWS", 60)
+    blocks = []
+    by_blocks = po._block_layers
+    monkeypatch.setattr(po, "_block_layers", lambda p: blocks.append(1) or by_blocks(p))
+    rng = np.random.default_rng(len(shape) + 7)
+    v = rng.normal(size=(600, 4))
+    if shape == "coarse":
+        v = np.round(v * 2) / 2
+    elif shape == "equal":  # two axes that say nothing
+        v[:, 1:3] = 0.25
+    elif shape == "chain":
+        v = np.arange(600.0)[:, None] * [1, 1, 1, -1]
+        monkeypatch.setattr(po, "MOST_PARTS", 4)
+    rows = [(i, *map(float, r), "v1") for i, r in enumerate(v)]
+    got = {r.identity: r.layer for r in po.pareto_layers(spark.createDataFrame(rows, KIND).repartition(5)).collect()}
+    want = {i: 599 - i for i in range(600)} if shape == "chain" else plain_layers(rows)
+    assert got == want and bool(blocks) == (shape == "chain")
+
+
 def test_many_layers_take_few_jobs(spark, monkeypatch):
     def refuse(_):
         raise AssertionError("fronts are not peeled one by one")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from itertools import count
+import uuid
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.ordered import ordered_scan
-from veritab.session import cut_lineage, sized_join
+from veritab.session import cut_lineage, ensure_checkpoint_dir, sized_join, stored
 
 # Dimensions in rotation order and their direction.
 DIRECTIONS = {"gain": 1, "stability": 1, "novelty": 1, "complexity": -1}
@@ -20,6 +21,8 @@ TOLERANCE = 1e-12
 MAX_FREEZE = 50
 # Rows of a block that meets another in a task, and cells per axis.
 BLOCK_ROWS, MAX_PARTS = 20_000, 8
+# Layers: points a cell is to hold, parts of an axis and cells beyond which cells are not used.
+CELL_ROWS, MOST_PARTS, MOST_CELLS = 2_000, 64, 1 << 14
 
 
 def _points(pdf: pd.DataFrame) -> np.ndarray:
@@ -146,14 +149,16 @@ def _grid_front(points: DataFrame) -> DataFrame:
 def pareto_layers(rows: DataFrame, max_layers: int | None = None, identity: str = "identity") -> DataFrame:
     """(identity, layer, dims): the front is layer 0; it is removed and the next follows.
 
-    Rows of equal values are one point, and its layer is one more than the greatest of the points that dominate it. Points are taken
-    by falling sum, in blocks: a block is compared with all earlier points in parallel, then with itself in one task.
+    Rows of equal values are one point, and its layer is one more than the greatest of the points that dominate it. Points lie in a grid of
+    quantile cells; cells are solved in waves of falling sum of their numbers, all cells of a wave at once, as none of them lies above another.
+    Where a grid leaves too many points in one cell, points are taken by falling sum, in blocks: a block is compared with all earlier points in
+    parallel, then with itself in one task.
     """
     dims = list(DIRECTIONS)
     complete = rows.dropna(subset=dims)
     named = [(F.col(d).cast("double") + 0.0).alias(f"_f_{d}") for d in dims]
     points = cut_lineage(complete.select(*named).distinct().toDF(*dims))
-    layers = _peeled(points, max_layers) if _near_values(points) else _block_layers(points)
+    layers = _peeled(points, max_layers) if _near_values(points) else _wave_layers(points)
     if max_layers is not None:
         layers = layers.filter(F.col("layer") < max_layers)
     keyed = complete.select(*rows.columns, *named)
@@ -215,6 +220,160 @@ def _layers_inside(points: np.ndarray, least: np.ndarray) -> np.ndarray:
     return layer
 
 
+def _raise(points: np.ndarray, against: np.ndarray, layer: np.ndarray, least: np.ndarray) -> None:
+    """Lifts ``least`` above the greatest layer of a row of ``against`` that is no worse than the point anywhere; highest layers are met first."""
+    order = np.argsort(-layer, kind="stable")
+    open_ = np.arange(len(points))
+    for start in range(0, len(order), 512):
+        some = order[start:start + 512]
+        open_ = open_[least[open_] <= layer[some[0]]]
+        if not len(open_):
+            break
+        left = []
+        for i in range(0, len(open_), 1024):
+            at = open_[i:i + 1024]
+            no_worse = np.logical_and.reduce([against[some, x][None, :] >= points[at, x][:, None] for x in range(points.shape[1])])
+            hit = no_worse.any(axis=1)
+            least[at[hit]] = np.maximum(least[at[hit]], layer[some[no_worse[hit].argmax(axis=1)]] + 1)
+            left.append(at[~hit])
+        open_ = np.concatenate(left)
+
+
+def _face(points: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """Rows that no other one beats by a layer and values that are no smaller; of equal ones one stays."""
+    order = np.lexsort([*(-points[:, x] for x in range(points.shape[1])), -points.sum(axis=1), -layer])
+    if points.shape[1] == 1:
+        # By falling layer, only greater values than all before stay.
+        v = points[order, 0]
+        return order[np.concatenate([[True], v[1:] > np.maximum.accumulate(v)[:-1]])]
+    keep = order[:0]
+    for start in range(0, len(order), 256):
+        some = order[start:start + 256]
+        for i in range(0, len(keep), 2048):
+            some = some[~np.logical_and.reduce([points[keep[i:i + 2048], x][None, :] >= points[some, x][:, None] for x in range(points.shape[1])]).any(axis=1)]
+        inside = np.logical_and.reduce([points[some, x][None, :] >= points[some, x][:, None] for x in range(points.shape[1])])
+        keep = np.append(keep, some[~np.tril(inside, -1).any(axis=1)])
+    return keep
+
+
+def _grid(points: DataFrame) -> tuple[DataFrame, np.ndarray] | None:
+    """Points with the number of their cell on each axis (higher is better), and the cells; None if some cell stays too full."""
+    dims = list(DIRECTIONS)
+    total = points.count()
+    better = [F.col(d) * sign for d, sign in DIRECTIONS.items()]
+    parts = math.ceil(max(total / min(CELL_ROWS, BLOCK_ROWS), 1) ** (1 / len(dims)))
+    while parts <= MOST_PARTS:
+        cuts: list[list[float]] = [[] for _ in dims]
+        if parts > 1:
+            row = points.agg(*[F.percentile_approx(v, [i / parts for i in range(1, parts)], 1000).alias(f"q{i}") for i, v in enumerate(better)]).first()
+            cuts = [sorted(set(q)) for q in row]
+        # A bound belongs to the cell above it.
+        placed = points.withColumns({f"c{i}": sum((F.when(v >= F.lit(float(c)), 1).otherwise(0) for c in cut), F.lit(0)) for i, (v, cut) in enumerate(zip(better, cuts, strict=True))})
+        sizes = placed.groupBy(*[f"c{i}" for i in range(len(dims))]).count()
+        cells = sizes.limit(MOST_CELLS + 1).collect()
+        if len(cells) > MOST_CELLS:
+            return None
+        if max((c[-1] for c in cells), default=0) <= BLOCK_ROWS:
+            return placed, np.array([c[:-1] for c in cells], np.int64).reshape(len(cells), len(dims))
+        parts = math.ceil(parts * 1.5)
+    return None
+
+
+def _wave_layers(points: DataFrame) -> DataFrame:
+    """(dims, layer) of distinct points whose values are equal or apart.
+
+    A point is dominated only from cells that lie no lower on any axis. One that lies higher on all axes counts by its highest layer; on the axes a cell
+    shares, only the points of its face matter: those that no other one beats by layer and values there. A cell and each of its faces is one packed row.
+    """
+    dims, spark = list(DIRECTIONS), points.sparkSession
+    width = len(dims)
+    found = _grid(points)
+    if found is None:
+        return _block_layers(points)
+    placed, cells = found
+    at = [f"c{i}" for i in range(width)]
+    masks = {sum(1 << x for x in axes): list(axes) for n in range(1, width) for axes in combinations(range(width), n)}
+    base = MOST_PARTS + 1
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _points(pdf)
+        # Rounded sums of no smaller values are no smaller; among equal ones the greater values come first.
+        x = x[np.lexsort([*(-x[:, i] for i in reversed(range(width))), -(x[:, 0] + x[:, 1] + x[:, 2] + x[:, 3])])]
+        return pd.DataFrame([[*key, sum(key), x.tobytes()]], columns=[*at, "level", "x"])
+
+    packed = stored(placed.groupBy(*at).applyInPandas(pack, ", ".join(f"{c} int" for c in at) + ", level int, x binary"))
+    schema = "mask int, " + ", ".join(f"{c} int" for c in at) + ", key long, top int, x binary, layer binary"
+
+    def solve(batches):
+        own, met = None, {}
+
+        def close():
+            place, x, least = own
+            least = np.full(len(x), least, np.int32)
+            # Few axes first: what they say leaves less to compare on more of them.
+            for m in sorted(met, key=lambda m: len(masks[m])):
+                axes = masks[m]
+                against, layer = np.concatenate([a for a, _ in met[m]]), np.concatenate([b for _, b in met[m]])
+                kept = _face(against, layer) if len(axes) < 3 else slice(None)
+                _raise(x[:, axes], against[kept], layer[kept], least)
+            layer = _layers_inside(x, least)
+            rows = [(0, *place, 0, int(layer.max()), x.tobytes(), layer.astype(np.int32).tobytes())]
+            for m, axes in masks.items():
+                kept = _face(x[:, axes], layer)
+                rows.append((m, *place, sum(place[a] * base ** a for a in axes), None, x[kept][:, axes].tobytes(), layer[kept].astype(np.int32).tobytes()))
+            kinds = [*[pa.int32()] * (1 + width), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["mask", *at, "key", "top", "x", "layer"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                place = tuple(batch.column(c)[r].as_py() for c in at)
+                m, x = batch.column("mask")[r].as_py(), batch.column("x")[r].as_py()
+                if own is not None and place != own[0]:
+                    yield close()
+                    own, met = None, {}
+                if m == 0:
+                    own = place, np.frombuffer(x, float).reshape(-1, width), batch.column("top")[r].as_py()
+                else:
+                    met.setdefault(m, []).append((np.frombuffer(x, float).reshape(-1, len(masks[m])), np.frombuffer(batch.column("layer")[r].as_py(), np.int32)))
+        if own is not None:
+            yield close()
+
+    folder = f"{ensure_checkpoint_dir(spark)}/layers-{uuid.uuid4().hex}"
+    paths: list[str] = []
+    level, top = cells.sum(axis=1), np.full(len(cells), -1)
+    number = {tuple(c): i for i, c in enumerate(cells.tolist())}
+    for wave in sorted(set(level.tolist()), reverse=True):
+        mine = np.flatnonzero(level == wave)
+        # Bounded by the number of cells, not by their points.
+        least = [int(top[(cells > cells[i]).all(axis=1)].max(initial=-1)) + 1 for i in mine]
+        own = spark.createDataFrame([(*cells[i].tolist(), n) for i, n in zip(mine, least, strict=True)], ", ".join(f"{c} int" for c in at) + ", top int")
+        rows = packed.filter(F.col("level") == wave).join(F.broadcast(own), at).select(
+            F.lit(0).alias("mask"), *at, "top", "x", F.lit(None).cast("binary").alias("layer"))
+        if paths:
+            asked = [(m, *cells[i].tolist(), int(sum(cells[i][a] * base ** a for a in axes))) for i in mine for m, axes in masks.items()]
+            asked = spark.createDataFrame(asked, "mask int, " + ", ".join(f"t{i} int" for i in range(width)) + ", key long")
+            faces = spark.read.schema(schema).parquet(*paths).filter("mask > 0").join(F.broadcast(asked), ["mask", "key"])
+            for i, c in enumerate(at):
+                faces = faces.filter((F.col("mask").bitwiseAND(1 << i) > 0) | (F.col(c) > F.col(f"t{i}")))
+            rows = rows.unionByName(faces.select("mask", *[F.col(f"t{i}").alias(c) for i, c in enumerate(at)], F.lit(0).alias("top"), "x", "layer"))
+        tasks = min(len(mine), 4 * spark.sparkContext.defaultParallelism)
+        solved = rows.repartition(tasks, *at).sortWithinPartitions(*at, "mask").mapInArrow(solve, schema)
+        solved.write.parquet(f"{folder}/{wave}")
+        paths.append(f"{folder}/{wave}")
+        for r in spark.read.schema(schema).parquet(paths[-1]).filter("mask = 0").select(*at, "top").collect():
+            top[number[tuple(r[:width])]] = r.top
+
+    def unpack(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = np.frombuffer(batch.column("x")[r].as_py(), float).reshape(-1, width)
+                layer = np.frombuffer(batch.column("layer")[r].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[:, i] * sign + 0.0) for i, sign in enumerate(DIRECTIONS.values())], pa.array(layer)], names=[*dims, "layer"])
+
+    kind = ", ".join(f"{d} double" for d in dims) + ", layer int"
+    return spark.read.schema(schema).parquet(*paths).filter("mask = 0").select("x", "layer").mapInArrow(unpack, kind) if paths else points.withColumn("layer", F.lit(0))
+
+
 def _block_layers(points: DataFrame) -> DataFrame:
     """(dims, layer) of distinct points whose values are equal or apart. A block and its layers are one packed row of bounded size."""
     dims = list(DIRECTIONS)
