@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,31 @@ def test_classes_are_sorted_not_compared(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("window", [4, 16, 1000])
+def test_a_task_holds_a_window_of_an_axis(spark, monkeypatch, window):
+    """Bounds that reach behind or beyond the values held, equal values across blocks and axes that share a task: counts as over the whole axis."""
+    monkeypatch.setattr(nb, "BLOCK", 4)
+    monkeypatch.setattr(nb, "WINDOW", window)
+    rng = np.random.default_rng(window)
+    rows = []
+    for f, n in ((0, 90), (1, 3), (2, 57)):
+        x = np.round(rng.normal(size=n), 1)
+        reach = rng.choice([0.0, 0.1, 0.5, 9.0], n)
+        rows += [(f, int(k), float(v), float(x[x >= v - r].min()), float(x[x <= v + r].max())) for k, v, r in zip(rng.integers(1, 4, n), x, reach)]
+    counts, near = nb._within(spark.createDataFrame(rows, "f int, k int, x double, low double, high double").repartition(3).orderBy("f", "x"))
+    want, ks = {}, {}
+    for f, k, _, low, high in rows:
+        n = sum(g == f and low <= v <= high for g, _, v, _, _ in rows)
+        want[f, n], ks[f, k] = want.get((f, n), 0) + 1, ks.get((f, k), 0) + 1
+    got = {}
+    for r in counts.collect():
+        got[r.f, r.n] = got.get((r.f, r.n), 0) + r.points
+    assert got == want
+    got = {}
+    for r in near.collect():
+        got[r.f, r.k] = got.get((r.f, r.k), 0) + r.points
+    assert got == ks
+    held = [len(block[1]) for block in nb._axis_blocks([pa.RecordBatch.from_pylist([dict(zip(("f", "k", "x", "low", "high"), r)) for r in sorted(rows)])])]
+    assert max(held) == 4 and sum(held) == len(rows)

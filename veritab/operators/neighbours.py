@@ -24,6 +24,8 @@ ACCURACY = 10_000
 JITTER = 1e-10
 # Sorted values of one group that are stored as one row.
 BLOCK = 1 << 14
+# Values of an axis that a task holds at once, while it counts what lies inside bounds.
+WINDOW = 1 << 20
 
 
 def digamma(n: Column) -> Column:
@@ -240,17 +242,18 @@ def _sorted_blocks(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _class_limits(points: DataFrame, k: int) -> DataFrame:
-    """(f, k, x, low, high) of points (f, y, x): how many neighbours of its class a point has, up to k, and the bounds of what lies nearer than the last."""
+    """(f, k, x, low, high) of points (f, y, x): how many neighbours of its class a point has, up to k, and the bounds of what lies nearer than the last.
+
+    Rows come in ranges of f and x, sorted in each task.
+    """
     blocks = _sorted_blocks(points, ["f", "y"])
 
     def edges(batches):
         # A part's first and last k values, with their class.
         first, last = [], []
         for batch in batches:
-            for part, f, y, xs in zip(*[batch.column(c).to_pylist() for c in ("part", "f", "y")], batch.column("xs"), strict=True):
-                n = len(xs)
-                head, tail = xs.values[:max(0, k - len(first))].to_pylist(), xs.values[max(0, n - k):].to_pylist()
-                first += [(f, y, v) for v in head]
+            for part, f, y, head, tail in zip(*[batch.column(c).to_pylist() for c in ("part", "f", "y", "head", "tail")], strict=True):
+                first += [(f, y, v) for v in head[:max(0, k - len(first))]]
                 last = (last + [(f, y, v) for v in tail])[-k:]
         if first:
             rows = [(part, end, *v) for end, side in ((0, first), (1, last)) for v in side]
@@ -259,7 +262,8 @@ def _class_limits(points: DataFrame, k: int) -> DataFrame:
 
     # At most 2 k rows per task.
     ends: dict[int, tuple[list, list]] = {}
-    for r in blocks.select("part", "f", "y", "xs").mapInArrow(edges, "part int, end int, f int, y double, x double").collect():
+    short = blocks.select("part", "f", "y", F.slice("xs", 1, k).alias("head"), F.when(F.size("xs") <= k, F.col("xs")).otherwise(F.slice("xs", -k, k)).alias("tail"))
+    for r in short.mapInArrow(edges, "part int, end int, f int, y double, x double").collect():
         ends.setdefault(r.part, ([], []))[r.end].append((r.f, r.y, r.x))
     parts = sorted(ends)
     around: dict[int, tuple[list, list]] = {}
@@ -272,6 +276,21 @@ def _class_limits(points: DataFrame, k: int) -> DataFrame:
         around[p] = (around[p][0], held)
         held = (ends[p][0] + held)[:k]
 
+    # Ranges for the tasks that count: bounds among the middles of blocks, each standing for its values. Equal values stay together.
+    middles = blocks.select("f", F.element_at("xs", (F.size("xs") / 2 + 1).cast("int")).alias("x"), F.size("xs").alias("n")).orderBy("f", "x").collect()
+    share = sum(m.n for m in middles) / int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds: dict[int, list[float]] = {}
+    first_task: dict[int, int] = {}
+    tasks = held = 0
+    for m in middles:
+        if m.f not in bounds:
+            bounds[m.f], first_task[m.f] = [], tasks
+            tasks, held = tasks + 1, 0
+        elif held >= share:
+            bounds[m.f].append(m.x)
+            tasks, held = tasks + 1, 0
+        held += m.n
+
     def solve(f, y, xs, before, behind):
         same = lambda rows: [v for g, c, v in rows if g == f and c == y]
         left, right = same(before), same(behind)
@@ -284,7 +303,8 @@ def _class_limits(points: DataFrame, k: int) -> DataFrame:
         at = size > 0
         x, size = xs[at], size[at]
         r = d[size - 1, np.flatnonzero(at)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), f, np.int32)), pa.array(size.astype(np.int32)), *[pa.array(v) for v in (x, _first_within(x, r, -1), _first_within(x, r, 1))]], names=["f", "k", "x", "low", "high"])
+        task = first_task[f] + np.searchsorted(bounds[f], x, side="right")
+        return pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), pa.array(np.full(len(x), f, np.int32)), pa.array(size.astype(np.int32)), *[pa.array(v) for v in (x, _first_within(x, r, -1), _first_within(x, r, 1))]], names=["task", "f", "k", "x", "low", "high"])
 
     def run(batches):
         # A block is solved once k values behind it are known.
@@ -304,40 +324,100 @@ def _class_limits(points: DataFrame, k: int) -> DataFrame:
             yield solve(f0, y0, x0, before, behind)
             before = (before + [(f0, y0, v) for v in x0[-k:].tolist()])[-k:]
 
-    return blocks.select("part", "f", "y", "xs").mapInArrow(run, "f int, k int, x double, low double, high double")
+    made = blocks.select("part", "f", "y", "xs").mapInArrow(run, "task int, f int, k int, x double, low double, high double")
+    return made.repartitionById(max(tasks, 1), "task").drop("task").sortWithinPartitions("f", "x")
+
+
+def _axis_blocks(batches):
+    """(f, k, x, low, high) of rows sorted by f and x, by runs of BLOCK of one f; the last run of an f is shorter."""
+    names, f, held, size = ("k", "x", "low", "high"), None, [], 0
+    for batch in batches:
+        fs, *columns = (batch.column(c).to_numpy() for c in ("f", *names))
+        bounds = np.append(np.flatnonzero(fs[1:] != fs[:-1]) + 1, len(fs)) if len(fs) else []
+        start = 0
+        for end in bounds:
+            while start < end:
+                if held and (fs[start] != f or size == BLOCK):
+                    yield f, *(np.concatenate(c) for c in zip(*held, strict=True))
+                    held, size = [], 0
+                f, take = int(fs[start]), min(int(end) - start, BLOCK - size)
+                held.append([c[start:start + take] for c in columns])
+                size, start = size + take, start + take
+    if held:
+        yield f, *(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 def _within(limits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((f, n, points), (f, k, points)): how many points have n values of x inside their bounds, themselves included, and how many have k neighbours."""
+    """((f, n, points), (f, k, points)): how many points have n values of x inside their bounds, themselves included, and how many have k neighbours.
+
+    ``limits`` lies in ranges of f and x, sorted in each task.
+    """
     def run(batches):
-        # One task's range of x; its columns are held as numbers.
-        got = list(batches)
-        if not sum(b.num_rows for b in got):
-            return
-        got = pa.Table.from_batches(got)
-        fs, ks, xs, lows, highs = (got.column(c).to_numpy() for c in ("f", "k", "x", "low", "high"))
-        empty = pa.array([None], pa.list_(pa.float64()))
-        for f in np.unique(fs):
-            at = fs == f
-            x, low, high = xs[at], lows[at], highs[at]
-            for i in range(0, len(x), BLOCK):
-                block = x[i:i + BLOCK]
-                yield _kind(0, f, i // BLOCK, len(block), block[0], block[-1], pa.array([block], pa.list_(pa.float64())))
-            for v, c in zip(*np.unique(ks[at], return_counts=True), strict=True):
-                yield _kind(1, f, int(v), int(c), None, None, empty)
+        # One task's range of x, by blocks; the last WINDOW values are held, bounds that reach beyond them are placed among the blocks.
+        counts: dict[tuple, int] = {}
+        f, held, gone, blocks = None, np.empty(0), 0, 0
+        low, high, left, at = (np.empty(0) for _ in range(4))
+
+        def counted(kind, values, times):
+            for v, c in zip(values.tolist(), times.tolist(), strict=True):
+                counts[kind, f, v] = counts.get((kind, f, v), 0) + c
+
+        def inside(ready):
+            n = gone + np.searchsorted(held, high[ready], side="right") - left[ready].astype(np.int64)
+            counted(2, *np.unique(n, return_counts=True))
+
+        def flush():
+            keys = np.array(list(counts), np.int64).reshape(-1, 3)
+            yield _kind(keys[:, 0], keys[:, 1], keys[:, 2], np.array(list(counts.values()), np.int64))
+            counts.clear()
+
+        def finish():
             # Equal values are all in one task, so ends inside its range are counted here.
-            mine = (low >= x[0]) & (high <= x[-1])
-            n = np.searchsorted(x, high[mine], side="right") - np.searchsorted(x, low[mine], side="left")
-            for v, c in zip(*np.unique(n, return_counts=True), strict=True):
-                yield _kind(2, f, int(v), int(c), None, None, empty)
-            for a, b in zip(low[~mine].tolist(), high[~mine].tolist(), strict=True):
-                yield _kind(3, f, 0, 1, a, b, empty)
-
-    def _kind(kind, f, n, points, low, high, xs):
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(f)], pa.int32()), pa.array([n], pa.int64()), pa.array([points], pa.int64()), pa.array([low], pa.float64()), pa.array([high], pa.float64()), xs],
-                                          names=["kind", "f", "n", "points", "low", "high", "xs"])
-
-    made = limits.orderBy("f", "x").mapInArrow(run, "kind int, f int, n long, points long, low double, high double, xs array<double>")
+            mine = high <= held[-1]
+            inside(mine)
+            if not mine.all():
+                yield far(low[~mine], high[~mine])
+
+        def far(a, b):
+            return _kind(np.full(len(a), 3), np.full(len(a), f), np.zeros(len(a)), np.ones(len(a)), a, b)
+
+        for g, ks, xs, lows, highs in _axis_blocks(batches):
+            if g != f:
+                if f is not None:
+                    yield from finish()
+                f, held, gone, blocks = g, np.empty(0), 0, 0
+                low, high, left, at = (np.empty(0) for _ in range(4))
+            yield _kind(np.zeros(1), np.array([f]), np.array([blocks]), np.array([len(xs)]), xs[:1], xs[-1:], xs)
+            blocks += 1
+            counted(1, *np.unique(ks, return_counts=True))
+            drop = max(0, len(held) + len(xs) - max(WINDOW, len(xs)))
+            held, gone = np.concatenate([held[drop:], xs]), gone + drop
+            # What is no longer held may equal the first value that is.
+            known = lows > held[0] if gone else lows >= held[0]
+            if not known.all():
+                yield far(lows[~known], highs[~known])
+            low, high = np.concatenate([low, lows[known]]), np.concatenate([high, highs[known]])
+            left = np.concatenate([left, gone + np.searchsorted(held, lows[known], side="left")])
+            at = np.concatenate([at, np.full(known.sum(), gone + len(held))])
+            ready = high < held[-1]
+            inside(ready)
+            late = ~ready & (at < gone + len(held) - WINDOW // 2)
+            if late.any():
+                yield far(low[late], high[late])
+            low, high, left, at = (v[~ready & ~late] for v in (low, high, left, at))
+            if len(counts) > BLOCK:
+                yield from flush()
+        if f is not None:
+            yield from finish()
+            yield from flush()
+
+    def _kind(kind, f, n, points, low=None, high=None, xs=None):
+        ends = [pa.nulls(len(kind), pa.float64()) if v is None else pa.array(v) for v in (low, high)]
+        values = pa.nulls(len(kind), pa.list_(pa.float64())) if xs is None else pa.array([xs], pa.list_(pa.float64()))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([*[pa.array(np.asarray(v).astype(np.int64), pa.int64()).cast(t) for v, t in zip((kind, f, n, points), kinds, strict=True)], *ends, values], names=["kind", "f", "n", "points", "low", "high", "xs"])
+
+    made = limits.mapInArrow(run, "kind int, f int, n long, points long, low double, high double, xs array<double>")
     made = cut_lineage(made.withColumn("id", F.monotonically_increasing_id()))
     blocks = made.filter("kind = 0")
     # One row for every BLOCK values.
