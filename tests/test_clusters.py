@@ -161,6 +161,8 @@ def test_choice_takes_exact_silhouettes_only_where_k_is_open(spark):
         assert near.k == k and near.scores[whole.k] == pytest.approx(edge, abs=1e-12)
     z, w = rng.normal(size=(300, 64)), rng.normal(size=(400, 64))
     w[:3] = z[:3] + [[0.0], [1e-9], [1e-3]]
-    got = clusters._near_distances(z, w, z.astype(np.float32), (z ** 2).sum(1).astype(np.float32), (-2 * w).astype(np.float32), (w ** 2).sum(1).astype(np.float32))
+    z2, w2 = (z ** 2).sum(1), (w ** 2).sum(1)
+    z4, w4 = np.column_stack([z, z2, np.ones(300)]), np.column_stack([-2 * w, np.ones(400), w2])
+    got = clusters._near_distances(z, w, *[v.astype(np.float32) for v in (z4, z2, w4, w2)])
     want = np.sqrt(((z[:, None] - w[None]) ** 2).sum(2))
-    assert (np.abs(got - want) <= 4 * 68 * clusters.UNIT * want).all() and got[0, 0] == 0
+    assert (np.abs(got - want) <= 8 * 68 * clusters.UNIT * want).all() and got[0, 0] == 0

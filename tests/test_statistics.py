@@ -313,3 +313,13 @@ def test_quantile_bins_count_values_once(spark):
     placed = df.join(cuts, "g").select("g", "v", rv.bin_of(F.col("v"), F.col("cuts"), 4).alias("b"))
     for r in placed.collect():
         assert r.b == sum(c < r.v for c in found[r.g] if r.v is not None)
+
+
+def test_rows_are_multiplied_by_draws_where_they_lie(spark):
+    """Each row once for every draw of its group and once as draw -1, rows without a group too; only the list of draws is joined."""
+    rows = spark.createDataFrame([(g, float(i)) for i, g in enumerate(["a", "a", "b", "c", None])], "g string, z double")
+    draws = spark.createDataFrame([(0, "a"), (1, "a"), (1, "b"), (2, "absent")], "draw int, g string")
+    made = st._drawn(rows, draws, "g")
+    want = [("a", 0.0, d) for d in (-1, 0, 1)] + [("a", 1.0, d) for d in (-1, 0, 1)] + [("b", 2.0, -1), ("b", 2.0, 1), ("c", 3.0, -1), (None, 4.0, -1)]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()

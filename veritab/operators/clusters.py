@@ -284,13 +284,11 @@ SLAB, UNIT = 256, 2.0 ** -24
 
 
 def _near_distances(z: np.ndarray, w: np.ndarray, z4: np.ndarray, z2: np.ndarray, w4: np.ndarray, w2: np.ndarray) -> np.ndarray:
-    """``distances`` in single precision, each of them to 4 (columns + 4) units. Rows close together are taken in double precision.
+    """``distances`` in single precision, each of them to 8 (columns + 4) units. Rows close together are taken in double precision.
 
-    ``z4`` and ``w4`` are the rows in single precision, those of w times -2, ``z2`` and ``w2`` their squared lengths.
+    ``z2`` and ``w2`` are squared lengths; ``z4`` and ``w4`` are rows whose product is the squared distance: (z, z2, 1) and (-2 w, 1, w2).
     """
     far = z4 @ w4.T
-    far += z2[:, None]
-    far += w2
     # One bound for all pairs first, which finds too many rather than too few.
     flat = far.reshape(-1)
     close = np.flatnonzero(flat < (z2.max(initial=0) + w2.max(initial=0)) / 8)
@@ -314,8 +312,11 @@ def _euclidean_scores(points: DataFrame, draws: dict[int, Draw], block: int, wan
     member = F.transform(F.array(*[F.lit(d) for d in names]), lambda d: F.array_contains("draws", d).cast("int"))
     total = points.count()
 
-    def narrow(z: np.ndarray, by: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        return ((z * by).astype(np.float32), (z ** 2).sum(axis=1).astype(np.float32)) if near else (z, z)
+    def narrow(z: np.ndarray, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        if not near:
+            return z, z
+        size, one = (z ** 2).sum(axis=1)[:, None], np.ones((len(z), 1))
+        return np.concatenate([-2 * z, one, size] if other else [z, size, one], axis=1).astype(np.float32), size[:, 0].astype(np.float32)
 
     def start(x: np.ndarray, tag: np.ndarray) -> dict:
         held = {}
@@ -330,7 +331,7 @@ def _euclidean_scores(points: DataFrame, draws: dict[int, Draw], block: int, wan
             w = draws[d].scale(x[tag[:, j] > 0])
             if not (len(z) and len(w)):
                 continue
-            w4, w2 = narrow(w, -2.0)
+            w4, w2 = narrow(w, other=True)
             marks = np.concatenate([np.eye(k, dtype=w4.dtype)[draws[d].nearest(w, k)] for k in wanted[d]], axis=1)
             for lo in range(0, len(z), SLAB):
                 at = slice(lo, lo + SLAB)
@@ -420,7 +421,7 @@ class ClusterSearch:
         for d, scores in near.items():
             s = self.draws[d]
             # Distances and their sums over a chunk are off by so much of themselves; (b - a) / max(a, b) by twice that.
-            off = (4 * (int(s.kept.sum()) + 4) + CHUNK + 16) * UNIT
+            off = (8 * (int(s.kept.sum()) + 4) + CHUNK + 16) * UNIT
             slack = 2 * off / (1 - off) + 10.0 ** -DIGITS if off < 1 else np.inf
             able = _contenders(s, scores, slack, min_size, accept)
             if len(able) == 1 and scores[able[0]] - slack >= accept:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.ordered import exact_quantiles, hash_rank, ordered_scan
 from veritab.operators.clusters import ClusterSearch, against_all, distances
-from veritab.session import cut_lineage
+from veritab.session import cut_lineage, sized_join
 
 EPS = 1e-12
 
@@ -24,8 +24,9 @@ def changepoints(df: DataFrame, series: list[str], order: list[str], value: str,
     """(series, position, gain): binary segmentation on prefix sums.
 
     Prefix sums are computed once over all series; each of the at most
-    ``max_points`` rounds is one join with the small segment table and one
-    aggregation. ``position`` is the index of the first row to the right.
+    ``max_points`` rounds is one join with the segment table, which is sent
+    to the rows where it is small, and one aggregation. ``position`` is the
+    index of the first row to the right.
     """
     squared = df.withColumn("_v2", F.col(value) * F.col(value))
     pre = cut_lineage(ordered_scan(squared, series, order, number="_i", sums={"_s": value, "_ss": "_v2"}).select(
@@ -38,7 +39,7 @@ def changepoints(df: DataFrame, series: list[str], order: list[str], value: str,
         n = F.col("high") - F.col("low")
         parent = _sse(n, F.col("s_high") - F.col("s_low"), F.col("ss_high") - F.col("ss_low"))
         live = segs.filter(n >= 2 * min_segment)
-        inside = pre.join(live, series).filter((F.col("i") >= F.col("low") + min_segment) & (F.col("i") <= F.col("high") - min_segment))
+        inside = sized_join(pre, live, series).filter((F.col("i") >= F.col("low") + min_segment) & (F.col("i") <= F.col("high") - min_segment))
         gain = parent - _sse(F.col("i") - F.col("low"), F.col("s") - F.col("s_low"), F.col("ss") - F.col("ss_low")) \
             - _sse(F.col("high") - F.col("i"), F.col("s_high") - F.col("s"), F.col("ss_high") - F.col("ss"))
         threshold = penalty * parent / n * F.ln(n.cast("double"))
@@ -166,13 +167,20 @@ def group_draws(df: DataFrame, group: str, draws: int, seed: str, fraction: floa
     return hash_rank(each, ["draw"], "_h", [group]).filter(F.col("rk") <= math.ceil(fraction * size)).select("draw", group)
 
 
+def _drawn(rows: DataFrame, draws: DataFrame, group: str) -> DataFrame:
+    """Rows once for each draw of their group and once as draw -1, the full sample; rows are multiplied where they lie."""
+    named = draws.groupBy(group).agg(F.collect_list("draw").alias("_draws"))
+    every = F.concat(F.coalesce("_draws", F.array().cast("array<int>")), F.array(F.lit(-1)))
+    return sized_join(rows, named, group, "left").select(*rows.columns, F.explode(every).alias("draw"))
+
+
 def invariant_stability(rows: DataFrame, draws: DataFrame, group: str, z: str, tolerance: float, min_conformity: float = 0.9, shift: float = 0.1) -> DataFrame:
     """Per draw: does the invariant of ``z`` still hold with nearly the same centre?"""
-    every = rows.select(group, z).join(draws, group).select("draw", z).unionByName(rows.select(F.lit(-1).alias("draw"), z))
+    every = _drawn(rows.select(group, z), draws, group).select("draw", z)
     centre = exact_quantiles(every, ["draw"], z, {"centre": 0.5})
     scale = F.when(F.abs("centre") > EPS, F.abs("centre")).otherwise(1.0)
     ok = F.abs(F.col(z) - F.col("centre")) <= tolerance * scale + EPS
-    agg = every.join(centre, "draw").groupBy("draw").agg(
+    agg = sized_join(every, centre, "draw").groupBy("draw").agg(
         F.first("centre").alias("centre"), (F.count_if(ok) / F.count(z)).alias("conformity"))
     full = agg.filter("draw = -1").select("centre")
     j = agg.filter("draw >= 0").withColumn("_full", full.scalar())
@@ -186,7 +194,7 @@ def changepoint_stability(rows: DataFrame, draws: DataFrame, group: str, series:
     The draw is one more series key, so all draws run in the same jobs; the full
     sample is draw -1.
     """
-    every = rows.join(draws, group).unionByName(rows.withColumn("draw", F.lit(-1)))
+    every = _drawn(rows, draws, group)
     keys = [*series, "draw"]
     sizes = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     pts = changepoints(every, keys, order, value, **kw).join(sizes, keys).withColumn("rel", F.col("position") / F.col("_n"))
