@@ -261,7 +261,8 @@ def _grid(points: DataFrame) -> tuple[DataFrame, np.ndarray] | None:
     dims = list(DIRECTIONS)
     total = points.count()
     better = [F.col(d) * sign for d, sign in DIRECTIONS.items()]
-    parts = math.ceil(max(total / min(CELL_ROWS, BLOCK_ROWS), 1) ** (1 / len(dims)))
+    # What fits one cell needs no waves.
+    parts = 1 if total <= BLOCK_ROWS else math.ceil((total / min(CELL_ROWS, BLOCK_ROWS)) ** (1 / len(dims)))
     while parts <= MOST_PARTS:
         cuts: list[list[float]] = [[] for _ in dims]
         if parts > 1:
@@ -318,7 +319,7 @@ def _wave_layers(points: DataFrame) -> DataFrame:
                 _raise(x[:, axes], against[kept], layer[kept], least)
             layer = _layers_inside(x, least)
             rows = [(0, *place, 0, int(layer.max()), x.tobytes(), layer.astype(np.int32).tobytes())]
-            for m, axes in masks.items():
+            for m, axes in masks.items() if len(cells) > 1 else ():
                 kept = _face(x[:, axes], layer)
                 rows.append((m, *place, sum(place[a] * base ** a for a in axes), None, x[kept][:, axes].tobytes(), layer[kept].astype(np.int32).tobytes()))
             kinds = [*[pa.int32()] * (1 + width), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
